@@ -1,0 +1,247 @@
+"""Token-bucket rate limiting over a request log, exact and split by time.
+
+Whether a request passes depends on all earlier requests of its client, so the naive form orders each
+client in one task, and one client may hold a third of the log.  Here a client's line is cut into time
+chunks that run in parallel:
+
+1. first and last request of each chunk come from an aggregate; where the bucket certainly refills
+   between two chunks the later one starts full, whatever happened before;
+2. for a chunk that feeds a successor without such a pause, one pass works out the level it leaves
+   behind *as a function of* the level it starts with.  That function is a handful of straight pieces,
+   because a start level only shifts the bucket until the bucket is full or a request is refused;
+3. the functions are chained per client over its chunks (small rows, one per chunk);
+4. every chunk is replayed with its true start level.
+
+Levels are whole numbers: one unit is what a microsecond refills, so nothing is rounded.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+from fractions import Fraction
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from feedlake import constants as C
+from feedlake.operators.cadence import floor_to
+
+
+@dataclass(frozen=True)
+class Bucket:
+    """Integer form of a limit: ``rate`` units per microsecond, ``cost`` per request, ``cap`` at most."""
+
+    rate: int
+    cost: int
+    cap: int
+
+    @classmethod
+    def per_minute(cls, requests: float = C.REQUESTS_PER_MINUTE, burst: int = C.BURST) -> Bucket:
+        exact = Fraction(requests).limit_denominator(1_000_000)
+        cost = C.MINUTE_US * exact.denominator
+        return cls(exact.numerator, cost, cost * burst)
+
+    def refill(self, level: int, waited_us: int) -> int:
+        return min(self.cap, level + self.rate * max(waited_us, 0))
+
+
+# One piece of a level function: start levels lo..hi end at (start + value) if moving, else at value.
+Piece = tuple[int, int, bool, int]
+
+
+def _refill_pieces(pieces: list[Piece], gain: int, cap: int) -> list[Piece]:
+    out: list[Piece] = []
+    for lo, hi, moving, value in pieces:
+        value += gain
+        if not moving:
+            parts = [(lo, hi, False, min(value, cap))]
+        elif hi + value <= cap:
+            parts = [(lo, hi, True, value)]
+        elif lo + value >= cap:
+            parts = [(lo, hi, False, cap)]
+        else:
+            parts = [(lo, cap - value, True, value), (cap - value + 1, hi, False, cap)]
+        for part in parts:
+            if out and not part[2] and not out[-1][2] and out[-1][3] == part[3]:
+                out[-1] = (out[-1][0], part[1], False, part[3])
+            else:
+                out.append(part)
+    return out
+
+
+def _spend_pieces(pieces: list[Piece], cost: int) -> list[Piece]:
+    out: list[Piece] = []
+    for lo, hi, moving, value in pieces:
+        low_end = lo + value if moving else value
+        high_end = hi + value if moving else value
+        if low_end >= cost:
+            out.append((lo, hi, moving, value - cost))
+        elif high_end < cost:
+            out.append((lo, hi, moving, value))
+        else:
+            cut = cost - value
+            out.append((lo, cut - 1, True, value))
+            out.append((cut, hi, True, value - cost))
+    return out
+
+
+def level_function(times: Iterator[int], bucket: Bucket) -> list[Piece]:
+    """Level left after the requests at ``times``, for every level held at the first of them."""
+    pieces: list[Piece] = [(0, bucket.cap, True, 0)]
+    previous = None
+    for now in times:
+        if previous is not None:
+            pieces = _refill_pieces(pieces, bucket.rate * (now - previous), bucket.cap)
+        pieces = _spend_pieces(pieces, bucket.cost)
+        previous = now
+    return pieces
+
+
+def apply_pieces(pieces, level: int) -> int:
+    for lo, hi, moving, value in pieces:
+        if lo <= level <= hi:
+            return level + value if moving else value
+    raise ValueError("level outside the bucket")
+
+
+_PIECES = "array<struct<lo:bigint,hi:bigint,moving:boolean,value:bigint>>"
+
+
+def _functions(bucket: Bucket):
+    """mapInPandas body: sorted rows (client_id, chunk, us) to one level function per group."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, pieces, previous = None, None, None
+
+        def row():
+            return (*key, [dict(zip(("lo", "hi", "moving", "value"), p)) for p in pieces])
+
+        for batch in batches:
+            done = []
+            for client, chunk, us in zip(batch["client_id"].tolist(), batch["chunk"].tolist(), batch["us"].tolist()):
+                if (client, chunk) != key:
+                    if key is not None:
+                        done.append(row())
+                    key, pieces = (client, chunk), [(0, bucket.cap, True, 0)]
+                else:
+                    pieces = _refill_pieces(pieces, bucket.rate * (us - previous), bucket.cap)
+                pieces = _spend_pieces(pieces, bucket.cost)
+                previous = us
+            if done:
+                yield pd.DataFrame(done, columns=["client_id", "chunk", "pieces"])
+        if key is not None:
+            yield pd.DataFrame([row()], columns=["client_id", "chunk", "pieces"])
+
+    return run
+
+
+def _chain(bucket: Bucket):
+    """applyInPandas body over the chunk rows of one client run: start level of every chunk."""
+
+    def run(chunks: pd.DataFrame) -> pd.DataFrame:
+        chunks = chunks.sort_values("chunk")
+        starts, level, last = [], bucket.cap, None
+        for first_us, last_us, pieces in zip(chunks["first_us"], chunks["last_us"], chunks["pieces"]):
+            start = bucket.cap if last is None else bucket.refill(level, int(first_us) - last)
+            starts.append(start)
+            if pieces is not None:
+                level = apply_pieces([(p["lo"], p["hi"], p["moving"], p["value"]) for p in pieces], start)
+            last = int(last_us)
+        return pd.DataFrame({"client_id": chunks["client_id"], "chunk": chunks["chunk"], "start": starts})
+
+    return run
+
+
+def _replay(bucket: Bucket):
+    """mapInPandas body: sorted rows, a marker row with the start level in front of each chunk."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        level, previous = bucket.cap, None
+        for batch in batches:
+            verdicts, keep = [], []
+            starts = batch["start"].tolist()
+            for i, (turn, us) in enumerate(zip(batch["turn"].tolist(), batch["us"].tolist())):
+                if turn == 0:
+                    level, previous = int(starts[i]), None
+                    continue
+                if previous is not None:
+                    level = bucket.refill(level, us - previous)
+                previous = us
+                passed = level >= bucket.cost
+                if passed:
+                    level -= bucket.cost
+                verdicts.append(passed)
+                keep.append(i)
+            kept = batch.iloc[keep]
+            yield pd.DataFrame({
+                "client_id": kept["client_id"], "request_id": kept["request_id"], "us": kept["us"], "allowed": verdicts,
+            })
+
+    return run
+
+
+def rate_limit(requests: DataFrame, bucket: Bucket = Bucket.per_minute(), chunk_us: int = C.HOUR_US) -> DataFrame:
+    """Verdict per request: ``requests`` has client_id, request_id (bigint) and ts.
+
+    Equal instants of one client are taken in order of request_id.
+    """
+    us = F.unix_micros("ts")
+    rows = requests.select("client_id", floor_to(us, chunk_us).alias("chunk"), us.alias("us"), "request_id")
+    line = Window.partitionBy("client_id").orderBy("chunk")
+    refill_us = -(-bucket.cap // bucket.rate)
+    chunks = rows.groupBy("client_id", "chunk").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    pause_before = F.col("first_us") - F.lag("last_us").over(line)
+    pause_after = F.lead("first_us").over(line) - F.col("last_us")
+    chunks = chunks.select(
+        "*",
+        F.coalesce(pause_before >= refill_us, F.lit(True)).alias("starts_full"),
+        F.coalesce(pause_after < refill_us, F.lit(False)).alias("feeds_next"),
+    ).withColumn(
+        "run", F.sum(F.col("starts_full").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    )
+    feeding = rows.join(chunks.filter("feeds_next").select("client_id", "chunk"), ["client_id", "chunk"], "left_semi")
+    functions = (
+        feeding.repartition("client_id", "chunk").sortWithinPartitions("client_id", "chunk", "us", "request_id")
+        .select("client_id", "chunk", "us")
+        .mapInPandas(_functions(bucket), f"client_id string, chunk bigint, pieces {_PIECES}")
+    )
+    alone = F.col("starts_full") & ~F.col("feeds_next")
+    chained = (
+        chunks.filter(~alone).join(functions, ["client_id", "chunk"], "left")
+        .select("client_id", "run", "chunk", "first_us", "last_us", "pieces")
+        .groupBy("client_id", "run").applyInPandas(_chain(bucket), "client_id string, chunk bigint, start bigint")
+    )
+    starts = chunks.filter(alone).select("client_id", "chunk", F.lit(bucket.cap).cast("bigint").alias("start")).unionByName(chained)
+    marked = rows.withColumns({"turn": F.lit(1), "start": F.lit(None).cast("bigint")}).unionByName(
+        starts.select(
+            "client_id", "chunk", F.lit(None).cast("bigint").alias("us"), F.lit(None).cast("bigint").alias("request_id"),
+            F.lit(0).alias("turn"), "start",
+        )
+    ).fillna(0, ["us", "request_id", "start"])
+    return (
+        marked.repartition("client_id", "chunk").sortWithinPartitions("client_id", "chunk", "turn", "us", "request_id")
+        .select("client_id", "us", "request_id", "turn", "start")
+        .mapInPandas(_replay(bucket), "client_id string, request_id bigint, us bigint, allowed boolean")
+        .select("client_id", "request_id", F.timestamp_micros("us").alias("ts"), "allowed")
+    )
+
+
+def admission(load_depth: str = "depth", capacity: str = "capacity", threshold: float = C.REJECT_THRESHOLD, backpressure: bool = True):
+    """reject at the threshold, delay from four fifths of it, admit below or without backpressure."""
+    if not backpressure:
+        return F.lit("admit")
+    load = F.col(load_depth) / F.col(capacity)
+    return F.when(load >= threshold, "reject").when(load >= threshold * 0.8, "delay").otherwise("admit")
+
+
+def queue_admission(samples: DataFrame, threshold: float = C.REJECT_THRESHOLD, backpressure: bool = True) -> DataFrame:
+    return samples.withColumn("verdict", admission(threshold=threshold, backpressure=backpressure))
+
+
+def admission_summary(samples: DataFrame, window: str = "1 hour", **options) -> DataFrame:
+    judged = queue_admission(samples, **options)
+    return judged.groupBy(F.window("ts", window)["start"].alias("window_start"), "verdict").agg(
+        F.count(F.lit(1)).alias("samples"), F.max("depth").alias("max_depth")
+    )

@@ -8,9 +8,16 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlake import constants as C
+from feedlake.functions import dates
+from feedlake.operators import alerts as A
+from feedlake.operators import cadence, clients, dedupe, jobs, metrics, ratelimit, retention, screening
 from feedlake.operators import items as I
 from feedlake.operators import query as Q
 from feedlake.plans import derive as D
+from feedlake.session import work_dir
+from feedlake.sources import catalog, feeds, httplog
+from feedlake.sources import items as tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +57,167 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.items(spark, sf_dir).select("ingest_seq", "link", "content_hash")
 
 
+# --- sources and sinks --------------------------------------------------------------------------
+
+
+@query
+def feed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feeds of all documents, written as a JSON catalog and read back."""
+    docs = D.table(spark, sf_dir, "documents")
+    name = F.concat_ws(" ", "source", F.upper("lang"))
+    known = docs.select("source", "lang").distinct().select(
+        name.alias("name"), D.feed_url(F.col("source"), F.col("lang")).alias("url")
+    )
+    path = work_dir(spark, "catalog")
+    known.write.json(path)
+    return catalog.read_feed_catalog(spark, path, multi_line=False)
+
+
+@query
+def parse_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries, read back out of the RSS documents they were put in."""
+    parsed = feeds.parse_feed_documents(D.feed_documents(spark, sf_dir))
+    return I.normalize_items(parsed).select("feed_url", *ITEM)
+
+
+@query
+def scan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items written in the serving layout and scanned back."""
+    path = work_dir(spark, "items")
+    tables.write_items(D.items(spark, sf_dir), path)
+    return tables.scan_items(spark, path).select("feed_url", "link", "pub_date", "content_hash")
+
+
+@query
+def count_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys-only count over the serving layout."""
+    path = work_dir(spark, "items")
+    tables.write_items(D.items(spark, sf_dir), path)
+    return tables.scan_items(spark, path, keys_only=True).agg(F.count(F.lit(1)).alias("items"))
+
+
+@query
+def upsert_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after a full re-crawl."""
+    table = dedupe.upsert_items(D.store_items(spark, sf_dir), D.items(spark, sf_dir))
+    return table.select("link", "title", "author", "pub_date", "content_hash")
+
+
+@query
+def upsert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after a put without duplicate check: every link takes its incoming version."""
+    table = dedupe.upsert_items(D.store_items(spark, sf_dir), D.items(spark, sf_dir), dedupe=False)
+    return table.select("link", "title", "author", "pub_date", "content_hash")
+
+
+@query
+def upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.upsert_counts(D.store_items(spark, sf_dir), D.items(spark, sf_dir))
+
+
+@query
+def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.batch_plan(D.items(spark, sf_dir))
+
+
+@query
+def cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty-day retention on the serving layout."""
+    path, target = work_dir(spark, "items"), work_dir(spark, "kept")
+    tables.write_items(D.items(spark, sf_dir), path)
+    return tables.cleanup_items(spark, path, target, retention.cutoff(D.ITEMS_NOW))
+
+
+@query
+def read_http_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request log, written as JSON lines and read back."""
+    path = work_dir(spark, "httplog")
+    D.http_log(spark, sf_dir).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    log = httplog.read_http_log(spark, path)
+    return log.select(
+        "request_id", F.col("time").cast("timestamp_ntz").alias("time"), "method", "path", "query", "status", "duration_ms"
+    )
+
+
+# --- screening, identity, logs ------------------------------------------------------------------
+
+
+@query
+def screen_urls_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screening.screen_urls(D.url_samples(spark, sf_dir))
+
+
+@query
+def screen_urls_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screening.screen_urls(D.url_samples(spark, sf_dir), level="strict")
+
+
+@query
+def screening_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screening.screening_report(screening.screen_urls(D.url_samples(spark, sf_dir), level="strict"))
+
+
+@query
+def client_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clients.with_client_id(D.request_log(spark, sf_dir)).select("request_id", "client_id")
+
+
+@query
+def classify_http_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.classify_http_log(D.http_log(spark, sf_dir)).select(
+        "request_id", "status", "level", "message", "request_body", "response_body"
+    )
+
+
+@query
+def origin_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = screening.OriginPolicy(
+        development=(*C.DEVELOPMENT_ORIGINS, "*.wild.example"), allow_subdomains=True, domains=("partner.example",)
+    )
+    audit = screening.origin_audit(D.request_log(spark, sf_dir), policy)
+    return audit.select("request_id", "origin", "environment", "allowed")
+
+
+# --- filters and pages --------------------------------------------------------------------------
+
+
+@query
+def filter_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.filter_source(D.items(spark, sf_dir), "https://src1").select("link", "author", "pub_date")
+
+
+@query
+def filter_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.filter_author(D.items(spark, sf_dir), "Unknown").select("link", "author", "pub_date")
+
+
+@query
+def filter_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Q.filter_dates(D.items(spark, sf_dir), "2024-06-01T00:00:00+02:00", "2024-06-30T23:00:00Z")
+    return found.select("link", "author", "pub_date")
+
+
+@query
+def filter_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.filter_keyword(D.items(spark, sf_dir), "The").select("link", "author", "pub_date")
+
+
+@query
+def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.page_items(D.items(spark, sf_dir), Q.PageRequest(limit=-1, offset=30)).select(*ITEM)
+
+
+@query
+def latest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.latest_items(D.items(spark, sf_dir)).select(*ITEM)
+
+
+@query
+def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = Q.keyset_page(D.items(spark, sf_dir), "2024-06-30T12:00:00Z", "https://src2")
+    return page.select("link", "pub_date")
+
+
 @query
 def items_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = Q.ItemFilter(
@@ -57,3 +225,208 @@ def items_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     page = Q.items_page(D.items(spark, sf_dir), wanted, Q.PageRequest(limit=50, cursor="offset:20"))
     return page.withColumn("items", F.to_json("items"))
+
+
+@query
+def items_page_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = Q.ItemFilter(source="https://src", keyword="the")
+    page = Q.items_page(D.items(spark, sf_dir), wanted, Q.PageRequest(limit=40, offset=10), keyword_mode="pre_page")
+    return page.withColumn("items", F.to_json("items"))
+
+
+# --- duplicates ---------------------------------------------------------------------------------
+
+
+@query
+def existing_by_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedupe.existing_by_link(D.items(spark, sf_dir), D.store_items(spark, sf_dir))
+    return found.select(
+        "link", "content_hash", F.col("stored.title").alias("stored_title"),
+        F.col("stored.content_hash").alias("stored_hash"),
+    )
+
+
+@query
+def drop_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fresh = dedupe.drop_known(D.items(spark, sf_dir), D.store_items(spark, sf_dir))
+    return fresh.select("ingest_seq", "link", "content_hash")
+
+
+@query
+def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.duplicate_pairs(I.normalize_items(D.raw_items(spark, sf_dir)))
+
+
+@query
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.duplicate_groups(I.normalize_items(D.raw_items(spark, sf_dir)))
+
+
+# --- statistics and cadence -----------------------------------------------------------------------
+
+
+@query
+def age_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.age_buckets(D.items(spark, sf_dir), D.ITEMS_NOW)
+
+
+@query
+def update_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cadence.update_interval(D.items(spark, sf_dir))
+
+
+def _all_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = D.table(spark, sf_dir, "documents")
+    return docs.select(D.feed_url(F.col("source"), F.col("lang")).alias("feed_url")).distinct()
+
+
+@query
+def adaptive_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cadence.adaptive_ttl(D.items(spark, sf_dir), _all_feeds(spark, sf_dir))
+
+
+def _fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Successful fetches with the time they run out, by the cadence of their feed."""
+    ttl = cadence.adaptive_ttl(D.items(spark, sf_dir)).select("feed_url", "ttl_us")
+    good = D.fetch_log(spark, sf_dir).filter("status = 'success'").join(ttl, "feed_url", "left")
+    keep = F.coalesce("ttl_us", F.lit(C.TTL_DEFAULT_US))
+    return good.select(
+        "feed_url", F.col("ts").alias("fetched_at"), F.timestamp_micros(F.unix_micros("ts") + keep).alias("expires_at")
+    )
+
+
+@query
+def freshness_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = D.fetch_log(spark, sf_dir).select("feed_url", "ts", "event_id", "force_refresh")
+    seen = cadence.freshness_asof(asked, _fetches(spark, sf_dir), bucket_us=C.DAY_US)
+    return seen.select("event_id", "feed_url", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"), "verdict")
+
+
+@query
+def refresh_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ttl = cadence.adaptive_ttl(D.items(spark, sf_dir)).select("feed_url", "ttl_us")
+    at = F.timestamp_micros(F.lit(dates.instant_us("2024-01-30T12:00:00Z")))
+    fetches = D.fetch_log(spark, sf_dir).filter("status = 'success'").filter(F.col("ts") < at)
+    plan = cadence.refresh_plan(
+        _all_feeds(spark, sf_dir), fetches.select("feed_url", F.col("ts").alias("fetched_at")), ttl, at,
+        forced=F.col("feed_url").startswith("https://src3."),
+    )
+    return plan.withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
+
+
+# --- metrics ----------------------------------------------------------------------------------------
+
+
+def _logs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    return (
+        D.fetch_log(spark, sf_dir).withColumnRenamed("feed_url", "url"),
+        D.job_log(spark, sf_dir),
+        D.store_log(spark, sf_dir),
+        D.http_log(spark, sf_dir).withColumnRenamed("path", "endpoint"),
+    )
+
+
+@query
+def counter_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.service_counters(*_logs(spark, sf_dir))
+
+
+@query
+def hit_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.hit_ratio(D.fetch_log(spark, sf_dir))
+
+
+@query
+def histogram_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.service_histograms(*_logs(spark, sf_dir))
+
+
+@query
+def gauge_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queue depth and running jobs, sampled each minute in which they changed; the last reading."""
+    log = D.job_log(spark, sf_dir)
+    status = F.col("status")
+    queued = log.select("ts", F.when(status == "pending", 1).when(status == "processing", -1).otherwise(0).alias("delta"))
+    running = log.select("ts", F.when(status == "processing", 1).when(status == "pending", 0).otherwise(-1).alias("delta"))
+    samples = metrics.running_level(queued).withColumn("name", F.lit(C.QUEUE_SIZE)).unionByName(
+        metrics.running_level(running).withColumn("name", F.lit(C.ACTIVE_WORKERS))
+    )
+    last = metrics.gauge_last(samples)
+    return last.select("name", "value", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query
+def queue_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queue depth at the end of every minute in which jobs were queued or taken."""
+    status = F.col("status")
+    log = D.job_log(spark, sf_dir).filter(status.isin("pending", "processing"))
+    levels = metrics.running_level(log.select("ts", F.when(status == "pending", 1).otherwise(-1).alias("delta")))
+    return levels.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+
+
+@query
+def success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = metrics.success_rate(D.fetch_log(spark, sf_dir))
+    return rate.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# --- state ------------------------------------------------------------------------------------------
+
+JOB_TIMES = ("created_at", "started_at_derived", "completed_at")
+
+
+def _ntz(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n in names})
+
+
+@query
+def job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ntz(jobs.job_state(D.job_log(spark, sf_dir)), *JOB_TIMES)
+
+
+@query
+def job_state_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = jobs.job_state(D.job_log(spark, sf_dir))
+    return _ntz(jobs.drop_old_jobs(state, dates.instant(D.LOGS_NOW)), *JOB_TIMES)
+
+
+def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = A.metric_windows(D.fetch_log(spark, sf_dir), D.queue_samples(spark, sf_dir), D.store_log(spark, sf_dir))
+    return A.alert_episodes(windows, A.default_rules(store_errors=0))
+
+
+def _flat_alerts(episodes: DataFrame) -> DataFrame:
+    labels = F.array_join(F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return _ntz(episodes.withColumn("labels", labels), "started_at", "resolved_at")
+
+
+@query
+def alert_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_alerts(_episodes(spark, sf_dir))
+
+
+@query
+def active_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_alerts(A.active_alerts(_episodes(spark, sf_dir), dates.instant("2024-01-15T12:00:00Z")))
+
+
+HALF_DAY_BUCKET = ratelimit.Bucket(rate=1, cost=12 * C.HOUR_US, cap=24 * C.HOUR_US)
+
+
+@query
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per 12 hours, burst 2, over the whole request log."""
+    asked = clients.with_client_id(D.request_log(spark, sf_dir))
+    judged = ratelimit.rate_limit(asked, HALF_DAY_BUCKET, chunk_us=7 * C.DAY_US)
+    return judged.select("client_id", "request_id", "allowed")
+
+
+@query
+def client_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = clients.client_sessions(clients.with_client_id(D.request_log(spark, sf_dir)))
+    return _ntz(sessions, "session_start", "last_seen", "session_end")
+
+
+@query
+def queue_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ntz(ratelimit.admission_summary(D.queue_samples(spark, sf_dir)), "window_start")
