@@ -45,10 +45,14 @@ def drop_known(incoming: DataFrame, store: DataFrame, seq: str = "ingest_seq") -
     return incoming.join(witnesses, "content_hash", "left").filter(~known).select(*incoming.columns)
 
 
+def last_per(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The last row per key.  ``row_number = 1`` lets Spark cut each task's copies before the shuffle."""
+    latest = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
+    return rows.withColumn("_rank", F.row_number().over(latest)).filter("_rank = 1").drop("_rank")
+
+
 def last_per_link(items: DataFrame, *order: str) -> DataFrame:
-    """The last row per link.  ``row_number = 1`` lets Spark cut each task's copies before the shuffle."""
-    latest = Window.partitionBy("link").orderBy(*(F.col(c).desc() for c in order))
-    return items.withColumn("_rank", F.row_number().over(latest)).filter("_rank = 1").drop("_rank")
+    return last_per(items, ["link"], *order)
 
 
 def upsert_items(

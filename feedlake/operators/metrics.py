@@ -53,11 +53,18 @@ def hit_ratio(fetches: DataFrame) -> DataFrame:
 
 
 def histogram_rollup(
-    events: DataFrame, metric: str, value: str, labels: Sequence[str], bounds: Sequence[float] = C.DURATION_BOUNDS
+    events: DataFrame, metric: str, value: str, labels: Sequence[str],
+    bounds: Sequence[float] = C.DURATION_BOUNDS, window: str | None = None,
 ) -> DataFrame:
-    """Cumulative ``le`` buckets with sum and count per label set; negative values are not observed."""
+    """Cumulative ``le`` buckets with sum and count per label set (and per tumbling window of ``ts``);
+    negative values are not observed."""
     v = F.col(value)
-    sums = events.filter(v >= 0).groupBy(*labels).agg(
+    keys = [F.col(n) for n in labels]
+    extra = []
+    if window:
+        keys.append(F.window("ts", window)["start"].alias("window_start"))
+        extra = ["window_start"]
+    sums = events.filter(v >= 0).groupBy(*keys).agg(
         F.sum(v.cast("double")).alias("sum"), F.count(F.lit(1)).alias("count"),
         *(F.count_if(v <= b).alias(f"b{i}") for i, b in enumerate(bounds)),
     )
@@ -66,9 +73,9 @@ def histogram_rollup(
         F.struct(F.lit("+Inf").alias("le"), F.col("count").alias("value")),
     )
     return sums.select(
-        F.lit(metric).alias("metric"), labels_text(labels).alias("labels"),
+        F.lit(metric).alias("metric"), labels_text(labels).alias("labels"), *extra,
         F.round("sum", 6).alias("sum"), "count", F.explode(steps).alias("s"),
-    ).select("metric", "labels", "sum", "count", "s.le", F.col("s.value").alias("bucket"))
+    ).select("metric", "labels", *extra, "sum", "count", "s.le", F.col("s.value").alias("bucket"))
 
 
 def service_histograms(fetches: DataFrame, jobs: DataFrame, store_ops: DataFrame, http: DataFrame) -> DataFrame:

@@ -138,18 +138,22 @@ def _functions(bucket: Bucket):
 
 
 def _chain(bucket: Bucket):
-    """applyInPandas body over the chunk rows of one client run: start level of every chunk."""
+    """applyInPandas body over the chunk rows of one client run: level at both ends of every chunk."""
 
     def run(chunks: pd.DataFrame) -> pd.DataFrame:
         chunks = chunks.sort_values("chunk")
-        starts, level, last = [], bucket.cap, None
+        starts, ends, level, last = [], [], bucket.cap, None
         for first_us, last_us, pieces in zip(chunks["first_us"], chunks["last_us"], chunks["pieces"]):
             start = bucket.cap if last is None else bucket.refill(level, int(first_us) - last)
-            starts.append(start)
             if pieces is not None:
                 level = apply_pieces([(p["lo"], p["hi"], p["moving"], p["value"]) for p in pieces], start)
-            last = int(last_us)
-        return pd.DataFrame({"client_id": chunks["client_id"], "chunk": chunks["chunk"], "start": starts})
+            starts.append(start)
+            ends.append(level)
+            last = int(last_us) if last is None else max(last, int(last_us))
+        return pd.DataFrame({
+            "client_id": chunks["client_id"], "chunk": chunks["chunk"], "start": starts, "end": ends,
+            "last_us": chunks["last_us"],
+        })
 
     return run
 
@@ -182,22 +186,31 @@ def _replay(bucket: Bucket):
     return run
 
 
-def rate_limit(requests: DataFrame, bucket: Bucket = Bucket.per_minute(), chunk_us: int = C.HOUR_US) -> DataFrame:
-    """Verdict per request: ``requests`` has client_id, request_id (bigint) and ts.
+LEVELS = "client_id string, level bigint, last_us bigint"
+_BEFORE_ALL = -(1 << 62)
 
-    Equal instants of one client are taken in order of request_id.
-    """
+
+def _rows(requests: DataFrame, chunk_us: int) -> DataFrame:
     us = F.unix_micros("ts")
-    rows = requests.select("client_id", floor_to(us, chunk_us).alias("chunk"), us.alias("us"), "request_id")
+    return requests.select("client_id", floor_to(us, chunk_us).alias("chunk"), us.alias("us"), "request_id")
+
+
+def _chunk_levels(rows: DataFrame, bucket: Bucket, initial: DataFrame | None, to_the_end: bool) -> DataFrame:
+    """Per chunk: client_id, chunk, start and end level, last_us (end only where it was needed)."""
+    chunks = rows.groupBy("client_id", "chunk").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    if initial is not None:
+        # a known level acts as one more chunk in front, whose level function is constant
+        chunks = chunks.unionByName(initial.select(
+            "client_id", F.lit(_BEFORE_ALL).alias("chunk"), F.col("last_us").alias("first_us"), "last_us",
+        ))
     line = Window.partitionBy("client_id").orderBy("chunk")
     refill_us = -(-bucket.cap // bucket.rate)
-    chunks = rows.groupBy("client_id", "chunk").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
-    pause_before = F.col("first_us") - F.lag("last_us").over(line)
+    pause_before = F.col("first_us") - F.max("last_us").over(line.rowsBetween(Window.unboundedPreceding, -1))
     pause_after = F.lead("first_us").over(line) - F.col("last_us")
     chunks = chunks.select(
         "*",
         F.coalesce(pause_before >= refill_us, F.lit(True)).alias("starts_full"),
-        F.coalesce(pause_after < refill_us, F.lit(False)).alias("feeds_next"),
+        F.coalesce(pause_after < refill_us, F.lit(to_the_end)).alias("feeds_next"),
     ).withColumn(
         "run", F.sum(F.col("starts_full").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
@@ -207,18 +220,39 @@ def rate_limit(requests: DataFrame, bucket: Bucket = Bucket.per_minute(), chunk_
         .select("client_id", "chunk", "us")
         .mapInPandas(_functions(bucket), f"client_id string, chunk bigint, pieces {_PIECES}")
     )
+    if initial is not None:
+        constant = F.array(F.struct(
+            F.lit(0).cast("bigint").alias("lo"), F.lit(bucket.cap).cast("bigint").alias("hi"),
+            F.lit(False).alias("moving"), F.col("level").alias("value"),
+        ))
+        functions = functions.unionByName(
+            initial.select("client_id", F.lit(_BEFORE_ALL).alias("chunk"), constant.alias("pieces"))
+        )
     alone = F.col("starts_full") & ~F.col("feeds_next")
     chained = (
         chunks.filter(~alone).join(functions, ["client_id", "chunk"], "left")
         .select("client_id", "run", "chunk", "first_us", "last_us", "pieces")
-        .groupBy("client_id", "run").applyInPandas(_chain(bucket), "client_id string, chunk bigint, start bigint")
+        .groupBy("client_id", "run")
+        .applyInPandas(_chain(bucket), "client_id string, chunk bigint, start bigint, end bigint, last_us bigint")
     )
-    starts = chunks.filter(alone).select("client_id", "chunk", F.lit(bucket.cap).cast("bigint").alias("start")).unionByName(chained)
-    marked = rows.withColumns({"turn": F.lit(1), "start": F.lit(None).cast("bigint")}).unionByName(
-        starts.select(
-            "client_id", "chunk", F.lit(None).cast("bigint").alias("us"), F.lit(None).cast("bigint").alias("request_id"),
-            F.lit(0).alias("turn"), "start",
-        )
+    full = F.lit(bucket.cap).cast("bigint")
+    single = chunks.filter(alone).select("client_id", "chunk", full.alias("start"), F.lit(None).cast("bigint").alias("end"), "last_us")
+    return single.unionByName(chained)
+
+
+def rate_limit(
+    requests: DataFrame, bucket: Bucket = Bucket.per_minute(), chunk_us: int = C.HOUR_US, initial: DataFrame | None = None
+) -> DataFrame:
+    """Verdict per request: ``requests`` has client_id, request_id (bigint) and ts.
+
+    Equal instants of one client are taken in order of request_id.  ``initial`` (client_id, level,
+    last_us) carries levels over from an earlier part of the log; clients not in it start full.
+    """
+    rows = _rows(requests, chunk_us)
+    starts = _chunk_levels(rows, bucket, initial, to_the_end=False).filter(F.col("chunk") > _BEFORE_ALL)
+    null = F.lit(None).cast("bigint")
+    marked = rows.withColumns({"turn": F.lit(1), "start": null}).unionByName(
+        starts.select("client_id", "chunk", null.alias("us"), null.alias("request_id"), F.lit(0).alias("turn"), "start")
     ).fillna(0, ["us", "request_id", "start"])
     return (
         marked.repartition("client_id", "chunk").sortWithinPartitions("client_id", "chunk", "turn", "us", "request_id")
@@ -228,6 +262,17 @@ def rate_limit(requests: DataFrame, bucket: Bucket = Bucket.per_minute(), chunk_
     )
 
 
+def final_levels(
+    requests: DataFrame, bucket: Bucket = Bucket.per_minute(), chunk_us: int = C.HOUR_US, initial: DataFrame | None = None
+) -> DataFrame:
+    """Level per client after the last request, in the form ``initial`` takes."""
+    levels = _chunk_levels(_rows(requests, chunk_us), bucket, initial, to_the_end=True)
+    newest = F.max(F.struct("chunk", "end"))
+    return levels.groupBy("client_id").agg(newest.alias("n"), F.max("last_us").alias("last_us")).select(
+        "client_id", F.col("n.end").alias("level"), "last_us"
+    )
+
+
 def admission(load_depth: str = "depth", capacity: str = "capacity", threshold: float = C.REJECT_THRESHOLD, backpressure: bool = True):
     """reject at the threshold, delay from four fifths of it, admit below or without backpressure."""
     if not backpressure:

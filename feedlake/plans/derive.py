@@ -40,8 +40,11 @@ def _published(doc: Column, t: Column) -> Column:
 
 
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_items_from(table(spark, sf_dir, "documents"))
+
+
+def raw_items_from(docs: DataFrame) -> DataFrame:
     """One raw entry per document."""
-    docs = table(spark, sf_dir, "documents")
     doc = F.col("doc_id")
     step = F.when(F.expr("cast(substr(source, 4) as int) % 3 = 0"), 1).when(
         F.expr("cast(substr(source, 4) as int) % 3 = 1"), 30
@@ -90,18 +93,11 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     of all entries is spread over many documents.
     """
     raw = raw_items(spark, sf_dir)
-    def tag(name: str, col: Column) -> Column:
-        return F.concat(F.lit(f"<{name}>"), _xml(col), F.lit(f"</{name}>"))
-    author = F.coalesce(F.concat(F.lit("<author><name>"), _xml(F.col("author")), F.lit("</name></author>")), F.lit(""))
-    entry = F.concat(
-        F.lit("<item>"), tag("title", F.col("title")), tag("link", F.col("link")),
-        tag("description", F.col("description")), author, tag("pubDate", F.col("published")), F.lit("</item>"),
-    )
     capture = F.floor(F.col("ingest_seq") / ENTRIES_PER_CAPTURE)
     grouped = raw.groupBy("feed_url", capture.alias("capture")).agg(
         F.array_join(
             F.transform(
-                F.sort_array(F.collect_list(F.struct(F.col("ingest_seq"), entry.alias("entry")))),
+                F.sort_array(F.collect_list(F.struct(F.col("ingest_seq"), _entry().alias("entry")))),
                 lambda e: e["entry"],
             ), "",
         ).alias("entries")
@@ -109,13 +105,38 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(
         "feed_url",
         F.timestamp_seconds(F.lit(1_719_792_000) + F.col("capture")).alias("fetched_at"),
-        F.concat(F.lit('<rss version="2.0"><channel>'), "entries", F.lit("</channel></rss>")).alias("body"),
+        F.concat(F.lit(_OPEN), "entries", F.lit(_CLOSE)).alias("body"),
+    )
+
+
+def single_entry_documents(raw: DataFrame) -> DataFrame:
+    """RSS captures of one entry each (narrow, so it also works on a stream)."""
+    body = F.concat(F.lit(_OPEN), _entry(), F.lit(_CLOSE))
+    return raw.select("feed_url", "ingest_seq", body.alias("body"))
+
+
+_OPEN, _CLOSE = '<rss version="2.0"><channel>', "</channel></rss>"
+
+
+def _entry() -> Column:
+    def tag(name: str, col: Column) -> Column:
+        return F.concat(F.lit(f"<{name}>"), _xml(col), F.lit(f"</{name}>"))
+
+    author = F.concat(F.lit("<author><name>"), _xml(F.col("author")), F.lit("</name></author>"))
+    return F.concat(
+        F.lit("<item>"), tag("title", F.col("title")), tag("link", F.col("link")),
+        tag("description", F.col("description")), F.coalesce(author, F.lit("")),
+        tag("pubDate", F.col("published")), F.lit("</item>"),
     )
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_events(table(spark, sf_dir, "events"))
+
+
+def read_events(raw: DataFrame) -> DataFrame:
     """Events with ``ts`` as an instant and ``k`` out of the props text."""
-    return table(spark, sf_dir, "events").select(
+    return raw.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )

@@ -422,8 +422,8 @@ SQL["job_state"] = _with("select * from job_states", "job_states")
 SQL["job_state_ttl"] = _with("select * from job_states where created_at >= timestamp '2024-01-30'", "job_states")
 SQL["alert_episodes"] = _with("select * from episodes", "episodes")
 SQL["active_alerts"] = _with(
-    "select * from episodes where started_at <= timestamp '2024-01-15 12:00:00' "
-    "and (resolved_at is null or resolved_at > timestamp '2024-01-15 12:00:00')", "episodes")
+    "select * from episodes where started_at <= timestamp '2024-01-18' "
+    "and (resolved_at is null or resolved_at > timestamp '2024-01-18')", "episodes")
 SQL["rate_limit"] = _with("""
 select client_id, request_id, allowed from walk""", "clients", local="""
 line as (select client_id, request_id, epoch_us(ts) as us, row_number() over (partition by client_id order by ts, request_id) as n from clients),
@@ -444,3 +444,25 @@ select date_trunc('hour', ts) as window_start,
   case when depth / capacity >= 0.8::double then 'reject' when depth / capacity >= 0.8::double * 0.8::double then 'delay' else 'admit' end as verdict,
   count(*) as samples, max(depth) as max_depth
 from queue_samples group by 1, 2""", "queue_samples")
+
+# --- streams: the same answers as their batch forms --------------------------------------------------
+SQL["stream_counter_rollup"] = _with("""
+select 'rss_http_requests_total' as metric, 'method=' || method || ',endpoint=' || path || ',status=' || status as labels,
+  date_trunc('hour', time) as window_start, count(*) as value from http_log group by 2, 3""", "http_log")
+SQL["stream_histogram_rollup"] = _with(f"""
+select 'rss_feed_fetch_duration_seconds' as metric, labels, window_start, round(sum(v), 6) as sum, count(*) as count, le,
+  count(*) filter (v <= bound) as bucket
+from (select 'status=' || status as labels, date_trunc('day', ts)::timestamp as window_start, duration_s as v from fetch_log),
+  (values {", ".join(f"('{b}', {b}::double)" for b in DURATION_BOUNDS)}, ('+Inf', 'infinity'::double)) b(le, bound)
+group by labels, window_start, le""", "fetch_log")
+SQL["stream_http_log"] = SQL["classify_http_log"]
+SQL["stream_job_state"] = SQL["job_state"]
+SQL["stream_job_state_ttl"] = _with(
+    "select * from job_states where created_at >= (select max(ts) from job_log) - interval 1 day", "job_states")
+SQL["stream_rate_limit"] = SQL["rate_limit"]
+SQL["stream_client_sessions"] = (
+    "select * from (" + SQL["client_sessions"] + ") where session_end + interval 1 microsecond <= (select max(ts) from events) - interval 1 minute")
+SQL["stream_ingest"] = SQL["upsert_items"]
+SQL["stream_ingest_report"] = _with("""
+select count(*) as entries, count(*) filter (len(errors) > 0) as invalid, (select count(*) from fresh) as new,
+  count(*) filter (len(errors) = 0) - (select count(*) from fresh) as duplicates from checked_items""", "fresh", "checked_items")

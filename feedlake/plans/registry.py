@@ -15,9 +15,13 @@ from feedlake.operators import cadence, clients, dedupe, jobs, metrics, ratelimi
 from feedlake.operators import items as I
 from feedlake.operators import query as Q
 from feedlake.plans import derive as D
+from feedlake.schemas import ITEM as ITEM_SCHEMA
 from feedlake.session import work_dir
 from feedlake.sources import catalog, feeds, httplog
 from feedlake.sources import items as tables
+from feedlake.streaming import ingest, limits, rollups
+from feedlake.streaming import jobs as stream_jobs
+from feedlake.streaming import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -407,7 +411,7 @@ def alert_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def active_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat_alerts(A.active_alerts(_episodes(spark, sf_dir), dates.instant("2024-01-15T12:00:00Z")))
+    return _flat_alerts(A.active_alerts(_episodes(spark, sf_dir), dates.instant("2024-01-18T00:00:00Z")))
 
 
 HALF_DAY_BUCKET = ratelimit.Bucket(rate=1, cost=12 * C.HOUR_US, cap=24 * C.HOUR_US)
@@ -430,3 +434,116 @@ def client_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def queue_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(ratelimit.admission_summary(D.queue_samples(spark, sf_dir)), "window_start")
+
+
+# --- streams: each runs off what is there, and has a batch form above --------------------------------
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = D.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.read_events(_stream(spark, sf_dir, "events"))
+
+
+def _run(stream: DataFrame, each, folder: str, mode: str = "append") -> int:
+    running = S.start(stream, each, f"{folder}/checkpoint", mode)
+    running.awaitTermination()
+    return S.newest_batch(running)
+
+
+@query
+def stream_counter_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTTP request counters per hour."""
+    folder = work_dir(spark, "counters")
+    log = D.http_log_from(_event_stream(spark, sf_dir)).withColumnsRenamed({"path": "endpoint", "time": "ts"})
+    counted = rollups.stream_counters(log, C.HTTP_TOTAL, ["method", "endpoint", "status"])
+    _run(counted, S.append_changes(f"{folder}/out"), folder, "update")
+    latest = S.read_latest(spark, f"{folder}/out", counted.schema, ["metric", "labels", "window_start"])
+    return _ntz(latest, "window_start")
+
+
+@query
+def stream_histogram_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch duration histograms per day and status."""
+    folder = work_dir(spark, "histograms")
+    log = D.fetch_log_from(_event_stream(spark, sf_dir))
+    built = rollups.stream_histograms(log, C.FEED_FETCH_SECONDS, "duration_s", ["status"], window="1 day")
+    _run(built, S.append_changes(f"{folder}/out"), folder, "update")
+    latest = S.read_latest(spark, f"{folder}/out", built.schema, ["metric", "labels", "window_start", "le"])
+    return _ntz(latest, "window_start")
+
+
+@query
+def stream_http_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON request log read as a stream and classified."""
+    folder = work_dir(spark, "httpstream")
+    D.http_log(spark, sf_dir).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{folder}/in")
+    judged = metrics.classify_http_log(httplog.read_http_log(spark, f"{folder}/in", streaming=True))
+    _run(judged, S.append_changes(f"{folder}/out"), folder)
+    out = S.read_changes(spark, f"{folder}/out", judged.schema)
+    return out.select("request_id", "status", "level", "message", "request_body", "response_body")
+
+
+@query
+def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "jobs")
+    states = stream_jobs.stream_states(D.job_log_from(_event_stream(spark, sf_dir)))
+    _run(states, S.append_changes(f"{folder}/out"), folder, "update")
+    latest = S.read_latest(spark, f"{folder}/out", states.schema, ["job_id"])
+    return _ntz(jobs.shape_state(latest), *JOB_TIMES)
+
+
+@query
+def stream_job_state_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of jobs submitted within a day of the newest event."""
+    folder = work_dir(spark, "jobs-ttl")
+    log = D.job_log_from(_event_stream(spark, sf_dir))
+    last = _run(log, stream_jobs.merge_with_ttl(f"{folder}/out"), folder)
+    kept = S.read_version(spark, f"{folder}/out", last, jobs.event_states(log).schema)
+    return _ntz(jobs.shape_state(kept), *JOB_TIMES)
+
+
+@query
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "limits")
+    asked = clients.with_client_id(D.request_log_from(_event_stream(spark, sf_dir))).select("client_id", "request_id", "ts")
+    _run(asked, limits.limit_batches(f"{folder}/out", HALF_DAY_BUCKET, chunk_us=7 * C.DAY_US), folder)
+    return spark.read.parquet(f"{folder}/out/verdicts").select("client_id", "request_id", "allowed")
+
+
+@query
+def stream_client_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions closed by the watermark."""
+    folder = work_dir(spark, "sessions")
+    asked = clients.with_client_id(D.request_log_from(_event_stream(spark, sf_dir)))
+    closed = limits.stream_sessions(asked)
+    _run(closed, S.append_changes(f"{folder}/out"), folder)
+    out = S.read_changes(spark, f"{folder}/out", closed.schema).drop("batch_id")
+    return _ntz(out, "session_start", "last_seen", "session_end")
+
+
+def _ingest(spark: SparkSession, sf_dir: str) -> str:
+    """The store as batch 0 of a landing log, then all documents streamed in on top."""
+    folder = work_dir(spark, "ingest")
+    tables.append_batch(D.store_items(spark, sf_dir).select(*ITEM_SCHEMA.fieldNames()), f"{folder}/landing", 0)
+    documents = D.single_entry_documents(D.raw_items_from(_stream(spark, sf_dir, "documents")))
+    _run(ingest.entries(documents), ingest.ingest_batches(f"{folder}/landing", f"{folder}/report", first_batch=1), folder)
+    return folder
+
+
+@query
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _ingest(spark, sf_dir)
+    return tables.read_landed_items(spark, f"{folder}/landing").select(
+        "link", "title", "author", "pub_date", "content_hash"
+    )
+
+
+@query
+def stream_ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries, invalid, new and duplicate items over all batches."""
+    report = spark.read.parquet(f"{_ingest(spark, sf_dir)}/report")
+    return report.agg(*(F.sum(c).alias(c) for c in ("entries", "invalid", "new", "duplicates")))

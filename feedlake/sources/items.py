@@ -26,7 +26,7 @@ def append_batch(batch: DataFrame, path: str, batch_id: int) -> None:
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    schema = ITEM.fromJson(ITEM.jsonValue()).add("batch_id", "bigint")
+    schema = ITEM.fromJson(ITEM.jsonValue()).add("batch_id", "long")
     return spark.read.schema(schema).parquet(path)
 
 

@@ -1,0 +1,49 @@
+"""Rate limiting and sessions over a stream of requests."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from feedlake import constants as C
+from feedlake.operators.ratelimit import LEVELS, Bucket, final_levels, rate_limit
+from feedlake.streaming.tables import read_version, version_path
+
+
+def limit_batches(path: str, bucket: Bucket, chunk_us: int = C.HOUR_US) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body: verdicts under ``path/verdicts``, levels under ``path/levels``.
+
+    Within a batch the work is split by client and time chunk like the batch job, so one busy client
+    does not hold up a task.  A level is only remembered while it matters: a client quiet for longer
+    than a full refill starts full again, so the state holds recent clients only.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        levels = read_version(spark, f"{path}/levels", batch_id - 1, LEVELS)
+        verdicts = rate_limit(batch, bucket, chunk_us, levels)
+        verdicts.write.mode("overwrite").parquet(f"{path}/verdicts/batch_id={batch_id}")
+        refill_us = -(-bucket.cap // bucket.rate)
+        after = final_levels(batch, bucket, chunk_us, levels)
+        newest = after.agg(F.max("last_us").alias("us")).scalar()
+        after.filter(F.col("last_us") > newest - refill_us).write.mode("overwrite").parquet(
+            version_path(f"{path}/levels", batch_id)
+        )
+
+    return each
+
+
+def stream_sessions(requests: DataFrame, idle_us: int = C.CLIENT_IDLE_US, delay: str = "1 minute") -> DataFrame:
+    """Closed client sessions (append mode).  ``session_window`` ends a session at a gap equal to its
+    length, the limit here is *more than* the idle time, hence one microsecond on top."""
+    gap = F.session_window("ts", f"{idle_us + 1} microseconds")
+    return (
+        requests.withWatermark("ts", delay).groupBy("client_id", gap.alias("w"))
+        .agg(F.min("ts").alias("session_start"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("requests"))
+        .select(
+            "client_id", "session_start", "last_seen",
+            F.timestamp_micros(F.unix_micros("last_seen") + idle_us).alias("session_end"), "requests",
+        )
+    )
