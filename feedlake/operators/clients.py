@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +21,8 @@ def client_key() -> Column:
     ip = F.coalesce(
         trim_space(F.substring_index(_given("x_forwarded_for"), ",", 1)), _given("x_real_ip"), F.col("remote_addr")
     )
-    agent = F.nullif(F.substring_index(
-        F.regexp_replace(F.lower(trim_space(F.col("user_agent"))), r"\s+", " "), " ", 1
-    ), F.lit(""))
+    word = "[^" + re.escape(C.WHITE_SPACE) + "]+"
+    agent = F.nullif(F.lower(F.regexp_extract("user_agent", word, 0)), F.lit(""))
     language = F.lower(trim_space(F.left(_given("accept_language"), F.lit(2))))
     session = F.left(F.sha2(_given("session_id"), 256), F.lit(8))
     parts = F.concat_ws(

@@ -99,14 +99,20 @@ def level_function(times: Iterator[int], bucket: Bucket) -> list[Piece]:
     return pieces
 
 
-def apply_pieces(pieces, level: int) -> int:
+def apply_pieces(pieces: list[Piece], level: int) -> int:
     for lo, hi, moving, value in pieces:
         if lo <= level <= hi:
             return level + value if moving else value
     raise ValueError("level outside the bucket")
 
 
-_PIECES = "array<struct<lo:bigint,hi:bigint,moving:boolean,value:bigint>>"
+def pack(pieces: list[Piece]) -> list[int]:
+    return [int(x) for piece in pieces for x in piece]
+
+
+def unpack(flat) -> list[Piece]:
+    values = [int(x) for x in flat]
+    return [(values[i], values[i + 1], bool(values[i + 2]), values[i + 3]) for i in range(0, len(values), 4)]
 
 
 def _functions(bucket: Bucket):
@@ -114,16 +120,12 @@ def _functions(bucket: Bucket):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, pieces, previous = None, None, None
-
-        def row():
-            return (*key, [dict(zip(("lo", "hi", "moving", "value"), p)) for p in pieces])
-
         for batch in batches:
             done = []
             for client, chunk, us in zip(batch["client_id"].tolist(), batch["chunk"].tolist(), batch["us"].tolist()):
                 if (client, chunk) != key:
                     if key is not None:
-                        done.append(row())
+                        done.append((*key, pack(pieces)))
                     key, pieces = (client, chunk), [(0, bucket.cap, True, 0)]
                 else:
                     pieces = _refill_pieces(pieces, bucket.rate * (us - previous), bucket.cap)
@@ -132,28 +134,28 @@ def _functions(bucket: Bucket):
             if done:
                 yield pd.DataFrame(done, columns=["client_id", "chunk", "pieces"])
         if key is not None:
-            yield pd.DataFrame([row()], columns=["client_id", "chunk", "pieces"])
+            yield pd.DataFrame([(*key, pack(pieces))], columns=["client_id", "chunk", "pieces"])
 
     return run
 
 
 def _chain(bucket: Bucket):
-    """applyInPandas body over the chunk rows of one client run: level at both ends of every chunk."""
-
-    def run(chunks: pd.DataFrame) -> pd.DataFrame:
-        chunks = chunks.sort_values("chunk")
-        starts, ends, level, last = [], [], bucket.cap, None
-        for first_us, last_us, pieces in zip(chunks["first_us"], chunks["last_us"], chunks["pieces"]):
-            start = bucket.cap if last is None else bucket.refill(level, int(first_us) - last)
-            if pieces is not None:
-                level = apply_pieces([(p["lo"], p["hi"], p["moving"], p["value"]) for p in pieces], start)
-            starts.append(start)
-            ends.append(level)
-            last = int(last_us) if last is None else max(last, int(last_us))
-        return pd.DataFrame({
-            "client_id": chunks["client_id"], "chunk": chunks["chunk"], "start": starts, "end": ends,
-            "last_us": chunks["last_us"],
-        })
+    """mapInPandas body: chunk rows sorted by client, run and chunk to each chunk's start level."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, level, last = None, bucket.cap, None
+        for batch in batches:
+            starts = []
+            columns = (batch[c] for c in ("client_id", "run", "first_us", "last_us", "pieces"))
+            for client, number, first_us, last_us, pieces in zip(*columns):
+                if (client, number) != key:
+                    key, level, last = (client, number), bucket.cap, None
+                start = bucket.cap if last is None else bucket.refill(level, int(first_us) - last)
+                if pieces is not None:
+                    level = apply_pieces(unpack(pieces), start)
+                starts.append(start)
+                last = int(last_us) if last is None else max(last, int(last_us))
+            yield pd.DataFrame({"client_id": batch["client_id"], "chunk": batch["chunk"], "start": starts})
 
     return run
 
@@ -164,7 +166,7 @@ def _replay(bucket: Bucket):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         level, previous = bucket.cap, None
         for batch in batches:
-            verdicts, keep = [], []
+            verdicts, levels, keep = [], [], []
             starts = batch["start"].tolist()
             for i, (turn, us) in enumerate(zip(batch["turn"].tolist(), batch["us"].tolist())):
                 if turn == 0:
@@ -177,10 +179,12 @@ def _replay(bucket: Bucket):
                 if passed:
                     level -= bucket.cost
                 verdicts.append(passed)
+                levels.append(level)
                 keep.append(i)
             kept = batch.iloc[keep]
             yield pd.DataFrame({
                 "client_id": kept["client_id"], "request_id": kept["request_id"], "us": kept["us"], "allowed": verdicts,
+                "level": levels,
             })
 
     return run
@@ -195,8 +199,8 @@ def _rows(requests: DataFrame, chunk_us: int) -> DataFrame:
     return requests.select("client_id", floor_to(us, chunk_us).alias("chunk"), us.alias("us"), "request_id")
 
 
-def _chunk_levels(rows: DataFrame, bucket: Bucket, initial: DataFrame | None, to_the_end: bool) -> DataFrame:
-    """Per chunk: client_id, chunk, start and end level, last_us (end only where it was needed)."""
+def _chunk_levels(rows: DataFrame, bucket: Bucket, initial: DataFrame | None) -> DataFrame:
+    """Start level per client and chunk."""
     chunks = rows.groupBy("client_id", "chunk").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
     if initial is not None:
         # a known level acts as one more chunk in front, whose level function is constant
@@ -210,7 +214,7 @@ def _chunk_levels(rows: DataFrame, bucket: Bucket, initial: DataFrame | None, to
     chunks = chunks.select(
         "*",
         F.coalesce(pause_before >= refill_us, F.lit(True)).alias("starts_full"),
-        F.coalesce(pause_after < refill_us, F.lit(to_the_end)).alias("feeds_next"),
+        F.coalesce(pause_after < refill_us, F.lit(False)).alias("feeds_next"),
     ).withColumn(
         "run", F.sum(F.col("starts_full").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
@@ -218,38 +222,34 @@ def _chunk_levels(rows: DataFrame, bucket: Bucket, initial: DataFrame | None, to
     functions = (
         feeding.repartition("client_id", "chunk").sortWithinPartitions("client_id", "chunk", "us", "request_id")
         .select("client_id", "chunk", "us")
-        .mapInPandas(_functions(bucket), f"client_id string, chunk bigint, pieces {_PIECES}")
+        .mapInPandas(_functions(bucket), "client_id string, chunk bigint, pieces array<bigint>")
     )
     if initial is not None:
-        constant = F.array(F.struct(
-            F.lit(0).cast("bigint").alias("lo"), F.lit(bucket.cap).cast("bigint").alias("hi"),
-            F.lit(False).alias("moving"), F.col("level").alias("value"),
-        ))
+        constant = F.array(*(F.lit(x).cast("bigint") for x in (0, bucket.cap, 0)), F.col("level"))
         functions = functions.unionByName(
             initial.select("client_id", F.lit(_BEFORE_ALL).alias("chunk"), constant.alias("pieces"))
         )
     alone = F.col("starts_full") & ~F.col("feeds_next")
     chained = (
         chunks.filter(~alone).join(functions, ["client_id", "chunk"], "left")
+        .repartition("client_id").sortWithinPartitions("client_id", "run", "chunk")
         .select("client_id", "run", "chunk", "first_us", "last_us", "pieces")
-        .groupBy("client_id", "run")
-        .applyInPandas(_chain(bucket), "client_id string, chunk bigint, start bigint, end bigint, last_us bigint")
+        .mapInPandas(_chain(bucket), "client_id string, chunk bigint, start bigint")
     )
-    full = F.lit(bucket.cap).cast("bigint")
-    single = chunks.filter(alone).select("client_id", "chunk", full.alias("start"), F.lit(None).cast("bigint").alias("end"), "last_us")
-    return single.unionByName(chained)
+    single = chunks.filter(alone).select("client_id", "chunk", F.lit(bucket.cap).cast("bigint").alias("start"))
+    return single.unionByName(chained).filter(F.col("chunk") > _BEFORE_ALL)
 
 
 def rate_limit(
     requests: DataFrame, bucket: Bucket = Bucket.per_minute(), chunk_us: int = C.HOUR_US, initial: DataFrame | None = None
 ) -> DataFrame:
-    """Verdict per request: ``requests`` has client_id, request_id (bigint) and ts.
+    """Verdict per request, with the level it leaves: ``requests`` has client_id, request_id and ts.
 
     Equal instants of one client are taken in order of request_id.  ``initial`` (client_id, level,
     last_us) carries levels over from an earlier part of the log; clients not in it start full.
     """
     rows = _rows(requests, chunk_us)
-    starts = _chunk_levels(rows, bucket, initial, to_the_end=False).filter(F.col("chunk") > _BEFORE_ALL)
+    starts = _chunk_levels(rows, bucket, initial)
     null = F.lit(None).cast("bigint")
     marked = rows.withColumns({"turn": F.lit(1), "start": null}).unionByName(
         starts.select("client_id", "chunk", null.alias("us"), null.alias("request_id"), F.lit(0).alias("turn"), "start")
@@ -257,19 +257,21 @@ def rate_limit(
     return (
         marked.repartition("client_id", "chunk").sortWithinPartitions("client_id", "chunk", "turn", "us", "request_id")
         .select("client_id", "us", "request_id", "turn", "start")
-        .mapInPandas(_replay(bucket), "client_id string, request_id bigint, us bigint, allowed boolean")
-        .select("client_id", "request_id", F.timestamp_micros("us").alias("ts"), "allowed")
+        .mapInPandas(_replay(bucket), "client_id string, request_id bigint, us bigint, allowed boolean, level bigint")
+        .select("client_id", "request_id", F.timestamp_micros("us").alias("ts"), "allowed", "level")
     )
 
 
-def final_levels(
-    requests: DataFrame, bucket: Bucket = Bucket.per_minute(), chunk_us: int = C.HOUR_US, initial: DataFrame | None = None
-) -> DataFrame:
-    """Level per client after the last request, in the form ``initial`` takes."""
-    levels = _chunk_levels(_rows(requests, chunk_us), bucket, initial, to_the_end=True)
-    newest = F.max(F.struct("chunk", "end"))
-    return levels.groupBy("client_id").agg(newest.alias("n"), F.max("last_us").alias("last_us")).select(
-        "client_id", F.col("n.end").alias("level"), "last_us"
+def final_levels(verdicts: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """Level per client after the judged requests, in the form ``initial`` takes."""
+    last = verdicts.groupBy("client_id").agg(
+        F.max_by("level", F.struct("ts", "request_id")).alias("level"), F.unix_micros(F.max("ts")).alias("last_us")
+    )
+    if initial is None:
+        return last
+    old = initial.select("client_id", F.col("level").alias("old_level"), F.col("last_us").alias("old_us"))
+    return last.join(old, "client_id", "full").select(
+        "client_id", F.coalesce("level", "old_level").alias("level"), F.greatest("last_us", "old_us").alias("last_us")
     )
 
 

@@ -88,7 +88,7 @@ def parse_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items written in the serving layout and scanned back."""
     path = work_dir(spark, "items")
-    tables.write_items(D.items(spark, sf_dir), path)
+    tables.write_items(D.items(spark, sf_dir), path, unit="month")
     return tables.scan_items(spark, path).select("feed_url", "link", "pub_date", "content_hash")
 
 
@@ -96,7 +96,7 @@ def scan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def count_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys-only count over the serving layout."""
     path = work_dir(spark, "items")
-    tables.write_items(D.items(spark, sf_dir), path)
+    tables.write_items(D.items(spark, sf_dir), path, unit="month")
     return tables.scan_items(spark, path, keys_only=True).agg(F.count(F.lit(1)).alias("items"))
 
 
@@ -128,8 +128,8 @@ def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirty-day retention on the serving layout."""
     path, target = work_dir(spark, "items"), work_dir(spark, "kept")
-    tables.write_items(D.items(spark, sf_dir), path)
-    return tables.cleanup_items(spark, path, target, retention.cutoff(D.ITEMS_NOW))
+    tables.write_items(D.items(spark, sf_dir), path, unit="month")
+    return tables.cleanup_items(spark, path, target, retention.cutoff(D.ITEMS_NOW), unit="month")
 
 
 @query
@@ -420,7 +420,9 @@ HALF_DAY_BUCKET = ratelimit.Bucket(rate=1, cost=12 * C.HOUR_US, cap=24 * C.HOUR_
 @query
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per 12 hours, burst 2, over the whole request log."""
-    asked = clients.with_client_id(D.request_log(spark, sf_dir))
+    path = work_dir(spark, "requests")
+    clients.with_client_id(D.request_log(spark, sf_dir)).select("client_id", "request_id", "ts").write.parquet(path)
+    asked = spark.read.parquet(path)
     judged = ratelimit.rate_limit(asked, HALF_DAY_BUCKET, chunk_us=7 * C.DAY_US)
     return judged.select("client_id", "request_id", "allowed")
 

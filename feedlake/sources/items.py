@@ -4,8 +4,8 @@ Two layouts, both plain Spark tables:
 
 * a *landing log*, appended batch by batch (``batch_id`` partitions, overwritten as a whole when a
   batch is replayed, so a lost executor or a restarted stream cannot double rows);
-* a *serving table*, one row per link, in ``pub_day`` partitions with links sorted inside files, so
-  date filters skip directories and link ranges skip row groups.
+* a *serving table*, one row per link, partitioned by publication day (or month) with links sorted
+  inside files, so date filters skip directories and link ranges skip row groups.
 """
 
 from __future__ import annotations
@@ -38,31 +38,42 @@ def read_landed_items(spark: SparkSession, path: str, before_batch: int | None =
     return last_per_link(log, "batch_id", "ingest_seq").drop("batch_id")
 
 
-def write_items(items: DataFrame, path: str, max_records_per_file: int = 1_000_000) -> None:
-    """Serving layout.  The rebalance hint lets the runtime split a day that holds too much (items
-    with an unreadable date all share one day)."""
-    days = items.withColumn("pub_day", F.to_date("pub_ts"))
+def part_of(pub_ts: Column, unit: str) -> Column:
+    """Start of the day or month an item was published in: the partition it is kept in."""
+    if unit not in ("day", "month"):
+        raise ValueError(f"unknown partition unit {unit!r}")
+    return F.to_date(F.date_trunc(unit, pub_ts))
+
+
+def write_items(items: DataFrame, path: str, unit: str = "day", max_records_per_file: int = 1_000_000) -> None:
+    """Serving layout.  The rebalance hint lets the runtime split a partition that holds too much
+    (items with an unreadable date all share one day).  Sparse tables are better off by month."""
+    parts = items.withColumn("pub_part", part_of(F.col("pub_ts"), unit))
     (
-        days.hint("rebalance", "pub_day").sortWithinPartitions("pub_day", "link")
+        parts.hint("rebalance", "pub_part").sortWithinPartitions("pub_part", "link")
         .write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
-        .partitionBy("pub_day").parquet(path)
+        .partitionBy("pub_part").parquet(path)
     )
 
 
+def _serving(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ITEM.fromJson(ITEM.jsonValue()).add("pub_part", "date")).parquet(path)
+
+
 def scan_items(spark: SparkSession, path: str, keys_only: bool = False) -> DataFrame:
-    items = spark.read.schema(ITEM.fromJson(ITEM.jsonValue()).add("pub_day", "date")).parquet(path)
-    return items.select("link") if keys_only else items.drop("pub_day")
+    items = _serving(spark, path)
+    return items.select("link") if keys_only else items.drop("pub_part")
 
 
-def cleanup_items(spark: SparkSession, path: str, target: str, before: Column) -> DataFrame:
+def cleanup_items(spark: SparkSession, path: str, target: str, before: Column, unit: str = "day") -> DataFrame:
     """Retention: write what survives ``before`` to ``target``; one row with kept and deleted counts.
 
-    The source is read only: a failed run leaves it as it was.  Days wholly before the cutoff are
-    never opened, except for a row count taken from file footers.
+    The source is read only: a failed run leaves it as it was.  Partitions wholly before the cutoff
+    are pruned, not read; they only enter the row count, which parquet answers from file footers.
     """
-    table = spark.read.schema(ITEM.fromJson(ITEM.jsonValue()).add("pub_day", "date")).parquet(path)
-    alive = (F.col("pub_day") >= F.to_date(before)) & (F.col("pub_ts") >= before)
-    write_items(table.filter(alive | F.col("pub_ts").isNull()).drop("pub_day"), target)
+    table = _serving(spark, path)
+    alive = (F.col("pub_part") >= part_of(before, unit)) & (F.col("pub_ts") >= before)
+    write_items(table.filter(alive | F.col("pub_part").isNull()).drop("pub_part"), target, unit)
     kept = scan_items(spark, target).agg(F.count(F.lit(1)).alias("n")).scalar()
     return table.agg(F.count(F.lit(1)).alias("total")).select(
         kept.alias("kept"), (F.col("total") - kept).alias("deleted")

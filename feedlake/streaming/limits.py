@@ -23,10 +23,14 @@ def limit_batches(path: str, bucket: Bucket, chunk_us: int = C.HOUR_US) -> Calla
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         levels = read_version(spark, f"{path}/levels", batch_id - 1, LEVELS)
-        verdicts = rate_limit(batch, bucket, chunk_us, levels)
-        verdicts.write.mode("overwrite").parquet(f"{path}/verdicts/batch_id={batch_id}")
+        target = f"{path}/verdicts/batch_id={batch_id}"
+        requests = batch.select("client_id", "request_id", "ts").persist()
+        try:
+            rate_limit(requests, bucket, chunk_us, levels).write.mode("overwrite").parquet(target)
+        finally:
+            requests.unpersist()
         refill_us = -(-bucket.cap // bucket.rate)
-        after = final_levels(batch, bucket, chunk_us, levels)
+        after = final_levels(spark.read.parquet(target), levels)
         newest = after.agg(F.max("last_us").alias("us")).scalar()
         after.filter(F.col("last_us") > newest - refill_us).write.mode("overwrite").parquet(
             version_path(f"{path}/levels", batch_id)
