@@ -11,48 +11,57 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _CTL = r"\x00-\x1f\x7f"
-_ESCAPE = "%[0-9a-fA-F]{2}"
 _SCHEME = "[a-zA-Z][a-zA-Z0-9+.-]*:"
-# A host byte: above ASCII, or one of the ASCII a host may hold; escapes stand for bytes above 0x7F.
-_HOST_CHAR = r"""(?:[^\x00-\x7f]|[a-zA-Z0-9_.~!$&'()*+,;=<>"-]|%[89a-fA-F][0-9a-fA-F])"""
-_HOST = rf"(?:\[(?:{_HOST_CHAR}|[:\[])*\](?::\d*)?|{_HOST_CHAR}*(?:(?:{_HOST_CHAR}|:)*:\d*)?)"
-_USER = r"(?:[a-zA-Z0-9_.:~!$&'()*+,;=%@-]*@)?"
-
-
-def _path(stop: str) -> str:
-    return rf"(?:[^%{stop}{_CTL}]|{_ESCAPE})*"
-
-
-_QUERY = rf"(?:\?[^#{_CTL}]*)?"
-_FRAGMENT = rf"(?:#(?:[^%]|{_ESCAPE})*)?"
-_ANY = _path("?#")
-
-# What a URL parser accepts: with authority, rooted path behind a scheme, opaque, or relative.
-PARSABLE = (
-    rf"^(?:(?:{_SCHEME})?//{_USER}{_HOST}(?:/{_ANY})?{_QUERY}{_FRAGMENT}"
-    rf"|(?:{_SCHEME})?/(?!/){_ANY}{_QUERY}{_FRAGMENT}"
-    rf"|{_SCHEME}(?!/)[^#{_CTL}]*{_FRAGMENT}"
-    rf"|(?![^/?#]*:){_ANY}{_QUERY}{_FRAGMENT})$"
-)
-# What may stand in an HTTP request line: absolute, or a rooted path; ``#`` is an ordinary character.
-_REQUEST_PATH = _path("?")
-_REQUEST_QUERY = rf"(?:\?[^{_CTL}]*)?"
-REQUEST_TARGET = (
-    rf"^(?:\*|{_SCHEME}//{_USER}{_HOST}(?:/{_REQUEST_PATH})?{_REQUEST_QUERY}"
-    rf"|{_SCHEME}/(?!/){_REQUEST_PATH}{_REQUEST_QUERY}"
-    rf"|{_SCHEME}(?!/)[^{_CTL}]*"
-    rf"|/{_REQUEST_PATH}{_REQUEST_QUERY})$"
-)
+_BAD_ESCAPE = "%(?![0-9a-fA-F]{2})"
+# ASCII that may not stand in a host (a percent escape there stands for a byte above 0x7F), and what
+# user information may hold.
+_NOT_HOST = r"""(?:[\x00-\x7f&&[^a-zA-Z0-9_.~!$&'()*+,;=:\[\]<>"%-]]|%[0-7])"""
+_USER = r"[a-zA-Z0-9_.:~!$&'()*+,;=%@-]"
+
+
+def _authority_faults(start: str, stop: str) -> list[str]:
+    """Patterns of what is wrong between ``//`` and the path; ``stop`` ends the authority.
+
+    All patterns here look for a fault by scanning, in time linear in the text.  A pattern for the
+    whole of a good URL would repeat a group per character and overflow the matcher's stack on a long
+    URL.
+    """
+    part, end = f"[^{stop}]", rf"(?:[{stop}]|\z)"
+    host = rf"{start}(?:{part}*@)?+"
+    return [
+        rf"{start}{_USER}*+{part}*@",
+        rf"{host}{part}*(?=[^{stop}]){_NOT_HOST}",
+        rf"{host}\[(?!{part}*\](?::\d*)?{end})",
+        rf"{host}(?!\[){part}*:[^:{stop}]*[^:0-9{stop}][^:{stop}]*{end}",
+    ]
+
+
+# Not a URL at all: control characters, bad escapes outside the query, a colon in a first segment
+# that is no scheme, or a faulty authority.
+UNPARSABLE = "|".join([
+    rf"^[^#]*[{_CTL}]",
+    rf"^(?!{_SCHEME}(?!/))[^?#]*{_BAD_ESCAPE}",
+    rf"^[^#]*#[\s\S]*{_BAD_ESCAPE}",
+    rf"^(?!{_SCHEME})[^/?#]*:",
+    *_authority_faults(rf"^(?:{_SCHEME})?//", "/?#"),
+])
+# Not what an HTTP request line may hold: that is absolute or rooted, and ``#`` is an ordinary character.
+NOT_REQUEST_TARGET = "|".join([
+    rf"^(?!{_SCHEME}|/|\*\z)",
+    rf"[{_CTL}]",
+    rf"^(?!{_SCHEME}(?!/))[^?]*{_BAD_ESCAPE}",
+    *_authority_faults(rf"^{_SCHEME}//", "/?"),
+])
 _PLAIN_PATH = r"^[a-zA-Z0-9_.~$&+,/:;=@!'()*\[\]%-]*$"
 _PLAIN_FRAGMENT = r"^[a-zA-Z0-9_.~$&+,/:;=?@!'()*\[\]%-]*$"
 
 
 def is_parsable(url: Column) -> Column:
-    return url.rlike(PARSABLE)
+    return ~url.rlike(UNPARSABLE)
 
 
 def is_request_uri(col: Column) -> Column:
-    return col.rlike(REQUEST_TARGET)
+    return ~col.rlike(NOT_REQUEST_TARGET)
 
 
 def scheme_of(url: Column) -> Column:
@@ -114,9 +123,8 @@ def _escape(decoded: Column, keep_query_mark: bool) -> Column:
 
 def decoded_query_values(query: Column) -> Column:
     """Array of decoded, lower-cased query values; pairs with ``;`` or a bad escape are dropped."""
-    bad_escape = "%(?![0-9a-fA-F]{2})"
-    pairs = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.contains(";") & ~p.rlike(bad_escape))
-    return F.transform(pairs, lambda p: F.lower(F.try_url_decode(F.regexp_extract(p, "^[^=]*=(.*)$", 1))))
+    pairs = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.contains(";") & ~p.rlike(_BAD_ESCAPE))
+    return F.transform(pairs, lambda p: F.lower(F.try_url_decode(F.regexp_extract(p, r"^[^=]*=([\s\S]*)$", 1))))
 
 
 def ipv4_octets(host: Column) -> Column:

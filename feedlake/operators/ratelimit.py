@@ -7,8 +7,8 @@ chunks that run in parallel:
 1. first and last request of each chunk come from an aggregate; where the bucket certainly refills
    between two chunks the later one starts full, whatever happened before;
 2. for a chunk that feeds a successor without such a pause, one pass works out the level it leaves
-   behind *as a function of* the level it starts with.  That function is a handful of straight pieces,
-   because a start level only shifts the bucket until the bucket is full or a request is refused;
+   behind *as a function of* the level it starts with.  That function is made of straight pieces: start
+   levels only shift the bucket, and they share one level once they have filled it;
 3. the functions are chained per client over its chunks (small rows, one per chunk);
 4. every chunk is replayed with its true start level.
 
@@ -17,7 +17,8 @@ Levels are whole numbers: one unit is what a microsecond refills, so nothing is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -51,52 +52,90 @@ class Bucket:
 Piece = tuple[int, int, bool, int]
 
 
-def _refill_pieces(pieces: list[Piece], gain: int, cap: int) -> list[Piece]:
-    out: list[Piece] = []
-    for lo, hi, moving, value in pieces:
-        value += gain
-        if not moving:
-            parts = [(lo, hi, False, min(value, cap))]
-        elif hi + value <= cap:
-            parts = [(lo, hi, True, value)]
-        elif lo + value >= cap:
-            parts = [(lo, hi, False, cap)]
-        else:
-            parts = [(lo, cap - value, True, value), (cap - value + 1, hi, False, cap)]
-        for part in parts:
-            if out and not part[2] and not out[-1][2] and out[-1][3] == part[3]:
-                out[-1] = (out[-1][0], part[1], False, part[3])
-            else:
-                out.append(part)
-    return out
+class LevelFunction:
+    """Where every possible start level of a chunk has got to, request by request.
 
+    Start levels that have spent equally often move side by side; there are at most ``burst + 2`` such
+    ranges.  Start levels that have filled the bucket since share one known level from then on; those
+    levels are kept sorted, with one common offset for what all of them gained by waiting, so a request
+    touches only the levels it changes.
+    """
 
-def _spend_pieces(pieces: list[Piece], cost: int) -> list[Piece]:
-    out: list[Piece] = []
-    for lo, hi, moving, value in pieces:
-        low_end = lo + value if moving else value
-        high_end = hi + value if moving else value
-        if low_end >= cost:
-            out.append((lo, hi, moving, value - cost))
-        elif high_end < cost:
-            out.append((lo, hi, moving, value))
+    def __init__(self, bucket: Bucket):
+        self.bucket, self.offset = bucket, 0
+        self.moving: list[tuple[int, int, int]] = [(0, bucket.cap, 0)]  # lo, hi, shift
+        self.levels: list[int] = []  # sorted, without the offset
+        self.spans: list[list[tuple[int, int]]] = []  # start levels at each of ``levels``
+
+    def _put(self, level: int, spans: list[tuple[int, int]]) -> None:
+        at = bisect_left(self.levels, level)
+        if at < len(self.levels) and self.levels[at] == level:
+            self.spans[at] += spans
         else:
-            cut = cost - value
-            out.append((lo, cut - 1, True, value))
-            out.append((cut, hi, True, value - cost))
-    return out
+            self.levels.insert(at, level)
+            self.spans.insert(at, spans)
+
+    def _take_from(self, level: int) -> list[tuple[int, list[tuple[int, int]]]]:
+        at = bisect_left(self.levels, level)
+        taken = list(zip(self.levels[at:], self.spans[at:]))
+        del self.levels[at:], self.spans[at:]
+        return taken
+
+    def wait(self, us: int) -> None:
+        self.offset += self.bucket.rate * us
+        full = self.bucket.cap - self.offset
+        filled = [span for _, spans in self._take_from(full) for span in spans]
+        moving = []
+        for lo, hi, shift in self.moving:
+            edge = max(lo, full - shift + 1)
+            if edge <= hi:
+                filled.append((edge, hi))
+            if edge > lo:
+                moving.append((lo, min(hi, edge - 1), shift))
+        self.moving = moving
+        if filled:
+            self._put(full, filled)
+
+    def spend(self) -> None:
+        cost = self.bucket.cost
+        enough = cost - self.offset
+        for level, spans in self._take_from(enough):
+            self._put(level - cost, spans)
+        moving: list[tuple[int, int, int]] = []
+        for lo, hi, shift in self.moving:
+            edge = min(max(lo, enough - shift), hi + 1)
+            for part in ((lo, edge - 1, shift), (edge, hi, shift - cost)):
+                if part[0] > part[1]:
+                    continue
+                if moving and moving[-1][1] + 1 == part[0] and moving[-1][2] == part[2]:
+                    moving[-1] = (moving[-1][0], part[1], part[2])
+                else:
+                    moving.append(part)
+        self.moving = moving
+
+    def pieces(self) -> list[Piece]:
+        moved = [(lo, hi, True, shift + self.offset) for lo, hi, shift in self.moving]
+        known = [
+            (lo, hi, False, level + self.offset) for level, spans in zip(self.levels, self.spans) for lo, hi in spans
+        ]
+        out: list[Piece] = []
+        for piece in sorted(moved + known):
+            if out and out[-1][2:] == piece[2:]:
+                out[-1] = (out[-1][0], *piece[1:])
+            else:
+                out.append(piece)
+        return out
 
 
-def level_function(times: Iterator[int], bucket: Bucket) -> list[Piece]:
+def level_function(times: Iterable[int], bucket: Bucket) -> list[Piece]:
     """Level left after the requests at ``times``, for every level held at the first of them."""
-    pieces: list[Piece] = [(0, bucket.cap, True, 0)]
-    previous = None
+    function, previous = LevelFunction(bucket), None
     for now in times:
         if previous is not None:
-            pieces = _refill_pieces(pieces, bucket.rate * (now - previous), bucket.cap)
-        pieces = _spend_pieces(pieces, bucket.cost)
+            function.wait(now - previous)
+        function.spend()
         previous = now
-    return pieces
+    return function.pieces()
 
 
 def apply_pieces(pieces: list[Piece], level: int) -> int:
@@ -119,22 +158,22 @@ def _functions(bucket: Bucket):
     """mapInPandas body: sorted rows (client_id, chunk, us) to one level function per group."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, pieces, previous = None, None, None
+        key, function, previous = None, None, None
         for batch in batches:
             done = []
             for client, chunk, us in zip(batch["client_id"].tolist(), batch["chunk"].tolist(), batch["us"].tolist()):
                 if (client, chunk) != key:
                     if key is not None:
-                        done.append((*key, pack(pieces)))
-                    key, pieces = (client, chunk), [(0, bucket.cap, True, 0)]
+                        done.append((*key, pack(function.pieces())))
+                    key, function = (client, chunk), LevelFunction(bucket)
                 else:
-                    pieces = _refill_pieces(pieces, bucket.rate * (us - previous), bucket.cap)
-                pieces = _spend_pieces(pieces, bucket.cost)
+                    function.wait(us - previous)
+                function.spend()
                 previous = us
             if done:
                 yield pd.DataFrame(done, columns=["client_id", "chunk", "pieces"])
         if key is not None:
-            yield pd.DataFrame([(*key, pack(pieces))], columns=["client_id", "chunk", "pieces"])
+            yield pd.DataFrame([(*key, pack(function.pieces()))], columns=["client_id", "chunk", "pieces"])
 
     return run
 
