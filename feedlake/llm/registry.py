@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import bpe, exact_dedup, jaccard_join, langid, suffix_dedup, toxicity, warc_zip
+from feedlake.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, suffix_dedup, toxicity, warc_zip
 from feedlake.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,12 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item it holds."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def bpe_digests(encoded: DataFrame) -> DataFrame:
     return encoded.select(
         "doc_id", F.expr("bigint(octet_length(ids) / 4)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),

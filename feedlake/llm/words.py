@@ -15,12 +15,13 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 NO_WORD = np.array([not (chr(b).isalnum() or b >= 0x80) for b in range(256)])
 
 
-def spans(body: np.ndarray, lengths: np.ndarray, outside: np.ndarray = NO_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, byte after the last, and document row of every word; ``outside`` has a flag by byte."""
+def spans(body: np.ndarray, lengths: np.ndarray, blank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, byte after the last, and document row of every word; ``blank`` flags places outside words."""
     if not len(body):
         return (np.zeros(0, np.int64),) * 3
     ends = np.cumsum(lengths)
-    blank = outside[body]
+    if blank is None:
+        blank = NO_WORD[body]
     before, after = np.append(True, blank[:-1]), np.append(blank[1:], True)
     some = lengths > 0
     before[(ends - lengths)[some]] = True
