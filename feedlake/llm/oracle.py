@@ -13,5 +13,40 @@ select doc_id,
   count(*) over (partition by text_sha256) as group_size,
   row_number() over w = 1 as kept, text_sha256
 from n window w as (partition by text_sha256 order by points desc, doc_id nulls last)
+""",
+    "op9_quotes": r"""
+with recursive m as (
+  select row_number() over () as id, conv_id, turn, role, coalesce(cast(conv_id as varchar), '') as conv,
+    coalesce(turn, -4611686018427387904) as pt, string_split_regex(coalesce(text, ''), '\r?\n') as lines from conversations),
+l as (
+  select id, conv, pt, i, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) as level,
+    regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '') as line
+  from (select id, conv, pt, unnest(lines) as line, generate_subscripts(lines, 1) as i from m)),
+k as (
+  select *, level = 0 and regexp_matches(line, '(?i)(wrote|writes|schrieb|a écrit|escribió) ?:[ \t]*$')
+      and coalesce(lead(level) over w > 0, false) as introduces,
+    trim(regexp_replace(line, '[\x09-\x0D\x20]+', ' ', 'g')) = '' as blank from l window w as (partition by id order by i)),
+s as (
+  select *, sum(case when i = 1 or level <> last_level or blank or last_blank or introduces then 1 else 0 end) over (partition by id order by i) as part
+  from (select *, lag(level) over w as last_level, lag(blank) over w as last_blank from k window w as (partition by id order by i))),
+p as (
+  select id, conv, pt, level, trim(regexp_replace(lower(string_agg(line, ' ' order by i)), '[\x09-\x0D\x20]+', ' ', 'g')) as passage, bool_or(introduces) as introduces
+  from s group by id, conv, pt, level, part),
+o as (select conv, passage, min(pt) as original from p where level = 0 and passage <> '' and not introduces group by conv, passage),
+r as (
+  select p.conv, p.pt, max_by(o.original, struct_pack(a := -p.level, b := o.original)) as reply_to
+  from p join o on o.conv = p.conv and o.passage = p.passage and o.original < p.pt where p.level > 0 group by p.conv, p.pt),
+t(conv, pt, up, depth) as (
+  select conv, pt, reply_to, cast(1 as bigint) from r union all
+  select t.conv, t.pt, r.reply_to, t.depth + 1 from t join r on r.conv = t.conv and r.pt = t.up),
+d as (select conv, pt, max(depth) as depth, max_by(up, depth) as root from t group by conv, pt),
+b as (
+  select id, regexp_replace(coalesce(string_agg(line, chr(10) order by i) filter (where level = 0 and not introduces), ''), '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') as body
+  from k group by id),
+q as (select id, max(level) as quote_levels from p where passage <> '' group by id)
+select m.conv_id, row_number() over (partition by m.conv order by coalesce(d.root, m.pt), coalesce(d.depth, 0), m.pt, m.role, b.body) - 1 as position,
+  m.turn, m.role, b.body, nullif(r.reply_to, -4611686018427387904) as reply_to, nullif(coalesce(d.root, m.pt), -4611686018427387904) as thread_root,
+  coalesce(d.depth, 0) as depth, cast(coalesce(q.quote_levels, 0) as int) as quote_levels
+from m join b using (id) left join q using (id) left join r on r.conv = m.conv and r.pt = m.pt left join d on d.conv = m.conv and d.pt = m.pt
 """,
 }
