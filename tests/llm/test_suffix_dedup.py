@@ -2,6 +2,8 @@ import hashlib
 import os
 import random
 
+import numpy as np
+
 from feedlake.llm import suffix_dedup as S
 from feedlake.llm.registry import op2_suffix_dedup
 
@@ -32,15 +34,41 @@ def digest(df):
     return sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in df.collect()), key=repr)
 
 
+def front_code(strings):
+    """Shared prefix lengths, lengths of the rests, and the rests of a sorted run."""
+    shared, rests, last = [], [], b""
+    for s in strings:
+        shared.append(len(os.path.commonprefix([last, s])))
+        rests.append(s[shared[-1] :])
+        last = s
+    return bytes(shared), bytes(map(len, rests)), b"".join(rests)
+
+
+def test_pieces_are_front_coded_sorted_runs():
+    rnd = random.Random(3)
+    strings = sorted({bytes(rnd.choices(b"\0ab", k=rnd.randint(1, 12))) for _ in range(300)})
+    rnd.shuffle(strings)
+    rows = np.zeros((len(strings), 12), np.uint8)
+    for row, s in zip(rows, strings):
+        row[: len(s)] = list(s)
+    owner = np.array([len(s) % 3 for s in strings], np.int32)
+    same = np.array([i % len(strings) for i in range(450)])
+    out, members = S._pieces(1, rows, np.array([len(s) for s in strings]), owner, owner == 1, same, np.arange(450) + 7)
+    for k, o in enumerate(out["owner"]):
+        run = sorted(s for s in strings if len(s) % 3 == o)
+        assert (out["shared"][k], out["rests"][k], out["body"][k]) == front_code(run)
+        assert S.unpacked(out["ids"][k], "<i8").tolist() == [strings.index(s) + 7 for s in run]
+        assert [strings[same[i]] for i in members[k]] == [s for s, n in zip(run, S.unpacked(out["counts"][k], "<u4")) for _ in range(n)]
+
+
 def test_merge_of_front_coded_runs():
     rnd = random.Random(5)
     for k in (1, 2, 3, 7, 20):
         runs = [sorted({bytes(rnd.choices(b"ab", k=rnd.randint(0, 9))) for _ in range(rnd.randint(0, 60))}) for _ in range(k)]
-        got = [[(r, runs[r][i]) for r, i in g] for g in S.merge_runs([S.front_code(r) for r in runs])]
-        want = sorted({s for r in runs for s in r})
-        assert [g[0][1] for g in got] == want
-        for g, s in zip(got, want):
-            assert sorted(g) == [(r, s) for r in range(k) if s in runs[r]]
+        got = list(S.merge_runs([front_code(r) for r in runs]))
+        assert [s for s, _ in got] == sorted({s for r in runs for s in r})
+        for s, places in got:
+            assert sorted(places) == [(r, runs[r].index(s)) for r in range(k) if s in runs[r]]
 
 
 def test_odd_rows_against_brute_force(spark):
@@ -61,8 +89,8 @@ def test_odd_rows_against_brute_force(spark):
     rows += [(600, passage * 300)]
     rnd.shuffle(rows)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, body int, ids string")
-    for block_bytes in (700, 3 << 20):
-        assert digest(S.remove_repeats(df, block_bytes=block_bytes)) == brute(rows)
+    for block_bytes, hot in ((700, S.HOT), (3 << 20, S.HOT), (2000, 3), (3 << 20, 1)):
+        assert digest(S.remove_repeats(df, block_bytes=block_bytes, hot=hot)) == brute(rows)
 
 
 def test_empty_table(spark):
