@@ -1,27 +1,76 @@
-"""The training-text pipeline: five stages over ``documents``, each written and read again by the next."""
+"""The training-text pipeline: five stages over ``documents``, each written and read again by the next.
+
+Every stage works on all rows that its predecessor kept.  Rows are told apart by a number of their own,
+not by doc_id, so repeated or null ids lose no row and keep none too many.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import exact_dedup
+from feedlake.llm import bpe, decontaminate, exact_dedup, jaccard_join, toxicity
+from feedlake.llm.registry import bpe_digests
 from feedlake.llm.shared import materialise, table
 
+ROW = "pipeline_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, written so that it stays theirs."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def chosen(rows: DataFrame, numbers: DataFrame, how: str) -> DataFrame:
+    return rows.join(numbers.hint("shuffle_hash"), ROW, how).drop(ROW)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score one half or more go."""
+    rows = numbered(docs)
+    texts, labels = toxicity.labelled_sample(rows, table(spark, sf_dir, "labels"), toxicity.SAMPLE, toxicity.LONGEST)
+    constant = float(bool(labels) and min(labels) == 1)
+    scored = toxicity.score_documents(rows.select(F.col(ROW).alias("doc_id"), "text"), toxicity.train(texts, labels), constant)
+    return chosen(rows, scored.where("score >= 0.5").select(F.col("doc_id").alias(ROW)), "left_anti")
+
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for blanks, one row stays."""
-    kept = exact_dedup.exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = numbered(docs)
+    return chosen(rows, exact_dedup.exact_groups(rows, ROW).where("kept").select(ROW), "left_semi")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of linked documents the one with the least doc_id stays (null last)."""
+    rows = numbered(docs)
+    groups = jaccard_join.jaccard_groups(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW))
+    kept = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return chosen(rows, kept, "left_semi")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the documents that are left."""
+    return bpe_digests(bpe.encode_documents(docs, bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact_copies),
+    ("jaccard_join", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("bpe", encode),
 ]
 
-# Learned models and their scores have no SQL form; tests/llm checks the stages against brute force.
+# Learned scores and merge ranks have no SQL form; tests/llm/test_pipeline.py checks the stages against brute force.
 ORACLE_SQL = None
 
 

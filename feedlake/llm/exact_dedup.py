@@ -74,14 +74,16 @@ def _suspects(batches):
         yield pa.RecordBatch.from_pydict({"row_id": pa.array(np.concatenate(out), pa.int64())})
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+def exact_groups(docs: DataFrame, carry: str | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and a column to carry along."""
+    carried = [carry] if carry else []
     spark = docs.sparkSession
     normal = F.translate(F.coalesce("text", F.lit("")), BLANKS, "")
     marks = materialise(
         docs.select(
             F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"),
             F.unhex(F.sha2(normal, 256)).alias("sha"), F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("points"),
+            *(F.col(c).alias("carried") for c in carried),
         ), "exact-marks",
     )
     n = partitions(spark)
@@ -110,5 +112,5 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1).cast("bigint")).alias("group_size"),
         F.coalesce(F.col("best.row_id") == F.col("row_id"), F.lit(True)).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
+        F.lower(F.hex("sha")).alias("text_sha256"), *(F.col("carried").alias(c) for c in carried),
     )

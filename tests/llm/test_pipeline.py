@@ -1,0 +1,63 @@
+import hashlib
+
+import numpy as np
+import test_bpe
+import test_decontaminate
+import test_exact_dedup
+import test_jaccard_join
+
+import corpus_pipeline as P
+from feedlake.llm import toxicity
+
+SF = "/root/testdata/sf0.001"
+
+
+def texts(df):
+    return sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=repr)
+
+
+def least(members):
+    return min(members, key=lambda m: (m[0] is None, m[0] or 0))
+
+
+def without_near_copies(rows):
+    groups = {}
+    for (doc_id, _, component), row in zip(test_jaccard_join.brute([(i, t) for i, (_, t) in enumerate(rows)]), sorted(range(len(rows)), key=lambda i: repr((i, len(test_jaccard_join.shingles(rows[i][1])))))):
+        groups.setdefault(component, []).append(doc_id)
+    return sorted((least([rows[i] for i in members]) for members in groups.values()), key=repr)
+
+
+def test_run_is_the_stages_in_order(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    bad = {r.doc_id for r in toxicity.toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1").collect()}
+    rows = [r for r in rows if r[0] not in bad]
+    kept = {d for d, _, _, kept, _ in test_exact_dedup.brute(rows) if kept}
+    rows = without_near_copies([r for r in rows if r[0] in kept])
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leaking = {d for d, _ in test_decontaminate.brute(rows, items)}
+    assert bad and leaking
+    want = set()
+    for doc_id, text in rows:
+        if doc_id not in leaking:
+            ids, decoded = test_bpe.library(text)
+            want.add((doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    got = P.run(spark, SF).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_stages_on_odd_rows(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 150").first().text
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
+    rows = [
+        (1, None, "x"), (2, "", "y"), (3, " ", "z"), (4, base, "a"), (4, base, "b"), (None, base + " nineteen", "c"), (7, "clean words stay here", "d"),
+        (7, item, "e"), (8, "clean  words stay here ", "f"), (9, "w " * 50_000, "g"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, node string")
+    assert texts(P.drop_exact_copies(spark, docs, SF)) == sorted([(3, " "), (4, base), (None, base + " nineteen"), (7, item), (8, "clean  words stay here "), (9, "w " * 50_000)], key=repr)
+    assert texts(P.drop_near_copies(spark, docs, SF)) == sorted([(1, None), (2, ""), (3, " "), (4, base), (7, "clean words stay here"), (7, item), (9, "w " * 50_000)], key=repr)
+    assert texts(P.drop_contaminated(spark, docs, SF)) == sorted((r[:2] for r in rows if r[1] != item), key=repr)
+    kept = P.drop_toxic(spark, docs, SF)
+    assert kept.columns == docs.columns and set(texts(kept)) <= {r[:2] for r in rows}
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
