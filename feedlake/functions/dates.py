@@ -9,7 +9,7 @@ the text.  All of it expects the session time zone to be UTC.
 from __future__ import annotations
 
 import re
-from datetime import datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ PLAIN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:[.,]\d+)?$"
 
 def _behind_weekday(col: Column) -> Column:
     """``Mon, 02 JAN 2006 15:04:05.9 …`` to ``02 Jan 2006 15:04:05 …``."""
-    return F.initcap(F.regexp_replace(F.substring(col, 6, 40), r"[.,]\d+", ""))
+    return F.initcap(F.regexp_replace(F.regexp_replace(col, r"^[A-Za-z]{3}, ", ""), r"[.,]\d+", ""))
 
 
 def rfc1123z_to_ts(col: Column) -> Column:
@@ -76,6 +76,11 @@ def instant(text: str) -> Column:
     return F.timestamp_micros(F.lit(instant_us(text)))
 
 
+def utc_date(text: str) -> date:
+    """Calendar day, in UTC, of an instant in RFC 3339 text."""
+    return (datetime(1970, 1, 1) + timedelta(microseconds=instant_us(text))).date()
+
+
 def instant_us(text: str) -> int:
     if not re.match(RFC3339, text):
         raise ValueError(f"expected RFC3339 text, got {text!r}")

@@ -1,9 +1,9 @@
 """Duplicate detection and keyed upsert.
 
 Copies may be very uneven: one link or one text can hold a third of all rows.  Every grouping here is
-an aggregate with map-side combine (min, max, max_by), so copies collapse before the shuffle, and every
-join that carries full rows has at most one row per key on its other side, which is the shape runtime
-skew splitting can cut.  No step pairs the members of a group with each other.
+an aggregate with map-side combine (min, max, max_by), so copies collapse before the shuffle.  Where its
+result meets full rows again it is written first: the runtime splits a hot key only if both sides of the
+join are plain shuffles, not an aggregate above one.  No step pairs the members of a group.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake import constants as C
+from feedlake.session import stored as stored_side
 
 
 def existing_by_link(incoming: DataFrame, store: DataFrame) -> DataFrame:
@@ -36,6 +37,7 @@ def drop_known(incoming: DataFrame, store: DataFrame, seq: str = "ingest_seq") -
         .groupBy("content_hash")
         .agg(F.max_by("witness", "last_seq").alias("w"))
     )
+    witnesses = stored_side(witnesses, "witnesses")
     same = (
         (F.col("link") == F.col("w.link"))
         | ((F.col("title") == F.col("w.title")) & (F.col("author") == F.col("w.author")))
@@ -63,9 +65,11 @@ def upsert_items(
     With ``dedupe`` only the survivors of :func:`drop_known` are put.  Within the batch the last row
     per link wins.
     """
-    put = last_per_link(drop_known(incoming, store, seq) if dedupe else incoming, seq)
-    kept = store.join(put.select("link"), "link", "left_anti")
-    return kept.select(*store.columns).unionByName(put.select(*store.columns))
+    put = drop_known(incoming, store, seq) if dedupe else incoming
+    tagged = store.withColumn("_put", F.lit(False)).withColumn("_seq", F.lit(None).cast("bigint")).unionByName(
+        put.select(*store.columns, F.lit(True).alias("_put"), F.col(seq).cast("bigint").alias("_seq"))
+    )
+    return last_per_link(tagged, "_put", "_seq").select(*store.columns)
 
 
 def upsert_counts(store: DataFrame, incoming: DataFrame, seq: str = "ingest_seq") -> DataFrame:
@@ -91,7 +95,7 @@ def duplicate_pairs(items: DataFrame, seq: str = "ingest_seq") -> DataFrame:
         first = items.groupBy(*keys).agg(F.min(seq).alias("first_seq"), F.count(F.lit(1)).alias("n"))
         members = items.select(*keys, F.col(seq).alias("duplicate_seq"))
         return (
-            members.join(first.filter("n > 1").drop("n"), keys)
+            members.join(stored_side(first.filter("n > 1").drop("n"), "firsts"), keys)
             .filter("duplicate_seq <> first_seq")
             .select("first_seq", "duplicate_seq", F.lit(reason).alias("reason"))
         )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,12 +28,23 @@ def filter_author(items: DataFrame, author: str) -> DataFrame:
     return items.filter(F.col("author") == author)
 
 
+def _month(text: str) -> Column:
+    """First day of an instant's month: no partition of a day or month that holds it begins earlier."""
+    return F.lit(dates.utc_date(text).replace(day=1))
+
+
 def filter_dates(items: DataFrame, date_from: str = "", date_to: str = "") -> DataFrame:
-    """Publication instant within inclusive RFC 3339 bounds; ValueError for a malformed bound."""
+    """Publication instant within inclusive RFC 3339 bounds; ValueError for a malformed bound.
+
+    On the serving table the bounds are repeated for ``pub_part``, so other directories aren't read.
+    """
+    parts = "pub_part" in items.columns
     if date_from:
         items = items.filter(F.col("pub_ts") >= dates.instant(date_from))
+        items = items.filter(F.col("pub_part") >= _month(date_from)) if parts else items
     if date_to:
         items = items.filter(F.col("pub_ts") <= dates.instant(date_to))
+        items = items.filter(F.col("pub_part") <= F.lit(dates.utc_date(date_to))) if parts else items
     return items
 
 
@@ -78,11 +90,9 @@ class PageRequest:
     def start(self) -> int:
         """Rows to skip: a well-formed cursor overrides the offset, anything else is ignored."""
         start = self.offset
-        if len(self.cursor) > len(C.CURSOR_PREFIX) and self.cursor.startswith(C.CURSOR_PREFIX):
-            try:
-                start = int(self.cursor[len(C.CURSOR_PREFIX):])
-            except ValueError:
-                pass
+        found = re.fullmatch(re.escape(C.CURSOR_PREFIX) + "([+-]?[0-9]+)", self.cursor)
+        if found:
+            start = int(found[1])
         return max(start, 0)
 
 
@@ -98,12 +108,21 @@ def latest_items(items: DataFrame) -> DataFrame:
     return page_items(items, PageRequest(limit=C.MAX_PAGE))
 
 
-def keyset_page(items: DataFrame, after_ts: str, after_link: str, limit: int = C.DEFAULT_PAGE) -> DataFrame:
-    """The page behind (``after_ts``, ``after_link``): cost does not grow with page depth."""
+def keyset_page(items: DataFrame, after_ts: str | None, after_link: str, limit: int = C.DEFAULT_PAGE) -> DataFrame:
+    """The page behind (``after_ts``, ``after_link``): cost does not grow with page depth.
+
+    Undated items come last; behind one of them ``after_ts`` is None.
+    """
+    undated = F.col("pub_ts").isNull()
+    if after_ts is None:
+        return page_items(items.filter(undated & (F.col("link") > after_link)), PageRequest(limit=limit))
     ts = dates.instant(after_ts)
     behind = (F.col("pub_ts") < ts) | ((F.col("pub_ts") == ts) & (F.col("link") > after_link))
-    # the plain bound repeats what the OR implies, in a form the parquet reader can push down
-    return page_items(items.filter((F.col("pub_ts") <= ts) & behind), PageRequest(limit=limit))
+    # the plain bounds repeat what the OR implies, in a form the scan can use
+    items = items.filter((F.col("pub_ts") <= ts) | undated)
+    if "pub_part" in items.columns:
+        items = items.filter((F.col("pub_part") <= F.lit(dates.utc_date(after_ts))) | F.col("pub_part").isNull())
+    return page_items(items.filter(behind | undated), PageRequest(limit=limit))
 
 
 def items_page(
@@ -131,7 +150,7 @@ def items_page(
         )
     entry = F.struct(*(F.col(c) for c in ITEM_TEXT))
     ranked = F.struct(
-        (-F.unix_micros("pub_ts")).alias("age"), F.col("link").alias("tie"), entry.alias("item")
+        F.col("pub_ts").isNull().alias("undated"), (-F.unix_micros("pub_ts")).alias("age"), F.col("link").alias("tie"), entry.alias("item")
     )
     # at most 1000 rows reach this aggregate: the page size is capped
     page = fetched.agg(

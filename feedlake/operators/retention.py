@@ -16,13 +16,9 @@ def cutoff(now: str, retention_days: int = C.RETENTION_DAYS_DEFAULT) -> Column:
     return F.timestamp_micros(F.lit(dates.instant_us(now) - retention_days * C.DAY_US))
 
 
-def survivors(items: DataFrame, before: Column) -> DataFrame:
-    """Items a retention run keeps: published at ``before`` or later (undated items stay)."""
-    return items.filter(F.col("pub_ts").isNull() | (F.col("pub_ts") >= before))
-
-
-def deleted_count(items: DataFrame, before: Column) -> DataFrame:
-    return items.agg(F.count_if(F.col("pub_ts") < before).alias("deleted"))
+def survives(before: Column) -> Column:
+    """Whether a retention run keeps an item: published at ``before`` or later, or undated."""
+    return F.col("pub_ts").isNull() | (F.col("pub_ts") >= before)
 
 
 def age_buckets(items: DataFrame, now: str) -> DataFrame:

@@ -424,15 +424,6 @@ SQL["alert_episodes"] = _with("select * from episodes", "episodes")
 SQL["active_alerts"] = _with(
     "select * from episodes where started_at <= timestamp '2024-01-18' "
     "and (resolved_at is null or resolved_at > timestamp '2024-01-18')", "episodes")
-SQL["rate_limit"] = _with("""
-select client_id, request_id, allowed from walk""", "clients", local="""
-line as (select client_id, request_id, epoch_us(ts) as us, row_number() over (partition by client_id order by ts, request_id) as n from clients),
-walk as (
-  select client_id, request_id, us, n, true as allowed, 43200000000::bigint as level from line where n = 1
-  union all
-  select client_id, request_id, us, n, held >= 43200000000, held - case when held >= 43200000000 then 43200000000 else 0 end
-  from (select l.client_id, l.request_id, l.us, l.n, least(86400000000, w.level + l.us - w.us) as held
-    from walk w join line l on l.client_id = w.client_id and l.n = w.n + 1))""")
 SQL["client_sessions"] = _with("""
 select client_id, min(ts) as session_start, max(ts) as last_seen, max(ts) + interval 5 minute as session_end, count(*) as requests
 from (select client_id, ts, sum(fresh) over (partition by client_id order by ts rows unbounded preceding) as session
@@ -459,7 +450,6 @@ SQL["stream_http_log"] = SQL["classify_http_log"]
 SQL["stream_job_state"] = SQL["job_state"]
 SQL["stream_job_state_ttl"] = _with(
     "select * from job_states where created_at >= (select max(ts) from job_log) - interval 1 day", "job_states")
-SQL["stream_rate_limit"] = SQL["rate_limit"]
 SQL["stream_client_sessions"] = (
     "select * from (" + SQL["client_sessions"] + ") where session_end + interval 1 microsecond <= (select max(ts) from events) - interval 1 minute")
 SQL["stream_ingest"] = SQL["upsert_items"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from feedlake import constants as C
 from feedlake.functions import dates
 from feedlake.operators import alerts as A
-from feedlake.operators import cadence, clients, dedupe, jobs, metrics, ratelimit, retention, screening
+from feedlake.operators import admission, cadence, clients, dedupe, jobs, metrics, retention, screening
 from feedlake.operators import items as I
 from feedlake.operators import query as Q
 from feedlake.plans import derive as D
@@ -19,7 +19,7 @@ from feedlake.schemas import ITEM as ITEM_SCHEMA
 from feedlake.session import work_dir
 from feedlake.sources import catalog, feeds, httplog
 from feedlake.sources import items as tables
-from feedlake.streaming import ingest, limits, rollups
+from feedlake.streaming import ingest, rollups, sessions
 from feedlake.streaming import jobs as stream_jobs
 from feedlake.streaming import tables as S
 
@@ -182,43 +182,50 @@ def origin_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.select("request_id", "origin", "environment", "allowed")
 
 
-# --- filters and pages --------------------------------------------------------------------------
+# --- filters and pages: on the serving table ------------------------------------------------------
+
+
+def _served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items, written in the serving layout and scanned with their partitions."""
+    path = work_dir(spark, "served")
+    tables.write_items(D.items(spark, sf_dir), path, unit="month")
+    return tables.scan_items(spark, path, parts=True)
 
 
 @query
 def filter_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.filter_source(D.items(spark, sf_dir), "https://src1").select("link", "author", "pub_date")
+    return Q.filter_source(_served(spark, sf_dir), "https://src1").select("link", "author", "pub_date")
 
 
 @query
 def filter_author(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.filter_author(D.items(spark, sf_dir), "Unknown").select("link", "author", "pub_date")
+    return Q.filter_author(_served(spark, sf_dir), "Unknown").select("link", "author", "pub_date")
 
 
 @query
 def filter_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Q.filter_dates(D.items(spark, sf_dir), "2024-06-01T00:00:00+02:00", "2024-06-30T23:00:00Z")
+    found = Q.filter_dates(_served(spark, sf_dir), "2024-06-01T00:00:00+02:00", "2024-06-30T23:00:00Z")
     return found.select("link", "author", "pub_date")
 
 
 @query
 def filter_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.filter_keyword(D.items(spark, sf_dir), "The").select("link", "author", "pub_date")
+    return Q.filter_keyword(_served(spark, sf_dir), "The").select("link", "author", "pub_date")
 
 
 @query
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.page_items(D.items(spark, sf_dir), Q.PageRequest(limit=-1, offset=30)).select(*ITEM)
+    return Q.page_items(_served(spark, sf_dir), Q.PageRequest(limit=-1, offset=30)).select(*ITEM)
 
 
 @query
 def latest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.latest_items(D.items(spark, sf_dir)).select(*ITEM)
+    return Q.latest_items(_served(spark, sf_dir)).select(*ITEM)
 
 
 @query
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = Q.keyset_page(D.items(spark, sf_dir), "2024-06-30T12:00:00Z", "https://src2")
+    page = Q.keyset_page(_served(spark, sf_dir), "2024-06-30T12:00:00Z", "https://src2")
     return page.select("link", "pub_date")
 
 
@@ -227,14 +234,14 @@ def items_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = Q.ItemFilter(
         source="https://src", date_from="2024-05-01T00:00:00Z", date_to="2024-06-30T23:59:59Z", keyword="THE"
     )
-    page = Q.items_page(D.items(spark, sf_dir), wanted, Q.PageRequest(limit=50, cursor="offset:20"))
+    page = Q.items_page(_served(spark, sf_dir), wanted, Q.PageRequest(limit=50, cursor="offset:20"))
     return page.withColumn("items", F.to_json("items"))
 
 
 @query
 def items_page_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = Q.ItemFilter(source="https://src", keyword="the")
-    page = Q.items_page(D.items(spark, sf_dir), wanted, Q.PageRequest(limit=40, offset=10), keyword_mode="pre_page")
+    page = Q.items_page(_served(spark, sf_dir), wanted, Q.PageRequest(limit=40, offset=10), keyword_mode="pre_page")
     return page.withColumn("items", F.to_json("items"))
 
 
@@ -414,46 +421,45 @@ def active_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_alerts(A.active_alerts(_episodes(spark, sf_dir), dates.instant("2024-01-18T00:00:00Z")))
 
 
-HALF_DAY_BUCKET = ratelimit.Bucket(rate=1, cost=12 * C.HOUR_US, cap=24 * C.HOUR_US)
-
-
-@query
-def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per 12 hours, burst 2, over the whole request log."""
-    path = work_dir(spark, "requests")
-    clients.with_client_id(D.request_log(spark, sf_dir)).select("client_id", "request_id", "ts").write.parquet(path)
-    asked = spark.read.parquet(path)
-    judged = ratelimit.rate_limit(asked, HALF_DAY_BUCKET, chunk_us=7 * C.DAY_US)
-    return judged.select("client_id", "request_id", "allowed")
-
-
 @query
 def client_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sessions = clients.client_sessions(clients.with_client_id(D.request_log(spark, sf_dir)))
-    return _ntz(sessions, "session_start", "last_seen", "session_end")
+    found = clients.client_sessions(clients.with_client_id(D.request_log(spark, sf_dir)))
+    return _ntz(found, "session_start", "last_seen", "session_end")
 
 
 @query
 def queue_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ntz(ratelimit.admission_summary(D.queue_samples(spark, sf_dir)), "window_start")
+    return _ntz(admission.admission_summary(D.queue_samples(spark, sf_dir)), "window_start")
 
 
 # --- streams: each runs off what is there, and has a batch form above --------------------------------
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = D.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+STREAM_PARTS = 4
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str, order: str) -> DataFrame:
+    """A table as a stream of several files, by ``order``, one to a micro-batch."""
+    rows = D.table(spark, sf_dir, name)
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    folder = work_dir(spark, f"stream-{name}")
+    if low is None:
+        rows.write.parquet(folder)
+    else:
+        step = (high - low) / STREAM_PARTS
+        # one after the other: the source takes files by age
+        for k in range(STREAM_PARTS):
+            part = (F.col(order) >= low + k * step) & ((F.col(order) < low + (k + 1) * step) | F.lit(k == STREAM_PARTS - 1))
+            rows.where(part).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.read_events(_stream(spark, sf_dir, "events"))
+    return D.read_events(_stream(spark, sf_dir, "events", "ts"))
 
 
-def _run(stream: DataFrame, each, folder: str, mode: str = "append") -> int:
-    running = S.start(stream, each, f"{folder}/checkpoint", mode)
-    running.awaitTermination()
-    return S.newest_batch(running)
+def _run(stream: DataFrame, each, folder: str, mode: str = "append") -> None:
+    S.start(stream, each, f"{folder}/checkpoint", mode).awaitTermination()
 
 
 @query
@@ -503,25 +509,17 @@ def stream_job_state_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of jobs submitted within a day of the newest event."""
     folder = work_dir(spark, "jobs-ttl")
     log = D.job_log_from(_event_stream(spark, sf_dir))
-    last = _run(log, stream_jobs.merge_with_ttl(f"{folder}/out"), folder)
-    kept = S.read_version(spark, f"{folder}/out", last, jobs.event_states(log).schema)
+    _run(log, stream_jobs.merge_with_ttl(f"{folder}/out"), folder)
+    kept = S.read_version(spark, f"{folder}/out", S.newest_version(spark, f"{folder}/out"), jobs.event_states(log).schema)
     return _ntz(jobs.shape_state(kept), *JOB_TIMES)
 
 
-@query
-def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = work_dir(spark, "limits")
-    asked = clients.with_client_id(D.request_log_from(_event_stream(spark, sf_dir))).select("client_id", "request_id", "ts")
-    _run(asked, limits.limit_batches(f"{folder}/out", HALF_DAY_BUCKET, chunk_us=7 * C.DAY_US), folder)
-    return spark.read.parquet(f"{folder}/out/verdicts").select("client_id", "request_id", "allowed")
-
-
 @query
 def stream_client_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions closed by the watermark."""
     folder = work_dir(spark, "sessions")
     asked = clients.with_client_id(D.request_log_from(_event_stream(spark, sf_dir)))
-    closed = limits.stream_sessions(asked)
+    closed = sessions.stream_sessions(asked)
     _run(closed, S.append_changes(f"{folder}/out"), folder)
     out = S.read_changes(spark, f"{folder}/out", closed.schema).drop("batch_id")
     return _ntz(out, "session_start", "last_seen", "session_end")
@@ -531,7 +529,7 @@ def _ingest(spark: SparkSession, sf_dir: str) -> str:
     """The store as batch 0 of a landing log, then all documents streamed in on top."""
     folder = work_dir(spark, "ingest")
     tables.append_batch(D.store_items(spark, sf_dir).select(*ITEM_SCHEMA.fieldNames()), f"{folder}/landing", 0)
-    documents = D.single_entry_documents(D.raw_items_from(_stream(spark, sf_dir, "documents")))
+    documents = D.single_entry_documents(D.raw_items_from(_stream(spark, sf_dir, "documents", "doc_id")))
     _run(ingest.entries(documents), ingest.ingest_batches(f"{folder}/landing", f"{folder}/report", first_batch=1), folder)
     return folder
 

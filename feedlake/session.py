@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs rely on at scale: runtime re-planning with skew splitting, and UTC clocks.
 SETTINGS = {
@@ -16,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # microsecond timestamps carry the least and greatest value of a row group; the default form does not
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }
 
 
@@ -28,15 +29,19 @@ def build_session(app: str = "feedlake", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that a join sees a plain shuffle on this
+    side and the runtime can split a hot key on the other."""
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for tables and stream checkpoints, inside the folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only a local session may fall back to the
-    machine's own temporary folder: on a cluster other executors could not read it.
+    ``spark.checkpoint.dir`` is read from the session; where it is unset the folder lies in the
+    warehouse, which all executors share as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     return f"{base.rstrip('/')}/feedlake-{label}-{uuid.uuid4().hex}"

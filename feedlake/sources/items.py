@@ -5,7 +5,8 @@ Two layouts, both plain Spark tables:
 * a *landing log*, appended batch by batch (``batch_id`` partitions, overwritten as a whole when a
   batch is replayed, so a lost executor or a restarted stream cannot double rows);
 * a *serving table*, one row per link, partitioned by publication day (or month) with links sorted
-  inside files, so date filters skip directories and link ranges skip row groups.
+  inside files, so date filters (on a scan with ``parts``) skip directories and link ranges skip row
+  groups.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.operators.dedupe import last_per_link
+from feedlake.operators.retention import survives
 from feedlake.schemas import ITEM
 
 
@@ -60,9 +62,12 @@ def _serving(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ITEM.fromJson(ITEM.jsonValue()).add("pub_part", "date")).parquet(path)
 
 
-def scan_items(spark: SparkSession, path: str, keys_only: bool = False) -> DataFrame:
+def scan_items(spark: SparkSession, path: str, keys_only: bool = False, parts: bool = False) -> DataFrame:
+    """Stored items; with ``parts`` also ``pub_part``, which date filters and keyset pages then bound."""
     items = _serving(spark, path)
-    return items.select("link") if keys_only else items.drop("pub_part")
+    if keys_only:
+        return items.select("link")
+    return items if parts else items.drop("pub_part")
 
 
 def cleanup_items(spark: SparkSession, path: str, target: str, before: Column, unit: str = "day") -> DataFrame:
@@ -72,8 +77,8 @@ def cleanup_items(spark: SparkSession, path: str, target: str, before: Column, u
     are pruned, not read; they only enter the row count, which parquet answers from file footers.
     """
     table = _serving(spark, path)
-    alive = (F.col("pub_part") >= part_of(before, unit)) & (F.col("pub_ts") >= before)
-    write_items(table.filter(alive | F.col("pub_part").isNull()).drop("pub_part"), target, unit)
+    young = (F.col("pub_part") >= part_of(before, unit)) | F.col("pub_part").isNull()
+    write_items(table.filter(young & survives(before)).drop("pub_part"), target, unit)
     kept = scan_items(spark, target).agg(F.count(F.lit(1)).alias("n")).scalar()
     return table.agg(F.count(F.lit(1)).alias("total")).select(
         kept.alias("kept"), (F.col("total") - kept).alias("deleted")

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -47,15 +47,13 @@ def version_path(path: str, batch_id: int) -> str:
 
 
 def read_version(spark: SparkSession, path: str, batch_id: int, schema: StructType | str) -> DataFrame:
-    """State as of ``batch_id``; empty when that version was never written."""
-    try:
-        return spark.read.schema(schema).parquet(version_path(path, batch_id))
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    """State as of ``batch_id``.  Only the state before the first batch, -1, is empty: a later version
+    that is missing was lost, and reading it raises."""
+    if batch_id < 0:
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(version_path(path, batch_id))
 
 
-def newest_batch(query: StreamingQuery) -> int:
-    """Id of the last batch a finished query ran."""
-    return max((p["batchId"] for p in query.recentProgress), default=-1)
+def newest_version(spark: SparkSession, path: str) -> int:
+    """Id of the last version written under ``path``; -1 when there is none yet."""
+    return spark.read.schema("version bigint").parquet(path).agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0]

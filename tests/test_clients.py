@@ -1,4 +1,4 @@
-"""Client ids, sessions and rate limits."""
+"""Client ids, sessions and admission."""
 
 import hashlib
 import random
@@ -7,8 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedlake import constants as C
-from feedlake.operators import clients
-from feedlake.operators import ratelimit as R
+from feedlake.operators import admission, clients
 
 HEADERS = "remote_addr string, x_forwarded_for string, x_real_ip string, user_agent string, accept_language string, session_id string"
 
@@ -57,17 +56,6 @@ def random_log(seed, n, clients_, spread):
     return rows
 
 
-def brute_limit(rows, bucket, levels=None):
-    levels = dict(levels or {})
-    out = {}
-    for c, t, i in sorted(rows, key=lambda r: (r[1], r[2])):
-        level, last = levels.get(c, (bucket.cap, t))
-        level = min(bucket.cap, level + bucket.rate * max(t - last, 0))
-        out[i] = level >= bucket.cost
-        levels[c] = (level - bucket.cost if out[i] else level, max(t, last))
-    return out, levels
-
-
 def test_sessions_equal_the_walk(spark):
     rows = random_log(3, 800, 6, 20 * C.MINUTE_US)
     expected = set()
@@ -93,81 +81,8 @@ def test_idle_clients_leave_no_open_session(spark):
     assert ended.count() == 0
 
 
-def test_burst_then_denied(spark):
-    bucket = R.Bucket.per_minute(600, 5)  # ten a second
-    rows = [("c", 1_700_000_000_000_000, i) for i in range(10)]
-    got = {r.request_id: r.allowed for r in R.rate_limit(requests(spark, rows), bucket).collect()}
-    assert [got[i] for i in range(10)] == [True] * 5 + [False] * 5
-
-
-@pytest.mark.parametrize("rpm, burst, chunk_us", [
-    (10, 5, C.MINUTE_US), (10, 5, 10 * C.SECOND_US), (10, 5, C.HOUR_US), (0.5, 3, C.MINUTE_US), (7, 1, 30 * C.SECOND_US), (2, 4, C.SECOND_US),
-])
-def test_chunks_do_not_change_a_verdict(spark, rpm, burst, chunk_us):
-    bucket = R.Bucket.per_minute(rpm, burst)
-    rows = random_log(7, 900, 5, C.MINUTE_US)
-    expected, _ = brute_limit(rows, bucket)
-    got = {r.request_id: r.allowed for r in R.rate_limit(requests(spark, rows), bucket, chunk_us).collect()}
-    assert got == expected
-    assert 0 < sum(expected.values()) < len(rows)
-
-
-def test_levels_carry_over_between_parts(spark):
-    bucket = R.Bucket.per_minute(10, 5)
-    rows = sorted(random_log(11, 600, 4, C.MINUTE_US), key=lambda r: r[1])
-    expected, levels = brute_limit(rows, bucket)
-    first, second = rows[:300], rows[300:]
-    one = R.rate_limit(requests(spark, first), bucket, C.MINUTE_US)
-    carried = R.final_levels(one)
-    two = R.rate_limit(requests(spark, second), bucket, C.MINUTE_US, carried)
-    got = {r.request_id: r.allowed for r in one.collect() + two.collect()}
-    assert got == expected
-    after = {r.client_id: (r.level, r.last_us) for r in R.final_levels(two, carried).collect()}
-    assert after == levels
-
-
-def test_level_functions_agree_with_a_walk_from_every_start():
-    rng = random.Random(4)
-    for _ in range(200):
-        bucket = R.Bucket(rng.randrange(1, 4), rng.randrange(3, 9), 0)
-        bucket = R.Bucket(bucket.rate, bucket.cost, bucket.cost * rng.randrange(1, 4))
-        times, t = [], 0
-        for _ in range(rng.randrange(1, 12)):
-            t += rng.choice([0, 1, 1, 2, 3, 9])
-            times.append(t)
-        pieces = R.unpack(R.pack(R.level_function(times, bucket)))
-        assert sum(p[2] for p in pieces) <= bucket.cap // bucket.cost + 2
-        for start in range(bucket.cap + 1):
-            level, last = start, times[0]
-            for now in times:
-                level = bucket.refill(level, now - last)
-                level -= bucket.cost if level >= bucket.cost else 0
-                last = now
-            assert R.apply_pieces(pieces, start) == level
-
-
 @pytest.mark.parametrize("depth, verdict", [(0, "admit"), (31, "admit"), (32, "admit"), (33, "delay"), (39, "delay"), (40, "reject"), (50, "reject")])
 def test_admission(spark, depth, verdict):
     sample = spark.createDataFrame([(depth, 50)], "depth long, capacity long")
-    assert R.queue_admission(sample).first().verdict == verdict
-    assert R.queue_admission(sample, backpressure=False).first().verdict == "admit"
-
-
-@pytest.mark.parametrize("burst", [1, 2, 5])
-def test_a_dense_chunk_costs_about_one_step_per_request(burst):
-    import time
-
-    bucket = R.Bucket.per_minute(10, burst)
-    rng, t, times = random.Random(6), 0, []
-    for _ in range(100_000):
-        t += rng.randrange(300)
-        times.append(t)
-    began = time.process_time()
-    pieces = R.level_function(times, bucket)
-    assert time.process_time() - began < 20
-    level, last = bucket.cap // 2, times[0]
-    for now in times:
-        level = bucket.refill(level, now - last)
-        level -= bucket.cost if level >= bucket.cost else 0
-        last = now
-    assert R.apply_pieces(pieces, bucket.cap // 2) == level
+    assert admission.queue_admission(sample).first().verdict == verdict
+    assert admission.queue_admission(sample, backpressure=False).first().verdict == "admit"

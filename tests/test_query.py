@@ -55,6 +55,8 @@ def test_dates_are_inclusive_and_compare_instants(items):
     (Q.PageRequest(offset=-3), 100, 0), (Q.PageRequest(offset=3, cursor="offset:7"), 100, 7),
     (Q.PageRequest(offset=3, cursor="offset:x"), 100, 3), (Q.PageRequest(offset=3, cursor="offset:"), 100, 3),
     (Q.PageRequest(offset=3, cursor="page:9"), 100, 3), (Q.PageRequest(cursor="offset:-4"), 100, 0),
+    (Q.PageRequest(offset=3, cursor="offset:1_0"), 100, 3), (Q.PageRequest(offset=3, cursor="offset: 7"), 100, 3),
+    (Q.PageRequest(offset=3, cursor="offset:\u0667"), 100, 3), (Q.PageRequest(offset=3, cursor="offset:+8"), 100, 8),
 ])
 def test_page_parameters(request_, size, start):
     assert (request_.size, request_.start) == (size, start)
@@ -104,3 +106,28 @@ def test_empty_store_gives_an_empty_page(items):
 def test_paging_is_a_top_k_not_a_sort(items):
     plan = Q.page_items(items, Q.PageRequest(limit=5, offset=3))._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+@pytest.fixture(scope="module")
+def lenient(spark, items):
+    number = F.substring_index("link", "/", -1).cast("int")
+    none = F.lit(None).cast("timestamp")
+    return items.withColumn("pub_ts", F.when(number % 5 == 0, none).otherwise(F.col("pub_ts"))).cache()
+
+
+def test_undated_items_come_last_in_the_page_array(lenient):
+    found = Q.items_page(lenient, Q.ItemFilter(), Q.PageRequest(limit=60)).first()["items"]
+    dated = {r.link: r.pub_ts for r in lenient.collect()}
+    want = sorted(dated, key=lambda k: (dated[k] is None, -dated[k].timestamp() if dated[k] else 0, k))
+    assert [r.link for r in found] == want
+
+
+def test_a_keyset_walk_reaches_every_row(lenient):
+    seen, after = [], None
+    page = Q.page_items(lenient, Q.PageRequest(limit=7)).collect()
+    while page:
+        seen += [r.link for r in page]
+        last = page[-1]
+        after = last.pub_ts.strftime("%Y-%m-%dT%H:%M:%SZ") if last.pub_ts else None
+        page = Q.keyset_page(lenient, after, last.link, 7).collect()
+    assert len(seen) == len(set(seen)) == 60
