@@ -109,6 +109,46 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSS captures of which some are cut in the middle and some are no feed."""
+    turn = F.unix_seconds("fetched_at") % 4
+    body = F.when(turn == 1, F.left("body", (F.length("body") / 2).cast("int"))).when(turn == 2, F.lit("503 try again later")).otherwise(F.col("body"))
+    return feed_documents(spark, sf_dir).withColumn("body", body)
+
+
+def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capture of each entry, in the format that its number asks for."""
+    raw = raw_items(spark, sf_dir)
+
+    def tag(name: str, col: Column) -> Column:
+        return F.concat(F.lit(f"<{name}>"), _xml(col), F.lit(f"</{name}>"))
+
+    written = F.to_json(F.struct(
+        F.lit("https://jsonfeed.org/version/1.1").alias("version"),
+        F.array(F.struct(
+            F.col("link").alias("id"), F.col("link").alias("url"), "title", F.col("description").alias("summary"), F.col("published").alias("date_published"),
+            F.when(F.col("author").isNotNull(), F.array(F.struct(F.col("author").alias("name")))).alias("authors"),
+        )).alias("items"),
+    ))
+    atom = F.concat(
+        F.lit('<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><entry>'), tag("title", F.col("title")), F.lit('<link rel="self" href="x"/><link href="'), _xml(F.col("link")),
+        F.lit('"/>'), tag("summary", F.col("description")), tag("published", F.col("published")),
+        F.coalesce(F.concat(F.lit("<author>"), tag("name", F.col("author")), F.lit("</author>")), F.lit("")), F.lit("</entry></feed>"),
+    )
+    rdf = F.concat(
+        F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><channel/><item>'), tag("title", F.col("title")), tag("link", F.col("link")),
+        tag("description", F.col("description")), F.coalesce(tag("dc:creator", F.col("author")), F.lit("")), tag("dc:date", F.col("published")), F.lit("</item></rdf:RDF>"),
+    )
+    mailed = F.coalesce(tag("author", F.concat(F.lit("desk@example.org ("), "author", F.lit(")"))), F.lit(""))
+    rss = F.concat(
+        F.lit(_OPEN), F.lit("<item>"), tag("title", F.col("title")), tag("link", F.col("link")), tag("description", F.col("description")), mailed,
+        tag("pubDate", F.col("published")), F.lit("</item>"), F.lit(_CLOSE),
+    )
+    turn = F.col("ingest_seq") % 4
+    body = F.when(turn == 0, rss).when(turn == 1, atom).when(turn == 2, rdf).otherwise(written)
+    return raw.select("feed_url", "ingest_seq", body.alias("body"))
+
+
 def single_entry_documents(raw: DataFrame) -> DataFrame:
     """RSS captures of one entry each (narrow, so it also works on a stream)."""
     body = F.concat(F.lit(_OPEN), _entry(), F.lit(_CLOSE))

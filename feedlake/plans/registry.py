@@ -84,6 +84,19 @@ def parse_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.normalize_items(parsed).select("feed_url", *ITEM)
 
 
+@query
+def parse_mixed_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries out of captures of all four formats, each document read by its own."""
+    parsed = feeds.parse_feed_documents(D.mixed_documents(spark, sf_dir))
+    return I.normalize_items(parsed).select("feed_url", *ITEM)
+
+
+@query
+def parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures that can't be read: every fourth cut short, every fourth no feed at all."""
+    return feeds.parse_failures(D.damaged_documents(spark, sf_dir)).select("feed_url", F.unix_seconds("fetched_at").alias("fetched_s"), "reason")
+
+
 @query
 def scan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items written in the serving layout and scanned back."""

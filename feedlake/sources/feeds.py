@@ -5,55 +5,116 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fields read from an RSS 2.0 item and from an Atom entry.  A repeated element keeps its first value.
-_RSS = (
-    "channel struct<item: array<struct<"
+DIALECTS = ("rss", "atom", "rdf", "json")
+
+# Fields read from an item of each dialect.  A repeated element keeps its first value.
+_ITEM = (
     "title: array<string>, link: array<string>, description: array<string>, pubDate: array<string>, "
-    "author: array<struct<_VALUE: string, name: string>>, `dc:creator`: array<string>, `dc:date`: array<string>>>>"
+    "author: array<struct<_VALUE: string, name: string>>, `itunes:author`: array<string>, `dc:creator`: array<string>, `dc:date`: array<string>"
 )
-_ATOM = (
-    "entry array<struct<"
-    "title: array<struct<_VALUE: string>>, link: array<struct<_href: string, _rel: string, _VALUE: string>>, "
-    "summary: array<struct<_VALUE: string>>, content: array<struct<_VALUE: string>>, "
-    "published: array<string>, updated: array<string>, author: array<struct<name: string>>>>"
+_XML = {
+    "rss": f"channel struct<title: array<string>, item: array<struct<{_ITEM}>>>",
+    "rdf": f"item array<struct<{_ITEM}>>",
+    "atom": (
+        "entry array<struct<"
+        "title: array<struct<_VALUE: string>>, link: array<struct<_href: string, _rel: string, _VALUE: string>>, "
+        "summary: array<struct<_VALUE: string>>, content: array<struct<_VALUE: string>>, "
+        "published: array<string>, updated: array<string>, author: array<struct<name: string>>>>"
+    ),
+}
+_JSON = (
+    "version string, items array<struct<id: string, url: string, title: string, summary: string, content_text: string, content_html: string, "
+    "date_published: string, date_modified: string, author: struct<name: string>, authors: array<struct<name: string>>>>"
 )
+_ROW_TAG = {"rss": "rss", "rdf": "rdf:RDF", "atom": "feed"}
+_CORRUPT = "_corrupt_record"
 
 
 def _first(values: Column) -> Column:
     return F.try_element_at(values, F.lit(1))
 
 
-def parse_feed_documents(documents: DataFrame, body: str = "body", dialect: str = "rss") -> DataFrame:
+def dialect_of(body: Column) -> Column:
+    """Dialect by the root of the document; NULL when it is none of them."""
+    head = F.regexp_replace(F.ltrim(body), r"^﻿", "")
+    root = F.regexp_extract(head, r"(?s)^(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*<([A-Za-z:]+)", 1)
+    return (
+        F.when(head.startswith("{"), "json").when(root == "rss", "rss").when(root == "feed", "atom").when(root == "rdf:RDF", "rdf")
+    )
+
+
+def author_name(text: Column) -> Column:
+    """The name in ``mail (Name)`` or ``Name <mail>``, else the text as it is."""
+    bracketed = F.regexp_extract(text, r"^\s*[^\s()]+@[^\s()]+\s*\((.*)\)\s*$", 1)
+    before = F.regexp_extract(text, r"^\s*(.*?)\s*<[^<>\s]+@[^<>\s]+>\s*$", 1)
+    return F.when(bracketed != "", bracketed).when(before != "", before).otherwise(text)
+
+
+def _of_item(e: Column) -> dict[str, Column]:
+    author = _first(e["author"])
+    return {
+        "title": _first(e["title"]), "link": _first(e["link"]), "description": _first(e["description"]),
+        "author": F.coalesce(author["name"], author_name(author["_VALUE"]), _first(e["itunes:author"]), _first(e["dc:creator"])),
+        "published": F.coalesce(_first(e["pubDate"]), _first(e["dc:date"])),
+    }
+
+
+def _of_entry(e: Column) -> dict[str, Column]:
+    page = F.filter(e["link"], lambda l: l["_rel"].isNull() | (l["_rel"] == "alternate"))  # noqa: E741
+    return {
+        "title": _first(e["title"])["_VALUE"], "link": F.coalesce(_first(page)["_href"], _first(e["link"])["_href"]),
+        "description": F.coalesce(_first(e["summary"])["_VALUE"], _first(e["content"])["_VALUE"]), "author": _first(e["author"])["name"],
+        "published": F.coalesce(_first(e["published"]), _first(e["updated"])),
+    }
+
+
+def _of_json(e: Column) -> dict[str, Column]:
+    return {
+        "title": e["title"], "link": F.coalesce(e["url"], e["id"]), "description": F.coalesce(e["summary"], e["content_text"], e["content_html"]),
+        "author": F.coalesce(_first(e["authors"])["name"], e["author"]["name"]), "published": F.coalesce(e["date_published"], e["date_modified"]),
+    }
+
+
+def _read(documents: DataFrame, body: str, dialect: str) -> DataFrame:
+    """``documents`` without the body, with ``kind``, ``entries`` and ``reason`` (why it can't be read, or NULL)."""
+    if dialect not in (*DIALECTS, "detect"):
+        raise ValueError(f"unknown dialect {dialect!r}")
+    keep = [c for c in documents.columns if c != body]
+    kind = dialect_of(F.col(body)) if dialect == "detect" else F.lit(dialect)
+    kinds = DIALECTS if dialect == "detect" else (dialect,)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    xml = {**options, "ignoreSurroundingSpaces": "false", "nullValue": "\u0000", "attributePrefix": "_"}
+    docs = documents.withColumn("kind", kind)
+    for k in kinds:
+        text = F.when(F.col("kind") == k, F.col(body))
+        read = F.from_json(text, f"{_JSON}, {_CORRUPT} string", options) if k == "json" else F.from_xml(text, f"{_XML[k]}, {_CORRUPT} string", {**xml, "rowTag": _ROW_TAG[k]})
+        docs = docs.withColumn(f"read_{k}", read)
+    shape = {"rss": (lambda d: d["channel"]["item"], _of_item), "rdf": (lambda d: d["item"], _of_item), "atom": (lambda d: d["entry"], _of_entry), "json": (lambda d: d["items"], _of_json)}
+
+    def entries(k: str) -> Column:
+        values, fields = shape[k]
+        return F.transform(values(F.col(f"read_{k}")), lambda e: F.struct(*(v.alias(n) for n, v in fields(e).items())))
+
+    broken = F.coalesce(*(F.col(f"read_{k}")[_CORRUPT] for k in kinds)).isNotNull()
+    rooted = F.coalesce(*(dialect_of(F.col(body)) == k for k in kinds if dialect != "detect"), F.lit(True))
+    unread = F.when(F.col("kind").isNull() | ~rooted, "unknown format").when(broken, "malformed document")
+    return docs.select(*keep, "kind", unread.alias("reason"), F.coalesce(*(entries(k) for k in kinds)).alias("entries"))
+
+
+def parse_feed_documents(documents: DataFrame, body: str = "body", dialect: str = "detect") -> DataFrame:
     """One raw entry per item of each document; the other columns of ``documents`` are kept.
 
-    Adds ``position`` (place in the document), title, link, description, author and published.
-    A missing author stays NULL, an empty author name stays empty.  Documents that do not parse
-    give no rows.  ``dialect`` is ``rss`` (2.0) or ``atom``.
+    Adds ``position`` (place in the document), title, link, description, author and published.  A
+    missing author stays NULL, an empty author name stays empty.  ``dialect`` is ``rss`` (2.0),
+    ``atom``, ``rdf`` (RSS 1.0), ``json`` (JSON Feed), or ``detect``: each document by its root.
+    Documents that can't be read give no entries here and a row in :func:`parse_failures`.
     """
     keep = [c for c in documents.columns if c != body]
-    options = {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false", "nullValue": "\u0000", "attributePrefix": "_"}
-    if dialect == "rss":
-        parsed = documents.select(*keep, F.from_xml(F.col(body), _RSS, {**options, "rowTag": "rss"}).alias("doc"))
-        entries = parsed.select(*keep, F.posexplode("doc.channel.item").alias("position", "e"))
-        author = F.coalesce(
-            F.coalesce(_first(F.col("e.author"))["name"], _first(F.col("e.author"))["_VALUE"]), _first(F.col("e.dc:creator"))
-        )
-        fields = {
-            "title": _first(F.col("e.title")), "link": _first(F.col("e.link")),
-            "description": _first(F.col("e.description")), "author": author,
-            "published": F.coalesce(_first(F.col("e.pubDate")), _first(F.col("e.dc:date"))),
-        }
-    elif dialect == "atom":
-        parsed = documents.select(*keep, F.from_xml(F.col(body), _ATOM, {**options, "rowTag": "feed"}).alias("doc"))
-        entries = parsed.select(*keep, F.posexplode("doc.entry").alias("position", "e"))
-        page = F.filter("e.link", lambda l: l["_rel"].isNull() | (l["_rel"] == "alternate"))  # noqa: E741
-        fields = {
-            "title": _first(F.col("e.title"))["_VALUE"],
-            "link": F.coalesce(_first(page)["_href"], _first(F.col("e.link"))["_href"]),
-            "description": F.coalesce(_first(F.col("e.summary"))["_VALUE"], _first(F.col("e.content"))["_VALUE"]),
-            "author": _first(F.col("e.author"))["name"],
-            "published": F.coalesce(_first(F.col("e.published")), _first(F.col("e.updated"))),
-        }
-    else:
-        raise ValueError(f"unknown dialect {dialect!r}")
-    return entries.select(*keep, "position", *(v.alias(k) for k, v in fields.items()))
+    read = _read(documents, body, dialect).where("reason is null")
+    return read.select(*keep, F.posexplode("entries").alias("position", "e")).select(*keep, "position", "e.*")
+
+
+def parse_failures(documents: DataFrame, body: str = "body", dialect: str = "detect") -> DataFrame:
+    """One row for every document that can't be read, with the reason."""
+    keep = [c for c in documents.columns if c != body]
+    return _read(documents, body, dialect).where("reason is not null").select(*keep, "reason")
