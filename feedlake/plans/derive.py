@@ -237,8 +237,12 @@ def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_log_from(events(spark, sf_dir))
+
+
+def store_log_from(ev: DataFrame) -> DataFrame:
     """Store operations behind the fetches: a save per live fetch (k = 99 fails), then a cache write."""
-    ev = events(spark, sf_dir).filter(~F.col("event_type").isin("error", "view"))
+    ev = ev.filter(~F.col("event_type").isin("error", "view"))
     failed = F.col("k") == 99
     ops = F.when(failed, F.array(
         F.struct(F.lit("save").alias("operation"), F.lit("failed").alias("status"), (F.col("value") / 100).alias("duration_s")),
@@ -308,8 +312,12 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue_samples_from(events(spark, sf_dir))
+
+
+def queue_samples_from(ev: DataFrame) -> DataFrame:
     """A queue-depth reading per event, 0 to 50 of 50 places."""
-    return events(spark, sf_dir).select(
+    return ev.select(
         "ts", (F.col("k") % (C.QUEUE_CAPACITY + 1)).alias("depth"), F.lit(C.QUEUE_CAPACITY).cast("bigint").alias("capacity")
     )
 

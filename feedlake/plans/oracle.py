@@ -442,14 +442,34 @@ from queue_samples group by 1, 2""", "queue_samples")
 
 # --- streams: the same answers as their batch forms --------------------------------------------------
 SQL["stream_counter_rollup"] = _with("""
-select 'rss_http_requests_total' as metric, 'method=' || method || ',endpoint=' || path || ',status=' || status as labels,
-  date_trunc('hour', time) as window_start, count(*) as value from http_log group by 2, 3""", "http_log")
-SQL["stream_histogram_rollup"] = _with(f"""
-select 'rss_feed_fetch_duration_seconds' as metric, labels, window_start, round(sum(v), 6) as sum, count(*) as count, le,
-  count(*) filter (v <= bound) as bucket
-from (select 'status=' || status as labels, date_trunc('day', ts)::timestamp as window_start, duration_s as v from fetch_log),
-  (values {", ".join(f"('{b}', {b}::double)" for b in DURATION_BOUNDS)}, ('+Inf', 'infinity'::double)) b(le, bound)
-group by labels, window_start, le""", "fetch_log")
+select metric, labels, window_start, count(*) as value from (select metric, labels, date_trunc('hour', ts) as window_start from (
+  select 'rss_feed_fetch_total' as metric, 'url=' || feed_url || ',status=' || status as labels, ts from fetch_log
+  union all select 'rss_async_jobs_total', 'status=' || status, ts from job_log where status in ('completed', 'failed')
+  union all select case status when 'cache_hit' then 'rss_cache_hits_total' else 'rss_cache_misses_total' end, 'operation=get_feed_items', ts from fetch_log
+  union all select 'rss_datastore_operations_total', 'operation=' || operation || ',status=' || status, ts from store_log
+  union all select 'rss_http_requests_total', 'method=' || method || ',endpoint=' || path || ',status=' || status, time from http_log)) group by 1, 2, 3
+""", "fetch_log", "job_log", "store_log", "http_log")
+
+
+def _daily_histogram_sql(metric: str, source: str, labels: str, value: str, bounds, ts: str = "ts", where: str = "true") -> str:
+    steps = ", ".join(f"('{b}', {b}::double)" for b in bounds) + ", ('+Inf', 'infinity'::double)"
+    return f"""
+select '{metric}' as metric, labels, window_start, round(sum(v), 6) as sum, count(*) as count, le, count(*) filter (v <= bound) as bucket
+from (select {labels} as labels, ({value})::double as v, date_trunc('day', {ts})::timestamp as window_start from {source} where {where}), (values {steps}) b(le, bound)
+where v >= 0 group by labels, window_start, le"""
+
+
+SQL["stream_histogram_rollup"] = _with(" union all ".join((
+    _daily_histogram_sql("rss_feed_fetch_duration_seconds", "fetch_log", "'url=' || feed_url || ',status=' || status", "duration_s", DURATION_BOUNDS),
+    _daily_histogram_sql("rss_feed_items_count", "fetch_log", "'url=' || feed_url", "items_count", ITEM_COUNT_BOUNDS),
+    _daily_histogram_sql("rss_async_job_duration_seconds", "job_log", "'status=' || status", "duration_ms / 1000", DURATION_BOUNDS,
+                         where="status in ('completed', 'failed')"),
+    _daily_histogram_sql("rss_datastore_operation_duration_seconds", "store_log", "'operation=' || operation || ',status=' || status", "duration_s", DURATION_BOUNDS),
+    _daily_histogram_sql("rss_http_request_duration_seconds", "http_log", "'method=' || method || ',endpoint=' || path || ',status=' || status",
+                         "duration_ms / 1000", DURATION_BOUNDS, ts="time"),
+)), "fetch_log", "job_log", "store_log", "http_log")
+SQL["stream_success_rate"] = SQL["success_rate"]
+SQL["stream_alert_episodes"] = SQL["alert_episodes"]
 SQL["stream_http_log"] = SQL["classify_http_log"]
 SQL["stream_job_state"] = SQL["job_state"]
 SQL["stream_job_state_ttl"] = _with(

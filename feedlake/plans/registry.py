@@ -475,26 +475,49 @@ def _run(stream: DataFrame, each, folder: str, mode: str = "append") -> None:
     S.start(stream, each, f"{folder}/checkpoint", mode).awaitTermination()
 
 
+def _log_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Streaming forms of the four logs."""
+    ev = _event_stream(spark, sf_dir)
+    return (
+        D.fetch_log_from(ev).withColumnRenamed("feed_url", "url"), D.job_log_from(ev), D.store_log_from(ev),
+        D.http_log_from(ev).withColumnsRenamed({"path": "endpoint", "time": "ts"}),
+    )
+
+
+def _latest(spark: SparkSession, stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Run an update-mode stream into a change log and read the last row of every key."""
+    folder = work_dir(spark, label)
+    _run(stream, S.append_changes(f"{folder}/out"), folder, "update")
+    return S.read_latest(spark, f"{folder}/out", stream.schema, keys)
+
+
 @query
 def stream_counter_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HTTP request counters per hour."""
-    folder = work_dir(spark, "counters")
-    log = D.http_log_from(_event_stream(spark, sf_dir)).withColumnsRenamed({"path": "endpoint", "time": "ts"})
-    counted = rollups.stream_counters(log, C.HTTP_TOTAL, ["method", "endpoint", "status"])
-    _run(counted, S.append_changes(f"{folder}/out"), folder, "update")
-    latest = S.read_latest(spark, f"{folder}/out", counted.schema, ["metric", "labels", "window_start"])
-    return _ntz(latest, "window_start")
+    """The six counters per hour."""
+    counted = rollups.stream_counters(*_log_streams(spark, sf_dir))
+    return _ntz(_latest(spark, counted, "counters", ["metric", "labels", "window_start"]), "window_start")
 
 
 @query
 def stream_histogram_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetch duration histograms per day and status."""
-    folder = work_dir(spark, "histograms")
-    log = D.fetch_log_from(_event_stream(spark, sf_dir))
-    built = rollups.stream_histograms(log, C.FEED_FETCH_SECONDS, "duration_s", ["status"], window="1 day")
-    _run(built, S.append_changes(f"{folder}/out"), folder, "update")
-    latest = S.read_latest(spark, f"{folder}/out", built.schema, ["metric", "labels", "window_start", "le"])
-    return _ntz(latest, "window_start")
+    """The five histograms per day."""
+    built = rollups.stream_histograms(*_log_streams(spark, sf_dir))
+    return _ntz(_latest(spark, built, "histograms", ["metric", "labels", "window_start", "le"]), "window_start")
+
+
+@query
+def stream_success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = rollups.stream_success_rate(D.fetch_log_from(_event_stream(spark, sf_dir)))
+    return _ntz(_latest(spark, rate, "success", ["window_start"]), "window_start")
+
+
+@query
+def stream_alert_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes over windows that a stream keeps up to date."""
+    ev = _event_stream(spark, sf_dir)
+    windows = rollups.stream_metric_windows(D.fetch_log_from(ev), D.queue_samples_from(ev), D.store_log_from(ev))
+    latest = _latest(spark, windows, "alerts", ["window_start"])
+    return _flat_alerts(A.alert_episodes(latest, A.default_rules(store_errors=0)))
 
 
 @query

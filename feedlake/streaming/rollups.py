@@ -1,22 +1,97 @@
-"""Windowed counters and histograms over a stream."""
+"""Windowed counters, histograms, rates and alert windows over a stream.
+
+The logs of a service become one stream of observations first, so each roll-up is a single aggregate
+however many metrics it holds.  Rows later than ``delay`` behind the newest are dropped by the watermark.
+All run in update mode into a change log.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from feedlake import constants as C
-from feedlake.operators.metrics import counter_rollup, histogram_rollup
+from feedlake.operators.metrics import labels_text
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _observed(log: DataFrame, metric: str, labels: list[str], value: Column | None = None) -> DataFrame:
+    return log.select("ts", F.lit(metric).alias("metric"), labels_text(labels).alias("labels"), (F.lit(1.0) if value is None else value).cast("double").alias("value"))
+
+
+def _start(window: str) -> Column:
+    return F.window("ts", window).alias("w")
+
+
+def stream_counters(fetches: DataFrame, jobs: DataFrame, store_ops: DataFrame, http: DataFrame, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """The six counters of the service per label set and window."""
+    read = fetches.withColumn("operation", F.lit("get_feed_items"))
+    observed = _union([
+        _observed(fetches, C.FEED_FETCH_TOTAL, ["url", "status"]),
+        _observed(jobs.filter(F.col("status").isin("completed", "failed")), C.JOBS_TOTAL, ["status"]),
+        _observed(read.filter("status = 'cache_hit'"), C.CACHE_HITS_TOTAL, ["operation"]),
+        _observed(read.filter("status <> 'cache_hit'"), C.CACHE_MISSES_TOTAL, ["operation"]),
+        _observed(store_ops, C.STORE_OPS_TOTAL, ["operation", "status"]),
+        _observed(http, C.HTTP_TOTAL, ["method", "endpoint", "status"]),
+    ])
+    counted = observed.withWatermark("ts", delay).groupBy("metric", "labels", _start(window)).agg(F.count(F.lit(1)).alias("value"))
+    return counted.select("metric", "labels", F.col("w.start").alias("window_start"), "value")
+
+
+def stream_histograms(fetches: DataFrame, jobs: DataFrame, store_ops: DataFrame, http: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """The five histograms of the service per label set and window; negative values are not observed."""
+    seconds = F.col("duration_ms") / 1000
+    observed = _union([
+        _observed(fetches, C.FEED_FETCH_SECONDS, ["url", "status"], F.col("duration_s")),
+        _observed(fetches, C.FEED_ITEMS, ["url"], F.col("items_count")),
+        _observed(jobs.filter(F.col("status").isin("completed", "failed")), C.JOB_SECONDS, ["status"], seconds),
+        _observed(store_ops, C.STORE_OP_SECONDS, ["operation", "status"], F.col("duration_s")),
+        _observed(http, C.HTTP_SECONDS, ["method", "endpoint", "status"], seconds),
+    ])
+    bounds = {"d": C.DURATION_BOUNDS, "i": C.ITEM_COUNT_BOUNDS}
+    sums = observed.withWatermark("ts", delay).filter("value >= 0").groupBy("metric", "labels", _start(window)).agg(
+        F.sum("value").alias("sum"), F.count(F.lit(1)).alias("count"),
+        *(F.count_if(F.col("value") <= b).alias(f"{k}{i}") for k, steps in bounds.items() for i, b in enumerate(steps)),
+    )
+
+    def steps(k: str) -> Column:
+        return F.array(
+            *(F.struct(F.lit(str(b)).alias("le"), F.col(f"{k}{i}").alias("bucket")) for i, b in enumerate(bounds[k])),
+            F.struct(F.lit("+Inf").alias("le"), F.col("count").alias("bucket")),
+        )
+
+    unfolded = F.explode(F.when(F.col("metric") == C.FEED_ITEMS, steps("i")).otherwise(steps("d")))
+    return sums.select("metric", "labels", F.col("w.start").alias("window_start"), F.round("sum", 6).alias("sum"), "count", unfolded.alias("s")).select(
+        "metric", "labels", "window_start", "sum", "count", "s.le", "s.bucket"
+    )
+
+
+def stream_success_rate(fetches: DataFrame, window: str = "5 minutes", slide: str = "1 minute", delay: str = "1 hour") -> DataFrame:
+    """Share of successful fetches in percent over sliding windows."""
+    counted = fetches.withWatermark("ts", delay).groupBy(F.window("ts", window, slide).alias("w")).agg(
+        F.count(F.lit(1)).alias("fetches"), F.count_if(F.col("status") == "success").alias("good")
+    )
+    return counted.select(F.col("w.start").alias("window_start"), "fetches", F.round(F.col("good") / F.col("fetches") * 100, 6).alias("success_pct"))
 
 
-def stream_counters(events: DataFrame, metric: str, labels: Sequence[str], window: str = "1 hour", delay: str = "1 minute") -> DataFrame:
-    """Counts per label set and window; run in update mode into a change log, or in append mode."""
-    return counter_rollup(events.withWatermark("ts", delay), metric, labels, window)
+def stream_metric_windows(fetches: DataFrame, queue: DataFrame, store_ops: DataFrame, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """Failure rate, queue load and store errors per window: what alert rules are judged on."""
+    zero = F.lit(0)
 
+    def row(log: DataFrame, fetched: Column = zero, failed: Column = zero, load: Column = F.lit(0.0), errors: Column = zero) -> DataFrame:
+        return log.select("ts", fetched.alias("fetched"), failed.cast("int").alias("failed"), load.alias("load"), errors.cast("int").alias("errors"))
 
-def stream_histograms(
-    events: DataFrame, metric: str, value: str, labels: Sequence[str], bounds: Sequence[float] = C.DURATION_BOUNDS,
-    window: str = "1 hour", delay: str = "1 minute",
-) -> DataFrame:
-    return histogram_rollup(events.withWatermark("ts", delay), metric, value, labels, bounds, window)
+    failed = F.col("status") == "failed"
+    observed = _union([
+        row(fetches, fetched=F.lit(1), failed=failed), row(queue, load=F.col("depth") / F.col("capacity")), row(store_ops, errors=failed)
+    ])
+    summed = observed.withWatermark("ts", delay).groupBy(_start(window)).agg(
+        F.sum("fetched").alias("fetches"), F.sum("failed").alias("failures"), F.max("load").alias("queue_load"), F.sum("errors").alias("store_errors")
+    )
+    rate = F.when(F.col("fetches") > 0, F.col("failures") / F.col("fetches")).otherwise(0.0)
+    return summed.select(F.col("w.start").alias("window_start"), "fetches", "failures", "queue_load", "store_errors", rate.alias("failure_rate"))
