@@ -103,10 +103,8 @@ PRODUCTION_ORIGINS = (
     "https://yourdomain.com", "https://www.yourdomain.com", "https://api.yourdomain.com",
 )
 
-# --- request log and limits -----------------------------------------------------------------------
+# --- request log, jobs and queue -----------------------------------------------------------------------
 LOGGED_BODY_BELOW = 1024
-REQUESTS_PER_MINUTE = 10
-BURST = 5
 CLIENT_IDLE_US = 5 * MINUTE_US
 JOB_TTL_US = DAY_US
 REJECT_THRESHOLD = 0.8
@@ -135,3 +133,13 @@ ALERT_TYPES = (
     "feed_failure", "high_latency", "queue_full", "datastore_error", "cache_failure", "worker_down",
     "high_error_rate",
 )
+
+# Alerts: title and description
+ALERT_FAILURE_RATE = ("High Feed Failure Rate", "High RSS feed failure rate detected", "RSS feed failure rate has exceeded threshold")
+ALERT_QUEUE_FULL = ("Async Queue Full", "Async processing queue is full", "The async job queue has reached capacity")
+ALERT_STORE_ERRORS = ("Datastore Errors", "Datastore operation failures detected", "Multiple datastore operations have failed")
+
+# Request log messages
+LOG_SERVER_ERROR = "Request completed with server error"
+LOG_CLIENT_ERROR = "Request completed with client error"
+LOG_SUCCESS = "Request completed successfully"

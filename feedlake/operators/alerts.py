@@ -34,12 +34,12 @@ def default_rules(
 ) -> list[AlertRule]:
     labels = {"service": service}
     return [
-        AlertRule("High Feed Failure Rate", "high_error_rate", "high", "High RSS feed failure rate detected",
-                  "RSS feed failure rate has exceeded threshold", f"failure_rate > {failure_rate}", labels),
-        AlertRule("Async Queue Full", "queue_full", "medium", "Async processing queue is full",
-                  "The async job queue has reached capacity", f"queue_load >= {queue_load}", labels),
-        AlertRule("Datastore Errors", "datastore_error", "high", "Datastore operation failures detected",
-                  "Multiple datastore operations have failed", f"store_errors > {store_errors}", labels),
+        AlertRule(name, kind, severity, title, text, predicate, labels)
+        for (name, title, text), kind, severity, predicate in (
+            (C.ALERT_FAILURE_RATE, "high_error_rate", "high", f"failure_rate > {failure_rate}"),
+            (C.ALERT_QUEUE_FULL, "queue_full", "medium", f"queue_load >= {queue_load}"),
+            (C.ALERT_STORE_ERRORS, "datastore_error", "high", f"store_errors > {store_errors}"),
+        )
     ]
 
 

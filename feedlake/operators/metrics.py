@@ -152,9 +152,9 @@ def classify_http_log(log: DataFrame) -> DataFrame:
     short = lambda n: (n > 0) & (n < C.LOGGED_BODY_BELOW)
     return log.withColumns({
         "level": F.when(status >= 500, "error").when(status >= 400, "warn").otherwise("info"),
-        "message": F.when(status >= 500, "Request completed with server error")
-        .when(status >= 400, "Request completed with client error")
-        .otherwise("Request completed successfully"),
+        "message": F.when(status >= 500, C.LOG_SERVER_ERROR)
+        .when(status >= 400, C.LOG_CLIENT_ERROR)
+        .otherwise(C.LOG_SUCCESS),
         "request_body": F.when(short(request), F.col("request_body")),
         "response_body": F.when((status >= 400) & short(response), F.col("response_body")),
     })

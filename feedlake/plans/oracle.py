@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from feedlake import constants as C
 from feedlake.constants import DURATION_BOUNDS, ITEM_COUNT_BOUNDS, WHITE_SPACE_POINTS
 from feedlake.plans.derive import ENVIRONMENTS, ORIGINS, URL_SHAPES
 
@@ -16,6 +17,10 @@ def _table(name: str, text: str, *needs: str) -> None:
     _TABLES[name] = (needs, text)
 
 
+def _quoted(texts) -> str:
+    return ", ".join(f"'{t}'" for t in texts)
+
+
 def _with(text: str, *needs: str, local: str = "") -> str:
     """Prefix ``text`` with the common table expressions it needs, dependencies first."""
     order: list[str] = []
@@ -183,13 +188,14 @@ _table("screened_basic", "select *, " + _BASE_REASONS.format(
     long="", more="when contains(host, 'localhost') or contains(host, '127.0.0.1') then 'localhost URLs are not allowed'"
 ) + " as reason from url_parts", "url_parts")
 
-_EXT = "exe bat cmd com pif scr vbs js jar php asp aspx jsp cgi pl py rb sh ps1 psm1 psd1 wsf wsh".split()
-_SCRIPT = r"<script|javascript:|vbscript:|onload=|onerror=|eval[(]|alert[(]|prompt[(]|confirm[(]|document[.]|window[.]|location[.]|cookie"
+_EXT = [e.removeprefix(".") for e in C.SUSPICIOUS_EXTENSIONS]
+_SCRIPT = "|".join(t.replace("(", "[(]").replace(".", "[.]") for t in C.INJECTION_TEXTS)
+_SUFFIX = "|".join(s.removeprefix(".") for s in C.PRIVATE_SUFFIXES)
 _table("screened_strict", "select *, " + _BASE_REASONS.format(
     long="when octet_length(encode(url)) > 2048 then 'URL length exceeds maximum allowed size'",
     more=rf"""
   when regexp_matches(split_part(host, ':', 1),
-    '^(localhost|0[.]0[.]0[.]0|(10|127)[.][0-9]+[.][0-9]+[.][0-9]+|192[.]168[.][0-9]+[.][0-9]+|172[.](1[6-9]|2[0-9]|3[01])[.][0-9]+[.][0-9]+)$|[.](local|localhost|internal|corp|home|lan|priv|test|dev)$')
+    '^(localhost|0[.]0[.]0[.]0|(10|127)[.][0-9]+[.][0-9]+[.][0-9]+|192[.]168[.][0-9]+[.][0-9]+|172[.](1[6-9]|2[0-9]|3[01])[.][0-9]+[.][0-9]+)$|[.]({_SUFFIX})$')
     then 'access to private networks and localhost is not allowed'
   when regexp_matches(lower(path), '[.]({'|'.join(_EXT)})') then 'URL contains suspicious file extension'
   when len(list_filter(string_split(query, '&'), lambda p: not regexp_matches(p, '%($|.$|[^0-9a-fA-F]|.[^0-9a-fA-F])')
@@ -305,20 +311,19 @@ select page_id, shape, url, reason, {_CLEAN} as sanitised_url,
 from screened_strict""", "screened_strict")
 SQL["screening_report"] = _with("select coalesce(reason, 'ok') as reason, count(*) as urls from screened_strict group by 1", "screened_strict")
 SQL["client_key"] = _with("select request_id, client_id from clients", "clients")
-SQL["classify_http_log"] = _with("""
+SQL["classify_http_log"] = _with(f"""
 select request_id, status, case when status >= 500 then 'error' when status >= 400 then 'warn' else 'info' end as level,
-  case when status >= 500 then 'Request completed with server error' when status >= 400 then 'Request completed with client error'
-    else 'Request completed successfully' end as message,
+  case when status >= 500 then '{C.LOG_SERVER_ERROR}' when status >= 400 then '{C.LOG_CLIENT_ERROR}'
+    else '{C.LOG_SUCCESS}' end as message,
   case when octet_length(encode(request_body)) between 1 and 1023 then request_body end as request_body,
   case when status >= 400 and octet_length(encode(response_body)) between 1 and 1023 then response_body end as response_body
 from http_log""", "http_log")
 SQL["origin_audit"] = f"""
 select event_id as request_id, origin, environment,
   coalesce(origin in (select unnest(['https://partner.example', 'http://partner.example'])) or origin like '%.partner.example'
-    or case lower(environment) when 'prod' then origin in ('https://yourdomain.com', 'https://www.yourdomain.com', 'https://api.yourdomain.com')
-      when 'stage' then origin in ('https://staging.yourdomain.com', 'https://staging-api.yourdomain.com')
-      else origin in ('http://localhost:3000', 'http://localhost:3001', 'http://127.0.0.1:3000', 'http://127.0.0.1:3001',
-        'http://localhost:8080', 'https://wild.example', 'http://wild.example') or origin like '%.wild.example' end, false) as allowed
+    or case lower(environment) when 'prod' then origin in ({_quoted(C.PRODUCTION_ORIGINS)})
+      when 'stage' then origin in ({_quoted(C.STAGING_ORIGINS)})
+      else origin in ({_quoted((*C.DEVELOPMENT_ORIGINS, "https://wild.example", "http://wild.example"))}) or origin like '%.wild.example' end, false) as allowed
 from (select event_id, ({list(ORIGINS)})[(event_id % {len(ORIGINS)} + 1)::int] as origin,
   ({list(ENVIRONMENTS)})[(user_id % {len(ENVIRONMENTS)} + 1)::int] as environment from events)"""
 SQL["filter_source"] = _with(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -74,7 +75,7 @@ def main():
 
     sf_dir = sys.argv[1]
     wanted = sys.argv[2:]
-    spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="feedlake-compare-"), "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     sql = entry.oracle_sql()

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -14,7 +15,7 @@ def spark():
     session = build_session(
         "feedlake-tests", "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+            "spark.sql.shuffle.partitions": "4", "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="feedlake-tests-"), "spark.ui.enabled": "false", "spark.driver.memory": "8g",
             "spark.ui.showConsoleProgress": "false", "spark.log.level": "ERROR",
         },
     )
