@@ -122,7 +122,7 @@ select ts, 'cache_set', 'success', 0.0 from ev where event_type not in ('error',
 _table("http_log", """
 select 'req-' || event_id as request_id, ts as time, case when event_type in ('purchase', 'error') then 'POST' else 'GET' end as method,
   case event_type when 'click' then '/items' when 'view' then '/feeds' when 'signup' then '/job-status' else '/fetch-store' end as path,
-  'limit=' || k as query, case when event_type = 'error' then (case when event_id % 2 = 0 then 500 else 429 end) else 200 end::int as status,
+  'limit=' || k as query, '10.0.0.' || (user_id % 250) || ':40000' as remote_addr, 'reader/1.0' as user_agent, case when event_type = 'error' then (case when event_id % 2 = 0 then 500 else 429 end) else 200 end::int as status,
   cast(round(value * 10) as bigint) as duration_ms,
   case when event_type in ('purchase', 'error') then repeat('{body} ', k * 2) else '' end as request_body,
   case when event_type = 'error' then repeat('error', k * 4) else 'ok' end as response_body
@@ -285,7 +285,7 @@ SQL["parse_mixed_feeds"] = SQL["parse_feeds"]
 SQL["parse_failures"] = _with("""
 select feed_url, 1719792000 + capture as fetched_s, case capture % 4 when 1 then 'malformed document' else 'unknown format' end as reason
 from (select distinct feed_url, ingest_seq // 200 as capture from raw_items) where capture % 4 in (1, 2)""", "raw_items")
-SQL["scan_items"] = _with("select feed_url, link, pub_date, content_hash from items", "items")
+SQL["scan_items"] = _with("select * from items", "items")
 SQL["count_items"] = _with("select count(*) as items from items", "items")
 _COLS = "link, title, author, pub_date, content_hash"
 SQL["upsert_items"] = _with(
@@ -302,7 +302,7 @@ select feed_url, n as items, b as batch_size, ceil(n / b)::bigint as n_batches f
 SQL["cleanup"] = _with(
     "select count(*) filter (pub_us >= epoch_us(timestamp '2024-06-01')) as kept, "
     "count(*) filter (pub_us < epoch_us(timestamp '2024-06-01')) as deleted from items", "items")
-SQL["read_http_log"] = _with("select request_id, time, method, path, query, status, duration_ms from http_log", "http_log")
+SQL["read_http_log"] = _with("select * from http_log", "http_log")
 SQL["screen_urls_basic"] = _with(f"select page_id, shape, url, reason, {_CLEAN} as sanitised_url from screened_basic", "screened_basic")
 SQL["screen_urls_strict"] = _with(f"""
 select page_id, shape, url, reason, {_CLEAN} as sanitised_url,

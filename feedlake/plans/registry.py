@@ -66,15 +66,16 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feeds of all documents, written as a JSON catalog and read back."""
+    """The feeds of all documents, written as a catalog of JSON arrays and read back."""
     docs = D.table(spark, sf_dir, "documents")
     name = F.concat_ws(" ", "source", F.upper("lang"))
     known = docs.select("source", "lang").distinct().select(
         name.alias("name"), D.feed_url(F.col("source"), F.col("lang")).alias("url")
     )
     path = work_dir(spark, "catalog")
-    known.write.json(path)
-    return catalog.read_feed_catalog(spark, path, multi_line=False)
+    arrays = known.groupBy(F.expr("pmod(xxhash64(url), 4)").alias("part")).agg(F.to_json(F.collect_list(F.struct("name", "url"))).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    return catalog.read_feed_catalog(spark, path)
 
 
 @query
@@ -102,7 +103,7 @@ def scan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items written in the serving layout and scanned back."""
     path = work_dir(spark, "items")
     tables.write_items(D.items(spark, sf_dir), path, unit="month")
-    return tables.scan_items(spark, path).select("feed_url", "link", "pub_date", "content_hash")
+    return tables.scan_items(spark, path).withColumn("pub_us", F.unix_micros("pub_ts")).drop("pub_ts")
 
 
 @query
@@ -151,9 +152,7 @@ def read_http_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "httplog")
     D.http_log(spark, sf_dir).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
     log = httplog.read_http_log(spark, path)
-    return log.select(
-        "request_id", F.col("time").cast("timestamp_ntz").alias("time"), "method", "path", "query", "status", "duration_ms"
-    )
+    return _ntz(log, "time")
 
 
 # --- screening, identity, logs ------------------------------------------------------------------

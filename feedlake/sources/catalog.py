@@ -19,7 +19,7 @@ def read_feed_catalog(
     ``multi_line`` reads one JSON array per file; switch it off for one object per line.
     """
     try:
-        return spark.read.schema(FEED_SOURCE).option("multiLine", multi_line).json(path)
+        return spark.read.schema(FEED_SOURCE).option("multiLine", multi_line).json(path).select("name", "url")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

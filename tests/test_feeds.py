@@ -2,7 +2,9 @@
 
 import pytest
 
-from feedlake.sources import feeds
+from feedlake import constants as C
+from feedlake.session import work_dir
+from feedlake.sources import catalog, feeds
 
 RSS = '<?xml version="1.0"?>\n<!-- made by hand --><rss version="2.0"><channel><title>c</title><item><title>t</title><link>l</link><description>d &amp; e</description>{}<pubDate>p</pubDate></item></channel></rss>'
 ATOM = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="text">t</title><link rel="alternate" href="l"/><content>d</content><author><name>n</name></author><updated>u</updated></entry></feed>'
@@ -38,3 +40,11 @@ def test_nothing_unreadable_vanishes(spark):
     assert [r.reason for r in feeds.parse_failures(frame(spark, ATOM), dialect="rss").collect()] == ["unknown format"]
     with pytest.raises(ValueError):
         feeds.parse_failures(frame(spark, ATOM), dialect="gopher")
+
+
+def test_catalog_forms_and_fallback(spark):
+    path = work_dir(spark, "test-catalog")
+    spark.createDataFrame([('[\n {"name": "a", "url": "u"},\n {"name": "b", "url": "v"}\n]',)], "value string").coalesce(1).write.text(path)
+    assert {tuple(r) for r in catalog.read_feed_catalog(spark, path).collect()} == {("a", "u"), ("b", "v")}
+    missing = catalog.read_feed_catalog(spark, work_dir(spark, "no-catalog")).collect()
+    assert [tuple(r) for r in missing] == list(C.FALLBACK_FEEDS)
