@@ -6,13 +6,14 @@
    similarity ``t`` share a shingle of both prefixes.  A shingle of one set only has no index list.
 3. Every index list has a leader, the set with the fewest shingles of its own.  Each set of the list is
    compared with its leaders only, so a list of k sets costs k comparisons.  Linked sets form groups.
-4. A list whose sets are all in one group by now is skipped: its answers are known.  In the others the
-   sets outside the list's largest group are held against the rest of the list.  Lists are cut into
-   blocks by set size; blocks too small or too large are skipped, and within a block the places of the
-   shared shingle bound the overlap.
-5. Answers of a set are derived from those of its leader L: with the overlaps of y and z with L known,
-   ``|y L| + |z L| - |L| <= |y z| <= min(|y L|, |z L|) + min(|y - L|, |z - L|)``.  Often that settles a
-   pair; only the others are compared shingle by shingle.
+4. The lists of one leader make one index list of the sets compared with it, each with its difference
+   from the leader.  A leader whose sets are all in one group by now is skipped: their answers are known.
+   Elsewhere the sets outside the largest group are held against the others.  A leader's list lies in
+   blocks by set size; blocks too small or too large are skipped, then sets whose place, by overlap with
+   the leader and length of the difference, rules a link out.
+5. What is left is derived from the leader's answers: with differences dy and dz from the leader L, the
+   overlap of y and z is ``|y L| + |z L| - |L| + |dy dz|`` (over shingles that others have too), so only
+   the short differences are met, never the sets.
 
 No link between different texts is lost; within a group links that can't change it are not made.
 Shingles are compared by 48-bit hashes in prefixes and overlaps, by two 64-bit sums over whole sets in
@@ -153,11 +154,23 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64())], ["a", "b", "both"])
 
 
-def compared(pairs: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the size of the overlap and of both sets."""
+def _differences(batches):
+    """What each set has and its leader lacks, or the other way round (odd), and the leader's size."""
+    for batch in batches:
+        differences, sizes = [], []
+        for x, y in zip(batch.column("a_shared").to_pylist(), batch.column("b_shared").to_pylist()):
+            x, y = _unfold(x), _unfold(y)
+            more, less = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+            differences.append(np.concatenate([more * np.uint64(2), less * np.uint64(2) + np.uint64(1)]).astype(np.int64))
+            sizes.append(len(y))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(differences, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["a", "b", "difference", "b_shared"])
+
+
+def compared(pairs: DataFrame, indexed: DataFrame, by=_overlaps, gives: str = "both bigint") -> DataFrame:
+    """Pairs (a, b) with the size of the overlap, or what else ``by`` makes of the two sets."""
     side = lambda c: indexed.select(F.col("node").alias(c), F.col("shared").alias(f"{c}_shared"))
-    counted = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_shared", "b_shared").mapInArrow(_overlaps, "a bigint, b bigint, both bigint")
-    return pairs.join(counted, ["a", "b"])
+    met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_shared", "b_shared")
+    return pairs.join(met.mapInArrow(by, f"a bigint, b bigint, {gives}"), ["a", "b"])
 
 
 def similar(both, a, b, percent: int):
@@ -190,11 +203,11 @@ def jaccard_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, b
         .select("shingle", F.col("one.node").alias("b"), F.col("one.n").alias("b_n")), "jaccard-leaders",
     )
     near = lists.select("shingle", F.col("node").alias("a"), F.col("n").alias("a_n")).join(leaders, "shingle").where("a <> b")
-    near = near.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")).select("a", "b", "a_n", "b_n").distinct()
+    near = near.select("a", "b", "a_n", "b_n").distinct()
     held = materialise(compared(materialise(near, "jaccard-near"), indexed), "jaccard-held")
     links = materialise(held.where(similar(F.col("both"), F.col("a_n"), F.col("b_n"), percent)).select("a", "b", "a_n", "b_n", "both"), "jaccard-links")
     groups = components(links, "jaccard-groups")
-    more = _between_groups(indexed, groups, held, links, percent)
+    more = _between_groups(indexed, groups, held, percent)
     groups = components(links.select("a", "b").unionByName(more), "jaccard-groups")
 
     joined = classes.join(groups, "node", "left").select("sums", "n", "doc_id", F.coalesce("component", "node").alias("component"))
@@ -208,48 +221,35 @@ def jaccard_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, b
     )
 
 
-def _between_groups(indexed: DataFrame, groups: DataFrame, held: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _between_groups(indexed: DataFrame, groups: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between sets that the leaders have not brought together."""
-    member = materialise(
-        indexed.select("node", "n", "own", "prefix").join(groups, "node", "left").select(
-            "node", "n", F.coalesce("component", "node").alias("component"), "own", "prefix",
-            # ranges of sizes by the ratio that links allow: partners are in this one or the next
-            F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent + 1e-9))).alias("range"),
-        ), "jaccard-member",
+    component = lambda c, name: groups.select(F.col("node").alias(c), F.col("component").alias(name))
+    # a leader is on its own list, without a difference
+    own = held.select(F.col("b").alias("a"), "b", F.col("b_n").alias("a_n"), "b_n").distinct().withColumn("both", F.lit(None).cast("bigint"))
+    listed = held.select("a", "b", "a_n", "b_n", "both").unionByName(own).join(component("a", "known"), "a", "left")
+    listed = materialise(listed.withColumn("group", F.coalesce("known", "a")).drop("known"), "jaccard-listed")
+    sizes = listed.groupBy("b", "group").agg(F.count(F.lit(1)).alias("sets")).groupBy("b").agg(
+        F.max_by("group", F.struct("sets", "group")).alias("largest"), F.count(F.lit(1)).alias("groups")
+    )
+    mixed = materialise(sizes.where("groups > 1").select("b", "largest"), "jaccard-mixed")
+    if mixed.isEmpty():
+        return held.select("a", "b").limit(0)
+    lists = materialise(listed.join(mixed, "b"), "jaccard-lists")
+    made = compared(lists.select("a", "b", "a_n", "both", "group", "largest"), indexed, _differences, "difference array<bigint>, b_shared bigint")
+    # ranges of sizes by the ratio that links allow: partners are in this one or the next
+    size = F.floor(F.log(F.col("a_n").cast("double")) / F.log(F.lit(100 / percent + 1e-9)))
+    made = materialise(made.withColumn("both", F.coalesce("both", "b_shared")).withColumn("range", size), "jaccard-differences")
+    side = lambda c: [F.col(k).alias(f"{c}_{k}") for k in ("both", "group", "difference")]
+    x = made.where("group <> largest").select(
+        F.col("b").alias("leader"), F.col("a").alias("x"), F.col("a_n").alias("x_n"), *side("x"), "b_shared", F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)).alias("range")
     )
-    lists = member.select("node", "n", "component", "range", (F.posexplode("prefix").alias("at", "shingle")), "own")
-    lists = lists.select("shingle", "node", "n", "component", "range", (F.col("at") + F.col("own")).alias("at"))
-    mixed = lists.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("shingle")
-    mixed = materialise(mixed, "jaccard-mixed")
-    lists = materialise(lists.join(mixed, "shingle", "left_semi"), "jaccard-lists")
-    largest = lists.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("sets")).groupBy("shingle").agg(F.max_by("component", F.struct("sets", "component")).alias("largest"))
-    largest = materialise(largest, "jaccard-largest")
-    outside = materialise(lists.join(largest, "shingle").where("component <> largest").drop("largest"), "jaccard-outside")
-
-    a = outside.select("shingle", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_group"), F.col("at").alias("a_at"), F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)).alias("range"))
-    b = lists.join(largest, "shingle").select(
-        "shingle", "range", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_group"), F.col("at").alias("b_at"), (F.col("component") != F.col("largest")).alias("b_outside")
+    y = made.select(F.col("b").alias("leader"), "range", F.col("a").alias("y"), F.col("a_n").alias("y_n"), *side("y"), (F.col("group") != F.col("largest")).alias("y_outside"))
+    through = F.col("x_both") + F.col("y_both") - F.col("b_shared")
+    in_reach = (
+        (F.col("x_group") != F.col("y_group")) & (~F.col("y_outside") | (F.col("x") < F.col("y")))
+        & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
+        & similar(through + F.least(F.size("x_difference"), F.size("y_difference")), F.col("x_n"), F.col("y_n"), percent)
     )
-    need = F.ceil(percent * (F.col("a_n") + F.col("b_n")) / F.lit(100 + percent))
-    reach = F.least("a_at", "b_at") + 1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) - 1
-    pairs = a.join(b, ["shingle", "range"]).where(
-        (F.col("a_group") != F.col("b_group")) & (~F.col("b_outside") | (F.col("a") < F.col("b")))
-        & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (reach >= need)
-    ).select("a", "b", "a_n", "b_n").distinct()
-    met = held.select("a", "b").unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = materialise(pairs.join(met, ["a", "b"], "left_anti"), "jaccard-pairs")
-    if pairs.isEmpty():
-        return pairs.select("a", "b")
-
-    best = held.groupBy(F.col("a").alias("node")).agg(F.max_by(F.struct(F.col("b").alias("leader"), "both", F.col("b_n").alias("size")), F.struct("both", "b")).alias("by"))
-    best = materialise(best, "jaccard-best")
-    side = lambda c: best.select(F.col("node").alias(c), F.col("by").alias(f"{c}_by"))
-    told = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    same = F.coalesce(F.col("a_by.leader") == F.col("b_by.leader"), F.lit(False))
-    x, y = F.col("a_by.both"), F.col("b_by.both")
-    surely = same & similar(x + y - F.col("a_by.size"), F.col("a_n"), F.col("b_n"), percent)
-    hardly = same & ~similar(F.least(x, y) + F.least(F.col("a_n") - x, F.col("b_n") - y), F.col("a_n"), F.col("b_n"), percent)
-    told = materialise(told.select("a", "b", "a_n", "b_n", surely.alias("surely"), hardly.alias("hardly")), "jaccard-told")
-    rest = compared(told.where("not surely and not hardly").select("a", "b", "a_n", "b_n"), indexed)
-    rest = rest.where(similar(F.col("both"), F.col("a_n"), F.col("b_n"), percent))
-    return materialise(told.where("surely").select("a", "b").unionByName(rest.select("a", "b")), "jaccard-more")
+    met = through + F.size(F.array_intersect("x_difference", "y_difference"))
+    linked = F.when(in_reach, similar(met, F.col("x_n"), F.col("y_n"), percent)).otherwise(False)
+    return materialise(x.join(y, (x.leader == y.leader) & (x.range == y.range) & linked).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "jaccard-more")
