@@ -2,8 +2,9 @@
 
 Two layouts, both plain Spark tables:
 
-* a *landing log*, appended batch by batch (``batch_id`` partitions, overwritten as a whole when a
-  batch is replayed, so a lost executor or a restarted stream cannot double rows);
+* a *landing log*, appended batch by batch (partitions by a hash bucket of the link and ``batch_id``,
+  overwritten as a whole when a batch is replayed, so a lost executor or a restarted stream cannot double
+  rows; a batch looks up only the buckets of its own links);
 * a *serving table*, one row per link, partitioned by publication day (or month) with links sorted
   inside files, so date filters (on a scan with ``parts``) skip directories and link ranges skip row
   groups.
@@ -20,24 +21,38 @@ from feedlake.schemas import ITEM
 
 
 
+BUCKETS = 16
+
+
+def bucket_of(link: Column) -> Column:
+    return F.pmod(F.xxhash64(link), F.lit(BUCKETS)).cast("int")
+
+
 def append_batch(batch: DataFrame, path: str, batch_id: int) -> None:
     """Write one batch of the landing log; a replay of the same batch replaces it."""
-    batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("batch_id").parquet(path)
+    parts = batch.withColumn("bucket", bucket_of(F.col("link"))).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    parts.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(path)
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    schema = ITEM.fromJson(ITEM.jsonValue()).add("batch_id", "long")
+    schema = ITEM.fromJson(ITEM.jsonValue()).add("bucket", "integer").add("batch_id", "long")
     return spark.read.schema(schema).parquet(path)
 
 
+def compact(spark: SparkSession, path: str, target: str, before_batch: int) -> None:
+    """Write the log to ``target`` with one row per link for all batches before ``before_batch``, as the
+    last of those, and the later batches as they are."""
+    append_batch(read_landed_items(spark, path, before_batch), target, before_batch - 1)
+    later = read_landing(spark, path).filter(F.col("batch_id") >= before_batch)
+    later.write.mode("append").partitionBy("bucket", "batch_id").parquet(target)
+
+
 def read_landed_items(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
     """Current version of every link in the landing log."""
     log = read_landing(spark, path)
     if before_batch is not None:
         log = log.filter(F.col("batch_id") < before_batch)
-    return last_per_link(log, "batch_id", "ingest_seq").drop("batch_id")
+    return last_per_link(log, "batch_id", "ingest_seq").drop("bucket", "batch_id")
 
 
 def part_of(pub_ts: Column, unit: str) -> Column:

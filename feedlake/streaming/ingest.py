@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedlake.operators.dedupe import drop_known, last_per_link
 from feedlake.operators.items import is_valid_item, normalize_items
 from feedlake.sources.feeds import parse_feed_documents
-from feedlake.sources.items import append_batch, read_landing
+from feedlake.sources.items import append_batch, bucket_of, read_landing
 from feedlake.schemas import ITEM
 
 
@@ -31,8 +31,8 @@ def ingest_batches(
     """foreachBatch body over :func:`entries`.
 
     Survivors are appended to the landing log under ``path``; per batch one row of counts goes to
-    ``report``.  Only stored rows whose link occurs in the batch are looked at, and of those only the
-    columns the duplicate test needs.
+    ``report``.  Only buckets with a link of the batch are read, and of their rows only the columns the
+    duplicate test needs.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -44,7 +44,9 @@ def ingest_batches(
             survivors = offered
             if dedupe and number > 0:
                 links = offered.select("link").distinct()
-                landed = read_landing(spark, path).filter(F.col("batch_id") < number)
+                # no more than BUCKETS rows
+                buckets = [r.bucket for r in links.select(bucket_of(F.col("link")).alias("bucket")).distinct().collect()]
+                landed = read_landing(spark, path).filter((F.col("batch_id") < number) & F.col("bucket").isin(buckets))
                 stored = landed.select("link", "title", "author", "content_hash", "ingest_seq", "batch_id")
                 stored = last_per_link(stored.join(links, "link", "left_semi"), "batch_id", "ingest_seq")
                 survivors = drop_known(offered, stored)

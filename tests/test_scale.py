@@ -8,6 +8,7 @@ from feedlake.functions import dates
 from feedlake.operators import dedupe
 from feedlake.operators import query as Q
 from feedlake.plans import registry
+from feedlake.schemas import ITEM
 from feedlake.session import work_dir
 from feedlake.sources import items as tables
 from feedlake.streaming import tables as S
@@ -80,3 +81,23 @@ def test_streams_run_several_batches(spark):
     stream = registry._event_stream(spark, "/root/testdata/sf0.001")
     registry._run(stream, lambda batch, number: seen.append((number, batch.count())), work_dir(spark, "test-batches"))
     assert len(seen) >= 3 and sum(n for _, n in seen) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_a_batch_reads_the_buckets_of_its_links(spark):
+    path = work_dir(spark, "test-landing")
+    row = lambda link, n: ("f", "t", link, "d", "a", "p", None, "h", n)
+    frame = lambda rows: spark.createDataFrame(rows, ITEM)
+    tables.append_batch(frame([row(f"l{i}", i) for i in range(200)]), path, 0)
+    tables.append_batch(frame([row("l1", 300), row("new", 301)]), path, 1)
+    tables.append_batch(frame([row("l1", 300), row("new", 301)]), path, 1)
+    landed = tables.read_landing(spark, path)
+    assert landed.count() == 202 and tables.read_landed_items(spark, path).count() == 201
+    bucket = landed.where("link = 'new'").first().bucket
+    some = landed.filter(F.col("bucket").isin([bucket]))
+    assert "bucket" in plan(some).split("PartitionFilters")[1].split("]")[0] and some.count() < 50
+    tables.append_batch(frame([row("l2", 400)]), path, 2)
+    tables.compact(spark, path, f"{path}-small", 2)
+    small = tables.read_landing(spark, f"{path}-small")
+    assert small.count() == 202 and {r.batch_id for r in small.select("batch_id").distinct().collect()} == {1, 2}
+    key = lambda df: sorted((r.link, r.ingest_seq) for r in df.collect())
+    assert key(tables.read_landed_items(spark, f"{path}-small")) == key(tables.read_landed_items(spark, path))
