@@ -29,6 +29,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedlake.llm.shared import map_arrow
+
 # --- fixed values: lower case of letters added in Unicode 16 and 17, which Python's tables do not have yet
 LATER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
 LATER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
@@ -200,4 +202,4 @@ def encode_documents(docs: DataFrame, vocabulary: bytes) -> DataFrame:
                     ids, codes, texts, size = [], [], [], 0
             yield out(ids, codes, texts)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(encode, "doc_id bigint, ids binary, decoded string")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).transform(map_arrow, encode, "doc_id bigint, ids binary, decoded string")

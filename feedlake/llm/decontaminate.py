@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from feedlake.llm import hashing
 from feedlake.llm.jaccard_join import sequences
-from feedlake.llm.shared import materialise
+from feedlake.llm.shared import map_arrow, materialise
 from feedlake.llm.words import LOWER, NO_WORD, parts, spans
 
 WINDOW, RUN, LEAST = 8, 13, 5
@@ -177,7 +177,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     placeholders hold other values than the item's.
     """
     spark = docs.sparkSession
-    items = materialise(benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_item_windows, ITEMS), "decontaminate-items")
+    items = materialise(benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).transform(map_arrow, _item_windows, ITEMS), "decontaminate-items")
     # at most FILTER_BITS rows, and at most WINDOW widths
     set_bits = items.select(F.expr(f"pmod(hash, {FILTER_BITS})").alias("bit")).distinct().toPandas()["bit"].to_numpy()
     widths = sorted(r.width for r in items.select("width").distinct().collect())
@@ -185,7 +185,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     table[set_bits] = 1
     sent = spark.sparkContext.broadcast(np.packbits(table, bitorder="little"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    windows = materialise(texts.mapInArrow(_document_windows(sent, widths), DOCUMENT_WINDOWS), "decontaminate-windows")
+    windows = materialise(texts.transform(map_arrow, _document_windows(sent, widths), DOCUMENT_WINDOWS), "decontaminate-windows")
 
     met = windows.join(items, ["width", "hash"]).select(
         "doc_id", "text_key", "item_id", "tokens", "width", "at", (F.col("doc_at") - F.col("at")).alias("shift"), F.arrays_zip(F.col("slots").alias("own"), F.col("doc_slots").alias("other")).alias("pairs"),

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.llm import hashing
-from feedlake.llm.shared import materialise, next_block_id, partitions
+from feedlake.llm.shared import map_arrow, materialise, next_block_id, partitions
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -88,10 +88,10 @@ def exact_groups(docs: DataFrame, carry: str | None = None) -> DataFrame:
     )
     n = partitions(spark)
     codes = materialise(
-        marks.select("row_id", "sha").mapInArrow(_codes(n), "block_id bigint, owner int, low string, code binary, row_ids binary"), "exact-codes"
+        marks.select("row_id", "sha").transform(map_arrow, _codes(n), "block_id bigint, owner int, low string, code binary, row_ids binary"), "exact-codes"
     )
-    answers = codes.select("block_id", "owner", "low", "code").repartitionById(n, "owner").mapInArrow(_repeats, "block_id bigint, owner int, seen binary")
-    found = codes.select("block_id", "owner", "row_ids").join(answers, ["block_id", "owner"]).select("row_ids", "seen").mapInArrow(_suspects, "row_id bigint")
+    answers = codes.select("block_id", "owner", "low", "code").repartitionById(n, "owner").transform(map_arrow, _repeats, "block_id bigint, owner int, seen binary")
+    found = codes.select("block_id", "owner", "row_ids").join(answers, ["block_id", "owner"]).select("row_ids", "seen").transform(map_arrow, _suspects, "row_id bigint")
     suspects = materialise(marks.join(found, "row_id", "left_semi"), "exact-suspects")
 
     wanted = suspects.select(F.col("doc_id").alias("wanted")).distinct()

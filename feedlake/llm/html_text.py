@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.shared import materialise
+from feedlake.llm.shared import map_arrow, materialise
 
 RAW = "script style textarea title noscript template iframe xmp noembed noframes svg math".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -239,7 +239,7 @@ def _texts(batches):
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """host, path: the container path that each host's pages agree on."""
-    votes = pages.where("host is not null").select("host", "html").mapInArrow(_votes, "host string, path string, score bigint")
+    votes = pages.where("host is not null").select("host", "html").transform(map_arrow, _votes, "host string, path string, score bigint")
     summed = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("score").alias("score"))
     return summed.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), -F.col("score"), F.col("path"))).alias("path"))
 
@@ -251,4 +251,4 @@ def extract(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.when(host != "", host).alias("host")
     )
     winners = materialise(host_paths(pages), "html-paths")
-    return pages.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(_texts, "page_id bigint, url string, text string")
+    return pages.join(winners, "host", "left").select("page_id", "url", "html", "path").transform(map_arrow, _texts, "page_id bigint, url string, text string")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.llm import hashing
-from feedlake.llm.shared import NO_ID, bucketed, components, materialise, pack_blocks, partitions, with_replies
+from feedlake.llm.shared import NO_ID, bucketed, components, map_arrow, materialise, pack_blocks, partitions, with_replies
 from feedlake.llm.suffix_dedup import BITS, CODES, _blocks, add_up, hash_codes, replies_of
 
 WORDS = 5
@@ -141,7 +141,8 @@ def _indexed(size: int, percent: int):
     return indexed
 
 
-def _unfold(data: bytes) -> np.ndarray:
+def _unfold(cell: pa.BinaryScalar) -> np.ndarray:
+    data = cell.as_buffer()
     wide = np.zeros((len(data) // 6, 8), np.uint8)
     wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
     return wide.view("<u8").ravel()
@@ -149,8 +150,7 @@ def _unfold(data: bytes) -> np.ndarray:
 
 def _overlaps(batches):
     for batch in batches:
-        a, b = batch.column("a_shared").to_pylist(), batch.column("b_shared").to_pylist()
-        both = [len(np.intersect1d(_unfold(x), _unfold(y), assume_unique=True)) for x, y in zip(a, b)]
+        both = [len(np.intersect1d(_unfold(x), _unfold(y), assume_unique=True)) for x, y in zip(batch.column("a_shared"), batch.column("b_shared"))]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64())], ["a", "b", "both"])
 
 
@@ -158,7 +158,7 @@ def _differences(batches):
     """What each set has and its leader lacks, or the other way round (odd), and the leader's size."""
     for batch in batches:
         differences, sizes = [], []
-        for x, y in zip(batch.column("a_shared").to_pylist(), batch.column("b_shared").to_pylist()):
+        for x, y in zip(batch.column("a_shared"), batch.column("b_shared")):
             x, y = _unfold(x), _unfold(y)
             more, less = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
             differences.append(np.concatenate([more * np.uint64(2), less * np.uint64(2) + np.uint64(1)]).astype(np.int64))
@@ -170,7 +170,7 @@ def compared(pairs: DataFrame, indexed: DataFrame, by=_overlaps, gives: str = "b
     """Pairs (a, b) with the size of the overlap, or what else ``by`` makes of the two sets."""
     side = lambda c: indexed.select(F.col("node").alias(c), F.col("shared").alias(f"{c}_shared"))
     met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_shared", "b_shared")
-    return pairs.join(met.mapInArrow(by, f"a bigint, b bigint, {gives}"), ["a", "b"])
+    return pairs.join(met.transform(map_arrow, by, f"a bigint, b bigint, {gives}"), ["a", "b"])
 
 
 def similar(both, a, b, percent: int):
@@ -184,7 +184,7 @@ def jaccard_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, b
     n = partitions(docs.sparkSession)
     blocks = bucketed(pack_blocks(docs, block_bytes), "jaccard_blocks")
     rows = materialise(
-        blocks.select("block_id", "ids", "lengths", "body").mapInArrow(_sets(size), "block_id bigint, place int, doc_id bigint, n bigint, sums binary")
+        blocks.select("block_id", "ids", "lengths", "body").transform(map_arrow, _sets(size), "block_id bigint, place int, doc_id bigint, n bigint, sums binary")
         .withColumn("row_id", F.monotonically_increasing_id()), "jaccard-rows",
     )
     classes = materialise(
@@ -193,9 +193,9 @@ def jaccard_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, b
     )
     chosen = classes.groupBy("block_id").agg(F.collect_list(F.struct("place", "node")).alias("chosen"))
     sets = blocks.join(chosen.hint("shuffle_hash"), "block_id")
-    codes = sets.mapInArrow(_set_codes(n, size), CODES).repartitionById(n, "owner")
-    totals = codes.mapInArrow(add_up, "block_id bigint, owner int, reply binary")
-    indexed = materialise(with_replies(sets, totals).mapInArrow(_indexed(size, percent), INDEXED), "jaccard-indexed")
+    codes = sets.transform(map_arrow, _set_codes(n, size), CODES).repartitionById(n, "owner")
+    totals = codes.transform(map_arrow, add_up, "block_id bigint, owner int, reply binary")
+    indexed = materialise(with_replies(sets, totals).transform(map_arrow, _indexed(size, percent), INDEXED), "jaccard-indexed")
 
     lists = indexed.select("node", "n", "own", F.posexplode("prefix").alias("at", "shingle")).withColumn("at", F.col("at") + F.col("own"))
     leaders = materialise(

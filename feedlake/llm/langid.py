@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedlake.llm.shared import map_arrow
 from feedlake.llm.words import LOWER, NO_WORD, parts
 
 BITS = 12
@@ -94,7 +95,7 @@ def learn(known: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> d
     by_language = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not by_language:
         return None
-    frequency = {r.place: r.docs for r in known.select("text").mapInArrow(_frequencies, "place int, docs bigint").groupBy("place").agg(F.sum("docs").alias("docs")).collect()}
+    frequency = {r.place: r.docs for r in known.select("text").transform(map_arrow, _frequencies, "place int, docs bigint").groupBy("place").agg(F.sum("docs").alias("docs")).collect()}
     docs = np.array([frequency.get(i, 0) for i in range(DIM)])
     idf = (np.log((1 + frequency[-1]) / (1 + docs)) + 1).astype(np.float32)
     share = F.create_map(*(x for lang, n in by_language.items() for x in (F.lit(lang), F.lit(int(min(1.0, sample / n) * 1_000_000)))))
@@ -105,7 +106,7 @@ def learn(known: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> d
             for a, b, counted in _counted(batch, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([v.tobytes() for v in vectors(counted, idf)], pa.binary())], ["lang", "vector"])
 
-    rows = chosen.select("lang", "text").mapInArrow(vectorise, "lang string, vector binary").collect()
+    rows = chosen.select("lang", "text").transform(map_arrow, vectorise, "lang string, vector binary").collect()
     languages, centroids, radii = [], [], []
     for lang in sorted({r.lang for r in rows}):
         points = np.stack(sorted((np.frombuffer(r.vector, np.float32) for r in rows if r.lang == lang), key=lambda v: v.tobytes()))
@@ -141,7 +142,7 @@ def predict(docs: DataFrame, model: dict | None, reject: bool = False) -> DataFr
                 )
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    found = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), letters.alias("letters")).mapInArrow(
+    found = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), letters.alias("letters")).transform(map_arrow, 
         classify, "doc_id bigint, letters boolean, best string, cosine double, rejected boolean"
     )
     sure = F.col("letters") & F.col("best").isNotNull()

@@ -6,6 +6,7 @@ tasks it held and nothing else.
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import tempfile
@@ -72,6 +73,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_arrow(df: DataFrame, task, schema: str) -> DataFrame:
+    """``df.mapInArrow`` whose tasks hand the memory they have freed back to the system: a worker lives on
+    between tasks, and what its allocators keep would stay beside the next operator's."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row bounds (n + 1) and bytes of a string column; a null row is empty."""
     if column.null_count:
@@ -124,7 +141,7 @@ def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if ids:
             yield block()
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(pack, BLOCK_SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).transform(map_arrow, pack, BLOCK_SCHEMA)
 
 
 def bucketed(blocks: DataFrame, label: str) -> DataFrame:

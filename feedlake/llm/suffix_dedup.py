@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.llm import hashing
-from feedlake.llm.shared import NO_ID, bucketed, materialise, pack_blocks, partitions, with_replies
+from feedlake.llm.shared import NO_ID, bucketed, map_arrow, materialise, pack_blocks, partitions, with_replies
 
 LENGTH = 50
 ANCHOR = 20
@@ -574,21 +574,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     blocks = bucketed(pack_blocks(docs, block_bytes), "suffix_blocks")
 
     def totals(codes: DataFrame) -> DataFrame:
-        return codes.repartitionById(n, "owner").mapInArrow(add_up, "block_id bigint, owner int, reply binary")
+        return codes.repartitionById(n, "owner").transform(map_arrow, add_up, "block_id bigint, owner int, reply binary")
 
     def merged(runs: DataFrame) -> DataFrame:
-        answers = runs.select("block_id", "owner", "hot", "shared", "rests", "body", "ids", "counts").repartitionById(n, "owner").mapInArrow(_merge_answers(length), ANSWER)
+        answers = runs.select("block_id", "owner", "hot", "shared", "rests", "body", "ids", "counts").repartitionById(n, "owner").transform(map_arrow, _merge_answers(length), ANSWER)
         return runs.drop("shared", "rests", "body", "ids").join(answers, ["block_id", "owner", "hot"])
 
-    anchors = totals(blocks.select("block_id", "ids", "lengths", "body").mapInArrow(_anchor_codes(n, length), CODES))
-    strings = materialise(with_replies(blocks, anchors).mapInArrow(_anchor_strings(n, length, hot), STRINGS), "suffix-strings")
-    verdicts = materialise(merged(strings).mapInArrow(_anchor_verdicts(length), VERDICT), "suffix-verdicts")
+    anchors = totals(blocks.select("block_id", "ids", "lengths", "body").transform(map_arrow, _anchor_codes(n, length), CODES))
+    strings = materialise(with_replies(blocks, anchors).transform(map_arrow, _anchor_strings(n, length, hot), STRINGS), "suffix-strings")
+    verdicts = materialise(merged(strings).transform(map_arrow, _anchor_verdicts(length), VERDICT), "suffix-verdicts")
     gone = verdicts.select("block_id", "owner", "gone")
     left = verdicts.where(F.octet_length("open") > 0).select("block_id", F.struct("owner", F.col("open").alias("reply")).alias("open"))
     if not left.isEmpty():
         opened = blocks.join(left.groupBy("block_id").agg(F.collect_list("open").alias("open")).hint("shuffle_hash"), "block_id")
-        counted = totals(opened.mapInArrow(_window_codes(n, length), CODES))
-        windows = materialise(with_replies(opened, counted).mapInArrow(_window_strings(n, length), WINDOWS), "suffix-windows")
-        gone = gone.unionByName(merged(windows).mapInArrow(_window_verdicts(length), "block_id bigint, owner int, gone binary"))
+        counted = totals(opened.transform(map_arrow, _window_codes(n, length), CODES))
+        windows = materialise(with_replies(opened, counted).transform(map_arrow, _window_strings(n, length), WINDOWS), "suffix-windows")
+        gone = gone.unionByName(merged(windows).transform(map_arrow, _window_verdicts(length), "block_id bigint, owner int, gone binary"))
     gone = gone.where(F.octet_length("gone") > 0).select("block_id", "owner", F.col("gone").alias("reply"))
-    return with_replies(blocks, gone).mapInArrow(_removals, SPANS)
+    return with_replies(blocks, gone).transform(map_arrow, _removals, SPANS)

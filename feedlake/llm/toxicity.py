@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.llm import hashing
+from feedlake.llm.shared import map_arrow
 from feedlake.llm.words import LOWER, parts, spans
 
 WINDOW, STEP = 24, 12
@@ -303,7 +304,7 @@ def score_documents(docs: DataFrame, model: dict | None, constant: float = 0.0)
                         end[doc[best]] = words.last[windows[best].sum(axis=1) - 1] - base[doc[best]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores, pa.float64()), pa.array(start), pa.array(end)], ["doc_id", "score", "start", "end"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(score, "doc_id bigint, score double, start bigint, end bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).transform(map_arrow, score, "doc_id bigint, score double, start bigint, end bigint")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm.shared import materialise, new_path, partitions
+from feedlake.llm.shared import map_arrow, materialise, new_path, partitions
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -123,7 +123,7 @@ def write_packages(pages: DataFrame, folder: str, smallest: int = 0, package_byt
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["path", "records"])
 
     joined = rows.join(kinds.hint("shuffle_hash"), "row_id").select("page_id", "url", "payload", "response", "refers_to")
-    return materialise(joined.mapInArrow(write, "path string, records bigint"), "warc-manifest")
+    return materialise(joined.transform(map_arrow, write, "path string, records bigint"), "warc-manifest")
 
 
 # --- reading ------------------------------------------------------------------------------------
@@ -275,8 +275,8 @@ def read_packages(spark: SparkSession, manifest: DataFrame, payloads: bool = Tru
                     at += length
                 yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
 
-    ranges = manifest.select("path").repartition(partitions(spark), "path").mapInArrow(_ranges, "path string, offset bigint, lengths array<bigint>")
-    return ranges.repartition(partitions(spark), "path", "offset").mapInArrow(read, RECORDS)
+    ranges = manifest.select("path").repartition(partitions(spark), "path").transform(map_arrow, _ranges, "path string, offset bigint, lengths array<bigint>")
+    return ranges.repartition(partitions(spark), "path", "offset").transform(map_arrow, read, RECORDS)
 
 
 def round_trip(pages: DataFrame, smallest: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
