@@ -7,6 +7,10 @@ alignment of an item with a document every value of the item must always meet th
 document, and the other way round.  So a question asked again with other numbers and names is caught,
 and words that merely share a frame are not.
 
+Every window has a second form, of the text without its case (``str.casefold``): only numbers and units are
+placeholders there, so text in capitals, or in small letters throughout, is found as well.  Both forms
+have the same tokens at the same places, and a window matches if either does.
+
 A document holds an item if an alignment matches at least as many windows as ``RUN`` tokens in a row
 have, or all windows of a shorter item.  Items of fewer than ``LEAST`` tokens are too short to be told
 and are never matched.  An item's first word may stand within a sentence of the document, so its first
@@ -69,9 +73,12 @@ _UNITS = _unit_hashes()
 
 
 class Templates:
-    """Tokens of a block: template hash, hash of what stands there, kind of placeholder (0: none), row."""
+    """Tokens of a block: template hash, hash of what stands there, kind of placeholder (0: none), row.
+
+    Without ``names`` a capital makes no placeholder.
+    """
 
-    def __init__(self, body: np.ndarray, lengths: np.ndarray):
+    def __init__(self, body: np.ndarray, lengths: np.ndarray, names: bool = True):
         blank = NO_WORD[body]
         if len(body) > 2:  # a point or comma between two digits is part of the number
             inner = _point[body[1:-1]] & _digit[body[:-2]] & _digit[body[2:]]
@@ -89,7 +96,8 @@ class Templates:
         inside = np.append(False, (self.row[1:] == self.row[:-1]) & (stops[first[1:]] == stops[last[:-1]]))
         second = body[np.minimum(first + 1, len(body) - 1)]
         capital = _upper[body[first]] | ((body[first] == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-        self.kind[capital & inside] = NAME
+        if names:
+            self.kind[capital & inside] = NAME
         after = np.append(False, number[:-1] & (self.row[1:] == self.row[:-1]))
         found = np.searchsorted(_UNITS, self.value)
         self.kind[after & (_UNITS[np.minimum(found, len(_UNITS) - 1)] == self.value)] = UNIT
@@ -106,6 +114,12 @@ class Templates:
         return at, every[at]
 
 
+def folded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and lengths of texts without their case; no word begins or ends elsewhere by that."""
+    plain = [t.decode().casefold().encode() for t in texts]
+    return np.frombuffer(b"".join(plain), np.uint8), np.array([len(t) for t in plain], np.int64)
+
+
 ITEMS = "item_id bigint, tokens int, at int, width int, hash bigint, slots array<bigint>"
 _SLOTS = pa.list_(pa.int64())
 
@@ -130,8 +144,14 @@ def _item_windows(batches):
                 named.kind[0], named.token[0] = NAME, _MARK[NAME]
                 at, hashes = named.windows(width)
                 found.append((named, at[:1][at[:1] == 0], hashes[:1][at[:1] == 0]))
+            caseless = Templates(*folded([body.tobytes()]), names=False)
+            found.append((caseless, *caseless.windows(width)))
+            seen = set()
             for form, at, hashes in found:
                 for a, h in zip(at.tolist(), _signed(hashes)):
+                    if (a, h) in seen:
+                        continue
+                    seen.add((a, h))
                     slot = form.value[a : a + width][form.kind[a : a + width] > 0]
                     for c, v in zip(out, (item_id, n, a, width, h, _signed(slot))):
                         out[c].append(v)
@@ -148,20 +168,27 @@ def _document_windows(sent, widths: list[int]):
         table = sent.value
         for batch in batches:
             for a, _, body, lengths in parts(batch, 2, PART_BYTES):
-                forms = Templates(body, lengths)
-                starts = np.searchsorted(forms.row, np.arange(len(lengths)))
+                ends = np.cumsum(lengths).tolist()
+                whole = body.tobytes()
+                plain = Templates(body, lengths)
+                caseless = Templates(*folded([whole[e - n : e] for e, n in zip(ends, lengths.tolist())]), names=False)
+                starts = np.searchsorted(plain.row, np.arange(len(lengths)))
                 for width in widths:
-                    at, hashes = forms.windows(width)
-                    place = hashes % np.uint64(FILTER_BITS)
-                    some = (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                    at, hashes = at[some], hashes[some]
-                    rows = forms.row[at]
-                    taken = pa.array(rows + a)
-                    slots = [_signed(forms.value[k : k + width][forms.kind[k : k + width] > 0]) for k in at.tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(taken), batch.column(1).take(taken), pa.array((at - starts[rows]).astype(np.int32)), pa.array(np.full(len(at), width, np.int32)), pa.array(hashes.view(np.int64)), pa.array(slots, _SLOTS)],
-                        ["doc_id", "text_key", "doc_at", "width", "hash", "doc_slots"],
-                    )
+                    first = np.zeros(len(plain.token), np.uint64)  # the plain windows' hashes: equal ones aren't sent again
+                    for forms in (plain, caseless):
+                        at, hashes = forms.windows(width)
+                        place = hashes % np.uint64(FILTER_BITS)
+                        some = (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                        some &= first[at] != hashes
+                        at, hashes = at[some], hashes[some]
+                        first[at] = hashes
+                        rows = forms.row[at]
+                        taken = pa.array(rows + a)
+                        slots = [_signed(forms.value[k : k + width][forms.kind[k : k + width] > 0]) for k in at.tolist()]
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(taken), batch.column(1).take(taken), pa.array((at - starts[rows]).astype(np.int32)), pa.array(np.full(len(at), width, np.int32)), pa.array(hashes.view(np.int64)), pa.array(slots, _SLOTS)],
+                            ["doc_id", "text_key", "doc_at", "width", "hash", "doc_slots"],
+                        )
 
     return windows
 

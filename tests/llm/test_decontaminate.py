@@ -103,3 +103,19 @@ def test_query_against_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in op5_decontaminate(spark, sf).collect()}
     assert got == brute(docs, items)
     assert {(d, i) for d, t in docs for i, x in items if x in t and len(tokens(x)) >= D.LEAST} <= got
+
+
+def held(spark, docs, items):
+    got = D.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    return {(r.doc_id, r.item_id): r.reworded for r in got}
+
+
+def test_case_does_not_hide_a_passage(spark):
+    greek = "Ο δρόμος προς την Αθήνα είναι μακρύς και ο ήλιος καίει"
+    german = "die lange Straße am Fluss ist heute für alle Wagen gesperrt"
+    items = [*ITEMS, (20, greek), (21, german)]
+    docs = [
+        (1, ITEMS[0][1].upper()), (2, ITEMS[0][1].lower()), (3, f"NOISE. {ITEMS[1][1].upper()} MORE"), (4, greek.upper()), (5, german.upper()), (6, ITEMS[5][1].title()),
+        (7, ITEMS[0][1].upper().replace("12", "57")), (8, "NOTHING OF THAT KIND STANDS IN THIS ONE AT ALL"),
+    ]
+    assert held(spark, docs, items) == {(1, 1): False, (1, 1000): False, (2, 1): False, (2, 1000): False, (3, 2): False, (4, 20): False, (5, 21): False, (6, None): False, (7, 1): True, (7, 1000): True}
