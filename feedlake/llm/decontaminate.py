@@ -11,9 +11,14 @@ Every window has a second form, of the text without its case (``str.casefold``):
 placeholders there, so text in capitals, or in small letters throughout, is found as well.  Both forms
 have the same tokens at the same places, and a window matches if either does.
 
+Windows with few words say little by their template: they are hashed with the values in, in the form
+without case, and so match exact copies only.  Items of fewer than ``LEAST`` tokens are matched by their
+exact values in the same way.
+
 A document holds an item if an alignment matches at least as many windows as ``RUN`` tokens in a row
-have, or all windows of a shorter item.  Items of fewer than ``LEAST`` tokens are too short to be told
-and are never matched.  An item's first word may stand within a sentence of the document, so its first
+have, or all windows of a shorter item.  An item of which too few windows have words enough to be found
+with other values also gets windows of ``RUN`` tokens, or of its whole length; one of these is enough.
+An item's first word may stand within a sentence of the document, so its first
 window is also kept with a name in that place.
 
 Documents are scanned whole.  Windows that no item can have are left out before the join by a bit table
@@ -36,7 +41,7 @@ from feedlake.llm.shared import map_arrow, materialise
 from feedlake.llm.words import LOWER, NO_WORD, parts, spans
 
 WINDOW, RUN, LEAST = 8, 13, 5
-LITERALS = 4  # words, not placeholders, that a window has at least (all but one of a shorter window)
+LITERALS = 4  # words, not placeholders, of a window that is told by its template (all but one of a shorter window)
 FILTER_BITS = 1 << 23
 PART_BYTES = 1 << 20
 
@@ -48,6 +53,7 @@ UNITS = (
 ).split()
 NUMBER, UNIT, NAME = 1, 2, 3
 _MARK = np.array([0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B], np.uint64)
+_EXACT = np.uint64(0xA54FF53A5F1D36F1)
 _digit = np.array([48 <= b <= 57 for b in range(256)])
 _upper = np.array([65 <= b <= 90 for b in range(256)])
 _point = np.array([b in b".," for b in range(256)])
@@ -108,11 +114,29 @@ class Templates:
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the windows within one document that have words enough, and their hashes."""
         every = sequences(self.token, width)
-        literal = np.append(0, np.cumsum(self.kind == 0))
-        good = (self.row[width - 1 :] == self.row[: len(every)]) & (literal[width:] - literal[: len(every)] >= min(LITERALS, width - 1))
-        at = np.flatnonzero(good)
+        at = np.flatnonzero(self._within(width) & self._wordy(width))
         return at, every[at]
 
+    def exact_windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the other windows, and hashes of their values."""
+        every = hashing.mix(sequences(self.value, width) ^ _EXACT)
+        at = np.flatnonzero(self._within(width) & ~self._wordy(width))
+        if width < LEAST:  # a whole item: one of a kind tells as much as all
+            _, one = np.unique(np.stack([self.row[at].astype(np.uint64), every[at]]), axis=1, return_index=True)
+            at = at[np.sort(one)]
+        return at, every[at]
+
+    def _within(self, width: int) -> np.ndarray:
+        n = max(len(self.row) - width + 1, 0)
+        return self.row[width - 1 :] == self.row[:n]
+
+    def _wordy(self, width: int) -> np.ndarray:
+        n = max(len(self.row) - width + 1, 0)
+        if width < LEAST:
+            return np.zeros(n, bool)
+        literal = np.append(0, np.cumsum(self.kind == 0))
+        return literal[width:] - literal[:n] >= min(LITERALS, width - 1)
+
 
 def folded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and lengths of texts without their case; no word begins or ends elsewhere by that."""
@@ -135,23 +159,30 @@ def _item_windows(batches):
             body = np.frombuffer((text or "").encode(), np.uint8)
             plain = Templates(body, np.array([len(body)]))
             n = len(plain.token)
-            if n < LEAST:
+            if not n:
                 continue
-            width = min(WINDOW, n)
-            found = [(plain, *plain.windows(width))]
+            caseless = Templates(*folded([body.tobytes()]), names=False)
+            width, run = min(WINDOW, n), min(RUN, n)
+            # (width, form, places, hashes)
+            found = [(width, plain, *plain.windows(width))]
+            few = LEAST <= width < run and len(found[0][2]) < run - width + 1
+            if few:
+                found.append((run, plain, *plain.windows(run)))
             if plain.capital[0] and not plain.kind[0]:
                 named = Templates(body, np.array([len(body)]))
                 named.kind[0], named.token[0] = NAME, _MARK[NAME]
-                at, hashes = named.windows(width)
-                found.append((named, at[:1][at[:1] == 0], hashes[:1][at[:1] == 0]))
-            caseless = Templates(*folded([body.tobytes()]), names=False)
-            found.append((caseless, *caseless.windows(width)))
+                for w in (width, run) if few else (width,):
+                    at, hashes = named.windows(w)
+                    found.append((w, named, at[:1][at[:1] == 0], hashes[:1][at[:1] == 0]))
+            found += [(width, caseless, *caseless.windows(width)), (width, caseless, *caseless.exact_windows(width))]
+            if few:
+                found.append((run, caseless, *caseless.windows(run)))
             seen = set()
-            for form, at, hashes in found:
+            for width, form, at, hashes in found:
                 for a, h in zip(at.tolist(), _signed(hashes)):
-                    if (a, h) in seen:
+                    if (width, a, h) in seen:
                         continue
-                    seen.add((a, h))
+                    seen.add((width, a, h))
                     slot = form.value[a : a + width][form.kind[a : a + width] > 0]
                     for c, v in zip(out, (item_id, n, a, width, h, _signed(slot))):
                         out[c].append(v)
@@ -175,8 +206,7 @@ def _document_windows(sent, widths: list[int]):
                 starts = np.searchsorted(plain.row, np.arange(len(lengths)))
                 for width in widths:
                     first = np.zeros(len(plain.token), np.uint64)  # the plain windows' hashes: equal ones aren't sent again
-                    for forms in (plain, caseless):
-                        at, hashes = forms.windows(width)
+                    for forms, (at, hashes) in ((plain, plain.windows(width)), (caseless, caseless.windows(width)), (caseless, caseless.exact_windows(width))):
                         place = hashes % np.uint64(FILTER_BITS)
                         some = (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
                         some &= first[at] != hashes
@@ -205,7 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     items = materialise(benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).transform(map_arrow, _item_windows, ITEMS), "decontaminate-items")
-    # at most FILTER_BITS rows, and at most WINDOW widths
+    # at most FILTER_BITS rows, and at most RUN widths
     set_bits = items.select(F.expr(f"pmod(hash, {FILTER_BITS})").alias("bit")).distinct().toPandas()["bit"].to_numpy()
     widths = sorted(r.width for r in items.select("width").distinct().collect())
     table = np.zeros(FILTER_BITS, np.uint8)

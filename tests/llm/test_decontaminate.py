@@ -119,3 +119,17 @@ def test_case_does_not_hide_a_passage(spark):
         (7, ITEMS[0][1].upper().replace("12", "57")), (8, "NOTHING OF THAT KIND STANDS IN THIS ONE AT ALL"),
     ]
     assert held(spark, docs, items) == {(1, 1): False, (1, 1000): False, (2, 1): False, (2, 1000): False, (3, 2): False, (4, 20): False, (5, 21): False, (6, None): False, (7, 1): True, (7, 1000): True}
+
+
+def test_items_poor_in_words(spark):
+    mostly = "Compare 12 13 14 15 16 17 with 22 23 24 25 26 27 and then say which of these 31 32 33 34 35 36 37 are larger"
+    items = [
+        (1, "Solve 3x + 5 = 20 for x"), (2, "Compute 12 + 35 * 4 - 7"), (3, "Add 12 and 30 then take 5 from it twice over"), (4, mostly), (5, "too short here"), (6, "Is 91 prime?"),
+        (7, "Alice Bob Carol Dave Emil Frank Gina Hugo Ida Jack Karl Lena won"),
+    ]
+    docs = [(100 + i, f"Exercise:\n{text} And so on.") for i, text in items] + [
+        (1, "Solve 3x + 5 = 21 for x"), (2, "Compute 12 + 35 * 4 - 8"), (3, "Now add 77 and 8 then take 6 from it twice over, please"), (5, "too short there, here too short"), (6, "is 91 prime. Is 93 prime?"),
+        (7, "they say: alice bob carol dave emil frank gina hugo ida jack karl lena won"), (8, mostly.replace("12", "72").replace("31", "81")), (9, "Add 12 and 30 then give"), (10, "12 13 14 15 16 17"),
+    ]
+    wanted = {(100 + i, i): False for i, _ in items} | {(3, 3): True, (6, 6): False, (7, 7): False, (8, 4): True}
+    assert held(spark, docs, items) == wanted
