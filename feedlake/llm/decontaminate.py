@@ -16,7 +16,9 @@ without case, and so match exact copies only.  Items of fewer than ``LEAST`` tok
 exact values in the same way.
 
 A document holds an item if an alignment matches at least as many windows as ``RUN`` tokens in a row
-have, or all windows of a shorter item.  An item of which too few windows have words enough to be found
+have, or all windows of a shorter item.  Windows that hold the item's own values count by themselves: if
+they are enough, no other value elsewhere takes that back.  Where changed values are relied on, all of the
+alignment must be one-to-one.  An item of which too few windows have words enough to be found
 with other values also gets windows of ``RUN`` tokens, or of its whole length; one of these is enough.
 An item's first word may stand within a sentence of the document, so its first
 window is also kept with a name in that place.
@@ -230,8 +232,9 @@ def text_key(text):
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_key, item_id, windows, item_windows, reworded of every document that holds an item.
 
-    ``windows`` of the item's ``item_windows`` match along the best alignment; ``reworded`` says that
-    placeholders hold other values than the item's.
+    ``windows`` of the item's ``item_windows`` match along the best alignment, only those with the item's
+    own values where its values aren't one-to-one; ``reworded`` says that placeholders hold other values
+    than the item's.
     """
     spark = docs.sparkSession
     items = materialise(benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).transform(map_arrow, _item_windows, ITEMS), "decontaminate-items")
@@ -246,17 +249,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     met = windows.join(items, ["width", "hash"]).select(
         "doc_id", "text_key", "item_id", "tokens", "width", "at", (F.col("doc_at") - F.col("at")).alias("shift"), F.arrays_zip(F.col("slots").alias("own"), F.col("doc_slots").alias("other")).alias("pairs"),
-    )
+    ).withColumn("same", F.forall("pairs", lambda p: p["own"] == p["other"]))
     along = ["doc_id", "text_key", "item_id", "shift"]
-    pair = met.withColumn("pair", F.explode_outer("pairs")).groupBy(*along, "tokens", "width", "at", "pair").agg(F.lit(1).alias("one"))
+    pair = met.withColumn("pair", F.explode_outer("pairs")).groupBy(*along, "tokens", "width", "at", "pair").agg(F.max("same").alias("same"))
     aligned = pair.groupBy(*along, "tokens", "width").agg(
-        F.count_distinct("at").alias("windows"),
+        F.count_distinct("at").alias("windows"), F.count_distinct(F.when(F.col("same"), F.col("at"))).alias("verbatim"),
         F.collect_set("pair").alias("pairs"), F.collect_set("pair.own").alias("owns"), F.collect_set("pair.other").alias("others"),
     )
     one_to_one = (F.size("pairs") == F.size("owns")) & (F.size("pairs") == F.size("others"))
-    enough = F.col("windows") >= F.least(F.lit(RUN), "tokens") - F.col("width") + 1
-    best = F.max(F.struct("windows", F.exists("pairs", lambda p: p["own"] != p["other"]).alias("reworded"), (F.col("tokens") - F.col("width") + 1).alias("item_windows"))).alias("best")
-    return aligned.where(one_to_one & enough).groupBy("doc_id", "text_key", "item_id").agg(best).select(
+    enough = F.least(F.lit(RUN), "tokens") - F.col("width") + 1
+    aligned = aligned.withColumn("consistent", one_to_one).where((F.col("consistent") & (F.col("windows") >= enough)) | (F.col("verbatim") >= enough))
+    counted = F.when(F.col("consistent"), F.col("windows")).otherwise(F.col("verbatim")).alias("windows")
+    best = F.max(F.struct(counted, (F.col("consistent") & F.exists("pairs", lambda p: p["own"] != p["other"])).alias("reworded"), (F.col("tokens") - F.col("width") + 1).alias("item_windows"))).alias("best")
+    return aligned.groupBy("doc_id", "text_key", "item_id").agg(best).select(
         "doc_id", "text_key", "item_id", F.col("best.windows").alias("windows"), F.col("best.item_windows").cast("bigint").alias("item_windows"), F.col("best.reworded").alias("reworded")
     )
 

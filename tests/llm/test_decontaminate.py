@@ -133,3 +133,14 @@ def test_items_poor_in_words(spark):
     ]
     wanted = {(100 + i, i): False for i, _ in items} | {(3, 3): True, (6, 6): False, (7, 7): False, (8, 4): True}
     assert held(spark, docs, items) == wanted
+
+
+def test_one_changed_value_does_not_hide_a_verbatim_run(spark):
+    long = (
+        "The train from Paris to Lyon leaves at 2 in the morning and carries mail for the towns along the river, while the slow one "
+        "from Paris waits for 4 wagons of coal at the yard and then follows it, before the last train out of Rome goes by with 2 guards on board"
+    )
+    docs = [(1, long.replace("Rome", "Paris")), (2, long.replace("with 2", "with 4")), (3, long), (4, long.replace("Paris", "Bonn").replace("Lyon", "Bonn").replace("2", "4").replace("river", "lake").replace("Rome", "Bonn"))]
+    only = [(5, "Take 3 red balls and give Anna 4 of the balls then take 3 more")]
+    assert held(spark, docs, [(1, long)]) == {(1, 1): False, (2, 1): False, (3, 1): False, (4, 1): False}
+    assert held(spark, [(1, "Take 7 red balls and give Anna 7 of the balls then take 8 more")], only) == {}
