@@ -1,13 +1,14 @@
 """Main text of web pages by the container paths that a host's pages agree on.
 
 1. Each page is read once: its containers score by the text of their own blocks, half of what the next
-   container inside them has, links not counted.  The best container's path, tags with classes and
-   digits left out, is the page's vote.
+   container inside them has, links not counted.  From the best one the page climbs to what holds it, up
+   to an article or main element or to below the body, as long as that adds no more links than other
+   text.  The path of the container it ends at, tags with classes and digits left out, is the page's vote.
 2. Votes are added up for every host and path; the path with the most votes wins its host, then the
    greater score, then the path that sorts first.
 3. Pages meet their host's winner in a join, which splits a busy host, and are read again: the text comes
-   from the best container at the winning path, or from the page's own best where that path is missing
-   or empty.
+   from all containers at the winning path in page order, or at the page's own path where that path is
+   missing or empty; a container with more links than other text counts only if it has most other text.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts and styles are
 left out wherever they are, by tag, role, class or id.  A block is what block-level tags set apart; its
@@ -21,6 +22,7 @@ paragraph ends the one before, a closing tag ends all it holds, one without a st
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 
@@ -39,6 +41,8 @@ BLOCK = frozenset(
 )
 ROOT = "#page"  # holds what no other element does
 CONTAINER = frozenset("#page article blockquote body center div html main section td".split())
+OUTER = frozenset((ROOT, "html", "body"))  # a page doesn't climb to these
+TOP = OUTER | {"article", "main"}  # or beyond these
 DROPPED = frozenset("nav header footer aside form button select input label fieldset dialog head menu object embed canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 PARTS = frozenset(
@@ -194,15 +198,53 @@ class Page:
                     out[k] = out.get(k, 0.0) + size * share
         return {k: v * self.weights.get(k, 1.0) for k, v in out.items()}
 
-    def best(self, path: str | None = None) -> int | None:
-        found = [(v, -k) for k, v in self.scores().items() if path is None or self.paths[k] == path]
+    def best(self) -> int | None:
+        found = [(v, -k) for k, v in self.scores().items()]
         return -max(found)[1] if found else None
 
-    def text(self, node: int | None) -> str:
-        """The blocks of an element."""
+    def sizes(self) -> tuple[list[int], list[int]]:
+        """Text in each element, what it holds included: outside links and within."""
+        n = len(self.tags)
+        link, plain, linked = [False] * n, [0] * n, [0] * n
+        for k in range(1, n):
+            link[k] = self.tags[k] == "a" or link[self.parents[k]]
+        for node, _, text in self.runs:
+            (linked if link[node] else plain)[node] += len(text.strip())
+        for k in range(n - 1, 0, -1):
+            plain[self.parents[k]] += plain[k]
+            linked[self.parents[k]] += linked[k]
+        return plain, linked
+
+    def main(self) -> int | None:
+        """The container that the page climbs to from its best."""
+        node = self.best()
+        if node is None:
+            return None
+        plain, linked = self.sizes()
+        k = node
+        while self.tags[node] not in TOP:
+            k = self.parents[k]
+            while self.tags[k] not in CONTAINER:
+                k = self.parents[k]
+            if self.tags[k] in OUTER or plain[k] - plain[node] < linked[k] - linked[node]:
+                break
+            node = k
+        return node
+
+    def at(self, path: str) -> list[int]:
+        """The containers at a path that hold text."""
+        plain, linked = self.sizes()
+        found = [k for k, p in enumerate(self.paths) if p == path and self.tags[k] in CONTAINER and plain[k]]
+        most = max((plain[k] for k in found), default=0)
+        return [k for k in found if plain[k] >= linked[k] or plain[k] == most]
+
+    def text(self, nodes: list[int]) -> str:
+        """The blocks of elements, none of them within another."""
         blocks: dict[int, list[str]] = {}
-        for k, block, text in self.runs if node is not None else ():
-            if node <= k < self.ends[node]:
+        starts = sorted(nodes)
+        for k, block, text in self.runs:
+            i = bisect.bisect_right(starts, k) - 1
+            if i >= 0 and k < self.ends[starts[i]]:
                 blocks.setdefault(block, []).append(entities.unescape(text))
         lines = (" ".join("".join(parts).split()) for parts in blocks.values())
         return "\n".join(line for line in lines if line)
@@ -210,11 +252,10 @@ class Page:
 
 def main_text(source: str, path: str | None) -> str:
     page = Page(source)
-    if path is not None:
-        node = page.best(path)
-        if node is not None and (text := page.text(node)):
-            return text
-    return page.text(page.best())
+    if path is not None and (text := page.text(page.at(path))):
+        return text
+    node = page.main()
+    return page.text(page.at(page.paths[node])) if node is not None else ""
 
 
 def _votes(batches):
@@ -222,12 +263,11 @@ def _votes(batches):
         hosts, paths, scores = [], [], []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
             page = Page(source.as_py() or "")
-            found = page.scores()
-            if found:
-                best = max(found, key=lambda k: (found[k], -k))
+            node = page.main()
+            if node is not None:
                 hosts.append(host)
-                paths.append(page.paths[best])
-                scores.append(int(found[best]))
+                paths.append(page.paths[node])
+                scores.append(int(max(page.scores().values())))
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.int64())], ["host", "path", "score"])
 
 

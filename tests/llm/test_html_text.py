@@ -53,3 +53,19 @@ def test_query_against_the_form_of_the_pages(spark):
         inner = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+LONG = "word " * 200
+
+
+@pytest.mark.parametrize("body,text", [
+    (f'<article><h1>A title</h1><p>An intro.</p><div class="content"><p>{LONG}</p></div></article>', f"A title\nAn intro.\n{LONG.strip()}"),
+    (f"<article><section><div><p>one {LONG}</p></div></section><section><div><p>two</p></div></section><section><div><p>three</p></div></section></article>", f"one {LONG.strip()}\ntwo\nthree"),
+    (f'<div id="wrap"><div class="lead"><p>Lead</p></div><div class="body"><p>{LONG}</p></div></div><div class="extra"><p>other</p></div>', f"Lead\n{LONG.strip()}"),
+    (f'<div><div class="links"><a href="/">many links here</a> x</div><div class="body"><p>{LONG}</p></div></div>', LONG.strip()),
+    (f'<div class="part p1"><p>{LONG}</p></div><div class="extra">no</div><div class="part p2"><p>second</p></div><div class="part p3"><a href="/">all of it a link</a> x</div>', f"{LONG.strip()}\nsecond"),
+])
+def test_main_text_outside_the_largest_container(spark, body, text):
+    assert H.main_text(page(AROUND.format(body)), None) == text
+    rows = [(i, f"http://h.example/{i}", page(AROUND.format(body))) for i in range(2)]
+    assert [r.text for r in H.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()] == [text] * 2
