@@ -3,7 +3,10 @@
 Only DataFrame functions are used.  Marks (``>``) before a line give its quote level; neighbouring lines
 of one level are a passage, so other line breaks in a quote don't matter.  Passages are normalised
 (lower case, white space to one blank) and hashed.  A quoted passage belongs to the earliest message of
-its conversation that has it unquoted, if that is earlier than the quoting one.  A message replies to the
+its conversation that has it unquoted, if that is earlier than the quoting one.  A quote of no complete
+passage is looked up by its lines and by its sentences of at least ``PIECE`` characters: each belongs to the
+earliest message that has it unquoted as a line or sentence, and the quote to the earlier message that
+covers most of it, half of its characters at least (the earliest of equals).  A message replies to the
 original of its least level, the latest of those.  Roots and depths come from doubling pointers, in as
 many rounds as the logarithm of the longest chain of replies.
 
@@ -26,11 +29,13 @@ from feedlake.llm.shared import materialise, partitions
 
 MARKS = r"^(?:[ \t]*>)+"
 INTRODUCES = r"(?i)(wrote|writes|schrieb|a écrit|escribió) ?:[ \t]*$"
+PIECE = 10
+SENTENCES = r"(?<=[.!?…]) |(?<=[。！？]) ?"
 NO_TURN = -(2**62)
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Messages with body, quotes (level, key of the passage) and keys of their own passages."""
+    """Messages with body, quotes (level, key of the passage, its size and pieces) and keys of their own passages and pieces."""
     lines = F.split(F.coalesce("text", F.lit("")), r"\r?\n")
     levelled = F.transform(
         lines, lambda x: F.struct(
@@ -44,10 +49,14 @@ def parsed(messages: DataFrame) -> DataFrame:
         F.transform("lines", lambda x, i: F.when((i == 0) | (x["level"] != at(i - 1)["level"]) | blank(x) | blank(at(i - 1)) | introduces(x, i), i)), lambda i: i.isNotNull()
     )
     end = lambda k: F.coalesce(F.get(F.col("starts"), k + 1), F.size("lines"))
-    joined = lambda s, k: F.array_join(F.transform(F.slice("lines", s + 1, end(k) - s), lambda x: x["line"]), " ")
+    within = lambda s, k: F.transform(F.slice("lines", s + 1, end(k) - s), lambda x: x["line"])
+    normal = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\x09-\x0D\x20]+", " "))
     passages = F.transform(
-        "starts", lambda s, k: F.struct(at(s)["level"].alias("level"), introduces(at(s), s).alias("introduces"), F.trim(F.regexp_replace(F.lower(joined(s, k)), r"[\x09-\x0D\x20]+", " ")).alias("text"))
+        "starts", lambda s, k: F.struct(at(s)["level"].alias("level"), introduces(at(s), s).alias("introduces"), normal(F.array_join(within(s, k), " ")).alias("text"), F.transform(within(s, k), normal).alias("lines"))
     )
+    long = lambda parts: F.filter(parts, lambda x: F.length(x) >= PIECE)
+    sentences = lambda p: F.split(p["text"], SENTENCES)
+    pieces = lambda parts, kind: F.transform(long(parts), lambda x: F.struct(F.lit(kind).alias("kind"), F.xxhash64(x).alias("piece"), F.length(x).alias("covers")))
     kept = F.filter("lines", lambda x, i: (x["level"] == 0) & ~introduces(x, i))
     key = lambda p: F.unhex(F.sha2(p["text"], 256))
     body = F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"), r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", "")
@@ -59,21 +68,42 @@ def parsed(messages: DataFrame) -> DataFrame:
     started = materialise(lined.withColumn("starts", starts), "quotes-starts")
     return materialise(started.withColumn("passages", passages).select(
         "conv_id", "turn", "role", "conv", "at", body.alias("body"), "tie",
-        F.transform(F.filter("passages", lambda p: (p["level"] > 0) & (p["text"] != "")), lambda p: F.struct(p["level"].alias("level"), key(p).alias("key"))).alias("quotes"),
+        F.transform(F.filter("passages", lambda p: (p["level"] > 0) & (p["text"] != "")), lambda p: F.struct(
+            p["level"].alias("level"), key(p).alias("key"), F.length(p["text"]).alias("size"), F.concat(pieces(p["lines"], "line"), pieces(sentences(p), "sentence")).alias("pieces")
+        )).alias("quotes"),
         F.transform(F.filter("passages", lambda p: (p["level"] == 0) & (p["text"] != "") & ~p["introduces"]), key).alias("own"),
+        F.flatten(F.transform(
+            F.filter("passages", lambda p: (p["level"] == 0) & ~p["introduces"]), lambda p: F.array_union(F.transform(long(p["lines"]), lambda x: F.xxhash64(x)), F.transform(long(sentences(p)), lambda x: F.xxhash64(x)))
+        )).alias("own_pieces"),
     ), "quotes-parsed")
 
 
+def partial(messages: DataFrame, quoted: DataFrame) -> DataFrame:
+    """conv, at, level, original of quotes of which lines or sentences cover most."""
+    parts = materialise(quoted.dropDuplicates(["conv", "at", "level", "key"]).select("conv", "at", "level", "key", "size", F.inline("pieces")), "quotes-pieces")
+    own = messages.select("conv", "at", F.explode("own_pieces").alias("piece")).join(parts.select("conv", "piece").distinct(), ["conv", "piece"], "left_semi")
+    own = own.groupBy("conv", "piece").agg(F.min("at").alias("original"))
+    quote = ["conv", "at", "level", "key"]
+    covered = parts.join(own, ["conv", "piece"]).where(F.col("original") < F.col("at")).groupBy(*quote, "size", "kind", "original").agg(F.sum("covers").alias("covered"))
+    best = F.max_by("original", F.struct("covered", -F.col("original"))).alias("original")
+    return covered.where(2 * F.col("covered") >= F.col("size")).groupBy(*quote).agg(best).select("conv", "at", "level", "original")
+
+
 def replies(messages: DataFrame) -> DataFrame:
     """conv, at, reply_to: the earlier turn that each quoting turn answers."""
-    quoted = messages.where(F.size("quotes") > 0).select("conv", "at", F.explode("quotes").alias("quote")).select("conv", "at", "quote.level", "quote.key")
+    quoted = messages.where(F.size("quotes") > 0).select("conv", "at", F.explode("quotes").alias("quote")).select("conv", "at", "quote.*")
     quoted = materialise(quoted, "quotes-quoted")
     if quoted.isEmpty():
         return quoted.select("conv", "at", F.col("at").alias("reply_to"))
     wanted = quoted.select("conv", "key").distinct()
     own = messages.select("conv", "at", F.explode("own").alias("key")).groupBy("conv", "key").agg(F.min("at").alias("original"))
     own = materialise(own.join(wanted, ["conv", "key"], "left_semi"), "quotes-own")
-    met = quoted.join(own, ["conv", "key"]).where(F.col("original") < F.col("at"))
+    met = quoted.join(own, ["conv", "key"]).where(F.col("original") < F.col("at")).select("conv", "at", "level", "key", "original")
+    met = materialise(met, "quotes-met")
+    rest = materialise(quoted.join(met, ["conv", "at", "level", "key"], "left_anti"), "quotes-rest")
+    met = met.drop("key")
+    if not rest.isEmpty():
+        met = met.unionByName(partial(messages, rest))
     nearest = F.max_by("original", F.struct(-F.col("level"), F.col("original")))
     return materialise(met.groupBy("conv", "at").agg(nearest.alias("reply_to")), "quotes-replies")
 

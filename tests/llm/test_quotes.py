@@ -56,3 +56,14 @@ def test_empty_table(spark):
 def test_no_python_on_the_executors(spark):
     plan = Q.conversations(frame(spark, ROWS[:8]))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_trimmed_quotes_link(spark):
+    first = "The bridge is closed today. Use the ferry at noon!\nIt leaves from the north pier\nand takes an hour."
+    rows = [
+        (1, 0, "user", first), (1, 1, "assistant", "Thanks, I did not know about that.\nWhat does it cost?"), (1, 2, "user", "> use the FERRY\n> at noon!\nWhich one?"),
+        (1, 3, "user", "> It leaves from the north pier\nSure?"), (1, 4, "user", "> What does it cost?\nTwo."), (1, 5, "user", "> > The bridge is closed today.\n> Which one?\nThe red one."),
+        (1, 6, "user", "> What does it cost?\n> A line that nobody has ever written in here\nhm"), (1, 7, "user", "> and takes\nno whole line"), (2, 1, "user", "> Use the ferry at noon!\nother conversation"),
+    ]
+    got = {(r.conv_id, r.turn): r.reply_to for r in Q.conversations(frame(spark, rows)).collect()}
+    assert got == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 0, (1, 4): 1, (1, 5): 2, (1, 6): None, (1, 7): None, (2, 1): None}
