@@ -3,7 +3,8 @@
 A text's vector counts its byte trigrams in ``DIM`` hashed places, words set apart by one blank, as
 log(1 + count) times the inverse document frequency, at length one.  Document frequencies cover every
 row that may be learned from.  Each language has up to ``clusters`` centroids, found by spherical
-k-means over a bounded sample of about ``sample`` of its rows, chosen by a hash of doc_id.  A text gets
+k-means over the ``sample`` of its rows whose hashes of doc_id and text are least; repeated rows are one
+there.  A text gets
 the language of the centroid with the greatest cosine; ``score`` is that cosine.  It is ``rejected`` if
 its distance, one less the cosine, is beyond the centroid's radius: the distance that holds
 ``REJECT_SHARE`` of the centroid's sample rows, and ``REJECT_SLACK`` more.  With ``reject`` a rejected
@@ -28,6 +29,7 @@ BITS = 12
 DIM = 1 << BITS
 CLUSTERS, SAMPLE = 3, 400
 REJECT_SHARE, REJECT_SLACK = 0.995, 0.15
+STEP = 12
 ROWS_AT_ONCE, PART_BYTES = 256, 1 << 20
 HELD_OUT_OF = 3
 _shown = np.where(NO_WORD, np.uint8(32), LOWER)
@@ -90,6 +92,32 @@ def k_means(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
+def least_hashes(hashed: DataFrame, languages: list[str], sample: int) -> tuple[int, dict[str, int]]:
+    """A shift, and each language's greatest ``hash >>> shift`` so that it has ``sample`` rows up to there.
+
+    Twice as many at most, but for equal hashes; a language of fewer rows has all.  Every round counts
+    the rows of one span of hashes for each language in 2 ** ``STEP`` shares.
+    """
+    shift, top, below = 64, {}, dict.fromkeys(languages, 0)
+    while True:
+        inside = hashed
+        if top:
+            inside = hashed.where(F.shiftrightunsigned("hash", shift) == F.create_map(*(F.lit(x) for pair in top.items() for x in pair))[F.col("lang")])
+        shift -= STEP
+        # at most 2 ** STEP rows a language
+        shares: dict[str, list] = {}
+        for r in inside.groupBy("lang", F.shiftrightunsigned("hash", shift).alias("share")).count().collect():
+            shares.setdefault(r.lang, []).append((r.share, r["count"]))
+        upto = dict(below)
+        for lang, found in shares.items():
+            for share, n in sorted(found):
+                top[lang], below[lang], upto[lang] = share, upto[lang], upto[lang] + n
+                if upto[lang] >= sample:
+                    break
+        if shift < STEP or all(n <= 2 * sample for n in upto.values()):
+            return shift, top
+
+
 def learn(known: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> dict | None:
     """Centroids from rows of doc_id, text and lang, none of them null."""
     by_language = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -98,18 +126,21 @@ def learn(known: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> d
     frequency = {r.place: r.docs for r in known.select("text").transform(map_arrow, _frequencies, "place int, docs bigint").groupBy("place").agg(F.sum("docs").alias("docs")).collect()}
     docs = np.array([frequency.get(i, 0) for i in range(DIM)])
     idf = (np.log((1 + frequency[-1]) / (1 + docs)) + 1).astype(np.float32)
-    share = F.create_map(*(x for lang, n in by_language.items() for x in (F.lit(lang), F.lit(int(min(1.0, sample / n) * 1_000_000)))))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).limit(2 * sample * len(by_language))
+    hashed = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    shift, top = least_hashes(hashed.select("lang", "hash"), sorted(by_language), sample)
+    most = F.create_map(*(F.lit(x) for pair in top.items() for x in pair))[F.col("lang")]
+    chosen = hashed.where(F.shiftrightunsigned("hash", shift) <= most).dropDuplicates(["lang", "hash"])
 
     def vectorise(batches):
         for batch in batches:
             for a, b, counted in _counted(batch, 1):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([v.tobytes() for v in vectors(counted, idf)], pa.binary())], ["lang", "vector"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([v.tobytes() for v in vectors(counted, idf)], pa.binary())], ["lang", "hash", "vector"])
 
-    rows = chosen.select("lang", "text").transform(map_arrow, vectorise, "lang string, vector binary").collect()
+    rows = chosen.select("lang", "text", "hash").transform(map_arrow, vectorise, "lang string, hash bigint, vector binary").collect()
+    rows.sort(key=lambda r: r.hash % 2**64)
     languages, centroids, radii = [], [], []
     for lang in sorted({r.lang for r in rows}):
-        points = np.stack(sorted((np.frombuffer(r.vector, np.float32) for r in rows if r.lang == lang), key=lambda v: v.tobytes()))
+        points = np.stack(sorted([np.frombuffer(r.vector, np.float32) for r in rows if r.lang == lang][:sample], key=lambda v: v.tobytes()))
         found = k_means(points, clusters)
         cosine = points @ found.T
         for c in range(len(found)):

@@ -62,3 +62,16 @@ def test_query_on_held_out_rows(spark):
     got = op4_langid(spark, SF).collect()
     assert len(got) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in got if r.held_out]) > 0.97
+
+
+def test_a_sample_under_a_millionth(spark):
+    known = spark.range(1_000_001).selectExpr("id as doc_id", "'kala talo' as text", "'aa' as lang")
+    assert L.learn(known, clusters=1, sample=1)["languages"] == ["aa"]
+
+
+def test_the_least_hashes_of_each_language(spark):
+    rows = [("aa", h) for h in (*range(50), *range(-50, 0), 7 << 40)] + [("bb", -5)] * 90 + [("cc", 3), ("cc", -1)]
+    shift, top = L.least_hashes(spark.createDataFrame(rows, "lang string, hash bigint"), ["aa", "bb", "cc"], 10)
+    up_to = {lang: sorted(h % 2**64 for x, h in rows if x == lang and (h % 2**64) >> shift <= top[lang]) for lang in top}
+    assert up_to["aa"] == list(range(len(up_to["aa"]))) and 10 <= len(up_to["aa"]) <= 20
+    assert len(up_to["bb"]) == 90 and len(up_to["cc"]) == 2
