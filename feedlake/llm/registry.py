@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import bpe, byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, langid, quotes, suffix_dedup, toxicity, warc_zip
+from feedlake.llm import bpe, byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, langid, quotes, suffix_dedup, toxicity, warc_zip, whitening
 from feedlake.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,13 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every vector and component."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.select("*", F.posexplode("whitened").alias("at", "value")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", F.col("deviation").try_cast("bigint").alias("deviation"), F.col("value").alias("whitened"),
+        F.col("explained")[F.col("at")].alias("explained"), "identity_error",
+    )
