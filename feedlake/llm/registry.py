@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import bpe, byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, langid, quotes, suffix_dedup, toxicity, warc_zip, whitening
+from feedlake.llm import bpe, byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, langid, prefix_trie, quotes, suffix_dedup, toxicity, warc_zip, whitening
 from feedlake.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.trie(table(spark, sf_dir, "conversations"))
+    return nodes.withColumn("ends_sha256", F.coalesce(F.lower(F.hex("ends")), F.sha2(F.lit(""), 256))).drop("ends")
+
+
 @query
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
