@@ -46,7 +46,18 @@ NOT_LETTERS = [
     (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
     (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 ]
+# Combining marks of newer tables that the library's tables do not have: it neither reorders them nor moves others past them
+LATER_MARKS = [
+    (0x07FD, 0x07FD), (0x0898, 0x089F), (0x08CA, 0x08D3), (0x09FE, 0x09FE), (0x0C3C, 0x0C3C), (0x0D3B, 0x0D3C), (0x0EBA, 0x0EBA), (0x1715, 0x1715),
+    (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50),
+    (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x1193D, 0x1193E), (0x11943, 0x11943),
+    (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97),
+    (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+# A pair that newer tables compose and the library does not
+LATER_PAIR = ("\U00011935", "\U00011930")
 # --- end of fixed values
+APART = regex.compile("([%s]|(?<=%s)(?=%s))" % ("".join(f"{chr(a)}-{chr(b)}" for a, b in LATER_MARKS), *LATER_PAIR))
 UNLIKE = "".join(f"{chr(a)}-{chr(b)}" for a, b in NOT_LETTERS)
 ODD = regex.compile("[%s%s]" % (UNLIKE, "".join(map(chr, LATER_LOWER))))
 
@@ -64,6 +75,13 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def composed(text: str) -> str:
+    """NFC by the library's tables: a mark that they lack ends what is reordered and composed."""
+    if APART.search(text):
+        return "".join(unicodedata.normalize("NFC", part) for part in APART.split(text) if part)
+    return unicodedata.normalize("NFC", text)
+
+
 class Encoder(dict):
     """Ids by text.  As a mapping: the ids of a word as little-endian 32-bit integers."""
 
@@ -143,7 +161,7 @@ class Encoder(dict):
     def plain(self, text: str) -> bytes:
         """Ids of a text without added tokens."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            text = composed(text)
             if "Σ" in text:  # lower case by character: no final form
                 text = text.replace("Σ", "σ")
             if ODD.search(text):

@@ -1,11 +1,13 @@
 import hashlib
+import random
+import unicodedata
 
 import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from feedlake.llm import bpe
 from feedlake.llm.registry import op6_bpe
@@ -47,6 +49,30 @@ def test_every_code_point():
         check(" ".join(f"a{c}b1!{c}" for c in chars))
 
 
+def test_every_mark_beside_others():
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    for m in marks:
+        check(f"a\u0315{m} a{m}\u0316 a{m}\u0301 e\u0316{m}\u0315\u0301 {m}\u0301{m}\u0316 \u0915{m}\u093c")
+
+
+def test_every_composite_taken_apart():
+    normal = normalizers.NFC()
+    for start in range(0, 0x110000, 64):
+        text = "".join(unicodedata.normalize("NFD", chr(c)) + "\u0316" for c in range(start, start + 64) if not 0xD800 <= c < 0xE000)
+        assert bpe.composed(text) == normal.normalize_str(text)
+
+
+def test_random_texts_of_marks():
+    """100,000 texts, many of them from letters and marks only."""
+    rng = random.Random(9)
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    letters = list("aeouAE ıß한ᄒ\U00011935\U00011930\u0915")
+    for _ in range(100_000):
+        pool = rng.choice([letters + rng.sample(marks, 4), rng.sample(every, 8)])
+        check("".join(rng.choices(pool, k=rng.randrange(1, 9))))
+
+
 def test_documents(spark):
     rows = [(1, "Hello <|endoftext|>", "x"), (None, None, "x"), (3, "", None), (3, "", None), (4, "mot é " * 40_000, "x")]
     got = bpe.encode_documents(spark.createDataFrame(rows, "doc_id bigint, text string, ids string"), bpe.read_vocabulary(PATH)).collect()
