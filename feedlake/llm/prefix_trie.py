@@ -241,8 +241,7 @@ def new_heads(boxes: DataFrame) -> DataFrame:
 
 def burst(strings: DataFrame, limit: int) -> tuple[DataFrame, list[DataFrame]]:
     """The strings in their last containers, and the heads of every round of bursts."""
-    spark = strings.sparkSession
-    active = strings.select(F.lit(b"").alias("box"), F.lit(b"").alias("above"), F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("up"), "seq", "first", "n", "ends")
+    active = strings
     settled, rounds = [], []
     while True:
         boxes = active.groupBy("box", "above", "depth", "up").agg(
@@ -274,7 +273,9 @@ def trie(turns: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     members = materialise(rebuilt(materialise(sequences(turns), "trie-own")), "trie-rebuilt")
     distinct = members.groupBy("key", "seq").agg(F.min("conv_id").alias("first"), F.count("*").alias("n"))
-    strings = materialise(distinct.join(digests_of_ids(members).hint("shuffle_hash"), "key").drop("key"), "trie-distinct")
+    strings = distinct.join(digests_of_ids(members).hint("shuffle_hash"), "key").select(
+        F.lit(b"").alias("box"), F.lit(b"").alias("above"), F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("up"), "seq", "first", "n", "ends")
+    strings = materialise(strings, "trie-distinct")
     last, rounds = burst(strings, limit)
     nodes = materialise(swept(last), "trie-nodes")
     tops = nodes.where("above is not null").groupBy("above").agg(F.count("*").alias("children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
