@@ -11,8 +11,15 @@
    missing or empty; a container with more links than other text counts only if it has most other text.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts and styles are
-left out wherever they are, by tag, role, class or id.  A block is what block-level tags set apart; its
-character references are decoded, white space becomes one blank, and blocks are joined by line breaks.
+left out wherever they are.  Scripts, styles, form fields and hidden elements go outright.  What a tag, role,
+class or id only suggests is judged by what it holds: a part that has an article of more text than all
+the unsuspected rest of the page stays, and so does one that only a longer name or a form or header tag
+makes a suspect if it holds half of the page's text and three times that rest.  Headings in the header of
+an article stay.  A block is what block-level tags set apart; its character references are decoded, white
+space becomes one blank, and blocks are joined by line breaks.
+
+The page is read in time proportional to its length.  A tag ends at the first > outside quotes; from a tag
+on whose quotes never end, quotes are characters like others, and a < with no > after it is text.
 
 A null or empty html gives an empty text, as does a page without text outside the parts left out; a page
 without a host votes for itself only; a null page_id or url is kept; repeated rows are pages of their
@@ -33,7 +40,7 @@ from pyspark.sql import functions as F
 
 from feedlake.llm.shared import map_arrow, materialise
 
-RAW = "script style textarea title noscript template iframe xmp noembed noframes svg math".split()
+RAW = "script style textarea title noscript template iframe xmp noembed noframes svg".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
@@ -43,7 +50,9 @@ ROOT = "#page"  # holds what no other element does
 CONTAINER = frozenset("#page article blockquote body center div html main section td".split())
 OUTER = frozenset((ROOT, "html", "body"))  # a page doesn't climb to these
 TOP = OUTER | {"article", "main"}  # or beyond these
-DROPPED = frozenset("nav header footer aside form button select input label fieldset dialog head menu object embed canvas audio video".split())
+FIELDS = frozenset("button select input label dialog head object embed canvas audio video".split())  # never text of the page
+PART_TAGS = frozenset("nav aside footer menu".split())
+FORM_TAGS = frozenset("header form fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -52,12 +61,18 @@ PARTS = frozenset(
 )
 GOOD = frozenset("content article post entry main story text body".split())
 WITH = frozenset("has with no without".split())
+READERS = frozenset("comment comments disqus reply replies respond".split())
+HEADINGS = frozenset("h1 h2 h3".split())
+PART, NAMED = 1, 2  # kinds of suspects: those that only an article inside keeps, and those that a large share keeps too
 KEPT_TAGS = frozenset("html body main article".split())
 # what a new tag closes, and where the search for it ends
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 STAYS_IN_P = frozenset("table body html".split())
 
-TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+NEXT = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+COMMENT_END = re.compile(r"--!?>")
+TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+NAME = re.compile(r"[^\s/>]*")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -67,64 +82,74 @@ class Page:
     """A page's elements in order, its text outside the parts left out, and its containers' scores."""
 
     def __init__(self, source: str):
-        self.tags, self.paths, self.parents, self.ends, self.left_out = [], [], [], [], []
+        self.tags, self.paths, self.parents, self.ends = [], [], [], []
+        self.hidden, self.suspect, self.good, self.header = [], [], [], []
+        self.container, self.link = [], []  # the nearest container; whether the element is in a link
         self.runs: list[tuple[int, int, str]] = []
         self.weights: dict[int, float] = {}
         self.open: list[int] = []
+        self.places: dict[str, list[int]] = {}  # places in ``open`` by tag
+        self.blocks: list[int] = []  # places in ``open`` of blocks, cells and buttons
         self.block = 0
         self._start(ROOT, "")
-        at = 0
-        while True:
-            found = TOKEN.search(source, at)
-            if not found:
-                self._text(source[at:])
-                break
-            if found.start() > at:
-                self._text(source[at : found.start()])
-            at = found.end()
-            tag = found[2]
-            if tag:
-                tag = tag.lower()
-                if found[1]:
-                    self._end(tag)
-                else:
-                    attributes = found[3]
-                    if tag in RAW_END:
-                        end = RAW_END[tag].search(source, at)
-                        at = source.find(">", end.start()) + 1 if end else len(source)
-                        at = at or len(source)
-                    else:
-                        self._start(tag, attributes)
+        self._read(source)
         while self.open:
             self._pop()
+        self._judge()
+
+    def _read(self, source: str) -> None:
+        at, quotes, last = 0, True, source.rfind(">")
+        while found := NEXT.search(source, at):
+            begin, inner = found.span()
+            if found[0] != "<!--" and begin > last:
+                break
+            if begin > at:
+                self._text(source[at:begin])
+            if found[0] == "<!--":
+                short = 1 if source.startswith(">", inner) else 2 if source.startswith("->", inner) else 0
+                end = None if short else COMMENT_END.search(source, inner)
+                at = inner + short if short else end.end() if end else len(source)
+                continue
+            end = TAG_END.match(source, inner) if quotes and found[0] not in ("<!", "<?") else None
+            at = end.end() if end else source.find(">", inner) + 1
+            if found[0] in ("<!", "<?"):
+                continue
+            quotes = quotes and end is not None
+            name = NAME.match(source, inner - 1)
+            tag = name[0].lower()
+            if found[0].startswith("</"):
+                self._end(tag)
+            elif tag in RAW_END:
+                end = RAW_END[tag].search(source, at)
+                at = (source.find(">", end.start()) + 1 if end else 0) or len(source)
+            else:
+                self._start(tag, source[name.end() : at - 1])
+        self._text(source[at:])
 
     def _pop(self) -> None:
         k = self.open.pop()
+        self.places[self.tags[k]].pop()
+        if self.blocks and self.blocks[-1] == len(self.open):
+            self.blocks.pop()
         self.ends[k] = len(self.tags)
         if self.tags[k] in BLOCK:
             self.block += 1
 
+    def _close(self, place: int) -> None:
+        while len(self.open) > place:
+            self._pop()
+
+    def _nearest(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
     def _start(self, tag: str, attributes: str) -> None:
-        if tag in BLOCK and not (tag == "table"):
-            # an open paragraph ends before the next block
-            for k in range(len(self.open) - 1, -1, -1):
-                name = self.tags[self.open[k]]
-                if name == "p":
-                    while len(self.open) > k:
-                        self._pop()
-                    break
-                if name in BLOCK or name in ("td", "th", "button"):
-                    break
+        if tag in BLOCK and tag != "table" and self.blocks and self.tags[self.open[self.blocks[-1]]] == "p":
+            self._close(self.blocks[-1])  # an open paragraph ends before the next block
         if tag in CLOSES:
             closed, within = CLOSES[tag]
-            for k in range(len(self.open) - 1, -1, -1):
-                name = self.tags[self.open[k]]
-                if name in within:
-                    break
-                if name in closed:
-                    while len(self.open) > k:
-                        self._pop()
-                    break
+            place = self._nearest(closed)
+            if place > self._nearest(within):
+                self._close(place)
         if tag in BLOCK:
             self.block += 1
         if tag == "br" or tag in ("td", "th"):
@@ -132,7 +157,8 @@ class Page:
         if tag in VOID:
             return
         parent = self.open[-1] if self.open else -1
-        classes, hidden, good = [], tag in DROPPED, False
+        classes, hidden, good, kinds = [], tag in FIELDS, False, {PART} if tag in PART_TAGS else {NAMED} if tag in FORM_TAGS else set()
+        header, readers = tag == "header", False
         if attributes and attributes.strip(" /"):
             for name, *values in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), next((v for v in values if v), "")
@@ -141,11 +167,15 @@ class Page:
                         if name == "class":
                             classes.append(re.sub(r"\d+", "", word))
                         pieces = [p for p in re.split(r"[^a-z]+", word) if p]
-                        named = any(p in PARTS and not (i and pieces[i - 1] in WITH) for i, p in enumerate(pieces))
-                        hidden |= named and tag not in KEPT_TAGS
+                        named = [p for i, p in enumerate(pieces) if p in PARTS and not (i and pieces[i - 1] in WITH)]
+                        if named and tag not in KEPT_TAGS:
+                            kinds.add(NAMED if len(pieces) > 1 else PART)
+                            readers |= not READERS.isdisjoint(named)
+                            header |= "header" in named
                         good |= any(p in GOOD for p in pieces)
                 elif name == "role":
-                    hidden |= value.lower() in ROLES
+                    if value.lower() in ROLES:
+                        kinds.add(NAMED if value.lower() == "form" else PART)
                 elif name == "style":
                     hidden |= bool(HIDING.search(value))
                 else:
@@ -159,43 +189,76 @@ class Page:
         self.paths.append(path)
         self.parents.append(parent)
         self.ends.append(-1)
-        self.left_out.append(hidden or (parent >= 0 and self.left_out[parent]))
+        self.hidden.append(hidden or (parent >= 0 and self.hidden[parent]))
+        kind = min(kinds) if kinds and not readers else PART if kinds else 0
+        # a name that also says content makes the element a weaker suspect
+        self.suspect.append(NAMED if kind and good and tag not in PART_TAGS else kind)
+        self.good.append(good)
+        self.header.append(header)
+        self.container.append(k if tag in CONTAINER else self.container[parent])
+        self.link.append(tag == "a" or (parent >= 0 and self.link[parent]))
         if good or tag in ("article", "main"):
             self.weights[k] = 1.5
+        place = len(self.open)
         self.open.append(k)
+        self.places.setdefault(tag, []).append(place)
+        if tag in BLOCK or tag in ("td", "th", "button"):
+            self.blocks.append(place)
 
     def _end(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.tags[self.open[k]] == tag:
-                while len(self.open) > k:
-                    self._pop()
-                return
+        places = self.places.get(tag)
+        if places:
+            self._close(places[-1])
 
     def _text(self, text: str) -> None:
         node = self.open[-1]
-        if text and not self.left_out[node]:
+        if text and not self.hidden[node]:
             self.runs.append((node, self.block, text))
 
+    def _judge(self) -> None:
+        """Which suspects are left out, by the text they hold; only the other text stays in ``runs``."""
+        n = len(self.tags)
+        held, free, article = [0] * n, [0] * n, [0] * n
+        for node, _, text in self.runs:
+            held[node] += len(text.strip())
+        free[:] = held
+        for k in range(n - 1, 0, -1):
+            up = self.parents[k]
+            held[up] += held[k]
+            free[up] += 0 if self.suspect[k] else free[k]
+            article[up] = max(article[up], held[k] if self.tags[k] in ("article", "main") else article[k])
+        rest = free[0]
+        cause = [-1] * n  # the part that an element is left out with
+        of_article = [t in ("article", "main") for t in self.tags]
+        for k in range(1, n):
+            up = self.parents[k]
+            cause[k] = cause[up]
+            of_article[k] |= of_article[up]
+            if cause[k] >= 0:
+                by = cause[k]
+                if self.tags[k] in HEADINGS and self.header[by] and self.tags[by] not in PART_TAGS and (of_article[by] or self.good[by]):
+                    cause[k] = -1
+            elif self.suspect[k]:
+                large = self.suspect[k] == NAMED and 2 * held[k] >= held[0] and held[k] > 3 * rest
+                if large or (article[k] and article[k] > rest):
+                    rest += free[k]
+                else:
+                    cause[k] = k
+        self.runs = [run for run in self.runs if cause[run[0]] < 0]
+
     def scores(self) -> dict[int, float]:
-        """Containers with text of their own."""
+        """Containers with text of their own; text in links counts where there is no other."""
         out: dict[int, float] = {}
-        near: dict[int, tuple[list[int], bool]] = {}
         for node, _, text in self.runs:
             size = len(text.strip())
             if not size:
                 continue
-            if node not in near:
-                found, k, link = [], node, False
-                while k >= 0 and len(found) < 2:
-                    link |= self.tags[k] == "a"
-                    if self.tags[k] in CONTAINER:
-                        found.append(k)
-                    k = self.parents[k]
-                near[node] = found, link
-            found, link = near[node]
-            if not link:
-                for k, share in zip(found, (1.0, 0.5)):
-                    out[k] = out.get(k, 0.0) + size * share
+            size *= 1e-6 if self.link[node] else 1.0
+            k = self.container[node]
+            out[k] = out.get(k, 0.0) + size
+            if k:
+                k = self.container[self.parents[k]]
+                out[k] = out.get(k, 0.0) + size * 0.5
         return {k: v * self.weights.get(k, 1.0) for k, v in out.items()}
 
     def best(self) -> int | None:
@@ -205,11 +268,9 @@ class Page:
     def sizes(self) -> tuple[list[int], list[int]]:
         """Text in each element, what it holds included: outside links and within."""
         n = len(self.tags)
-        link, plain, linked = [False] * n, [0] * n, [0] * n
-        for k in range(1, n):
-            link[k] = self.tags[k] == "a" or link[self.parents[k]]
+        plain, linked = [0] * n, [0] * n
         for node, _, text in self.runs:
-            (linked if link[node] else plain)[node] += len(text.strip())
+            (linked if self.link[node] else plain)[node] += len(text.strip())
         for k in range(n - 1, 0, -1):
             plain[self.parents[k]] += plain[k]
             linked[self.parents[k]] += linked[k]
@@ -223,9 +284,7 @@ class Page:
         plain, linked = self.sizes()
         k = node
         while self.tags[node] not in TOP:
-            k = self.parents[k]
-            while self.tags[k] not in CONTAINER:
-                k = self.parents[k]
+            k = self.container[self.parents[k]]
             if self.tags[k] in OUTER or plain[k] - plain[node] < linked[k] - linked[node]:
                 break
             node = k
@@ -234,7 +293,7 @@ class Page:
     def at(self, path: str) -> list[int]:
         """The containers at a path that hold text."""
         plain, linked = self.sizes()
-        found = [k for k, p in enumerate(self.paths) if p == path and self.tags[k] in CONTAINER and plain[k]]
+        found = [k for k, p in enumerate(self.paths) if p == path and self.tags[k] in CONTAINER and (plain[k] or linked[k])]
         most = max((plain[k] for k in found), default=0)
         return [k for k in found if plain[k] >= linked[k] or plain[k] == most]
 
