@@ -530,23 +530,25 @@ def stream_http_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request_id", "status", "level", "message", "request_body", "response_body")
 
 
+def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job states from a stream whose store forgets a job a day after its submission."""
+    folder = work_dir(spark, "jobs")
+    changes = stream_jobs.track_jobs(D.job_log_from(_event_stream(spark, sf_dir)))
+    S.start(changes, S.append_changes(f"{folder}/out"), f"{folder}/checkpoint", "update", timers=True).awaitTermination()
+    return stream_jobs.tracked_jobs(spark, f"{folder}/out")
+
+
 @query
 def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = work_dir(spark, "jobs")
-    states = stream_jobs.stream_states(D.job_log_from(_event_stream(spark, sf_dir)))
-    _run(states, S.append_changes(f"{folder}/out"), folder, "update")
-    latest = S.read_latest(spark, f"{folder}/out", states.schema, ["job_id"])
-    return _ntz(jobs.shape_state(latest), *JOB_TIMES)
+    return _ntz(jobs.shape_state(_tracked(spark, sf_dir)), *JOB_TIMES)
 
 
 @query
 def stream_job_state_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of jobs submitted within a day of the newest event."""
-    folder = work_dir(spark, "jobs-ttl")
-    log = D.job_log_from(_event_stream(spark, sf_dir))
-    _run(log, stream_jobs.merge_with_ttl(f"{folder}/out"), folder)
-    kept = S.read_version(spark, f"{folder}/out", S.newest_version(spark, f"{folder}/out"), jobs.event_states(log).schema)
-    return _ntz(jobs.shape_state(kept), *JOB_TIMES)
+    states = _tracked(spark, sf_dir)
+    newest = states.agg(F.max("last.ts").alias("ts")).scalar()
+    return _ntz(jobs.shape_state(states.filter(stream_jobs.within(newest))), *JOB_TIMES)
 
 
 @query

@@ -2,7 +2,7 @@
 
 A micro-batch writes exactly one directory named by its batch id and overwrites it when replayed.
 Two shapes: a *change log* (every batch appends the rows that changed; readers take the last per key)
-and a *versioned state* (every batch writes the whole, bounded state, built from the version before).
+and a *versioned state* (every batch writes the whole, small state, built from the version before).
 """
 
 from __future__ import annotations
@@ -17,12 +17,28 @@ from pyspark.sql.types import StructType
 from feedlake.operators.dedupe import last_per
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def start(
-    stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", once: bool = True
+    stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", once: bool = True, timers: bool = False
 ) -> StreamingQuery:
-    """Run ``each`` per micro-batch; ``once`` works off what is there and stops."""
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    """Run ``each`` per micro-batch; ``once`` works off what is there and stops.
+
+    ``timers``: the stream keeps states with timers, which need the store on disk.  A query holds the
+    settings it was started with, so the session's own is put back at once.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(PROVIDER, None)
+    if timers:
+        spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
+        return (writer.trigger(availableNow=True) if once else writer).start()
+    finally:
+        if timers:
+            spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
 def append_changes(path: str) -> Callable[[DataFrame, int], None]:
