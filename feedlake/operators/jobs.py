@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from feedlake import constants as C
 
 
-def event_states(events: DataFrame) -> DataFrame:
+def event_states(events: DataFrame, *also: str) -> DataFrame:
     """Each lifecycle event as the state of a job that saw only this event.
 
     States merge by plain aggregates (:func:`merge_aggregates`), so one definition serves the batch
     job, the streaming aggregate and the merge of a micro-batch into a state table.
 
     ``completed_at`` is set by *every* change after submission, as the service does;
-    ``started_at_derived`` is the first ``processing`` event.
+    ``started_at_derived`` is the first ``processing`` event.  The columns ``also`` are kept.
     """
     submitted = F.col("status") == "pending"
     return events.select(
-        "job_id",
+        "job_id", *also,
         F.when(submitted, F.struct("ts", "url")).alias("submission"),
         F.when(F.col("status") == "processing", F.col("ts")).alias("started_at_derived"),
         F.when(~submitted, F.col("ts")).alias("completed_at"),

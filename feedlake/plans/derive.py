@@ -86,8 +86,9 @@ def _xml(col: Column) -> Column:
     return F.replace(col, F.lit(">"), F.lit("&gt;"))
 
 
-def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RSS captures: the entries of one feed, at most ``ENTRIES_PER_CAPTURE`` to a document.
+def capture_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSS captures: the entries of one feed, at most ``ENTRIES_PER_CAPTURE`` to a document; ``ingest_seq`` is the
+    number of the capture's first entry.
 
     A capture covers a range of that many consecutive entry numbers, so even a feed that holds a third
     of all entries is spread over many documents.
@@ -95,6 +96,7 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_items(spark, sf_dir)
     capture = F.floor(F.col("ingest_seq") / ENTRIES_PER_CAPTURE)
     grouped = raw.groupBy("feed_url", capture.alias("capture")).agg(
+        F.min("ingest_seq").alias("ingest_seq"),
         F.array_join(
             F.transform(
                 F.sort_array(F.collect_list(F.struct(F.col("ingest_seq"), _entry().alias("entry")))),
@@ -103,12 +105,16 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("entries")
     )
     return grouped.select(
-        "feed_url",
+        "feed_url", "ingest_seq",
         F.timestamp_seconds(F.lit(1_719_792_000) + F.col("capture")).alias("fetched_at"),
         F.concat(F.lit(_OPEN), "entries", F.lit(_CLOSE)).alias("body"),
     )
 
 
+def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_documents(spark, sf_dir).drop("ingest_seq")
+
+
 def damaged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSS captures of which some are cut in the middle and some are no feed."""
     turn = F.unix_seconds("fetched_at") % 4
@@ -149,12 +155,6 @@ def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("feed_url", "ingest_seq", body.alias("body"))
 
 
-def single_entry_documents(raw: DataFrame) -> DataFrame:
-    """RSS captures of one entry each (narrow, so it also works on a stream)."""
-    body = F.concat(F.lit(_OPEN), _entry(), F.lit(_CLOSE))
-    return raw.select("feed_url", "ingest_seq", body.alias("body"))
-
-
 _OPEN, _CLOSE = '<rss version="2.0"><channel>', "</channel></rss>"
 
 

@@ -448,26 +448,35 @@ def queue_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STREAM_PARTS = 4
+# Files of a part where it has as many rows as this for each; one file below.
+STREAM_FILES = 8
+FILE_ROWS = 1_000
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str, order: str) -> DataFrame:
-    """A table as a stream of several files, by ``order``, one to a micro-batch."""
-    rows = D.table(spark, sf_dir, name)
+def _streamed(spark: SparkSession, rows: DataFrame, order: str) -> DataFrame:
+    """A table as a stream of several parts by ``order``, one to a micro-batch, each of as many files."""
     low, high = rows.agg(F.min(order), F.max(order)).first()
-    folder = work_dir(spark, f"stream-{name}")
+    folder = work_dir(spark, "stream")
+    files = 1
     if low is None:
         rows.write.parquet(folder)
     else:
         step = (high - low) / STREAM_PARTS
+        bounds = [low + k * step for k in range(1, STREAM_PARTS)]
+        part = F.lit(STREAM_PARTS - 1)
+        for k in range(STREAM_PARTS - 2, -1, -1):
+            part = F.when(F.col(order) < bounds[k], k).otherwise(part)
+        sizes = {r.part: r["count"] for r in rows.groupBy(part.alias("part")).count().collect()}
+        files = STREAM_FILES if min(sizes.values()) >= STREAM_FILES * FILE_ROWS else 1
         # one after the other: the source takes files by age
-        for k in range(STREAM_PARTS):
-            part = (F.col(order) >= low + k * step) & ((F.col(order) < low + (k + 1) * step) | F.lit(k == STREAM_PARTS - 1))
-            rows.where(part).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        for k in sorted(sizes):
+            own = rows.where(part == k)
+            (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.read_events(_stream(spark, sf_dir, "events", "ts"))
+    return D.read_events(_streamed(spark, D.table(spark, sf_dir, "events"), "ts"))
 
 
 def _run(stream: DataFrame, each, folder: str, mode: str = "append") -> None:
@@ -530,25 +539,28 @@ def stream_http_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request_id", "status", "level", "message", "request_body", "response_body")
 
 
-def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Job states from a stream whose store forgets a job a day after its submission."""
+def _tracked(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The change log of a job stream, and the stream."""
     folder = work_dir(spark, "jobs")
     changes = stream_jobs.track_jobs(D.job_log_from(_event_stream(spark, sf_dir)))
-    S.start(changes, S.append_changes(f"{folder}/out"), f"{folder}/checkpoint", "update", timers=True).awaitTermination()
-    return stream_jobs.tracked_jobs(spark, f"{folder}/out")
+    _run(changes, S.append_changes(f"{folder}/out", "day"), folder, "update")
+    return f"{folder}/out", changes
 
 
 @query
 def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ntz(jobs.shape_state(_tracked(spark, sf_dir)), *JOB_TIMES)
+    return _ntz(jobs.shape_state(stream_jobs.tracked_jobs(spark, *_tracked(spark, sf_dir))), *JOB_TIMES)
 
 
 @query
 def stream_job_state_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State of jobs submitted within a day of the newest event."""
-    states = _tracked(spark, sf_dir)
-    newest = states.agg(F.max("last.ts").alias("ts")).scalar()
-    return _ntz(jobs.shape_state(states.filter(stream_jobs.within(newest))), *JOB_TIMES)
+    """State of jobs submitted within a day of the newest event; days before are swept from the log."""
+    log, changes = _tracked(spark, sf_dir)
+    newest = S.read_changes(spark, log, changes.schema).agg(F.unix_micros(F.max("last.ts"))).first()[0]
+    if newest is not None:
+        stream_jobs.sweep_jobs(spark, log, newest)
+    states = stream_jobs.tracked_jobs(spark, log, changes)
+    return _ntz(jobs.shape_state(states.filter(stream_jobs.within(F.timestamp_micros(F.lit(newest).cast("bigint"))))), *JOB_TIMES)
 
 
 @query
@@ -563,10 +575,10 @@ def stream_client_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ingest(spark: SparkSession, sf_dir: str) -> str:
-    """The store as batch 0 of a landing log, then all documents streamed in on top."""
+    """The store as batch 0 of a landing log, then captures of all documents, many entries each, streamed in on top."""
     folder = work_dir(spark, "ingest")
     tables.append_batch(D.store_items(spark, sf_dir).select(*ITEM_SCHEMA.fieldNames()), f"{folder}/landing", 0)
-    documents = D.single_entry_documents(D.raw_items_from(_stream(spark, sf_dir, "documents", "doc_id")))
+    documents = _streamed(spark, D.capture_documents(spark, sf_dir), "ingest_seq")
     _run(ingest.entries(documents), ingest.ingest_batches(f"{folder}/landing", f"{folder}/report", first_batch=1), folder)
     return folder
 

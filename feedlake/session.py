@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,24 +45,3 @@ def work_dir(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     return f"{base.rstrip('/')}/feedlake-{label}-{uuid.uuid4().hex}"
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give the workers this package, once per session, wherever the driver was started.
-
-    Spark serves the archive from the driver; it goes when the driver ends.
-    """
-    context = spark.sparkContext
-    if getattr(context, "_feedlake_archive", None):
-        return
-    root = os.path.dirname(os.path.abspath(__file__))
-    folder = tempfile.TemporaryDirectory(prefix="feedlake-")
-    target = os.path.join(folder.name, "feedlake_package.zip")
-    with zipfile.ZipFile(target, "w") as archive:
-        for at, _, names in os.walk(root):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(at, name)
-                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
-    context.addPyFile(target)
-    context._feedlake_archive = folder

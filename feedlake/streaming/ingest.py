@@ -7,32 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.operators.dedupe import drop_known, last_per_link
+from feedlake.operators.dedupe import drop_known
 from feedlake.operators.items import is_valid_item, normalize_items
-from feedlake.sources.feeds import parse_feed_documents
-from feedlake.sources.items import append_batch, bucket_of, read_landing
 from feedlake.schemas import ITEM
+from feedlake.sources.feeds import parse_feed_documents
+from feedlake.sources.items import BUCKET_BATCHES, append_batch, bucket_of, buckets_in, latest, merge_buckets, read_buckets
 
 
 def entries(documents: DataFrame, dialect: str = "rss", date_policy: str = "strict") -> DataFrame:
     """Captured documents to normalised items with ``valid``; narrow, so it streams as it is.
 
-    ``documents`` needs feed_url, body and ingest_seq (order of arrival; entries of one document
-    follow each other).
+    ``documents`` needs feed_url, body and ingest_seq (order of arrival); ``position`` is the place of an
+    entry in its document.
     """
-    parsed = parse_feed_documents(documents, dialect=dialect)
-    ordered = parsed.withColumn("ingest_seq", F.col("ingest_seq") + F.col("position")).drop("position")
-    return normalize_items(ordered, date_policy).withColumn("valid", is_valid_item(check_date=False))
+    return normalize_items(parse_feed_documents(documents, dialect=dialect), date_policy).withColumn("valid", is_valid_item(check_date=False))
 
 
 def ingest_batches(
-    path: str, report: str, first_batch: int = 0, dedupe: bool = True
+    path: str, report: str, first_batch: int = 0, dedupe: bool = True, merge_after: int = BUCKET_BATCHES
 ) -> Callable[[DataFrame, int], None]:
     """foreachBatch body over :func:`entries`.
 
     Survivors are appended to the landing log under ``path``; per batch one row of counts goes to
     ``report``.  Only buckets with a link of the batch are read, and of their rows only the columns the
-    duplicate test needs.
+    duplicate test needs; of those buckets the ones with more than ``merge_after`` batches are merged.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -40,24 +38,25 @@ def ingest_batches(
         number = batch_id + first_batch
         seen = batch.persist()
         try:
-            offered = seen.filter("valid").select(*ITEM.fieldNames())
+            offered = seen.filter("valid").select(*ITEM.fieldNames(), "position", F.struct("ingest_seq", "position").alias("arrival"))
+            links = offered.select("link").distinct()
+            count = buckets_in(spark, path)
+            # no more than the log has buckets
+            buckets = [r.bucket for r in links.select(bucket_of(F.col("link"), count).alias("bucket")).distinct().collect()]
             survivors = offered
-            if dedupe and number > 0:
-                links = offered.select("link").distinct()
-                # no more than BUCKETS rows
-                buckets = [r.bucket for r in links.select(bucket_of(F.col("link")).alias("bucket")).distinct().collect()]
-                landed = read_landing(spark, path).filter((F.col("batch_id") < number) & F.col("bucket").isin(buckets))
-                stored = landed.select("link", "title", "author", "content_hash", "ingest_seq", "batch_id")
-                stored = last_per_link(stored.join(links, "link", "left_semi"), "batch_id", "ingest_seq")
-                survivors = drop_known(offered, stored)
-            append_batch(survivors, path, number)
-            put = read_landing(spark, path).filter(F.col("batch_id") == number)
+            if dedupe:
+                landed = read_buckets(spark, path, buckets).filter(F.col("batch_id") < number)
+                stored = landed.select("link", "title", "author", "content_hash", "ingest_seq", "position", "batch_id")
+                survivors = drop_known(offered, latest(stored.join(links, "link", "left_semi")), "arrival")
+            append_batch(survivors.drop("arrival"), path, number)
+            put = read_buckets(spark, path, buckets).filter(F.col("batch_id") == number)
             counts = seen.agg(
                 F.count(F.lit(1)).alias("entries"), F.count_if(~F.col("valid")).alias("invalid")
             ).withColumn("new", put.agg(F.count(F.lit(1)).alias("n")).scalar())
             counts.withColumn("duplicates", F.col("entries") - F.col("invalid") - F.col("new")).write.mode(
                 "overwrite"
             ).parquet(f"{report}/batch_id={number}")
+            merge_buckets(spark, path, buckets, number, merge_after)
         finally:
             seen.unpersist()
 

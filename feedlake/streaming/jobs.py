@@ -1,116 +1,55 @@
-"""Job state from a stream of lifecycle events, kept in the state store until it expires.
+"""Job state from a stream of lifecycle events, with state and table that forget.
 
-Each job has one state row and one event-time timer.  The timer is set to the submission (before that is
-seen, to the last event) plus the time to live; when the watermark passes it the state goes and a last row
-with ``expired`` is given out.  So the store holds the jobs of one lifetime and the delay, whatever the
-length of the history, and a batch touches the jobs of its events and those whose timers ran out.
+States of a job merge by plain aggregates (:mod:`feedlake.operators.jobs`), so the stream need not hold a
+job's whole life: it aggregates each job within short event-time windows, and the watermark evicts a
+window's states soon after it ends.  What the store holds are the jobs of one window and the delay,
+whatever the length of the history.
 
-Every change is a row of the change log.  Rows of one job merge by the aggregates of
-:mod:`feedlake.operators.jobs`, which take a row twice without harm: replayed batches change nothing, and an
-event that comes after its job has expired still meets the job's earlier rows in the log.
+Every change goes to a change log, by the day of its window.  Readers merge all rows of a job; a row that
+is there twice, as after a replay, changes nothing.  Retention drops whole days: once a day ended longer
+ago than the time to live, each submission in it has expired, and rows of such jobs on later days have no
+submission any more, which readers leave out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from feedlake import constants as C
-from feedlake.operators.jobs import merge_states
-from feedlake.session import ship_package
+from feedlake.operators.jobs import event_states, merge_aggregates, merge_states
+from feedlake.sources.files import folder_names, remove
 from feedlake.streaming.tables import read_changes
 
-FIELDS = "submitted_us bigint, url string, started_us bigint, completed_us bigint, last_us bigint, step int, status string, error string, items_count bigint, duration_ms bigint"
-CHANGES = f"job_id string, {FIELDS}, expired boolean"
-CHANGE = Row(*(field.split()[0] for field in CHANGES.split(", ")))
 
-
-def _order(values: tuple) -> tuple:
-    """Sort key that puts null first, as Spark orders structs."""
-    return tuple((v is not None, v) if v is not None else (False,) for v in values)
-
-
-def merged_state(known: tuple | None, event: Row) -> tuple:
-    """The state of a job after one more event; the order of events doesn't matter."""
-    submitted, url, started, completed, *last = known or (None,) * 10
-    us = event.us
-    if event.status == "pending":
-        if submitted is None or _order((us, event.url)) < _order((submitted, url)):
-            submitted, url = us, event.url
-    elif event.status is not None:
-        completed = us if completed is None else max(completed, us)
-    if event.status == "processing":
-        started = us if started is None else min(started, us)
-    now = (us, event.step, event.status, event.error, event.items_count, event.duration_ms)
-    last = now if known is None or _order(now) > _order(tuple(last)) else tuple(last)
-    return submitted, url, started, completed, *last
-
-
-class JobStates(StatefulProcessor):
-    def __init__(self, keep_us: int):
-        self.keep_us = keep_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("job", FIELDS)
-
-    def expiry_ms(self, state: tuple) -> int:
-        born = state[0] if state[0] is not None else state[4]
-        return (born + self.keep_us) // 1000 + 1
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        known = self.state.get()
-        before = None if known is None else self.expiry_ms(tuple(known))
-        state = None if known is None else tuple(known)
-        for event in rows:
-            if event.us is not None:
-                state = merged_state(state, event)
-        if state is None:
-            return
-        after = self.expiry_ms(state)
-        if after != before:
-            if before is not None:
-                self.handle.deleteTimer(before)
-            self.handle.registerTimer(after)
-        self.state.update(state)
-        yield CHANGE(*key, *state, False)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        known = self.state.get()
-        if known is not None:
-            self.state.clear()
-            yield CHANGE(*key, *known, True)
-
-    def close(self) -> None:
-        pass
-
-
-def track_jobs(events: DataFrame, keep_us: int = C.JOB_TTL_US, delay: str = "1 hour") -> DataFrame:
-    """Changes of job states (update mode) from a stream of lifecycle events.
+def track_jobs(events: DataFrame, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """Changes of job states (update mode): job_id, day and the job's state within the window.
 
     Events later than ``delay`` behind the newest are dropped by the watermark; an event without a job or
-    a time belongs to no job.  Start the stream with ``timers``, see :func:`feedlake.streaming.tables.start`.
+    a time belongs to no job.
     """
-    ship_package(events.sparkSession)
-    rows = events.where("job_id is not null and ts is not null").withWatermark("ts", delay).select(
-        "job_id", "ts", F.unix_micros("ts").alias("us"), F.col("url").cast("string"), F.col("step").cast("int"), "status", "error",
-        F.col("items_count").cast("bigint"), F.col("duration_ms").cast("bigint"),
-    )
-    return rows.groupBy("job_id").transformWithState(JobStates(keep_us), CHANGES, "Update", "EventTime")
-
-
-def tracked_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """Merged states of all jobs in the change log, for :func:`feedlake.operators.jobs.shape_state`."""
-    at = F.timestamp_micros
-    rows = read_changes(spark, path, spark.createDataFrame([], CHANGES).schema)
-    return merge_states(rows.select(
-        "job_id", F.when(F.col("submitted_us").isNotNull(), F.struct(at("submitted_us").alias("ts"), "url")).alias("submission"),
-        at("started_us").alias("started_at_derived"), at("completed_us").alias("completed_at"),
-        F.struct(at("last_us").alias("ts"), "step", "status", "error", "items_count", "duration_ms").alias("last"),
-    ))
+    rows = events.where("job_id is not null and ts is not null").withWatermark("ts", delay)
+    merged = event_states(rows, "ts").groupBy("job_id", F.window("ts", window).alias("w")).agg(*merge_aggregates())
+    return merged.select("job_id", "submission", "started_at_derived", "completed_at", "last", F.to_date("w.start").alias("day"))
+
+
+def tracked_jobs(spark: SparkSession, path: str, changes: DataFrame) -> DataFrame:
+    """Merged states of the jobs in the change log, for :func:`feedlake.operators.jobs.shape_state`."""
+    return merge_states(read_changes(spark, path, changes.schema))
+
+
+def sweep_jobs(spark: SparkSession, path: str, now_us: int, keep_us: int = C.JOB_TTL_US) -> int:
+    """Drop the days whose jobs have all expired at ``now_us``; the number of folders dropped."""
+    last = (datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=now_us - keep_us)).date()
+    dropped = 0
+    for batch in folder_names(spark, path):
+        for day in folder_names(spark, f"{path}/{batch}") if batch.startswith("batch_id=") else ():
+            if day.startswith("day=") and day[4:] < last.isoformat():
+                remove(spark, f"{path}/{batch}/{day}")
+                dropped += 1
+    return dropped
 
 
 def within(now: Column, keep_us: int = C.JOB_TTL_US) -> Column:

@@ -17,33 +17,20 @@ from pyspark.sql.types import StructType
 from feedlake.operators.dedupe import last_per
 
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
-
 def start(
-    stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", once: bool = True, timers: bool = False
+    stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", once: bool = True
 ) -> StreamingQuery:
-    """Run ``each`` per micro-batch; ``once`` works off what is there and stops.
-
-    ``timers``: the stream keeps states with timers, which need the store on disk.  A query holds the
-    settings it was started with, so the session's own is put back at once.
-    """
-    spark = stream.sparkSession
-    before = spark.conf.get(PROVIDER, None)
-    if timers:
-        spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
-        return (writer.trigger(availableNow=True) if once else writer).start()
-    finally:
-        if timers:
-            spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
-
-
-def append_changes(path: str) -> Callable[[DataFrame, int], None]:
+    """Run ``each`` per micro-batch; ``once`` works off what is there and stops."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def append_changes(path: str, *parts: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body: one folder for each batch, partitioned by ``parts``."""
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        rows = batch.hint("rebalance", *parts) if parts else batch
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*parts).parquet(f"{path}/batch_id={batch_id}")
 
     return each
 

@@ -1,13 +1,12 @@
-"""Job states in the state store: timers, restart, replay."""
+"""Job states of a stream: bounded store, restart, replay, sweep."""
 
-import random
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from feedlake.operators import jobs
 from feedlake.session import work_dir
+from feedlake.sources import files
 from feedlake.streaming import jobs as J
 from feedlake.streaming import tables as S
 
@@ -15,10 +14,10 @@ T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 EVENTS = "job_id string, url string, step int, status string, ts timestamp, error string, items_count long, duration_ms long"
 
 
-def lifecycle(job, hour, end="completed"):
+def lifecycle(job, hour, end="completed", took=9):
     at = lambda s: T0 + timedelta(hours=hour, seconds=s)
     rows = [(job, "u", 0, "pending", at(0), "", 0, 0), (job, "u", 1, "processing", at(1), "", 0, 0)]
-    return rows + ([(job, "u", 2, end, at(9), "boom" if end == "failed" else "", 3, 8000)] if end else [])
+    return rows + ([(job, "u", 2, end, at(took), "boom" if end == "failed" else "", 3, 8000)] if end else [])
 
 
 def write(spark, folder, rows):
@@ -27,69 +26,57 @@ def write(spark, folder, rows):
 
 def run(spark, folder):
     events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    query = S.start(J.track_jobs(events), S.append_changes(f"{folder}/out"), f"{folder}/checkpoint", "update", timers=True)
+    changes = J.track_jobs(events)
+    query = S.start(changes, S.append_changes(f"{folder}/out", "day"), f"{folder}/checkpoint", "update")
     query.awaitTermination()
-    return [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    return changes, [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
 
 
 def shaped(states):
     return sorted(map(tuple, jobs.shape_state(states).collect()), key=repr)
 
 
-def test_states_expire_and_a_restart_goes_on(spark):
+def direct(spark, rows):
+    return jobs.merge_states(jobs.event_states(spark.createDataFrame(rows, EVENTS)))
+
+
+def test_the_store_forgets_and_a_restart_goes_on(spark):
     folder = work_dir(spark, "test-jobs")
-    first = [r for h in range(0, 12) for j in range(5) for r in lifecycle(f"j{h}-{j}", h, ("completed", "failed", None)[j % 3])]
-    write(spark, f"{folder}/in", first)
-    held = run(spark, folder)
-    log = J.tracked_jobs(spark, f"{folder}/out")
-    assert shaped(log) == shaped(jobs.merge_states(jobs.event_states(spark.createDataFrame(first, EVENTS)))) and max(held) >= 60
-    # a day later: the timers of the first jobs have run out, one of them ends late, one was never submitted
-    later = [r for j in range(4) for r in lifecycle(f"late-{j}", 40)] + [("j0-0", "u", 2, "failed", T0 + timedelta(hours=40), "late", 0, 1), ("ghost", "u", 2, "completed", T0 + timedelta(hours=40), "", 1, 1)]
+    first = [r for h in range(0, 12) for j in range(5) for r in lifecycle(f"j{h}-{j}", h, ("completed", "failed", None)[j % 3], 9 if j else 5000)]
+    write(spark, f"{folder}/in", [r for r in first if r[4] < T0 + timedelta(hours=6)])
+    write(spark, f"{folder}/in", [r for r in first if r[4] >= T0 + timedelta(hours=6)])
+    changes, held = run(spark, folder)
+    assert shaped(J.tracked_jobs(spark, f"{folder}/out", changes)) == shaped(direct(spark, first))
+    assert 20 < max(held) and held[-1] < 20, held  # two hours at most are left
+    # a day later one of the first jobs ends late, and one that was never submitted ends
+    later = [r for j in range(4) for r in lifecycle(f"late-{j}", 40)] + [("j0-1", "u", 2, "failed", T0 + timedelta(hours=40), "late", 0, 1), ("ghost", "u", 2, "completed", T0 + timedelta(hours=40), "", 1, 1)]
     write(spark, f"{folder}/in", later)
-    write(spark, f"{folder}/in", lifecycle("last", 80))
-    held = run(spark, folder)
-    assert held[-1] < 12, held
-    everything = first + later + lifecycle("last", 80)
-    assert shaped(J.tracked_jobs(spark, f"{folder}/out")) == shaped(jobs.merge_states(jobs.event_states(spark.createDataFrame(everything, EVENTS))))
-    expired = spark.read.parquet(f"{folder}/out").where("expired").select("job_id").distinct()
-    assert {r.job_id for r in expired.collect()} >= {f"j{h}-{j}" for h in range(12) for j in range(5)} - {"j0-0"}
-    now = F.lit(T0 + timedelta(hours=80, seconds=9))
-    assert [r.job_id for r in J.tracked_jobs(spark, f"{folder}/out").where(J.within(now)).select("job_id").collect()] == ["last"]
+    write(spark, f"{folder}/in", lifecycle("last", 60))
+    changes, held = run(spark, folder)
+    assert held[-1] <= 1, held
+    everything = first + later + lifecycle("last", 60)
+    assert shaped(J.tracked_jobs(spark, f"{folder}/out", changes)) == shaped(direct(spark, everything))
+    now = T0 + timedelta(hours=60, seconds=9)
+    want = shaped(direct(spark, everything).where(J.within(F.lit(now))))
+    assert [r[0] for r in want] == ["last", "late-0", "late-1", "late-2", "late-3"]
+    assert J.sweep_jobs(spark, f"{folder}/out", int(now.timestamp() * 1_000_000)) > 1
+    assert J.sweep_jobs(spark, f"{folder}/out", int(now.timestamp() * 1_000_000)) == 0
+    left = {d for b in files.folder_names(spark, f"{folder}/out") for d in files.folder_names(spark, f"{folder}/out/{b}") if d.startswith("day=")}
+    assert left == {"day=2024-01-02", "day=2024-01-03"}
+    assert shaped(J.tracked_jobs(spark, f"{folder}/out", changes).where(J.within(F.lit(now)))) == want
 
 
 def test_a_replayed_batch_changes_nothing(spark):
     folder = work_dir(spark, "test-replay")
     rows = [r for j in range(6) for r in lifecycle(f"j{j}", j)]
     write(spark, f"{folder}/in", rows)
-    run(spark, folder)
-    before = shaped(J.tracked_jobs(spark, f"{folder}/out"))
-    log = S.read_changes(spark, f"{folder}/out", spark.createDataFrame([], J.CHANGES).schema)
-    again = S.append_changes(f"{folder}/out")
-    batch = spark.createDataFrame(log.where("batch_id = 0").drop("batch_id").collect(), J.CHANGES)
+    changes, _ = run(spark, folder)
+    read = lambda: shaped(J.tracked_jobs(spark, f"{folder}/out", changes))
+    before = read()
+    log = S.read_changes(spark, f"{folder}/out", changes.schema)
+    batch = spark.createDataFrame(log.where("batch_id = 0").drop("batch_id").collect(), changes.schema)
+    again = S.append_changes(f"{folder}/out", "day")
     again(batch, 0)  # the same batch, as after a crash between the write and the checkpoint
+    assert read() == before
     again(batch, 7)  # the same rows under another number, as after a lost checkpoint
-    assert shaped(J.tracked_jobs(spark, f"{folder}/out")) == before
-
-
-def test_merging_equals_the_aggregates(spark):
-    rng = random.Random(4)
-    status = ["pending", "processing", "completed", "failed", None]
-    rows = []
-    for j in range(60):
-        for _ in range(rng.randrange(1, 7)):
-            rows.append((f"j{j}", rng.choice(["a", "b", None]), rng.randrange(3), rng.choice(status), T0 + timedelta(seconds=rng.randrange(5)), rng.choice(["", "x", None]), rng.choice([0, 1, None]), rng.randrange(3)))
-    want = {r.job_id: r for r in jobs.merge_states(jobs.event_states(spark.createDataFrame(rows, EVENTS))).collect()}
-    micros = lambda t: None if t is None else int(t.timestamp() * 1_000_000)
-    for job in want:
-        own = [r for r in rows if r[0] == job]
-        rng.shuffle(own)
-        state = None
-        for r in own:
-            state = J.merged_state(state, Row(us=micros(r[4].astimezone()), url=r[1], step=r[2], status=r[3], error=r[5], items_count=r[6], duration_ms=r[7]))
-        w = want[job]
-        sub = w.submission
-        expected = (
-            micros(sub.ts) if sub else None, sub.url if sub else None, micros(w.started_at_derived), micros(w.completed_at), micros(w.last.ts),
-            w.last.step, w.last.status, w.last.error, w.last.items_count, w.last.duration_ms,
-        )
-        assert state == expected
+    assert read() == before == shaped(direct(spark, rows))

@@ -1,5 +1,7 @@
 """Plans and state that must hold at scale."""
 
+import random
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -10,7 +12,9 @@ from feedlake.operators import query as Q
 from feedlake.plans import registry
 from feedlake.schemas import ITEM
 from feedlake.session import work_dir
+from feedlake.sources import files
 from feedlake.sources import items as tables
+from feedlake.streaming import ingest
 from feedlake.streaming import tables as S
 
 
@@ -83,21 +87,90 @@ def test_streams_run_several_batches(spark):
     assert len(seen) >= 3 and sum(n for _, n in seen) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
 
 
+def landed(spark, rows):
+    return spark.createDataFrame([("f", "t", link, "d", "a", "p", None, "h", n) for link, n in rows], ITEM)
+
+
+def versions(df):
+    return sorted((r.link, r.ingest_seq) for r in df.collect())
+
+
 def test_a_batch_reads_the_buckets_of_its_links(spark):
     path = work_dir(spark, "test-landing")
-    row = lambda link, n: ("f", "t", link, "d", "a", "p", None, "h", n)
-    frame = lambda rows: spark.createDataFrame(rows, ITEM)
-    tables.append_batch(frame([row(f"l{i}", i) for i in range(200)]), path, 0)
-    tables.append_batch(frame([row("l1", 300), row("new", 301)]), path, 1)
-    tables.append_batch(frame([row("l1", 300), row("new", 301)]), path, 1)
-    landed = tables.read_landing(spark, path)
-    assert landed.count() == 202 and tables.read_landed_items(spark, path).count() == 201
-    bucket = landed.where("link = 'new'").first().bucket
-    some = landed.filter(F.col("bucket").isin([bucket]))
-    assert "bucket" in plan(some).split("PartitionFilters")[1].split("]")[0] and some.count() < 50
-    tables.append_batch(frame([row("l2", 400)]), path, 2)
-    tables.compact(spark, path, f"{path}-small", 2)
-    small = tables.read_landing(spark, f"{path}-small")
-    assert small.count() == 202 and {r.batch_id for r in small.select("batch_id").distinct().collect()} == {1, 2}
-    key = lambda df: sorted((r.link, r.ingest_seq) for r in df.collect())
-    assert key(tables.read_landed_items(spark, f"{path}-small")) == key(tables.read_landed_items(spark, path))
+    tables.append_batch(landed(spark, [(f"l{i}", i) for i in range(200)]), path, 0)
+    for _ in range(2):  # the second is a replay
+        tables.append_batch(landed(spark, [("l1", 300), ("new", 301)]), path, 1)
+    assert tables.read_landing(spark, path).count() == 202 and tables.read_landed_items(spark, path).count() == 201
+    bucket = tables.read_landing(spark, path).where("link = 'new'").first().bucket
+    some = tables.read_buckets(spark, path, [bucket])
+    assert all(f"bucket={bucket}/" in f for f in some.inputFiles()) and 0 < some.count() < 50
+    assert tables.read_buckets(spark, path, [99]).count() == 0
+    assert tables.read_buckets(spark, work_dir(spark, "test-none"), [1]).count() == 0
+
+
+def test_merged_and_doubled_buckets_hold_the_same_items(spark, monkeypatch):
+    monkeypatch.setattr(tables, "BUCKET_ROWS", 20)
+    path = work_dir(spark, "test-merge")
+    rng, want = random.Random(1), {}
+    for number in range(9):
+        rows = [(f"l{rng.randrange(900)}", 1000 * number + i) for i in range(120)]
+        tables.append_batch(landed(spark, rows), path, number)
+        want |= dict(rows)
+        touched = range(tables.buckets_in(spark, path))
+        tables.merge_buckets(spark, path, touched, number, most=2)
+        tables.merge_buckets(spark, path, touched, number, most=2)  # as after a run that ended in between
+    assert versions(tables.read_landed_items(spark, path)) == sorted(want.items())
+    assert tables.buckets_in(spark, path) >= 32
+    assert not [n for n in files.folder_names(spark, path) if n != f"of={tables.buckets_in(spark, path)}"]
+    # a half-written doubling doesn't count
+    tables.read_landing(spark, path).limit(1).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket", "batch_id").parquet(f"{path}/of=4096")
+    files.remove(spark, f"{path}/of=4096/_SUCCESS")
+    assert versions(tables.read_landed_items(spark, path)) == sorted(want.items())
+
+
+def test_reads_of_a_batch_do_not_grow_with_the_history(spark, monkeypatch):
+    path, report = work_dir(spark, "test-history"), work_dir(spark, "test-report")
+    each = ingest.ingest_batches(path, report, merge_after=3)
+    read, inside = [], tables.read_buckets
+
+    def counted(spark, path, buckets):
+        out = inside(spark, path, buckets)
+        read.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(ingest, "read_buckets", counted)
+    documents, per_batch = "feed_url string, body string, ingest_seq long", []
+    for number in range(14):
+        items = "".join(f"<item><title>t{number}-{i}</title><link>http://a/{number % 3}/{i}</link><description>d{i}</description></item>" for i in range(6))
+        docs = spark.createDataFrame([("f", f"<rss><channel>{items}</channel></rss>", number)], documents)
+        each(ingest.entries(docs), number)
+        per_batch.append(read[0])
+        read.clear()
+    assert max(per_batch[7:]) <= 6 * (3 + 2) and max(per_batch[10:]) <= max(per_batch[4:10])
+    assert tables.read_landed_items(spark, path).count() == 18
+    assert spark.read.parquet(report).agg(F.sum("new")).first()[0] == 18
+
+
+def test_entries_of_neighbouring_documents_keep_their_order(spark):
+    """Ten entries of document 7 do not overtake document 8."""
+    path, report = work_dir(spark, "test-order"), work_dir(spark, "test-report")
+    item = lambda link, title: f"<item><title>{title}</title><link>http://a/{link}</link><description>{title}</description></item>"
+    docs = [(7, "".join(item(i if i < 9 else "x", f"seven {i}") for i in range(10))), (8, item("x", "eight"))]
+    frame = spark.createDataFrame([("f", f"<rss><channel>{b}</channel></rss>", n) for n, b in docs], "feed_url string, body string, ingest_seq long")
+    ingest.ingest_batches(path, report)(ingest.entries(frame), 0)
+    assert {r.link: r.title for r in tables.read_landed_items(spark, path).select("link", "title").collect()}["http://a/x"] == "eight"
+
+
+def test_stream_parts_have_several_files(spark, monkeypatch):
+    monkeypatch.setattr(registry, "FILE_ROWS", 20)
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    stream = registry._streamed(spark, events, "ts")
+    seen = []
+
+    def each(batch, number):
+        times = batch.agg(F.min("ts"), F.max("ts")).first()
+        seen.append((batch.select(F.input_file_name()).distinct().count(), *times))
+
+    registry._run(stream, each, work_dir(spark, "test-files"))
+    assert [n for n, *_ in seen] == [registry.STREAM_FILES] * registry.STREAM_PARTS
+    assert all(a[2] < b[1] for a, b in zip(seen, seen[1:]))
