@@ -35,11 +35,11 @@ def _first(values: Column) -> Column:
 
 
 def dialect_of(body: Column) -> Column:
-    """Dialect by the root of the document; NULL when it is none of them."""
+    """Dialect by the root of the document, in any letter case; NULL when it is none of them."""
     head = F.regexp_replace(F.ltrim(body), r"^﻿", "")
-    root = F.regexp_extract(head, r"(?s)^(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*<([A-Za-z:]+)", 1)
+    root = F.lower(F.regexp_extract(head, r"(?s)^(?:<\?.*?\?>|<!--.*?-->|<!(?i:DOCTYPE)[^>]*>|\s)*<([A-Za-z:]+)", 1))
     return (
-        F.when(head.startswith("{"), "json").when(root == "rss", "rss").when(root == "feed", "atom").when(root == "rdf:RDF", "rdf")
+        F.when(head.startswith("{"), "json").when(root == "rss", "rss").when(root == "feed", "atom").when(root.isin("rdf:rdf", "rdf"), "rdf")
     )
 
 
@@ -76,29 +76,39 @@ def _of_json(e: Column) -> dict[str, Column]:
 
 
 def _read(documents: DataFrame, body: str, dialect: str) -> DataFrame:
-    """``documents`` without the body, with ``kind``, ``entries`` and ``reason`` (why it can't be read, or NULL)."""
+    """``documents`` without the body, with ``kind``, ``entries`` and ``reason`` (why it can't be read, or NULL).
+
+    What the readers return goes through a generator of one row: filters and projections above it take
+    fields of a value that is there, where they would otherwise repeat the readers.
+    """
     if dialect not in (*DIALECTS, "detect"):
         raise ValueError(f"unknown dialect {dialect!r}")
     keep = [c for c in documents.columns if c != body]
-    kind = dialect_of(F.col(body)) if dialect == "detect" else F.lit(dialect)
     kinds = DIALECTS if dialect == "detect" else (dialect,)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     xml = {**options, "ignoreSurroundingSpaces": "false", "nullValue": "\u0000", "attributePrefix": "_"}
-    docs = documents.withColumn("kind", kind)
-    for k in kinds:
-        text = F.when(F.col("kind") == k, F.col(body))
-        read = F.from_json(text, f"{_JSON}, {_CORRUPT} string", options) if k == "json" else F.from_xml(text, f"{_XML[k]}, {_CORRUPT} string", {**xml, "rowTag": _ROW_TAG[k]})
-        docs = docs.withColumn(f"read_{k}", read)
+    seen = documents.withColumn("_root", dialect_of(F.col(body)))
+    seen = seen.withColumn("_kind", F.col("_root") if dialect == "detect" else F.lit(dialect))
+
+    def reader(k: str) -> Column:
+        text = F.when((F.col("_kind") == k) & (F.col("_root") == k), F.col(body))
+        if k == "json":
+            return F.from_json(text, f"{_JSON}, {_CORRUPT} string", options)
+        return F.from_xml(text, f"{_XML[k]}, {_CORRUPT} string", {**xml, "rowTag": _ROW_TAG[k]})
+
+    read = F.struct(F.col("_kind").alias("kind"), F.col("_root").alias("root"), *(reader(k).alias(k) for k in kinds))
+    docs = seen.select(*keep, F.explode(F.array(read)).alias("_read"))
+    of = {k: F.col("_read")[k] for k in kinds}
     shape = {"rss": (lambda d: d["channel"]["item"], _of_item), "rdf": (lambda d: d["item"], _of_item), "atom": (lambda d: d["entry"], _of_entry), "json": (lambda d: d["items"], _of_json)}
 
     def entries(k: str) -> Column:
         values, fields = shape[k]
-        return F.transform(values(F.col(f"read_{k}")), lambda e: F.struct(*(v.alias(n) for n, v in fields(e).items())))
+        return F.transform(values(of[k]), lambda e: F.struct(*(v.alias(n) for n, v in fields(e).items())))
 
-    broken = F.coalesce(*(F.col(f"read_{k}")[_CORRUPT] for k in kinds)).isNotNull()
-    rooted = F.coalesce(*(dialect_of(F.col(body)) == k for k in kinds if dialect != "detect"), F.lit(True))
-    unread = F.when(F.col("kind").isNull() | ~rooted, "unknown format").when(broken, "malformed document")
-    return docs.select(*keep, "kind", unread.alias("reason"), F.coalesce(*(entries(k) for k in kinds)).alias("entries"))
+    kind = F.col("_read.kind")
+    broken = F.coalesce(*(of[k][_CORRUPT] for k in kinds)).isNotNull()
+    unread = F.when(kind.isNull() | F.coalesce(F.col("_read.root") != kind, F.lit(True)), "unknown format").when(broken, "malformed document")
+    return docs.select(*keep, kind.alias("kind"), unread.alias("reason"), F.coalesce(*(entries(k) for k in kinds)).alias("entries"))
 
 
 def parse_feed_documents(documents: DataFrame, body: str = "body", dialect: str = "detect") -> DataFrame:

@@ -1,5 +1,7 @@
 """Feed formats, detection and what can't be read."""
 
+import re
+
 import pytest
 
 from feedlake import constants as C
@@ -48,3 +50,23 @@ def test_catalog_forms_and_fallback(spark):
     assert {tuple(r) for r in catalog.read_feed_catalog(spark, path).collect()} == {("a", "u"), ("b", "v")}
     missing = catalog.read_feed_catalog(spark, work_dir(spark, "no-catalog")).collect()
     assert [tuple(r) for r in missing] == list(C.FALLBACK_FEEDS)
+
+
+@pytest.mark.parametrize("dialect", ["detect", "rss"])
+def test_every_reader_runs_once_in_the_plan(spark, dialect):
+    docs = spark.createDataFrame([("u", "<rss><channel><item><title>a</title></item></channel></rss>")], "feed_url string, body string").repartition(2)
+    parsed = feeds.parse_feed_documents(docs, dialect=dialect)
+    plan = parsed.where("title = 'a'")._jdf.queryExecution().optimizedPlan().toString().lower()
+    readers = {"detect": (3, 1), "rss": (1, 0)}[dialect]
+    assert (len(re.findall(r"from_xml\(|xmltostructs\(|xml_to_structs\(", plan)), len(re.findall(r"from_json\(|jsontostructs\(", plan))) == readers, plan
+
+
+def test_roots_and_elements_in_any_case(spark):
+    rows = [
+        ("a", '<RSS version="2.0"><CHANNEL><ITEM><TITLE>T</TITLE><Link>http://x</Link><PUBDATE>p</PUBDATE></ITEM></CHANNEL></RSS>'),
+        ("b", '<Feed xmlns="http://www.w3.org/2005/Atom"><Entry><Title>t2</Title><LINK HREF="http://y"/></Entry></Feed>'), ("c", "<Html><rss/></Html>"),
+    ]
+    docs = spark.createDataFrame(rows, "feed_url string, body string")
+    got = {r.feed_url: (r.title, r.link, r.published) for r in feeds.parse_feed_documents(docs).collect()}
+    assert got == {"a": ("T", "http://x", "p"), "b": ("t2", "http://y", None)}
+    assert [(r.feed_url, r.reason) for r in feeds.parse_failures(docs).collect()] == [("c", "unknown format")]
