@@ -3,9 +3,10 @@
 1. Every partition sends the sorted 64-bit fingerprints of its texts, Golomb-Rice coded, to the
    owners of hash ranges.
 2. An owner merges what it got and answers each sender with a bitmap: seen more than once, or not.
-3. Only rows with a set bit are suspects; their texts are compared byte for byte by grouping on the
-   text itself, which combines equal texts before the shuffle, so a group of any size is one row per
-   map task.
+3. Only rows with a set bit are suspects.  Their ids make a bit table of fixed size, which is broadcast
+   and holds the other rows' texts back where they are; more suspects only let more texts through.
+4. The suspects' texts are shuffled and compared byte for byte by grouping on the text itself, which
+   combines equal texts before the shuffle, so a group of any size is one row per map task.
 
 Texts are equal when identical without the characters ``[\\x20\\x09-\\x0D]``.  Of equal texts the row
 with the most code points stays, then the least doc_id (null last), then the first row read.  A null
@@ -24,6 +25,8 @@ from feedlake.llm import hashing
 from feedlake.llm.shared import map_arrow, materialise, next_block_id, partitions
 
 BLANKS = " \t\n\x0b\x0c\r"
+# The bit table has WORDS words of 64 bits: at most so many rows are broadcast, whatever the input.
+WORDS = 1 << 18
 
 
 def _codes(owners: int):
@@ -74,6 +77,12 @@ def _suspects(batches):
         yield pa.RecordBatch.from_pydict({"row_id": pa.array(np.concatenate(out), pa.int64())})
 
 
+def _place(doc_id):
+    """Word and bit of an id in the table."""
+    print_ = F.xxhash64(doc_id)
+    return F.pmod(print_, F.lit(WORDS)), F.pmod(F.shiftright(print_, 32), F.lit(64)).cast("int")
+
+
 def exact_groups(docs: DataFrame, carry: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and a column to carry along."""
     carried = [carry] if carry else []
@@ -95,9 +104,12 @@ def exact_groups(docs: DataFrame, carry: str | None = None) -> DataFrame:
     suspects = materialise(marks.join(found, "row_id", "left_semi"), "exact-suspects")
 
     wanted = suspects.select(F.col("doc_id").alias("wanted")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
-        wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi"
-    )
+    word, bit = _place(F.col("wanted"))
+    table = materialise(wanted.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits")), "exact-table")
+    word, bit = _place(F.col("doc_id"))
+    held = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("word", word)
+    held = held.join(F.broadcast(table), "word").where(F.call_function("shiftrightunsigned", "bits", bit).bitwiseAND(1) == 1)
+    texts = held.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     verified = (
         texts.groupBy(normal.alias("normal")).agg(F.count(F.lit(1)).alias("rows"))
         .groupBy(F.unhex(F.sha2("normal", 256)).alias("sha")).agg(F.count(F.lit(1)).alias("texts"))
