@@ -1,13 +1,16 @@
 """Benchmark passages in documents, found by their templates.
 
-A text becomes a sequence of tokens in which numbers, units after numbers and names (capitals within a
-sentence) are typed placeholders and all else is the word in lower case.  Windows of ``WINDOW`` template
+A text becomes a sequence of tokens in which numbers (in figures or words), units after numbers and names
+(capitals within a sentence) are typed placeholders and all else is the word in lower case.  Windows of ``WINDOW`` template
 tokens are hashed on both sides and joined.  What stands in the placeholders decides then: along one
 alignment of an item with a document every value of the item must always meet the same value of the
 document, and the other way round.  So a question asked again with other numbers and names is caught,
 and words that merely share a frame are not.
 
-Every window has a second form, of the text without its case (``str.casefold``): only numbers and units are
+Whether a capital at the start of a sentence is a name can't be seen, so windows with one have a form more,
+in which all capitals are names: whichever it is, the forms of both sides meet.
+
+Every window has another form, of the text without its case (``str.casefold``): only numbers and units are
 placeholders there, so text in capitals, or in small letters throughout, is found as well.  Both forms
 have the same tokens at the same places, and a window matches if either does.
 
@@ -32,6 +35,8 @@ text count once; extra columns are ignored; either table may be empty.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +44,7 @@ from pyspark.sql import functions as F
 
 from feedlake.llm import hashing
 from feedlake.llm.jaccard_join import sequences
-from feedlake.llm.shared import map_arrow, materialise
+from feedlake.llm.shared import map_arrow, materialise, small_side
 from feedlake.llm.words import LOWER, NO_WORD, parts, spans
 
 WINDOW, RUN, LEAST = 8, 13, 5
@@ -47,12 +52,25 @@ LITERALS = 4  # words, not placeholders, of a window that is told by its templat
 FILTER_BITS = 1 << 23
 PART_BYTES = 1 << 20
 
+# --- fixed values: units and numbers in the words of four languages (no words that are articles as well)
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g gram grams kg kilogram kilograms t ton tons lb lbs pound pounds oz ounce ounces "
     "ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "mph kmh hz khz mhz ghz w kw kwh v a j kj cal kcal pa kpa bar k c f degree degrees percent cent cents dollar dollars usd eur euro euros gbp yen "
-    "kb mb gb tb bit bits byte bytes meter meters metre metres kilometer kilometers kilometre kilometres"
+    "kb mb gb tb bit bits byte bytes meter meters metre metres kilometer kilometers kilometre kilometres "
+    "gramm kilogramm tonnen sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren grad prozent meilen "
+    "gramme grammes kilos litres heure heures jour jours semaine semaines mois an ans année années degrés mètre mètres kilomètre kilomètres secondes "
+    "gramos kilo litro litros hora horas minuto minutos segundo segundos día días semana semanas mes meses año años grado grados metro metros kilómetro kilómetros dólares"
+).split()
+NUMBERS = (
+    "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty "
+    "seventy eighty ninety hundred thousand million "
+    "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig dreissig vierzig "
+    "fünfzig sechzig siebzig achtzig neunzig hundert tausend "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante mille "
+    "cero dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil"
 ).split()
+# --- end of fixed values
 NUMBER, UNIT, NAME = 1, 2, 3
 _MARK = np.array([0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B], np.uint64)
 _EXACT = np.uint64(0xA54FF53A5F1D36F1)
@@ -71,22 +89,26 @@ def _lowered(body: np.ndarray) -> np.ndarray:
     return low
 
 
-def _unit_hashes() -> np.ndarray:
-    body = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
+def _hashes(words: list[str]) -> np.ndarray:
+    body = np.frombuffer(" ".join(words).encode(), np.uint8)
     first, last, _ = spans(body, np.array([len(body)]))
     return np.sort(hashing.Rolling(body)(first, last))
 
 
-_UNITS = _unit_hashes()
+_UNITS, _NUMBERS = _hashes(UNITS), _hashes(NUMBERS)
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 class Templates:
     """Tokens of a block: template hash, hash of what stands there, kind of placeholder (0: none), row.
 
-    Without ``names`` a capital makes no placeholder.
+    Capitals within sentences make placeholders for ``names`` "inner", all capitals for "all", none for "none".
     """
 
-    def __init__(self, body: np.ndarray, lengths: np.ndarray, names: bool = True):
+    def __init__(self, body: np.ndarray, lengths: np.ndarray, names: str = "inner"):
         blank = NO_WORD[body]
         if len(body) > 2:  # a point or comma between two digits is part of the number
             inner = _point[body[1:-1]] & _digit[body[:-2]] & _digit[body[2:]]
@@ -99,16 +121,15 @@ class Templates:
         if not n:
             self.token = self.value
             return
-        number = _digit[body[first]]
+        number = _digit[body[first]] | _among(self.value, _NUMBERS)
         stops = np.append(0, np.cumsum(_stop[body]))
         inside = np.append(False, (self.row[1:] == self.row[:-1]) & (stops[first[1:]] == stops[last[:-1]]))
         second = body[np.minimum(first + 1, len(body) - 1)]
         capital = _upper[body[first]] | ((body[first] == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-        if names:
-            self.kind[capital & inside] = NAME
+        if names != "none":
+            self.kind[capital & (inside | (names == "all"))] = NAME
         after = np.append(False, number[:-1] & (self.row[1:] == self.row[:-1]))
-        found = np.searchsorted(_UNITS, self.value)
-        self.kind[after & (_UNITS[np.minimum(found, len(_UNITS) - 1)] == self.value)] = UNIT
+        self.kind[after & _among(self.value, _UNITS)] = UNIT
         self.kind[number] = NUMBER
         self.token = np.where(self.kind > 0, _MARK[self.kind], self.value)
         self.capital = capital
@@ -163,13 +184,16 @@ def _item_windows(batches):
             n = len(plain.token)
             if not n:
                 continue
-            caseless = Templates(*folded([body.tobytes()]), names=False)
+            opened = Templates(body, np.array([len(body)]), "all")
+            caseless = Templates(*folded([body.tobytes()]), "none")
             width, run = min(WINDOW, n), min(RUN, n)
             # (width, form, places, hashes)
-            found = [(width, plain, *plain.windows(width))]
-            few = LEAST <= width < run and len(found[0][2]) < run - width + 1
-            if few:
-                found.append((run, plain, *plain.windows(run)))
+            found = []
+            for form in (plain, opened):
+                found.append((width, form, *form.windows(width)))
+                if LEAST <= width < run and len(found[-1][2]) < run - width + 1:
+                    found.append((run, form, *form.windows(run)))
+            few = any(w == run > width for w, *_ in found)
             if plain.capital[0] and not plain.kind[0]:
                 named = Templates(body, np.array([len(body)]))
                 named.kind[0], named.token[0] = NAME, _MARK[NAME]
@@ -203,17 +227,19 @@ def _document_windows(sent, widths: list[int]):
             for a, _, body, lengths in parts(batch, 2, PART_BYTES):
                 ends = np.cumsum(lengths).tolist()
                 whole = body.tobytes()
-                plain = Templates(body, lengths)
-                caseless = Templates(*folded([whole[e - n : e] for e, n in zip(ends, lengths.tolist())]), names=False)
+                plain, opened = Templates(body, lengths), Templates(body, lengths, "all")
+                caseless = Templates(*folded([whole[e - n : e] for e, n in zip(ends, lengths.tolist())]), "none")
                 starts = np.searchsorted(plain.row, np.arange(len(lengths)))
                 for width in widths:
                     first = np.zeros(len(plain.token), np.uint64)  # the plain windows' hashes: equal ones aren't sent again
-                    for forms, (at, hashes) in ((plain, plain.windows(width)), (caseless, caseless.windows(width)), (caseless, caseless.exact_windows(width))):
+                    each = ((plain, plain.windows(width)), (opened, opened.windows(width)), (caseless, caseless.windows(width)), (caseless, caseless.exact_windows(width)))
+                    for forms, (at, hashes) in each:
                         place = hashes % np.uint64(FILTER_BITS)
                         some = (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
                         some &= first[at] != hashes
                         at, hashes = at[some], hashes[some]
-                        first[at] = hashes
+                        if forms is plain:
+                            first[at] = hashes
                         rows = forms.row[at]
                         taken = pa.array(rows + a)
                         slots = [_signed(forms.value[k : k + width][forms.kind[k : k + width] > 0]) for k in at.tolist()]
@@ -268,6 +294,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("leaking_id"), F.col("text_key").alias("leaking_key")).distinct()
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("leaking_id")) & (text_key(F.col("text")) == F.col("leaking_key"))
-    return docs.join(materialise(found, "decontaminate-found").hint("shuffle_hash"), same, "left_anti")
+    mark = f"leak_{uuid.uuid4().hex}"
+    found = materialise(leaks(docs, benchmark).select(F.col("doc_id").alias(f"{mark}_id"), F.col("text_key").alias(f"{mark}_key")).distinct(), "decontaminate-found")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(f"{mark}_id")) & (text_key(F.col("text")) == F.col(f"{mark}_key"))
+    return docs.join(small_side(found), same, "left_anti")

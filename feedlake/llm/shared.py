@@ -44,6 +44,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows of ids that may be broadcast: 16 bytes each, some tens of MB with their table.
+BROADCAST_ROWS = 400_000
+
+
+def small_side(written: DataFrame) -> DataFrame:
+    """A written table of narrow rows as a join's side: broadcast if it has few rows, else by hash."""
+    few = written.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(written) if few else written.hint("shuffle_hash")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

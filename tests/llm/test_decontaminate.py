@@ -1,3 +1,4 @@
+import random
 import re
 
 from feedlake.llm import decontaminate as D
@@ -144,3 +145,49 @@ def test_one_changed_value_does_not_hide_a_verbatim_run(spark):
     only = [(5, "Take 3 red balls and give Anna 4 of the balls then take 3 more")]
     assert held(spark, docs, [(1, long)]) == {(1, 1): False, (2, 1): False, (3, 1): False, (4, 1): False}
     assert held(spark, [(1, "Take 7 red balls and give Anna 7 of the balls then take 8 more")], only) == {}
+
+
+TEMPLATES = [
+    "{a} has {x} apples. {a} gives {y} apples to {b}. How many apples does {a} have left?",
+    "{a} reads {x} pages. {b} reads {y} pages more. How many pages have they read by the evening?",
+    "A train travels {x} km in {y} hours. What is its mean speed over the whole way?",
+    "{a} and {b} share {x} sweets. {a} takes {y} of them. How many are there for {b} to eat?",
+    "A shop sells {x} pens for {y} dollars. How much do six pens and a ruler cost there?",
+    "{a} hat {x} Äpfel. {a} gibt {b} {y} Äpfel. Wie viele Äpfel hat {a} noch übrig?",
+    "{a} fährt mit dem Rad {x} Kilometer in {y} Stunden. Wie schnell fährt {a} im Mittel?",
+    "Ein Zug fährt um {x} Uhr in {b} ab und braucht {y} Stunden. Wann kommt er in {a} an?",
+    "{a} a {x} pommes. {a} donne {y} pommes à {b}. Combien de pommes reste-t-il à {a}?",
+    "Le train part de {a} avec {x} voyageurs et en laisse {y} à {b}. Combien en reste-t-il alors?",
+    "{a} tiene {x} manzanas. {a} da {y} manzanas a {b}. ¿Cuántas manzanas le quedan a {a}?",
+    "Un tren sale de {a} con {x} viajeros y deja {y} en {b}. ¿Cuántos quedan entonces en el tren?",
+]
+
+
+def test_recall_of_reworded_questions_and_no_false_hits(spark):
+    """Every question asked again with other names and numbers, in figures and in words, within other text."""
+    people = ["Alice", "Bob", "Carol", "Dan", "Sue", "Tom", "Élise", "Jürgen"]
+    words = ["two", "seven", "twelve", "zwei", "sieben", "zwölf", "deux", "sept", "douze", "dos", "siete", "doce"]
+    rng = random.Random(3)
+    items, docs = [], []
+    for i, t in enumerate(TEMPLATES):
+        a, b, c, d = rng.sample(people, 4)
+        own = {"a": a, "b": b, "x": 12, "y": 5}
+        items.append((i, t.format(**own)))
+        lang = 0 if i < 5 else 1 if i < 8 else 2 if i < 10 else 3
+        for k, values in enumerate(({"a": c, "b": d, "x": 40, "y": 9}, {"a": d, "b": a, "x": 7.5, "y": 33}, {"a": b, "b": c, "x": words[3 * lang + 2], "y": words[3 * lang]})):
+            docs.append((100 * (k + 1) + i, f"Some notes come first. {t.format(**values)} And then some more text follows it."))
+    clean = [(10_000 + r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    frames = ["{a} met {b} at the fair and they talked about the old days.", "In {x} there were {y} villages along the river near {a}.", "{a} hat {b} gestern im Garten gesehen."]
+    clean += [(20_000 + j, " ".join(rng.choice(frames).format(a=rng.choice(people), b=rng.choice(people), x=rng.randrange(90), y=rng.randrange(90)) for _ in range(8))) for j in range(200)]
+    found = held(spark, docs + clean, items)
+    caught = {d for d, i in found if d < 1000 and d % 100 == i}
+    assert len(caught) >= 0.9 * len(docs), sorted(set(d for d, _ in docs) - caught)
+    assert all(found[d, d % 100] for d in caught)
+    assert not [d for d, _ in found if d >= 10_000 or d < 1000 and (d, d % 100) not in found]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "some words that stand here in peace", 5, 6), (2, ITEMS[5][1], 5, 6)], "doc_id bigint, text string, leaking_id bigint, leaking_key bigint")
+    bench = spark.createDataFrame([(1, ITEMS[5][1])], "item_id bigint, text string")
+    left = D.without_leaks(df, bench)
+    assert left.columns == df.columns and [tuple(r) for r in left.collect()] == [(1, "some words that stand here in peace", 5, 6)]
