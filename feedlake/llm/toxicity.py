@@ -280,33 +280,54 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, longest: in
     return texts, labels
 
 
+def _part_scores(model: dict | None, constant: float, body: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score of every text of a part, and the bytes (start, end) of its worst window."""
+    n = len(lengths)
+    scores, start, end = np.full(n, constant), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if model is not None:
+        words = Words(body, lengths)
+        windows, doc = words.windows(n)
+        if len(windows):
+            found = window_scores(model, words, windows)
+            order = np.lexsort((-np.arange(len(doc)), found, doc))
+            best = order[np.append(np.diff(doc[order]) > 0, True)]
+            scores = np.zeros(n)
+            scores[doc[best]] = found[best]
+            base = np.cumsum(lengths) - lengths
+            start[doc[best]] = words.first[windows[best, 0]] - base[doc[best]]
+            end[doc[best]] = words.last[windows[best].sum(axis=1) - 1] - base[doc[best]]
+    return scores, start, end
+
+
 def score_documents(docs: DataFrame, model: dict | None, constant: float = 0.0) -> DataFrame:
     """doc_id, score, and the bytes (start, end) of the worst window."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        model = sent.value
         for batch in batches:
             for a, b, body, lengths in parts(batch, 1, PART_BYTES):
-                scores = np.full(b - a, constant)
-                start = end = np.zeros(b - a, np.int64)
-                if model is not None:
-                    words = Words(body, lengths)
-                    windows, doc = words.windows(b - a)
-                    if len(windows):
-                        found = window_scores(model, words, windows)
-                        order = np.lexsort((-np.arange(len(doc)), found, doc))
-                        best = order[np.append(np.diff(doc[order]) > 0, True)]
-                        scores = np.zeros(b - a)
-                        scores[doc[best]] = found[best]
-                        start, end, base = start.copy(), end.copy(), np.cumsum(lengths) - lengths
-                        start[doc[best]] = words.first[windows[best, 0]] - base[doc[best]]
-                        end[doc[best]] = words.last[windows[best].sum(axis=1) - 1] - base[doc[best]]
+                scores, start, end = _part_scores(sent.value, constant, body, lengths)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores, pa.float64()), pa.array(start), pa.array(end)], ["doc_id", "score", "start", "end"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).transform(map_arrow, score, "doc_id bigint, score double, start bigint, end bigint")
 
 
+def clean_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
+    """The rows of ``docs`` that score below one half, all columns as they are; no row moves for it."""
+    texts, known = labelled_sample(docs, labels, sample, longest)
+    constant = float(bool(known) and min(known) == 1)
+    sent = docs.sparkSession.sparkContext.broadcast(train(texts, known))
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            for a, b, body, lengths in parts(batch, at, PART_BYTES):
+                scores, *_ = _part_scores(sent.value, constant, body, lengths)
+                yield batch.slice(a, b - a).filter(pa.array(scores < 0.5))
+
+    return docs.withColumn("text", F.col("text").cast("string")).transform(lambda df: map_arrow(df, keep, df.schema))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
     """doc_id, held_out, score, predicted, start, end of every document."""
     texts, known = labelled_sample(docs, labels, sample, longest)

@@ -61,3 +61,18 @@ def test_stages_on_odd_rows(spark):
     assert kept.columns == docs.columns and set(texts(kept)) <= {r[:2] for r in rows}
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(1, "clean words stay here", 7, [1], {"a": 1}), (1, "clean words stay  here", 8, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, pipeline_row int, list array<int>, map map<string,int>")
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+    assert docs.columns == ["doc_id", "text", "pipeline_row", "list", "map"]
+    assert [(r.doc_id, r.pipeline_row, r.list, r.map) for r in docs.collect()] == [(1, 8, None, None)]
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert P.run(spark, str(tmp_path)).collect() == []
