@@ -6,6 +6,7 @@ not by doc_id, so repeated or null ids lose no row and keep none too many.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,42 +15,38 @@ from pyspark.sql import functions as F
 
 from feedlake.llm import bpe, decontaminate, exact_dedup, jaccard_join, toxicity
 from feedlake.llm.registry import bpe_digests
-from feedlake.llm.shared import materialise, table
+from feedlake.llm.shared import materialise, small_side, table
 
-ROW = "pipeline_row"
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number each in a column of a new name, written so that it stays theirs."""
+    row = f"row_{uuid.uuid4().hex}"
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows"), row
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number each, written so that it stays theirs."""
-    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
-
-
-def chosen(rows: DataFrame, numbers: DataFrame, how: str) -> DataFrame:
-    return rows.join(numbers.hint("shuffle_hash"), ROW, how).drop(ROW)
+def without(rows: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
+    """The rows whose numbers aren't in ``dropped``."""
+    return rows.join(small_side(materialise(dropped, "pipeline-dropped")), row, "left_anti").drop(row)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score one half or more go."""
-    rows = numbered(docs)
-    texts, labels = toxicity.labelled_sample(rows, table(spark, sf_dir, "labels"), toxicity.SAMPLE, toxicity.LONGEST)
-    constant = float(bool(labels) and min(labels) == 1)
-    scored = toxicity.score_documents(rows.select(F.col(ROW).alias("doc_id"), "text"), toxicity.train(texts, labels), constant)
-    return chosen(rows, scored.where("score >= 0.5").select(F.col("doc_id").alias(ROW)), "left_anti")
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for blanks, one row stays."""
-    rows = numbered(docs)
-    return chosen(rows, exact_dedup.exact_groups(rows, ROW).where("kept").select(ROW), "left_semi")
+    rows, row = numbered(docs)
+    return without(rows, exact_dedup.exact_groups(rows, row).where("not kept").select(row), row)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked documents the one with the least doc_id stays (null last)."""
-    rows = numbered(docs)
-    groups = jaccard_join.jaccard_groups(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW))
-    kept = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return chosen(rows, kept, "left_semi")
+    rows, row = numbered(docs)
+    groups = jaccard_join.jaccard_groups(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    members = materialise(groups.join(rows.select(row, "doc_id"), row), "pipeline-members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row))
+    kept = members.groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{row}").alias(row))
+    return without(rows, members.select(row).join(kept.hint("shuffle_hash"), row, "left_anti"), row)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
