@@ -245,6 +245,18 @@ select i.* from items i left join witnesses using (content_hash)
 where not coalesce(i.link = w.link or (i.title = w.title and i.author = w.author) or i.content_hash = w.hash, false)""",
     "items", "witnesses")
 
+_table("recrawl", """
+select * from items union all
+select * replace (ingest_seq + 1000000000 as ingest_seq, title || ' (corrected)' as title, md5(title || ' (corrected)' || description || author) as content_hash)
+from items where ingest_seq % 9 = 0""", "items")
+
+_table("recrawl_fresh", """
+select i.* from recrawl i left join (
+  select content_hash, arg_max(w, seq) as w from (
+    select i.content_hash, i.ingest_seq as seq, struct_pack(link := s.link, title := s.title, author := s.author, hash := s.content_hash) as w
+    from recrawl i join store_items s using (link)) group by content_hash) using (content_hash)
+where not coalesce(i.link = w.link or (i.title = w.title and i.author = w.author) or i.content_hash = w.hash, false)""", "recrawl", "store_items")
+
 SQL: dict[str, str] = {}
 
 _ITEM = "title, link, description, author, pub_date"
@@ -288,13 +300,14 @@ from (select distinct feed_url, ingest_seq // 200 as capture from raw_items) whe
 SQL["scan_items"] = _with("select * from items", "items")
 SQL["count_items"] = _with("select count(*) as items from items", "items")
 _COLS = "link, title, author, pub_date, content_hash"
+_LAST = "select {0} from {1} qualify row_number() over (partition by link order by ingest_seq desc) = 1"
 SQL["upsert_items"] = _with(
-    f"select {_COLS} from store_items anti join fresh using (link) union all select {_COLS} from fresh", "store_items", "fresh")
+    f"select {_COLS} from store_items anti join recrawl_fresh using (link) union all ({_LAST.format(_COLS, 'recrawl_fresh')})", "store_items", "recrawl_fresh")
 SQL["upsert_all"] = _with(
-    f"select {_COLS} from store_items anti join items using (link) union all select {_COLS} from items", "store_items")
+    f"select {_COLS} from store_items anti join recrawl using (link) union all ({_LAST.format(_COLS, 'recrawl')})", "store_items", "recrawl")
 SQL["upsert_counts"] = _with(
-    "select (select count(*) from items) as offered, count(*) as put, count(*) - count(distinct link) as replaced_in_batch from fresh",
-    "fresh")
+    "select (select count(*) from recrawl) as offered, count(*) as put, count(*) - count(distinct link) as replaced_in_batch from recrawl_fresh",
+    "recrawl_fresh")
 SQL["batch_plan"] = _with("""
 select feed_url, n as items, b as batch_size, ceil(n / b)::bigint as n_batches from (
   select feed_url, count(*) as n, (case when count(*) <= 10 then 50 when count(*) <= 50 then 200 when count(*) <= 200 then 500
@@ -481,7 +494,8 @@ SQL["stream_job_state_ttl"] = _with(
     "select * from job_states where created_at >= (select max(ts) from job_log) - interval 1 day", "job_states")
 SQL["stream_client_sessions"] = (
     "select * from (" + SQL["client_sessions"] + ") where session_end + interval 1 microsecond <= (select max(ts) from events) - interval 1 minute")
-SQL["stream_ingest"] = SQL["upsert_items"]
+SQL["stream_ingest"] = _with(
+    f"select {_COLS} from store_items anti join fresh using (link) union all select {_COLS} from fresh", "store_items", "fresh")
 SQL["stream_ingest_report"] = _with("""
 select count(*) as entries, count(*) filter (len(errors) > 0) as invalid, (select count(*) from fresh) as new,
   count(*) filter (len(errors) = 0) - (select count(*) from fresh) as duplicates from checked_items""", "fresh", "checked_items")

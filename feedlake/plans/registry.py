@@ -17,7 +17,7 @@ from feedlake.operators import query as Q
 from feedlake.plans import derive as D
 from feedlake.schemas import ITEM as ITEM_SCHEMA
 from feedlake.session import work_dir
-from feedlake.sources import catalog, feeds, httplog
+from feedlake.sources import catalog, feeds, httplog, sink
 from feedlake.sources import items as tables
 from feedlake.streaming import ingest, rollups, sessions
 from feedlake.streaming import jobs as stream_jobs
@@ -114,23 +114,32 @@ def count_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.scan_items(spark, path, keys_only=True).agg(F.count(F.lit(1)).alias("items"))
 
 
+def _put(spark: SparkSession, sf_dir: str, dedupe: bool) -> tuple[str, DataFrame]:
+    """The store as batch 0 of a landing log, a full re-crawl put on top; its counts."""
+    path = work_dir(spark, "store")
+    sink.put_items(D.store_items(spark, sf_dir), path, 0)
+    return path, sink.put_items(D.recrawl(spark, sf_dir), path, 1, dedupe)
+
+
 @query
 def upsert_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The store after a full re-crawl."""
-    table = dedupe.upsert_items(D.store_items(spark, sf_dir), D.items(spark, sf_dir))
-    return table.select("link", "title", "author", "pub_date", "content_hash")
+    """The store after a full re-crawl with several versions of a link in the batch."""
+    path, _ = _put(spark, sf_dir, True)
+    return tables.read_landed_items(spark, path).select("link", "title", "author", "pub_date", "content_hash")
 
 
 @query
 def upsert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The store after a put without duplicate check: every link takes its incoming version."""
-    table = dedupe.upsert_items(D.store_items(spark, sf_dir), D.items(spark, sf_dir), dedupe=False)
-    return table.select("link", "title", "author", "pub_date", "content_hash")
+    """The store after a put without duplicate check: every link takes its last incoming version."""
+    path, _ = _put(spark, sf_dir, False)
+    return tables.read_landed_items(spark, path).select("link", "title", "author", "pub_date", "content_hash")
 
 
 @query
 def upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.upsert_counts(D.store_items(spark, sf_dir), D.items(spark, sf_dir))
+    _, counts = _put(spark, sf_dir, True)
+    offered = D.recrawl(spark, sf_dir).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return counts.select(offered.alias("offered"), "put", "replaced_in_batch")
 
 
 @query
@@ -140,10 +149,10 @@ def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thirty-day retention on the serving layout."""
-    path, target = work_dir(spark, "items"), work_dir(spark, "kept")
+    """Thirty-day retention on the serving layout, in place."""
+    path = work_dir(spark, "items")
     tables.write_items(D.items(spark, sf_dir), path, unit="month")
-    return tables.cleanup_items(spark, path, target, retention.cutoff(D.ITEMS_NOW), unit="month")
+    return tables.expire_items(spark, path, retention.cutoff(D.ITEMS_NOW), unit="month")
 
 
 @query

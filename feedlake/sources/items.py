@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from feedlake.operators.dedupe import last_per_link
 from feedlake.operators.retention import survives
 from feedlake.schemas import ITEM
+from feedlake.session import stored
 from feedlake.sources.files import folder_names, is_complete, remove
 
 FIRST_BUCKETS = 16
@@ -139,16 +140,31 @@ def scan_items(spark: SparkSession, path: str, keys_only: bool = False, parts: b
     return items if parts else items.drop("pub_part")
 
 
-def cleanup_items(spark: SparkSession, path: str, target: str, before: Column, unit: str = "day") -> DataFrame:
-    """Retention: write what survives ``before`` to ``target``; one row with kept and deleted counts.
+def expire_items(spark: SparkSession, path: str, before: Column, unit: str = "day") -> DataFrame:
+    """Retention in place: drop what ``survives`` of :mod:`feedlake.operators.retention` doesn't keep; one row with
+    kept and deleted counts.
 
-    The source is read only: a failed run leaves it as it was.  Partitions wholly before the cutoff
-    are pruned, not read; they only enter the row count, which parquet answers from file footers.
+    Only the partition that the cutoff falls into is written anew, from a copy of its survivors and in one
+    commit; then the partitions wholly before it go as folders.  Others aren't touched.  A run that fails
+    before that commit changes nothing, one that fails after it is completed by the next.
     """
+    first = spark.range(1).select(part_of(before, unit).alias("day")).first().day
     table = _serving(spark, path)
-    young = (F.col("pub_part") >= part_of(before, unit)) | F.col("pub_part").isNull()
-    write_items(table.filter(young & survives(before)).drop("pub_part"), target, unit)
-    kept = scan_items(spark, target).agg(F.count(F.lit(1)).alias("n")).scalar()
-    return table.agg(F.count(F.lit(1)).alias("total")).select(
-        kept.alias("kept"), (F.col("total") - kept).alias("deleted")
-    )
+    old = [n for n in folder_names(spark, path) if n.startswith("pub_part=") and n[9:] < first.isoformat()]
+    # row counts by partition come from file footers
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("n")).first().n
+    dropped = count(table.filter(F.col("pub_part") < F.lit(first)))
+    boundary = table.filter(F.col("pub_part") == F.lit(first))
+    expired = count(boundary.filter(~survives(before)))
+    if expired:
+        survivors = stored(boundary.filter(survives(before)), "boundary")
+        name = f"pub_part={first.isoformat()}"
+        if survivors.isEmpty():
+            old.append(name)
+        else:
+            ordered = survivors.hint("rebalance", "pub_part").sortWithinPartitions("link")
+            ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pub_part").parquet(path)
+    for name in old:
+        remove(spark, f"{path}/{name}")
+    kept = count(_serving(spark, path))
+    return spark.createDataFrame([(kept, dropped + expired)], "kept bigint, deleted bigint")

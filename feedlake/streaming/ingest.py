@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.operators.dedupe import drop_known
 from feedlake.operators.items import is_valid_item, normalize_items
-from feedlake.schemas import ITEM
 from feedlake.sources.feeds import parse_feed_documents
-from feedlake.sources.items import BUCKET_BATCHES, append_batch, bucket_of, buckets_in, latest, merge_buckets, read_buckets
+from feedlake.sources.items import BUCKET_BATCHES
+from feedlake.sources.sink import put_items
 
 
 def entries(documents: DataFrame, dialect: str = "rss", date_policy: str = "strict") -> DataFrame:
@@ -28,35 +27,16 @@ def ingest_batches(
 ) -> Callable[[DataFrame, int], None]:
     """foreachBatch body over :func:`entries`.
 
-    Survivors are appended to the landing log under ``path``; per batch one row of counts goes to
-    ``report``.  Only buckets with a link of the batch are read, and of their rows only the columns the
-    duplicate test needs; of those buckets the ones with more than ``merge_after`` batches are merged.
+    Each batch is put into the landing log under ``path``; one row of its counts goes to ``report``.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         number = batch_id + first_batch
         seen = batch.persist()
         try:
-            offered = seen.filter("valid").select(*ITEM.fieldNames(), "position", F.struct("ingest_seq", "position").alias("arrival"))
-            links = offered.select("link").distinct()
-            count = buckets_in(spark, path)
-            # no more than the log has buckets
-            buckets = [r.bucket for r in links.select(bucket_of(F.col("link"), count).alias("bucket")).distinct().collect()]
-            survivors = offered
-            if dedupe:
-                landed = read_buckets(spark, path, buckets).filter(F.col("batch_id") < number)
-                stored = landed.select("link", "title", "author", "content_hash", "ingest_seq", "position", "batch_id")
-                survivors = drop_known(offered, latest(stored.join(links, "link", "left_semi")), "arrival")
-            append_batch(survivors.drop("arrival"), path, number)
-            put = read_buckets(spark, path, buckets).filter(F.col("batch_id") == number)
-            counts = seen.agg(
-                F.count(F.lit(1)).alias("entries"), F.count_if(~F.col("valid")).alias("invalid")
-            ).withColumn("new", put.agg(F.count(F.lit(1)).alias("n")).scalar())
-            counts.withColumn("duplicates", F.col("entries") - F.col("invalid") - F.col("new")).write.mode(
-                "overwrite"
-            ).parquet(f"{report}/batch_id={number}")
-            merge_buckets(spark, path, buckets, number, merge_after)
+            put = put_items(seen.filter("valid"), path, number, dedupe, merge_after).first().put
+            counts = seen.agg(F.count(F.lit(1)).alias("entries"), F.count_if(~F.col("valid")).alias("invalid"), F.lit(put).cast("bigint").alias("new"))
+            counts.withColumn("duplicates", F.col("entries") - F.col("invalid") - F.col("new")).write.mode("overwrite").parquet(f"{report}/batch_id={number}")
         finally:
             seen.unpersist()
 

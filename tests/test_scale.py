@@ -12,7 +12,7 @@ from feedlake.operators import query as Q
 from feedlake.plans import registry
 from feedlake.schemas import ITEM
 from feedlake.session import work_dir
-from feedlake.sources import files
+from feedlake.sources import files, sink
 from feedlake.sources import items as tables
 from feedlake.streaming import ingest
 from feedlake.streaming import tables as S
@@ -138,7 +138,7 @@ def test_reads_of_a_batch_do_not_grow_with_the_history(spark, monkeypatch):
         read.append(len(out.inputFiles()))
         return out
 
-    monkeypatch.setattr(ingest, "read_buckets", counted)
+    monkeypatch.setattr(sink, "read_buckets", counted)
     documents, per_batch = "feed_url string, body string, ingest_seq long", []
     for number in range(14):
         items = "".join(f"<item><title>t{number}-{i}</title><link>http://a/{number % 3}/{i}</link><description>d{i}</description></item>" for i in range(6))
@@ -161,6 +161,61 @@ def test_entries_of_neighbouring_documents_keep_their_order(spark):
     assert {r.link: r.title for r in tables.read_landed_items(spark, path).select("link", "title").collect()}["http://a/x"] == "eight"
 
 
+def served(spark, path, rows, unit="day"):
+    """Items with (link, day of January 2024 or None, hour)."""
+    base = 1_704_067_200
+    frame = spark.createDataFrame([(link, None if d is None else base + (d - 1) * 86_400 + h * 3600) for link, d, h in rows], "link string, s long")
+    ts = F.timestamp_seconds("s")
+    tables.write_items(frame.select(
+        F.lit("f").alias("feed_url"), F.lit("t").alias("title"), "link", F.lit("d").alias("description"), F.lit("a").alias("author"),
+        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("pub_date"), ts.alias("pub_ts"), F.lit("h").alias("content_hash"), F.lit(1).cast("long").alias("ingest_seq"),
+    ), path, unit)
+
+
+def names(spark, path):
+    return {f: files.folder_names(spark, f"{path}/{f}") for f in files.folder_names(spark, path) if f.startswith("pub_part=")}
+
+
+def test_retention_leaves_other_files_alone(spark, monkeypatch):
+    path = work_dir(spark, "test-retention")
+    served(spark, path, [(f"l{d}-{h}", d, h) for d in range(1, 11) for h in (1, 13)] + [("undated", None, 0)])
+    before = names(spark, path)
+    cut = F.timestamp_seconds(F.lit(1_704_067_200 + 4 * 86_400 + 12 * 3600))  # noon of the fifth
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:  # a run that fails before the commit changes nothing
+        m.setattr(tables, "stored", fails)
+        with pytest.raises(RuntimeError):
+            tables.expire_items(spark, path, cut)
+    assert names(spark, path) == before and tables.scan_items(spark, path).count() == 21
+    with monkeypatch.context() as m:  # one that fails after it is completed by the next
+        m.setattr(tables, "remove", fails)
+        with pytest.raises(RuntimeError):
+            tables.expire_items(spark, path, cut)
+    assert tables.scan_items(spark, path).count() == 20
+    assert tuple(tables.expire_items(spark, path, cut).first()) == (12, 8)
+    after = names(spark, path)
+    assert sorted(after) == ["pub_part=2024-01-%02d" % d for d in range(5, 11)] + ["pub_part=__HIVE_DEFAULT_PARTITION__"]
+    assert {k: v for k, v in after.items() if "01-05" not in k} == {k: before[k] for k in after if "01-05" not in k}
+    assert {r.link for r in tables.scan_items(spark, path).where("link like 'l5%'").collect()} == {"l5-13"}
+    assert tuple(tables.expire_items(spark, path, cut).first()) == (12, 0) and names(spark, path) == after
+    assert tuple(tables.expire_items(spark, path, F.timestamp_seconds(F.lit(2_000_000_000))).first()) == (1, 11)
+
+
+def test_puts_replace_and_repeat(spark):
+    path = work_dir(spark, "test-puts")
+    first = landed(spark, [("a", 1), ("b", 2), ("b", 3)]).withColumn("content_hash", F.concat(F.lit("h"), "ingest_seq"))
+    assert tuple(sink.put_items(first, path, 0).first()) == (3, 1)
+    again = landed(spark, [("b", 5), ("c", 6), ("c", 7)]).withColumn("content_hash", F.concat(F.lit("h"), "ingest_seq"))
+    for _ in range(2):
+        assert tuple(sink.put_items(again, path, 1, dedupe=False).first()) == (3, 1)
+    assert versions(tables.read_landed_items(spark, path)) == [("a", 1), ("b", 5), ("c", 7)]
+    assert tuple(sink.put_items(again, path, 2).first()) == (0, 0)
+    assert tuple(sink.put_items(landed(spark, []), path, 3).first()) == (0, 0)
+
+
 def test_stream_parts_have_several_files(spark, monkeypatch):
     monkeypatch.setattr(registry, "FILE_ROWS", 20)
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
