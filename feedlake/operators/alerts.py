@@ -43,6 +43,18 @@ def default_rules(
     ]
 
 
+UNITS_US = {"second": C.SECOND_US, "minute": C.MINUTE_US, "hour": C.HOUR_US, "day": C.DAY_US}
+
+
+def window_us(window: str) -> int:
+    """Length of a window such as ``5 minutes``, in microseconds."""
+    number, _, unit = window.strip().partition(" ")
+    unit = unit.strip().lower().removesuffix("s")
+    if not number.isdigit() or unit not in UNITS_US:
+        raise ValueError(f"not a window length: {window!r}")
+    return int(number) * UNITS_US[unit]
+
+
 def metric_windows(fetches: DataFrame, queue: DataFrame, store_ops: DataFrame, window: str = "1 hour") -> DataFrame:
     """Per tumbling window: feed failure rate, highest queue load and failed store operations."""
     start = F.window("ts", window)["start"].alias("window_start")
@@ -61,12 +73,8 @@ def metric_windows(fetches: DataFrame, queue: DataFrame, store_ops: DataFrame, w
     return joined.withColumn("failure_rate", rate)
 
 
-def alert_episodes(windows: DataFrame, rules: Sequence[AlertRule], step_us: int = C.HOUR_US) -> DataFrame:
-    """One row per alert: opened by the first window where a rule of its type holds, silent while it
-    keeps holding, resolved at the end of the first window where it does not (NULL while open).
-
-    Windows are few (one per step), so they, not events, are what is ordered here.
-    """
+def judged_windows(windows: DataFrame, rules: Sequence[AlertRule]) -> DataFrame:
+    """window_start, type and the alert of the first rule of that type that holds, or null."""
     by_type: dict[str, Column] = {}
     for rule in rules:
         if not rule.enabled:
@@ -79,12 +87,27 @@ def alert_episodes(windows: DataFrame, rules: Sequence[AlertRule], step_us: int
         holds = F.expr(rule.predicate)
         held = by_type.get(rule.type)
         by_type[rule.type] = F.when(holds, alert) if held is None else held.when(holds, alert)
-    judged = windows.select(
+    return windows.select(
         "window_start",
         F.explode(F.array(*(
             F.struct(F.lit(t).alias("type"), alert.alias("alert")) for t, alert in by_type.items()
         ))).alias("j"),
     ).select("window_start", "j.*")
+
+
+def log_level(severity: Column) -> Column:
+    return F.when(severity == "high", "warn").when(severity == "critical", "error").otherwise("info")
+
+
+def alert_episodes(windows: DataFrame, rules: Sequence[AlertRule], window: str = "1 hour") -> DataFrame:
+    """One row per alert: opened by the first window where a rule of its type holds, silent while it
+    keeps holding, resolved at the end of the first window where it does not (NULL while open).
+
+    ``window`` is the length that ``windows`` were made with.  They are few (one per step), so they, not
+    events, are what is ordered here.
+    """
+    step_us = window_us(window)
+    judged = judged_windows(windows, rules)
     latest = windows.agg(F.max("window_start").alias("m")).scalar()
     firing = judged.filter("alert is not null")
     line = Window.partitionBy("type").orderBy("window_start")
@@ -102,9 +125,7 @@ def alert_episodes(windows: DataFrame, rules: Sequence[AlertRule], step_us: int
     return episodes.select(
         F.concat("type", F.lit("-"), F.unix_seconds(started).cast("string")).alias("alert_id"),
         "type", "alert.*", started.alias("started_at"),
-        F.when(F.col("last") < latest, end("last", 2)).alias("resolved_at"), "windows",
-        F.when(F.col("alert.severity") == "high", "warn").when(F.col("alert.severity") == "critical", "error")
-        .otherwise("info").alias("log_level"),
+        F.when(F.col("last") < latest, end("last", 2)).alias("resolved_at"), "windows", log_level(F.col("alert.severity")).alias("log_level"),
     )
 
 

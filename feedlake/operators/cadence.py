@@ -2,7 +2,7 @@
 
 A feed may hold a third of all rows, so nothing orders a whole feed in one task.  Instants first
 collapse into day summaries by plain aggregates; only the summaries (one row per feed and day) are
-ordered.  Within a day the gaps between consecutive distinct instants add up to last minus first,
+ordered, and the as-of look-up deals feed and time into ranges of equal size.  Within a day the gaps between consecutive distinct instants add up to last minus first,
 which is exact because a gap inside one day is always counted.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake import constants as C
+from feedlake.session import stored
 
 
 def floor_to(micros: Column, step_us: int) -> Column:
@@ -68,39 +69,33 @@ def adaptive_ttl(items: DataFrame, feeds: DataFrame | None = None, **ttls: int)
     return cadence.withColumn("ttl_us", ttl_of(F.col("interval_us"), F.col("items"), **ttls))
 
 
-def freshness_asof(requests: DataFrame, fetches: DataFrame, bucket_us: int = C.HOUR_US) -> DataFrame:
+def freshness_asof(requests: DataFrame, fetches: DataFrame, ranges: int | None = None) -> DataFrame:
     """Requests with the latest earlier fetch of their feed and the verdict HIT or MISS.
 
     ``requests``: feed_url, ts, force_refresh and any other columns; ``fetches``: feed_url, fetched_at,
     expires_at.  A request is a HIT when the latest fetch strictly before it has not expired and it is
-    not forced.  The as-of lookup runs per feed *and* time bucket: each bucket starts with the last
-    fetch carried in from earlier buckets, so a busy feed spreads over as many tasks as it has buckets.
+    not forced.
+
+    A scan in two passes: all rows are dealt into ``ranges`` of equal size along (feed, time), whatever share
+    one feed or instant has.  The last fetch of every range is carried on to the ranges after it in which its feed
+    goes on, one row for each range at most; within its range each request then sees the last fetch before it.
     """
+    spark = requests.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     payload = [c for c in requests.columns if c not in ("feed_url", "ts")]
-    fetch = F.struct("fetched_at", "expires_at")
-    asked = requests.select(
-        "feed_url", floor_to(F.unix_micros("ts"), bucket_us).alias("bucket"), "ts",
-        F.lit(1).alias("turn"), F.struct(*payload).alias("request"),
-    )
-    got = fetches.select(
-        "feed_url", floor_to(F.unix_micros("fetched_at"), bucket_us).alias("bucket"),
-        F.col("fetched_at").alias("ts"), F.lit(2).alias("turn"), fetch.alias("fetch"),
-    )
-    # last fetch per bucket, then per feed the last one of any earlier bucket
-    last = got.groupBy("feed_url", "bucket").agg(F.max("fetch").alias("fetch"))
-    marks = last.unionByName(asked.groupBy("feed_url", "bucket").agg(F.lit(None).cast(last.schema["fetch"].dataType).alias("fetch")))
-    earlier = Window.partitionBy("feed_url").orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
-    carried = marks.select(
-        "feed_url", "bucket", F.max("fetch").over(earlier).alias("fetch")
-    ).filter("fetch is not null").distinct().select(
-        "feed_url", "bucket", F.timestamp_micros("bucket").alias("ts"), F.lit(0).alias("turn"), "fetch"
-    )
-    so_far = (
-        Window.partitionBy("feed_url", "bucket").orderBy("ts", "turn", "fetch")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    line = carried.unionByName(got).unionByName(asked, allowMissingColumns=True)
+    asked = requests.select("feed_url", "ts", F.lit(1).alias("turn"), F.struct(*payload).alias("request"))
+    got = fetches.select("feed_url", F.col("fetched_at").alias("ts"), F.lit(2).alias("turn"), F.struct("fetched_at", "expires_at").alias("fetch"))
+    order = ["feed_url", "ts", "turn", "fetch", "nth"]
+    line = got.unionByName(asked, allowMissingColumns=True).withColumn("nth", F.monotonically_increasing_id())
+    line = stored(line.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "asof")
+
+    marks = line.groupBy("part", "feed_url").agg(F.max("fetch").alias("fetch"))
+    earlier = Window.partitionBy("feed_url").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.select("part", "feed_url", F.max("fetch").over(earlier).alias("carried")).filter("carried is not null")
+    so_far = Window.partitionBy("part", "feed_url").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = line.withColumn("known", F.last("fetch", ignorenulls=True).over(so_far)).filter("turn = 1")
+    # a feed goes on into a range only where a range begins: no more rows than ranges
+    seen = seen.join(F.broadcast(carried), ["part", "feed_url"], "left").withColumn("known", F.coalesce("known", "carried"))
     fresh = F.coalesce(F.col("known.expires_at") >= F.col("ts"), F.lit(False)) & ~F.col("request.force_refresh")
     return seen.select(
         "feed_url", "ts", "request.*", F.col("known.fetched_at").alias("fetched_at"),

@@ -97,13 +97,89 @@ class PageRequest:
 
 
 def page_items(items: DataFrame, request: PageRequest = PageRequest()) -> DataFrame:
-    """One page in order.  Each task keeps ``start + size`` rows at most (top-k, no full sort)."""
+    """One page in order.  Each task keeps ``start + size`` rows at most (top-k, no full sort); a start
+    beyond ``DEEP_START`` is found by counts first."""
+    if request.start > DEEP_START:
+        return seek_page(items, request)
     page = items.orderBy(*newest_first())
     if request.start:
         page = page.offset(request.start)
     return page.limit(request.size)
 
 
+# Rows that a page may skip in every task; a deeper one is sought.
+DEEP_START = 20_000
+SLICES = 256
+
+
+def _walk(groups: list[tuple], skip: int) -> tuple[int, int]:
+    """Which of the (.., rows) groups in order holds the row after ``skip`` others, and the rows before that group."""
+    before = 0
+    for k, (*_, rows) in enumerate(groups):
+        if before + rows > skip or k == len(groups) - 1:
+            return k, before
+        before += rows
+    return 0, 0
+
+
+def seek_page(items: DataFrame, request: PageRequest, slice_rows: int | None = None) -> DataFrame:
+    """The page of :func:`page_items` without its tasks holding ``start`` rows.
+
+    Counts lead to the page: of the partitions (from file footers, where the scan has ``pub_part``), then of
+    equal slices of time, then, among items of one instant or without one, of links by their next character.
+    Each step counts within the slice that the step before has found, over one or two columns; the
+    page is then ordered from that slice on.
+    """
+    skip, size, slice_rows = request.start, request.size, slice_rows or DEEP_START
+    rows, us = items, F.unix_micros("pub_ts")
+    if "pub_part" in items.columns:
+        parts = [(r.pub_part, r["count"]) for r in items.groupBy("pub_part").count().collect()]
+        parts.sort(key=lambda p: (p[0] is None, -p[0].toordinal() if p[0] else 0))
+        if parts:
+            first, before = _walk(parts, skip)
+            last, _ = _walk(parts, skip + size - 1)
+            skip -= before
+            day = F.col("pub_part")
+            later = day.isNull() if parts[first][0] is None else (day <= F.lit(parts[first][0])) | day.isNull()
+            sooner = F.lit(True) if parts[last][0] is None else day >= F.lit(parts[last][0])
+            rows = rows.filter(later & sooner)
+    dated, low, high = rows.agg(F.count("pub_ts"), F.min(us), F.max(us)).first()
+    undated = skip >= dated
+    if undated:
+        skip -= dated
+        rows = tied = rows.filter(F.col("pub_ts").isNull())
+        held = tied.count()
+    else:
+        held = dated
+        while held > slice_rows and low < high:
+            width = max(1, -(-(high - low + 1) // SLICES))
+            inside = rows.filter((us >= low) & (us <= high)).groupBy(F.expr(f"(unix_micros(pub_ts) - {low}L) div {width}L").alias("nth"))
+            slices = [(r.low, r.high, r.n) for r in inside.agg(F.min(us).alias("low"), F.max(us).alias("high"), F.count(F.lit(1)).alias("n")).collect()]
+            slices.sort(reverse=True)
+            k, before = _walk(slices, skip)
+            skip -= before
+            low, high, held = slices[k]
+        rows = rows.filter((us <= high) | F.col("pub_ts").isNull())
+        tied = rows.filter(us == high)
+    if held > slice_rows:  # of one instant, or without one
+        prefix = ""
+        while held > slice_rows:
+            least, most = tied.agg(F.min("link"), F.max("link")).first()
+            if least == most:
+                break
+            shared = next((i for i, (a, b) in enumerate(zip(least, most)) if a != b), min(len(least), len(most)))
+            groups = [(r.c, r["count"]) for r in tied.groupBy(F.substring("link", shared + 1, 1).alias("c")).count().collect()]
+            groups.sort()
+            k, before = _walk(groups, skip)
+            skip -= before
+            prefix, held = least[:shared] + groups[k][0], groups[k][1]
+            tied = tied.filter(F.substring("link", 1, shared + 1) == prefix)
+        behind = F.col("link") >= prefix
+        rows = rows.filter(behind if undated else behind | (us < high) | F.col("pub_ts").isNull())
+    page = rows.orderBy(*newest_first())
+    return (page.offset(skip) if skip > 0 else page).limit(size)
+
+
 def latest_items(items: DataFrame) -> DataFrame:
     return page_items(items, PageRequest(limit=C.MAX_PAGE))
 

@@ -348,6 +348,8 @@ SQL["filter_dates"] = _with(
 SQL["filter_keyword"] = _with(
     "select link, author, pub_date from items where contains(lower(title), 'the') or contains(lower(description), 'the')", "items")
 SQL["page_items"] = _with(f"select {_ITEM} from items order by pub_us desc, link limit 100 offset 30", "items")
+SQL["deep_page"] = _with(
+    f"select {_ITEM} from items order by pub_us desc, link limit 50 offset (select cast(count(*) // 2 as bigint) from items)", "items")
 SQL["latest_items"] = _with(f"select {_ITEM} from items order by pub_us desc, link limit 1000", "items")
 SQL["keyset_page"] = _with("""
 select link, pub_date from items where pub_us < epoch_us(timestamp '2024-06-30 12:00:00')

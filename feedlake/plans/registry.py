@@ -19,6 +19,7 @@ from feedlake.schemas import ITEM as ITEM_SCHEMA
 from feedlake.session import work_dir
 from feedlake.sources import catalog, feeds, httplog, sink
 from feedlake.sources import items as tables
+from feedlake.streaming import alerts as stream_alerts
 from feedlake.streaming import ingest, rollups, sessions
 from feedlake.streaming import jobs as stream_jobs
 from feedlake.streaming import tables as S
@@ -239,6 +240,14 @@ def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.page_items(_served(spark, sf_dir), Q.PageRequest(limit=-1, offset=30)).select(*ITEM)
 
 
+@query
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page behind half of all items, found by counts of ranges."""
+    served = _served(spark, sf_dir)
+    half = served.count() // 2
+    return Q.seek_page(served, Q.PageRequest(limit=50, offset=half), slice_rows=100).select(*ITEM)
+
+
 @query
 def latest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.latest_items(_served(spark, sf_dir)).select(*ITEM)
@@ -330,7 +339,7 @@ def _fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def freshness_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = D.fetch_log(spark, sf_dir).select("feed_url", "ts", "event_id", "force_refresh")
-    seen = cadence.freshness_asof(asked, _fetches(spark, sf_dir), bucket_us=C.DAY_US)
+    seen = cadence.freshness_asof(asked, _fetches(spark, sf_dir))
     return seen.select("event_id", "feed_url", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"), "verdict")
 
 
@@ -530,11 +539,15 @@ def stream_success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_alert_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Episodes over windows that a stream keeps up to date."""
-    ev = _event_stream(spark, sf_dir)
+    """Alerts that a stream has told: opened and resolved window by window."""
+    folder = work_dir(spark, "alerts")
+    rows = D.table(spark, sf_dir, "events")
+    # an event a day later closes the last windows; its own stays open
+    beat = rows.orderBy(F.desc("ts")).limit(1).withColumn("ts", F.col("ts") + F.expr("interval 1 day"))
+    ev = D.read_events(_streamed(spark, rows.unionByName(beat), "ts"))
     windows = rollups.stream_metric_windows(D.fetch_log_from(ev), D.queue_samples_from(ev), D.store_log_from(ev))
-    latest = _latest(spark, windows, "alerts", ["window_start"])
-    return _flat_alerts(A.alert_episodes(latest, A.default_rules(store_errors=0)))
+    _run(windows, stream_alerts.watch(f"{folder}/outbox", f"{folder}/state", A.default_rules(store_errors=0)), folder)
+    return _flat_alerts(stream_alerts.episodes_told(spark, f"{folder}/outbox"))
 
 
 @query

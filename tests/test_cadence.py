@@ -80,11 +80,28 @@ def test_freshness_equals_the_lookup_row_by_row(spark):
         last = max(before, default=None)
         hit = last is not None and last[1] >= at and not force
         expected[i] = (last[0] if last else None, "HIT" if hit else "MISS")
-    for bucket in (C.HOUR_US, C.DAY_US, 10 * C.DAY_US):
-        rows = cadence.freshness_asof(ask_df, fetch_df, bucket).select("id", F.unix_micros("fetched_at").alias("f"), "verdict").collect()
+    for ranges in (1, 3, 40, None):
+        rows = cadence.freshness_asof(ask_df, fetch_df, ranges).select("id", F.unix_micros("fetched_at").alias("f"), "verdict").collect()
         assert {r.id: (r.f, r.verdict) for r in rows} == expected and len(rows) == len(asked)
 
 
+def test_one_feed_and_instant_is_spread_over_all_ranges(spark, monkeypatch):
+    base = 1_700_000_000
+    kind = F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("f"), (F.col("id") % 7).cast("string")))
+    ts = F.timestamp_seconds(F.when(F.col("id") % 3 == 0, base).otherwise(base + F.col("id") % 3600))  # a third at one instant
+    asked = spark.range(40_000).select(kind.alias("feed_url"), ts.alias("ts"), "id", F.lit(False).alias("force_refresh"))
+    fetches = spark.range(5).select(F.lit("hot").alias("feed_url"), F.timestamp_seconds(base + F.col("id") * 500).alias("fetched_at"), F.timestamp_seconds(base + F.col("id") * 500 + 60).alias("expires_at"))
+    kept = []
+    inside = cadence.stored
+    monkeypatch.setattr(cadence, "stored", lambda df, label: kept.append(inside(df, label)) or kept[-1])
+    seen = cadence.freshness_asof(asked, fetches, 16)
+    sizes = [r["count"] for r in kept[0].groupBy("part").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 40_000 / 16
+    late = seen.where("feed_url = 'hot' and id % 3 <> 0").select(((F.unix_seconds("ts") - base) > 0).alias("after"), (F.unix_seconds("fetched_at") - base).alias("f"), (F.unix_seconds("ts") - base).alias("t"))
+    assert late.where("after and f <> least(int((t - 1) / 500), 4) * 500").count() == 0 and late.where("after and f is null").count() == 0
+    assert seen.where("id % 3 = 0 and fetched_at is not null").count() == 0  # not strictly before
+
+
 def test_refresh_reasons(spark):
     at = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
     catalog = spark.createDataFrame([("new",), ("old",), ("young",), ("told",)], "feed_url string")

@@ -1,5 +1,7 @@
 """Filters and pages."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +133,28 @@ def test_a_keyset_walk_reaches_every_row(lenient):
         after = last.pub_ts.strftime("%Y-%m-%dT%H:%M:%SZ") if last.pub_ts else None
         page = Q.keyset_page(lenient, after, last.link, 7).collect()
     assert len(seen) == len(set(seen)) == 60
+
+
+@pytest.mark.parametrize("parts", [False, True])
+def test_deep_pages_equal_the_plain_ones(spark, parts):
+    """A third at one instant, a third undated, links with long common beginnings and equal ones."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.timestamp_seconds(F.lit(1_700_000_000))).when(F.col("id") % 3 == 1, F.timestamp_seconds(1_690_000_000 + F.col("id") * 5000)).alias("pub_ts"),
+        F.concat(F.lit("https://a.example.org/"), F.when(F.col("id") % 7 == 0, "same").otherwise(F.conv(F.xxhash64("id").cast("string"), 10, 36))).alias("link"), "id",
+    )
+    rows = rows.withColumn("pub_part", F.to_date(F.date_trunc("month", "pub_ts"))) if parts else rows
+    rows = rows.cache()
+    for start in (0, 3, 700, 999, 1000, 1500, 1999, 2000, 2003, 2500, 2990, 2999, 3000, 9999):
+        request = Q.PageRequest(limit=40, offset=start)
+        got = [(r.pub_ts, r.link) for r in Q.seek_page(rows, request, slice_rows=50).collect()]
+        assert got == [(r.pub_ts, r.link) for r in Q.page_items(rows, request).collect()], start
+
+
+def test_a_deep_page_skips_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(Q, "DEEP_START", 500)
+    rows = spark.range(20_000).select(F.timestamp_seconds(1_600_000_000 + F.col("id") * 60).alias("pub_ts"), F.concat(F.lit("l"), "id").alias("link"), "id")
+    page = Q.page_items(rows, Q.PageRequest(limit=10, offset=15_000))
+    assert [r.id for r in page.collect()] == list(range(4_999, 4_989, -1))
+    plan = page._jdf.queryExecution().optimizedPlan().toString()
+    assert all(int(n) <= 510 for n in re.findall(r"(?:Offset|Limit) (\d+)", plan)) and "orderBy" not in plan
+    assert Q.seek_page(rows.limit(0), Q.PageRequest(offset=7)).collect() == []
