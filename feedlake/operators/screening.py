@@ -1,15 +1,16 @@
-"""URL screening and origin allow-lists: narrow column work, no join and no shuffle but the reports."""
+"""URL screening and origin allow-lists: narrow column work, no join and no shuffle but the reports and tables of rules."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake import constants as C
 from feedlake.functions import urls
 from feedlake.functions.text import contains_any, ends_with_any
+from feedlake.session import stored
 
 
 def is_private_host(host: Column) -> Column:
@@ -115,3 +116,35 @@ def origin_audit(requests: DataFrame, policy: OriginPolicy) -> DataFrame:
     origin = F.coalesce("origin", F.lit(""))
     environment = F.coalesce("environment", F.lit(""))
     return requests.withColumn("allowed", (origin != "") & policy.allows(origin, environment))
+
+
+def origin_rules(spark: SparkSession, policy: OriginPolicy) -> DataFrame:
+    """A policy as rows: environment, text, and whether the text is a suffix (else the whole origin)."""
+    rows = []
+    for environment in ("development", "staging", "production"):
+        allowed = getattr(policy, environment)
+        rows += [(environment, origin, False) for origin in allowed]
+        if policy.allow_subdomains:
+            for domain in (*policy.domains, *(o[2:] for o in allowed if o.startswith("*."))):
+                rows += [(environment, f"https://{domain}", False), (environment, f"http://{domain}", False), (environment, f".{domain}", True)]
+    return spark.createDataFrame(rows, "environment string, text string, suffix boolean")
+
+
+def origin_audit_by_rules(requests: DataFrame, rules: DataFrame) -> DataFrame:
+    """:func:`origin_audit` against a table of rules of any size (environment, text, suffix).
+
+    Every distinct origin of an environment meets the rules in one hash join: as it is, and as its
+    suffixes from each dot on.  A rule whose suffix doesn't begin with a dot or whose text is null allows
+    nothing.
+    """
+    named = F.lower(F.coalesce("environment", F.lit("")))
+    class_of = F.when(named.isin("production", "prod"), "production").when(named.isin("staging", "stage"), "staging").otherwise("development")
+    asked = requests.select(class_of.alias("rule_env"), F.coalesce("origin", F.lit("")).alias("asked")).where("asked <> ''").distinct()
+    places = F.filter(F.sequence(F.lit(1), F.length("asked")), lambda i: F.substr(F.col("asked"), i, F.lit(1)) == ".")
+    suffixes = F.transform(places, lambda i: F.struct(F.substr(F.col("asked"), i).alias("text"), F.lit(True).alias("suffix")))
+    whole = F.array(F.struct(F.col("asked").alias("text"), F.lit(False).alias("suffix")))
+    keys = asked.select("rule_env", "asked", F.explode(F.concat(whole, suffixes)).alias("k")).select("rule_env", "asked", "k.*")
+    known = rules.select(F.col("environment").alias("rule_env"), "text", "suffix").distinct()
+    allowed = stored(keys.join(known, ["rule_env", "text", "suffix"], "left_semi").select("rule_env", "asked").distinct().withColumn("allowed", F.lit(True)), "origins")
+    marked = requests.withColumns({"rule_env": class_of, "asked": F.coalesce("origin", F.lit(""))})
+    return marked.join(allowed, ["rule_env", "asked"], "left").select(*requests.columns, F.coalesce("allowed", F.lit(False)).alias("allowed"))

@@ -339,6 +339,18 @@ select event_id as request_id, origin, environment,
       else origin in ({_quoted((*C.DEVELOPMENT_ORIGINS, "https://wild.example", "http://wild.example"))}) or origin like '%.wild.example' end, false) as allowed
 from (select event_id, ({list(ORIGINS)})[(event_id % {len(ORIGINS)} + 1)::int] as origin,
   ({list(ENVIRONMENTS)})[(user_id % {len(ENVIRONMENTS)} + 1)::int] as environment from events)"""
+SQL["origin_audit_rules"] = f"""
+select event_id as request_id, origin, environment,
+  coalesce(origin in (select unnest(['https://partner.example', 'http://partner.example'])) or origin like '%.partner.example'
+    or case lower(environment) when 'prod' then origin in ({_quoted(C.PRODUCTION_ORIGINS)}) or (site in (select c_custkey from customer)
+        and (origin = 'https://c' || site || '.example' or origin like '%.c' || site || '.example'))
+      when 'stage' then origin in ({_quoted(C.STAGING_ORIGINS)})
+      else origin in ({_quoted((*C.DEVELOPMENT_ORIGINS, "https://wild.example", "http://wild.example"))}) or origin like '%.wild.example' end, false) as allowed
+from (select event_id, environment, case when event_id % 7 = 0 then event_id % 400 end as site,
+    case when event_id % 7 = 0 then (case when event_id % 2 = 0 then 'https://' else 'http://' end) || (case when event_id % 3 = 0 then 'api.' else '' end)
+      || 'c' || (event_id % 400) || '.example' else origin end as origin
+  from (select event_id, ({list(ORIGINS)})[(event_id % {len(ORIGINS)} + 1)::int] as origin,
+    ({list(ENVIRONMENTS)})[(user_id % {len(ENVIRONMENTS)} + 1)::int] as environment from events))"""
 SQL["filter_source"] = _with(
     "select link, author, pub_date from items where starts_with(link, 'https://src1') and link <> 'https://src1'", "items")
 SQL["filter_author"] = _with("select link, author, pub_date from items where author = 'Unknown'", "items")

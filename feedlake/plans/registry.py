@@ -195,12 +195,30 @@ def classify_http_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORIGINS = screening.OriginPolicy(development=(*C.DEVELOPMENT_ORIGINS, "*.wild.example"), allow_subdomains=True, domains=("partner.example",))
+
+
 @query
 def origin_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policy = screening.OriginPolicy(
-        development=(*C.DEVELOPMENT_ORIGINS, "*.wild.example"), allow_subdomains=True, domains=("partner.example",)
-    )
-    audit = screening.origin_audit(D.request_log(spark, sf_dir), policy)
+    audit = screening.origin_audit(D.request_log(spark, sf_dir), ORIGINS)
+    return audit.select("request_id", "origin", "environment", "allowed")
+
+
+@query
+def origin_audit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same audit against a table of rules: the policy's, and every customer's own site and subdomains."""
+    customer = D.table(spark, sf_dir, "customer")
+    site = F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".example"))
+    own = customer.select(F.explode(F.array(
+        F.struct(F.lit("production").alias("environment"), F.concat(F.lit("https://"), site).alias("text"), F.lit(False).alias("suffix")),
+        F.struct(F.lit("production").alias("environment"), F.concat(F.lit("."), site).alias("text"), F.lit(True).alias("suffix")),
+    )).alias("r")).select("r.*")
+    asked = D.request_log(spark, sf_dir)
+    # every seventh request comes from a customer's site or a subdomain of it, over http or https
+    n = F.col("request_id")
+    place = F.concat(F.when(n % 2 == 0, "https://").otherwise("http://"), F.when(n % 3 == 0, "api.").otherwise(""), F.lit("c"), (n % 400).cast("string"), F.lit(".example"))
+    asked = asked.withColumn("origin", F.when(n % 7 == 0, place).otherwise(F.col("origin")))
+    audit = screening.origin_audit_by_rules(asked, screening.origin_rules(spark, ORIGINS).unionByName(own))
     return audit.select("request_id", "origin", "environment", "allowed")
 
 

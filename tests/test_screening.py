@@ -3,7 +3,9 @@
 import pytest
 
 from feedlake import constants as C
-from feedlake.operators.screening import OriginPolicy, origin_audit, screen_urls
+from pyspark.sql import functions as F
+
+from feedlake.operators.screening import OriginPolicy, origin_audit, origin_audit_by_rules, origin_rules, screen_urls
 
 CASES = [
     # url, basic reason, strict reason, sanitised
@@ -103,3 +105,22 @@ def test_subdomains(spark):
         "https://api.trusted.com", "https://evil.com", "https://example.com.evil.com",
     )))
     assert got == [True] * 5 + [False] * 2
+
+
+def test_rules_of_a_table_allow_what_the_policy_allows(spark):
+    policy = OriginPolicy(("*.example.com", "http://localhost:3000"), ("https://s.example.com",), ("https://p.org",), allow_subdomains=True, domains=("trusted.com",))
+    origins = ["https://example.com", "https://a.example.com", "https://a.b.example.com", "https://evil.com", "https://example.com.evil.com", "http://localhost:3000", "", None,
+               "https://p.org", "https://x.p.org", "https://trusted.com", "http://x.trusted.com", "https://s.example.com", ".trusted.com", "trusted.com", "a..trusted.com"]
+    df = spark.createDataFrame([(i, o, e) for i, (o, e) in enumerate((o, e) for o in origins for e in ("dev", "PROD", "stage", None) for _ in range(2))], "id int, origin string, environment string")
+    key = lambda got: sorted((r.id, r.allowed) for r in got.collect())
+    assert key(origin_audit_by_rules(df, origin_rules(spark, policy))) == key(origin_audit(df, policy))
+
+
+def test_many_rules_make_a_hash_join(spark):
+    many = spark.range(100_000).select(F.lit("development").alias("environment"), F.concat(F.lit(".d"), "id", F.lit(".example")).alias("text"), F.lit(True).alias("suffix"))
+    asked = spark.range(1000).select("id", F.concat(F.lit("https://x.d"), F.col("id") * 150, F.lit(".example")).alias("origin"), F.lit("dev").alias("environment"))
+    got = origin_audit_by_rules(asked, many)
+    assert got.where("allowed").count() == 667 and got.count() == 1000
+    odd = spark.createDataFrame([("development", None, True), (None, ".x", True), ("development", "example", True)], "environment string, text string, suffix boolean")
+    assert origin_audit_by_rules(asked, odd).where("allowed").count() == 0
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
