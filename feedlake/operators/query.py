@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,11 @@ def filter_author(items: DataFrame, author: str) -> DataFrame:
     return items.filter(F.col("author") == author)
 
 
+def filter_links(items: DataFrame, links: Sequence[str]) -> DataFrame:
+    """The items of some links; up to ten are looked up in the Bloom filters of a lookup table's row groups."""
+    return items.filter(F.col("link").isin(*links)) if links else items.limit(0)
+
+
 def _month(text: str) -> Column:
     """First day of an instant's month: no partition of a day or month that holds it begins earlier."""
     return F.lit(dates.utc_date(text).replace(day=1))

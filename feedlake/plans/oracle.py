@@ -354,6 +354,10 @@ from (select event_id, environment, case when event_id % 7 = 0 then event_id % 4
 SQL["filter_source"] = _with(
     "select link, author, pub_date from items where starts_with(link, 'https://src1') and link <> 'https://src1'", "items")
 SQL["filter_author"] = _with("select link, author, pub_date from items where author = 'Unknown'", "items")
+SQL["lookup_links"] = _with("""
+select link, author, pub_date from items where link in (
+  select 'https://src' || k || '.example.org/' || lang || '/' || k from (values (3), (4), (5)) t(k), (values ('en'), ('de')) u(lang)
+  union all select 'https://src1.example.org/en/21')""", "items")
 SQL["filter_dates"] = _with(
     "select link, author, pub_date from items where pub_us between epoch_us(timestamp '2024-05-31 22:00:00') "
     "and epoch_us(timestamp '2024-06-30 23:00:00')", "items")

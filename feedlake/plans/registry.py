@@ -237,9 +237,21 @@ def filter_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.filter_source(_served(spark, sf_dir), "https://src1").select("link", "author", "pub_date")
 
 
+def _by_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "by-author")
+    tables.write_lookup(D.items(spark, sf_dir), path)
+    return tables.scan_lookup(spark, path)
+
+
 @query
 def filter_author(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.filter_author(_served(spark, sf_dir), "Unknown").select("link", "author", "pub_date")
+    return Q.filter_author(_by_author(spark, sf_dir), "Unknown").select("link", "author", "pub_date")
+
+
+@query
+def lookup_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = [f"https://src{k}.example.org/{lang}/{k}" for k in (3, 4, 5) for lang in ("en", "de")] + ["https://src1.example.org/en/21"]
+    return Q.filter_links(_by_author(spark, sf_dir), links).select("link", "author", "pub_date")
 
 
 @query

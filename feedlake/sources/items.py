@@ -1,6 +1,6 @@
 """Item tables on parquet.
 
-Two layouts, both plain Spark tables:
+Plain Spark tables:
 
 * a *landing log*, appended batch by batch, with partitions by a hash bucket of the link and ``batch_id``.
   The number of buckets follows the number of links (``BUCKET_ROWS`` to a bucket), and a bucket whose
@@ -8,7 +8,7 @@ Two layouts, both plain Spark tables:
   whatever the length of the history.  A replayed batch overwrites its own partitions;
 * a *serving table*, one row per link, partitioned by publication day (or month) with links sorted
   inside files, so date filters (on a scan with ``parts``) skip directories and link ranges skip row
-  groups.
+  groups; beside it *lookup tables* with the same rows, sorted by another column.
 
 The log under ``path`` lies in ``of=N`` for N buckets.  The largest N that a doubling has completed counts; doubling
 N writes ``of=2N`` whole before ``of=N`` goes.  Merging a bucket adds the merged rows to its newest merged batch
@@ -128,6 +128,25 @@ def write_items(items: DataFrame, path: str, unit: str = "day", max_records_per_
     )
 
 
+GROUP_BYTES = 16 << 20
+
+
+def write_lookup(items: DataFrame, path: str, by: str = "author", group_bytes: int = GROUP_BYTES) -> None:
+    """A second layout of the items for equality on ``by`` and on the link: rows sorted by ``by`` over all files, so
+    the least and greatest values of row groups tell most of them apart, and a Bloom filter of the links in
+    every row group.  Ranges are of equal size, however many rows one value has."""
+    ranges = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (
+        items.select(*ITEM.fieldNames()).repartitionByRange(ranges, by, "link").sortWithinPartitions(by, "link")
+        .write.mode("overwrite").option("parquet.block.size", group_bytes)
+        .option("parquet.bloom.filter.enabled#link", "true").parquet(path)
+    )
+
+
+def scan_lookup(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ITEM).parquet(path)
+
+
 def _serving(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ITEM.fromJson(ITEM.jsonValue()).add("pub_part", "date")).parquet(path)
 

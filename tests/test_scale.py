@@ -229,3 +229,32 @@ def test_stream_parts_have_several_files(spark, monkeypatch):
     registry._run(stream, each, work_dir(spark, "test-files"))
     assert [n for n, *_ in seen] == [registry.STREAM_FILES] * registry.STREAM_PARTS
     assert all(a[2] < b[1] for a, b in zip(seen, seen[1:]))
+
+
+def rows_scanned(df):
+    """Rows of the row groups that a plain scan with its filters has opened."""
+    executed = df._jdf.queryExecution()
+    executed.toRdd().count()
+    return executed.executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_lookups_open_few_row_groups(spark):
+    """One author has a third of all rows; others and single links are found in a small share of the groups."""
+    path = work_dir(spark, "test-lookup")
+    n = 60_000
+    author = F.when(F.col("id") % 3 == 0, "busy").otherwise(F.concat(F.lit("a"), F.col("id") % 500))
+    rows = spark.range(n).select(
+        F.lit("f").alias("feed_url"), F.sha2(F.col("id").cast("string"), 256).alias("title"), F.concat(F.lit("http://x/"), F.md5(F.col("id").cast("string"))).alias("link"), F.lit("d").alias("description"),
+        author.alias("author"), F.lit("p").alias("pub_date"), F.lit(None).cast("timestamp").alias("pub_ts"), F.sha2(F.concat("id", F.lit("x")), 256).alias("content_hash"), F.col("id").alias("ingest_seq"),
+    )
+    tables.write_lookup(rows, path, group_bytes=200_000)
+    sizes = [len(spark.read.parquet(f"{path}/{f}").select("author").distinct().limit(3).collect()) for f in files.folder_names(spark, path) if f.endswith(".parquet")]
+    assert len(sizes) == 4
+    stored = tables.scan_lookup(spark, path)
+    one = Q.filter_author(stored, "a77")
+    assert one.count() == rows.where("author = 'a77'").count() > 0 and rows_scanned(one.select("author")) < n / 10
+    link = rows.where("id = 12345").first().link
+    assert [r.ingest_seq for r in Q.filter_links(stored, [link]).collect()] == [12345]
+    assert rows_scanned(Q.filter_links(stored, [link]).select("link")) < n / 5
+    assert Q.filter_links(stored, []).count() == 0 and rows_scanned(Q.filter_links(stored, ["http://x/none"]).select("link")) < n / 5
+    assert Q.filter_author(stored, "busy").count() == n // 3
