@@ -495,6 +495,7 @@ from (select {labels} as labels, ({value})::double as v, date_trunc('day', {ts})
 where v >= 0 group by labels, window_start, le"""
 
 
+SQL["stream_counter_late"] = SQL["stream_counter_rollup"]
 SQL["stream_histogram_rollup"] = _with(" union all ".join((
     _daily_histogram_sql("rss_feed_fetch_duration_seconds", "fetch_log", "'url=' || feed_url || ',status=' || status", "duration_s", DURATION_BOUNDS),
     _daily_histogram_sql("rss_feed_items_count", "fetch_log", "'url=' || feed_url", "items_count", ITEM_COUNT_BOUNDS),

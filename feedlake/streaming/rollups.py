@@ -2,18 +2,20 @@
 
 The logs of a service become one stream of observations first, so each roll-up is a single aggregate
 however many metrics it holds.  Rows later than ``delay`` behind the newest are dropped by the watermark.
-All run in update mode into a change log.
+All run in update mode into a change log.  Where no row may be dropped, ``add_counters`` sums batches instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake import constants as C
 from feedlake.operators.metrics import labels_text
+from feedlake.streaming.tables import read_changes
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -28,10 +30,10 @@ def _start(window: str) -> Column:
     return F.window("ts", window).alias("w")
 
 
-def stream_counters(fetches: DataFrame, jobs: DataFrame, store_ops: DataFrame, http: DataFrame, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """The six counters of the service per label set and window."""
+def counter_observations(fetches: DataFrame, jobs: DataFrame, store_ops: DataFrame, http: DataFrame) -> DataFrame:
+    """ts, metric, labels, value of everything that the six counters of the service count."""
     read = fetches.withColumn("operation", F.lit("get_feed_items"))
-    observed = _union([
+    return _union([
         _observed(fetches, C.FEED_FETCH_TOTAL, ["url", "status"]),
         _observed(jobs.filter(F.col("status").isin("completed", "failed")), C.JOBS_TOTAL, ["status"]),
         _observed(read.filter("status = 'cache_hit'"), C.CACHE_HITS_TOTAL, ["operation"]),
@@ -39,10 +41,47 @@ def stream_counters(fetches: DataFrame, jobs: DataFrame, store_ops: DataFrame, h
         _observed(store_ops, C.STORE_OPS_TOTAL, ["operation", "status"]),
         _observed(http, C.HTTP_TOTAL, ["method", "endpoint", "status"]),
     ])
+
+
+def stream_counters(fetches: DataFrame, jobs: DataFrame, store_ops: DataFrame, http: DataFrame, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """The six counters of the service per label set and window."""
+    observed = counter_observations(fetches, jobs, store_ops, http)
     counted = observed.withWatermark("ts", delay).groupBy("metric", "labels", _start(window)).agg(F.count(F.lit(1)).alias("value"))
     return counted.select("metric", "labels", F.col("w.start").alias("window_start"), "value")
 
 
+PARTIAL = "metric string, labels string, window_start timestamp, value bigint, late bigint, newest timestamp"
+
+
+def add_counters(path: str, window: str = "1 hour", delay_us: int = C.HOUR_US) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body over :func:`counter_observations` that drops no row, however late.
+
+    Each batch adds its own counts to a log, one folder for each batch, overwritten when it is replayed; no
+    state and no watermark stand between, and :func:`added_counters` sums the log.  Rows that a watermark
+    of ``delay_us`` would have dropped are counted as late.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = None
+        if batch_id > 0:
+            log = read_changes(spark, path, spark.createDataFrame([], PARTIAL).schema).where(F.col("batch_id") < batch_id)
+            newest = log.agg(F.unix_micros(F.max("newest"))).first()[0]
+        w = F.window("ts", window)
+        late = F.unix_micros(w["end"]) <= F.lit(newest).cast("bigint") - delay_us
+        counted = batch.groupBy("metric", "labels", w["start"].alias("window_start")).agg(
+            F.count(F.lit(1)).alias("value"), F.count_if(late).alias("late"), F.max("ts").alias("newest"))
+        counted.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return each
+
+
+def added_counters(spark: SparkSession, path: str) -> DataFrame:
+    """metric, labels, window_start, value and the rows of it that came late."""
+    log = read_changes(spark, path, spark.createDataFrame([], PARTIAL).schema)
+    return log.groupBy("metric", "labels", "window_start").agg(F.sum("value").alias("value"), F.sum("late").alias("late"))
+
+
 def stream_histograms(fetches: DataFrame, jobs: DataFrame, store_ops: DataFrame, http: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """The five histograms of the service per label set and window; negative values are not observed."""
     seconds = F.col("duration_ms") / 1000

@@ -10,6 +10,7 @@ from feedlake import constants as C
 from feedlake.operators import alerts, jobs, metrics
 from feedlake.session import work_dir
 from feedlake.streaming import alerts as running
+from feedlake.streaming import rollups
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -153,3 +154,15 @@ def test_running_alerts_tell_each_event_once(spark):
             told = sorted(set(told))
         events = sorted((r.kind, r.alert_id) for r in running.told_alerts(spark, f"{folder}/outbox").collect())
         assert sorted(told) == events and len(set(events)) == len(events)
+
+
+def test_late_rows_are_counted_and_reported(spark):
+    folder = work_dir(spark, "test-late")
+    each = rollups.add_counters(f"{folder}/out")
+    row = lambda minutes, n=1: [(T0 + timedelta(minutes=minutes), "m", "a=1", 1.0)] * n
+    batches = [row(300), row(301) + row(180, 3) + row(290), [], row(10, 2) + row(305)]  # two hours late and more
+    for number, rows in enumerate(batches):
+        for _ in range(2):  # the second is a replay
+            each(spark.createDataFrame(rows, "ts timestamp, metric string, labels string, value double"), number)
+    got = rollups.added_counters(spark, f"{folder}/out").select(((F.unix_seconds("window_start") - int(T0.timestamp())) / 3600).cast("int").alias("h"), "value", "late").collect()
+    assert {r.h: (r.value, r.late) for r in got} == {0: (2, 2), 3: (3, 3), 4: (1, 0), 5: (3, 0)}
