@@ -109,7 +109,9 @@ def exact_groups(docs: DataFrame, carry: str | None = None) -> DataFrame:
     word, bit = _place(F.col("doc_id"))
     held = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("word", word)
     held = held.join(F.broadcast(table), "word").where(F.call_function("shiftrightunsigned", "bits", bit).bitwiseAND(1) == 1)
-    texts = held.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    # written, as the optimiser would else make the semi-join first, and shuffle all texts for it
+    held = materialise(held.select("doc_id", "text"), "exact-texts")
+    texts = held.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     verified = (
         texts.groupBy(normal.alias("normal")).agg(F.count(F.lit(1)).alias("rows"))
         .groupBy(F.unhex(F.sha2("normal", 256)).alias("sha")).agg(F.count(F.lit(1)).alias("texts"))

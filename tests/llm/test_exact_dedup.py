@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from feedlake.llm import hashing
+from feedlake.llm import exact_dedup, hashing
 from feedlake.llm.exact_dedup import exact_groups
 
 SCHEMA = "doc_id bigint, text string, row_id int, sha string"
@@ -52,3 +52,20 @@ def test_rice_codes_round_trip(n, bits):
 def test_a_code_is_near_the_bound():
     values = np.sort(np.random.default_rng(1).integers(0, 2**48, 100_000, dtype=np.uint64))
     assert len(hashing.rice_encode(values, 0)) * 8 / 100_000 < 48 - np.log2(100_000) + 2.3
+
+
+def test_only_suspects_texts_are_written(spark, monkeypatch):
+    """Texts of rows without a twin stay where they are."""
+    written = {}
+    inside = exact_dedup.materialise
+
+    def counted(df, label):
+        out = inside(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(exact_dedup, "materialise", counted)
+    rows = [(i, f"text number {i // 2 if i < 40 else i}", 1, "x") for i in range(2000)]
+    got = exact_groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+    assert 40 <= written["exact-texts"] < 60
