@@ -363,6 +363,8 @@ SQL["filter_dates"] = _with(
     "and epoch_us(timestamp '2024-06-30 23:00:00')", "items")
 SQL["filter_keyword"] = _with(
     "select link, author, pub_date from items where contains(lower(title), 'the') or contains(lower(description), 'the')", "items")
+SQL["indexed_keyword"] = _with(
+    "select link, author, pub_date from items where contains(lower(title), 'er. the') or contains(lower(description), 'er. the')", "items")
 SQL["page_items"] = _with(f"select {_ITEM} from items order by pub_us desc, link limit 100 offset 30", "items")
 SQL["deep_page"] = _with(
     f"select {_ITEM} from items order by pub_us desc, link limit 50 offset (select cast(count(*) // 2 as bigint) from items)", "items")

@@ -17,7 +17,7 @@ from feedlake.operators import query as Q
 from feedlake.plans import derive as D
 from feedlake.schemas import ITEM as ITEM_SCHEMA
 from feedlake.session import work_dir
-from feedlake.sources import catalog, feeds, httplog, sink
+from feedlake.sources import catalog, feeds, httplog, keywords, sink
 from feedlake.sources import items as tables
 from feedlake.streaming import alerts as stream_alerts
 from feedlake.streaming import ingest, rollups, sessions
@@ -270,6 +270,15 @@ def filter_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.filter_keyword(_served(spark, sf_dir), "The").select("link", "author", "pub_date")
 
 
+@query
+def indexed_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyword of two words, through the index of words and files."""
+    path = work_dir(spark, "served")
+    tables.write_items(D.items(spark, sf_dir), path, unit="month")
+    keywords.index_keywords(spark, path, f"{path}-words")
+    return keywords.scan_keyword(spark, path, f"{path}-words", "ER. The").select("link", "author", "pub_date")
+
+
 @query
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.page_items(_served(spark, sf_dir), Q.PageRequest(limit=-1, offset=30)).select(*ITEM)
