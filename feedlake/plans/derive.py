@@ -125,6 +125,22 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_documents(spark, sf_dir).drop("ingest_seq")
 
 
+# Entries in one large feed file.
+ENTRIES_PER_FILE = 20_000
+
+
+def write_feed_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """RSS files of many entries each, in a folder for every feed."""
+    raw = raw_items(spark, sf_dir).withColumn("part", F.floor(F.col("ingest_seq") / ENTRIES_PER_FILE))
+    ends = raw.select("feed_url", "part").distinct()
+    lines = raw.select("feed_url", "part", "ingest_seq", _entry().alias("value"))
+    for number, text in ((-1, _OPEN), (None, _CLOSE)):
+        at = F.lit((1 << 63) - 1 if number is None else number).cast("bigint")
+        lines = lines.unionByName(ends.select("feed_url", "part", at.alias("ingest_seq"), F.lit(text).alias("value")))
+    ordered = lines.repartition("feed_url", "part").sortWithinPartitions("feed_url", "part", "ingest_seq")
+    ordered.drop("ingest_seq").write.partitionBy("feed_url", "part").text(path)
+
+
 def damaged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSS captures of which some are cut in the middle and some are no feed."""
     turn = F.unix_seconds("fetched_at") % 4

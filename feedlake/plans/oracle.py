@@ -294,6 +294,7 @@ SQL["items_page_prefiltered"] = _page_sql(
 SQL["feed_catalog"] = _with("select name, feed_url as url from all_feeds", "all_feeds")
 SQL["parse_feeds"] = _with(f"select feed_url, {_ITEM} from normal_items", "normal_items")
 SQL["parse_mixed_feeds"] = SQL["parse_feeds"]
+SQL["parse_feed_files"] = SQL["stream_feed_files"] = SQL["parse_feeds"]
 SQL["parse_failures"] = _with("""
 select feed_url, 1719792000 + capture as fetched_s, case capture % 4 when 1 then 'malformed document' else 'unknown format' end as reason
 from (select distinct feed_url, ingest_seq // 200 as capture from raw_items) where capture % 4 in (1, 2)""", "raw_items")

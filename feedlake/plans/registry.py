@@ -98,6 +98,25 @@ def parse_mixed_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.normalize_items(parsed).select("feed_url", *ITEM)
 
 
+@query
+def parse_feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries out of a few large RSS files, each split over tasks."""
+    path = work_dir(spark, "feed-files")
+    D.write_feed_files(spark, sf_dir, path)
+    parsed = feeds.parse_pieces(feeds.feed_file_pieces(spark, path))
+    return I.normalize_items(parsed).select("feed_url", *ITEM)
+
+
+@query
+def stream_feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as a stream."""
+    folder = work_dir(spark, "feed-file-stream")
+    D.write_feed_files(spark, sf_dir, f"{folder}/in")
+    parsed = feeds.parse_pieces(feeds.feed_file_pieces(spark, f"{folder}/in", stream=True))
+    _run(I.normalize_items(parsed).select("feed_url", *ITEM), S.append_changes(f"{folder}/out"), folder)
+    return spark.read.parquet(f"{folder}/out").select("feed_url", *ITEM)
+
+
 @query
 def parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures that can't be read: every fourth cut short, every fourth no feed at all."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIALECTS = ("rss", "atom", "rdf", "json")
@@ -12,15 +12,15 @@ _ITEM = (
     "title: array<string>, link: array<string>, description: array<string>, pubDate: array<string>, "
     "author: array<struct<_VALUE: string, name: string>>, `itunes:author`: array<string>, `dc:creator`: array<string>, `dc:date`: array<string>"
 )
+_ENTRY = (
+    "title: array<struct<_VALUE: string>>, link: array<struct<_href: string, _rel: string, _VALUE: string>>, "
+    "summary: array<struct<_VALUE: string>>, content: array<struct<_VALUE: string>>, "
+    "published: array<string>, updated: array<string>, author: array<struct<name: string>>"
+)
 _XML = {
     "rss": f"channel struct<title: array<string>, item: array<struct<{_ITEM}>>>",
     "rdf": f"item array<struct<{_ITEM}>>",
-    "atom": (
-        "entry array<struct<"
-        "title: array<struct<_VALUE: string>>, link: array<struct<_href: string, _rel: string, _VALUE: string>>, "
-        "summary: array<struct<_VALUE: string>>, content: array<struct<_VALUE: string>>, "
-        "published: array<string>, updated: array<string>, author: array<struct<name: string>>>>"
-    ),
+    "atom": f"entry array<struct<{_ENTRY}>>",
 }
 _JSON = (
     "version string, items array<struct<id: string, url: string, title: string, summary: string, content_text: string, content_html: string, "
@@ -28,6 +28,8 @@ _JSON = (
 )
 _ROW_TAG = {"rss": "rss", "rdf": "rdf:RDF", "atom": "feed"}
 _CORRUPT = "_corrupt_record"
+_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+_XML_OPTIONS = {**_OPTIONS, "ignoreSurroundingSpaces": "false", "nullValue": "\u0000", "attributePrefix": "_"}
 
 
 def _first(values: Column) -> Column:
@@ -85,16 +87,14 @@ def _read(documents: DataFrame, body: str, dialect: str) -> DataFrame:
         raise ValueError(f"unknown dialect {dialect!r}")
     keep = [c for c in documents.columns if c != body]
     kinds = DIALECTS if dialect == "detect" else (dialect,)
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    xml = {**options, "ignoreSurroundingSpaces": "false", "nullValue": "\u0000", "attributePrefix": "_"}
     seen = documents.withColumn("_root", dialect_of(F.col(body)))
     seen = seen.withColumn("_kind", F.col("_root") if dialect == "detect" else F.lit(dialect))
 
     def reader(k: str) -> Column:
         text = F.when((F.col("_kind") == k) & (F.col("_root") == k), F.col(body))
         if k == "json":
-            return F.from_json(text, f"{_JSON}, {_CORRUPT} string", options)
-        return F.from_xml(text, f"{_XML[k]}, {_CORRUPT} string", {**xml, "rowTag": _ROW_TAG[k]})
+            return F.from_json(text, f"{_JSON}, {_CORRUPT} string", _OPTIONS)
+        return F.from_xml(text, f"{_XML[k]}, {_CORRUPT} string", {**_XML_OPTIONS, "rowTag": _ROW_TAG[k]})
 
     read = F.struct(F.col("_kind").alias("kind"), F.col("_root").alias("root"), *(reader(k).alias(k) for k in kinds))
     docs = seen.select(*keep, F.explode(F.array(read)).alias("_read"))
@@ -128,3 +128,69 @@ def parse_failures(documents: DataFrame, body: str = "body", dialect: str = "det
     """One row for every document that can't be read, with the reason."""
     keep = [c for c in documents.columns if c != body]
     return _read(documents, body, dialect).where("reason is not null").select(*keep, "reason")
+
+
+# --- files of any size ------------------------------------------------------------------------------
+
+# Element of an entry, its fields, how they are taken, and the end tags that may follow the last one.
+_ELEMENT = {
+    "rss": ("item", _ITEM, _of_item, "channel|rss"), "rdf": ("item", _ITEM, _of_item, "channel|rdf:rdf|rdf"), "atom": ("entry", _ENTRY, _of_entry, "feed"),
+}
+
+
+def _element(dialect: str) -> tuple:
+    if dialect not in _ELEMENT:
+        raise ValueError(f"no end tag to cut {dialect!r} at")
+    return _ELEMENT[dialect]
+
+
+def feed_file_pieces(spark: SparkSession, path: str, dialect: str = "rss", end_tag: str | None = None, stream: bool = False) -> DataFrame:
+    """The text of feed files cut behind each entry, for :func:`parse_pieces`: ``piece`` with the columns of partitioned
+    folders, ``file``, ``block`` (where the part of the file that a task reads begins) and, unless it is
+    a ``stream``, ``row``, which orders the pieces of a block.
+
+    Files are split over tasks like any text, and a task holds an entry at a time.  End tags are spelled like
+    ``end_tag`` (``</item>`` or ``</entry>``) as a rule; others are cut at as well, but only in memory.
+    """
+    element = _element(dialect)[0]
+    reader = (spark.readStream if stream else spark.read).option("lineSep", end_tag or f"</{element}>")
+    meta = F.col("_metadata")
+    place = [meta["file_path"].alias("file"), meta["file_block_start"].alias("block")]
+    if not stream:
+        place.append(F.monotonically_increasing_id().alias("row"))
+    text = reader.text(path)
+    keep = [c for c in text.columns if c != "value"]
+    return text.select(*keep, *place, "value").select(
+        *keep, *(("file", "block") if stream else ("file", "block", "row")),
+        F.posexplode(F.split("value", rf"(?i)</{element}\s*>")).alias("part", "piece"),
+    )
+
+
+def _read_pieces(pieces: DataFrame, dialect: str) -> DataFrame:
+    """``pieces`` without the text, with ``entry`` and ``reason``; parts of a file that hold no entry are left out."""
+    element, schema, fields, ends = _element(dialect)
+    keep = [c for c in pieces.columns if c != "piece"]
+    # no look further than the start tag: what is before it is the feed's own title or white space
+    entry = F.nullif(F.regexp_extract("piece", rf"(?is)<{element}[\s>].*", 0), F.lit(""))
+    value = F.from_xml(F.concat(entry, F.lit("</"), F.regexp_extract(entry, r"^<(\w+)", 1), F.lit(">")), f"struct<{schema}, {_CORRUPT}: string>", {**_XML_OPTIONS, "rowTag": element})
+    rest = F.col("piece").rlike(rf"(?i)^\s*$|</(?:{ends})\s*>")
+    read = F.struct(entry.isNull().alias("none"), rest.alias("rest"), value.alias("value"))
+    read = pieces.select(*keep, F.explode(F.array(read)).alias("_read")).where("not (_read.none and _read.rest)")
+    broken = F.col("_read.none") | F.col(f"_read.value.{_CORRUPT}").isNotNull()
+    found = F.struct(*(v.alias(n) for n, v in fields(F.col("_read.value")).items()))
+    return read.select(*keep, F.when(broken, "malformed entry").alias("reason"), found.alias("entry"))
+
+
+def parse_pieces(pieces: DataFrame, dialect: str = "rss") -> DataFrame:
+    """The raw entries of :func:`feed_file_pieces`, with fields as in :func:`parse_feed_documents`.
+
+    An entry that can't be read costs only itself and has a row in :func:`piece_failures`, unlike in a document that
+    is read as a whole.  End tags within CDATA cut their entry in two failures.  Of a file that ends within an
+    entry, the last one counts if it ends behind one of its elements.
+    """
+    return _read_pieces(pieces, dialect).where("reason is null").drop("reason").select("*", "entry.*").drop("entry")
+
+
+def piece_failures(pieces: DataFrame, dialect: str = "rss") -> DataFrame:
+    """One row for every piece that should be an entry and can't be read."""
+    return _read_pieces(pieces, dialect).where("reason is not null").drop("entry")

@@ -70,3 +70,65 @@ def test_roots_and_elements_in_any_case(spark):
     got = {r.feed_url: (r.title, r.link, r.published) for r in feeds.parse_feed_documents(docs).collect()}
     assert got == {"a": ("T", "http://x", "p"), "b": ("t2", "http://y", None)}
     assert [(r.feed_url, r.reason) for r in feeds.parse_failures(docs).collect()] == [("c", "unknown format")]
+
+
+FILE_OF = {
+    "rss": ('<?xml version="1.0"?>\n<rss><channel><title>the feed</title>', "<item n='{n}'>\n<title>t{n} &amp; ü</title><link>l{n}</link></item>", "</channel></rss>\n"),
+    "rdf": ('<rdf:RDF><channel><items><rdf:Seq/></items></channel>', "<item rdf:about='x'><title>t{n} &amp; ü</title><link>l{n}</link><dc:creator>n</dc:creator></item>\n", "</rdf:RDF>"),
+    "atom": ('<feed xmlns="http://www.w3.org/2005/Atom"><title>the feed</title>', '<entry><title type="text">t{n} &amp; ü</title><link href="l{n}"/></entry>', "</feed>"),
+}
+
+
+def one_file(spark, text, folder="feed_url=a"):
+    path = work_dir(spark, "test-feed-file")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n").text(f"{path}/{folder}")
+    return path
+
+
+@pytest.mark.parametrize("dialect", ["rss", "rdf", "atom"])
+def test_one_large_file_is_split_over_tasks(spark, dialect):
+    head, entry, tail = FILE_OF[dialect]
+    text = head + "".join(entry.format(n=n) for n in range(400)) + tail
+    whole = [tuple(r) for r in feeds.parse_feed_documents(spark.createDataFrame([("a", text)], "feed_url string, body string")).orderBy("position").drop("position").collect()]
+    path, size = one_file(spark, text), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for part in (701, 2_048):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(part))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            pieces = feeds.feed_file_pieces(spark, path, dialect)
+            assert pieces.rdd.getNumPartitions() > 10
+            got = [tuple(r) for r in feeds.parse_pieces(pieces, dialect).orderBy("file", "block", "row", "part").drop("file", "block", "row", "part").collect()]
+            assert len(got) == 400 and got == whole
+            assert feeds.piece_failures(pieces, dialect).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+
+
+def test_spellings_of_tags_and_entries_that_cannot_be_read(spark):
+    good = "<item><title>{}</title><link>l</link></item>"
+    text = ("<RSS><channel>" + good.format("a") + "<ITEM><TITLE>b</TITLE></ITEM><item><title>c</title></item ><item><title>d</item>" + good.format("e")
+            + "<item><description><![CDATA[an </item> within]]></description></item>" + good.format("f") + "<item></item></channel></RSS>")
+    pieces = feeds.feed_file_pieces(spark, one_file(spark, text))
+    titles = [r.title for r in feeds.parse_pieces(pieces).orderBy("row", "part").collect()]
+    assert titles == ["a", "b", "c", "e", "f", None]
+    assert [r.reason for r in feeds.piece_failures(pieces).collect()] == ["malformed entry"] * 3
+    for text in ("", "<rss><channel></channel></rss>", "<rss><channel><title>t</title><item/></channel></rss>"):
+        empty = feeds.feed_file_pieces(spark, one_file(spark, text))
+        assert feeds.parse_pieces(empty).isEmpty() and feeds.piece_failures(empty).isEmpty()
+    assert feeds.piece_failures(feeds.feed_file_pieces(spark, one_file(spark, "503 try again later"))).count() == 1
+    with pytest.raises(ValueError):
+        feeds.feed_file_pieces(spark, "x", "json")
+
+
+def test_an_end_tag_of_its_own_spelling(spark):
+    path = one_file(spark, "<rss><channel>" + "<ITEM><title>t</title></ITEM>" * 50 + "</channel></rss>")
+    pieces = feeds.feed_file_pieces(spark, path, end_tag="</ITEM>")
+    assert pieces.select("row").distinct().count() == 51 and feeds.parse_pieces(pieces).count() == 50
+
+
+def test_pieces_read_once_in_the_plan(spark):
+    parsed = feeds.parse_pieces(feeds.feed_file_pieces(spark, one_file(spark, "<rss/>")))
+    plan = parsed.where("title = 'a' and link is not null")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert len(re.findall(r"from_xml\(|xmltostructs\(|xml_to_structs\(", plan)) == 1, plan
