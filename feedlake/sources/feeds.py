@@ -146,24 +146,21 @@ def _element(dialect: str) -> tuple:
 
 def feed_file_pieces(spark: SparkSession, path: str, dialect: str = "rss", end_tag: str | None = None, stream: bool = False) -> DataFrame:
     """The text of feed files cut behind each entry, for :func:`parse_pieces`: ``piece`` with the columns of partitioned
-    folders, ``file``, ``block`` (where the part of the file that a task reads begins) and, unless it is
-    a ``stream``, ``row``, which orders the pieces of a block.
+    folders and ``piece_at``, by which pieces are in order of files and in them: ``file``, ``block`` (where
+    the part of the file that a task reads begins), ``row`` within it (not in a ``stream``) and ``part``.
 
     Files are split over tasks like any text, and a task holds an entry at a time.  End tags are spelled like
     ``end_tag`` (``</item>`` or ``</entry>``) as a rule; others are cut at as well, but only in memory.
     """
     element = _element(dialect)[0]
     reader = (spark.readStream if stream else spark.read).option("lineSep", end_tag or f"</{element}>")
-    meta = F.col("_metadata")
-    place = [meta["file_path"].alias("file"), meta["file_block_start"].alias("block")]
-    if not stream:
-        place.append(F.monotonically_increasing_id().alias("row"))
     text = reader.text(path)
     keep = [c for c in text.columns if c != "value"]
-    return text.select(*keep, *place, "value").select(
-        *keep, *(("file", "block") if stream else ("file", "block", "row")),
-        F.posexplode(F.split("value", rf"(?i)</{element}\s*>")).alias("part", "piece"),
-    )
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    if not stream:
+        place.append(F.monotonically_increasing_id().alias("row"))
+    cut = text.select(*keep, F.struct(*place).alias("_place"), F.posexplode(F.split("value", rf"(?i)</{element}\s*>")).alias("_part", "piece"))
+    return cut.select(*keep, F.col("_place").withField("part", F.col("_part")).alias("piece_at"), "piece")
 
 
 def _read_pieces(pieces: DataFrame, dialect: str) -> DataFrame:

@@ -98,7 +98,7 @@ def test_one_large_file_is_split_over_tasks(spark, dialect):
             spark.conf.set("spark.sql.files.openCostInBytes", "1")
             pieces = feeds.feed_file_pieces(spark, path, dialect)
             assert pieces.rdd.getNumPartitions() > 10
-            got = [tuple(r) for r in feeds.parse_pieces(pieces, dialect).orderBy("file", "block", "row", "part").drop("file", "block", "row", "part").collect()]
+            got = [tuple(r) for r in feeds.parse_pieces(pieces, dialect).orderBy("piece_at").drop("piece_at").collect()]
             assert len(got) == 400 and got == whole
             assert feeds.piece_failures(pieces, dialect).isEmpty()
     finally:
@@ -111,7 +111,7 @@ def test_spellings_of_tags_and_entries_that_cannot_be_read(spark):
     text = ("<RSS><channel>" + good.format("a") + "<ITEM><TITLE>b</TITLE></ITEM><item><title>c</title></item ><item><title>d</item>" + good.format("e")
             + "<item><description><![CDATA[an </item> within]]></description></item>" + good.format("f") + "<item></item></channel></RSS>")
     pieces = feeds.feed_file_pieces(spark, one_file(spark, text))
-    titles = [r.title for r in feeds.parse_pieces(pieces).orderBy("row", "part").collect()]
+    titles = [r.title for r in feeds.parse_pieces(pieces).orderBy("piece_at").collect()]
     assert titles == ["a", "b", "c", "e", "f", None]
     assert [r.reason for r in feeds.piece_failures(pieces).collect()] == ["malformed entry"] * 3
     for text in ("", "<rss><channel></channel></rss>", "<rss><channel><title>t</title><item/></channel></rss>"):
@@ -125,7 +125,7 @@ def test_spellings_of_tags_and_entries_that_cannot_be_read(spark):
 def test_an_end_tag_of_its_own_spelling(spark):
     path = one_file(spark, "<rss><channel>" + "<ITEM><title>t</title></ITEM>" * 50 + "</channel></rss>")
     pieces = feeds.feed_file_pieces(spark, path, end_tag="</ITEM>")
-    assert pieces.select("row").distinct().count() == 51 and feeds.parse_pieces(pieces).count() == 50
+    assert pieces.select("piece_at.row").distinct().count() == 51 and feeds.parse_pieces(pieces).count() == 50
 
 
 def test_pieces_read_once_in_the_plan(spark):
