@@ -508,7 +508,8 @@ SQL["stream_histogram_rollup"] = _with(" union all ".join((
     _daily_histogram_sql("rss_http_request_duration_seconds", "http_log", "'method=' || method || ',endpoint=' || path || ',status=' || status",
                          "duration_ms / 1000", DURATION_BOUNDS, ts="time"),
 )), "fetch_log", "job_log", "store_log", "http_log")
-SQL["stream_success_rate"] = SQL["success_rate"]
+SQL["stream_histogram_late"] = SQL["stream_histogram_rollup"]
+SQL["stream_success_rate"] = SQL["stream_success_late"] = SQL["success_rate"]
 SQL["stream_alert_episodes"] = SQL["alert_episodes"]
 SQL["stream_http_log"] = SQL["classify_http_log"]
 SQL["stream_job_state"] = SQL["job_state"]

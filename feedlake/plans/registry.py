@@ -610,6 +610,24 @@ def stream_success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(_latest(spark, rate, "success", ["window_start"]), "window_start")
 
 
+@query
+def stream_histogram_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five histograms per day from parts that arrive in the wrong order, days late; no row is dropped."""
+    folder = work_dir(spark, "late-histograms")
+    ev = D.read_events(_streamed(spark, D.table(spark, sf_dir, "events"), "ts", newest_first=True))
+    _run(rollups.histogram_observations(*_log_streams(spark, sf_dir, ev)), rollups.add_histograms(f"{folder}/out"), folder)
+    return _ntz(rollups.added_histograms(spark, f"{folder}/out").drop("late"), "window_start")
+
+
+@query
+def stream_success_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding success rates from the same parts; no row is dropped."""
+    folder = work_dir(spark, "late-rates")
+    ev = D.read_events(_streamed(spark, D.table(spark, sf_dir, "events"), "ts", newest_first=True))
+    _run(D.fetch_log_from(ev), rollups.add_fetches(f"{folder}/out"), folder)
+    return _ntz(rollups.added_success_rate(spark, f"{folder}/out").drop("late"), "window_start")
+
+
 @query
 def stream_alert_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts that a stream has told: opened and resolved window by window."""

@@ -2,7 +2,8 @@
 
 The logs of a service become one stream of observations first, so each roll-up is a single aggregate
 however many metrics it holds.  Rows later than ``delay`` behind the newest are dropped by the watermark.
-All run in update mode into a change log.  Where no row may be dropped, ``add_counters`` sums batches instead.
+All run in update mode into a change log.  Where no row may be dropped, ``add_counters``,
+``add_histograms`` and ``add_fetches`` sum batches instead.
 """
 
 from __future__ import annotations
@@ -50,72 +51,129 @@ def stream_counters(fetches: DataFrame, jobs: DataFrame, store_ops: DataFrame, h
     return counted.select("metric", "labels", F.col("w.start").alias("window_start"), "value")
 
 
-PARTIAL = "metric string, labels string, window_start timestamp, value bigint, late bigint, newest timestamp"
+LATE = "late bigint, newest timestamp"
 
 
-def add_counters(path: str, window: str = "1 hour", delay_us: int = C.HOUR_US) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body over :func:`counter_observations` that drops no row, however late.
+def _add(path: str, keys: list[str], sums: list[Column], schema: str, window: tuple[str, ...], delay_us: int) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body that drops no row, however late.
 
-    Each batch adds its own counts to a log, one folder for each batch, overwritten when it is replayed; no
-    state and no watermark stand between, and :func:`added_counters` sums the log.  Rows that a watermark
-    of ``delay_us`` would have dropped are counted as late.
+    Each batch adds its own ``sums`` by ``keys`` and window to a log, one folder for each batch, overwritten when it is
+    replayed; no state and no watermark stand between, and :func:`_added` sums the log.  Rows that a watermark of
+    ``delay_us`` would have dropped are counted as late.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         newest = None
         if batch_id > 0:
-            log = read_changes(spark, path, spark.createDataFrame([], PARTIAL).schema).where(F.col("batch_id") < batch_id)
+            log = read_changes(spark, path, spark.createDataFrame([], f"{schema}, {LATE}").schema).where(F.col("batch_id") < batch_id)
             newest = log.agg(F.unix_micros(F.max("newest"))).first()[0]
-        w = F.window("ts", window)
-        late = F.unix_micros(w["end"]) <= F.lit(newest).cast("bigint") - delay_us
-        counted = batch.groupBy("metric", "labels", w["start"].alias("window_start")).agg(
-            F.count(F.lit(1)).alias("value"), F.count_if(late).alias("late"), F.max("ts").alias("newest"))
+        late = F.unix_micros("w.end") <= F.lit(newest).cast("bigint") - delay_us
+        counted = batch.withColumn("w", F.window("ts", *window)).groupBy(*keys, F.col("w.start").alias("window_start")).agg(
+            *sums, F.count_if(late).alias("late"), F.max("ts").alias("newest"))
         counted.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return each
 
 
+def _added(spark: SparkSession, path: str, keys: list[str], schema: str) -> DataFrame:
+    fields = spark.createDataFrame([], schema).schema.names
+    by = [*keys, "window_start"]
+    log = read_changes(spark, path, spark.createDataFrame([], f"{schema}, {LATE}").schema)
+    return log.groupBy(*by).agg(*(F.sum(c).alias(c) for c in fields if c not in by), F.sum("late").alias("late"))
+
+
+METRIC = ["metric", "labels"]
+COUNTERS = "metric string, labels string, window_start timestamp, value bigint"
+
+
+def add_counters(path: str, window: str = "1 hour", delay_us: int = C.HOUR_US) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body over :func:`counter_observations` that drops no row."""
+    return _add(path, METRIC, [F.count(F.lit(1)).alias("value")], COUNTERS, (window,), delay_us)
+
+
 def added_counters(spark: SparkSession, path: str) -> DataFrame:
     """metric, labels, window_start, value and the rows of it that came late."""
-    log = read_changes(spark, path, spark.createDataFrame([], PARTIAL).schema)
-    return log.groupBy("metric", "labels", "window_start").agg(F.sum("value").alias("value"), F.sum("late").alias("late"))
+    return _added(spark, path, METRIC, COUNTERS)
 
 
-def stream_histograms(fetches: DataFrame, jobs: DataFrame, store_ops: DataFrame, http: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """The five histograms of the service per label set and window; negative values are not observed."""
+BOUNDS = {"d": C.DURATION_BOUNDS, "i": C.ITEM_COUNT_BOUNDS}
+STEPS = [(f"{k}{i}", b) for k, steps in BOUNDS.items() for i, b in enumerate(steps)]
+HISTOGRAMS = f"metric string, labels string, window_start timestamp, sum double, count bigint, {', '.join(f'{c} bigint' for c, _ in STEPS)}"
+
+
+def _histogram_sums() -> list[Column]:
+    return [F.sum("value").alias("sum"), F.count(F.lit(1)).alias("count"), *(F.count_if(F.col("value") <= b).alias(c) for c, b in STEPS)]
+
+
+def _unfold_steps(sums: DataFrame) -> DataFrame:
+    """A row for every bound of each histogram."""
+
+    def steps(k: str) -> Column:
+        return F.array(
+            *(F.struct(F.lit(str(b)).alias("le"), F.col(f"{k}{i}").alias("bucket")) for i, b in enumerate(BOUNDS[k])),
+            F.struct(F.lit("+Inf").alias("le"), F.col("count").alias("bucket")),
+        )
+
+    kept = [c for c in sums.columns if c not in {c for c, _ in STEPS}]
+    unfolded = F.explode(F.when(F.col("metric") == C.FEED_ITEMS, steps("i")).otherwise(steps("d")))
+    return sums.select(*kept, unfolded.alias("s")).select(*kept, "s.le", "s.bucket").withColumn("sum", F.round("sum", 6))
+
+
+def histogram_observations(fetches: DataFrame, jobs: DataFrame, store_ops: DataFrame, http: DataFrame) -> DataFrame:
+    """ts, metric, labels, value of the five histograms of the service; negative values are not observed."""
     seconds = F.col("duration_ms") / 1000
-    observed = _union([
+    return _union([
         _observed(fetches, C.FEED_FETCH_SECONDS, ["url", "status"], F.col("duration_s")),
         _observed(fetches, C.FEED_ITEMS, ["url"], F.col("items_count")),
         _observed(jobs.filter(F.col("status").isin("completed", "failed")), C.JOB_SECONDS, ["status"], seconds),
         _observed(store_ops, C.STORE_OP_SECONDS, ["operation", "status"], F.col("duration_s")),
         _observed(http, C.HTTP_SECONDS, ["method", "endpoint", "status"], seconds),
-    ])
-    bounds = {"d": C.DURATION_BOUNDS, "i": C.ITEM_COUNT_BOUNDS}
-    sums = observed.withWatermark("ts", delay).filter("value >= 0").groupBy("metric", "labels", _start(window)).agg(
-        F.sum("value").alias("sum"), F.count(F.lit(1)).alias("count"),
-        *(F.count_if(F.col("value") <= b).alias(f"{k}{i}") for k, steps in bounds.items() for i, b in enumerate(steps)),
-    )
+    ]).filter("value >= 0")
 
-    def steps(k: str) -> Column:
-        return F.array(
-            *(F.struct(F.lit(str(b)).alias("le"), F.col(f"{k}{i}").alias("bucket")) for i, b in enumerate(bounds[k])),
-            F.struct(F.lit("+Inf").alias("le"), F.col("count").alias("bucket")),
-        )
 
-    unfolded = F.explode(F.when(F.col("metric") == C.FEED_ITEMS, steps("i")).otherwise(steps("d")))
-    return sums.select("metric", "labels", F.col("w.start").alias("window_start"), F.round("sum", 6).alias("sum"), "count", unfolded.alias("s")).select(
-        "metric", "labels", "window_start", "sum", "count", "s.le", "s.bucket"
-    )
+def stream_histograms(fetches: DataFrame, jobs: DataFrame, store_ops: DataFrame, http: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """The five histograms of the service per label set and window."""
+    observed = histogram_observations(fetches, jobs, store_ops, http)
+    sums = observed.withWatermark("ts", delay).groupBy(*METRIC, _start(window)).agg(*_histogram_sums())
+    return _unfold_steps(sums.select(*METRIC, F.col("w.start").alias("window_start"), "sum", "count", *(c for c, _ in STEPS)))
+
+
+def add_histograms(path: str, window: str = "1 day", delay_us: int = C.HOUR_US) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body over :func:`histogram_observations` that drops no row."""
+    return _add(path, METRIC, _histogram_sums(), HISTOGRAMS, (window,), delay_us)
+
+
+def added_histograms(spark: SparkSession, path: str) -> DataFrame:
+    """metric, labels, window_start, sum, count, late, le, bucket."""
+    return _unfold_steps(_added(spark, path, METRIC, HISTOGRAMS))
+
+
+RATES = "window_start timestamp, fetches bigint, good bigint"
+
+
+def _rate_sums() -> list[Column]:
+    return [F.count(F.lit(1)).alias("fetches"), F.count_if(F.col("status") == "success").alias("good")]
+
+
+def _success_pct() -> Column:
+    return F.round(F.col("good") / F.col("fetches") * 100, 6).alias("success_pct")
+
+
+def add_fetches(path: str, window: str = "5 minutes", slide: str = "1 minute", delay_us: int = C.HOUR_US) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body over the fetch log that drops no row of its rates."""
+    return _add(path, [], _rate_sums(), RATES, (window, slide), delay_us)
+
+
+def added_success_rate(spark: SparkSession, path: str) -> DataFrame:
+    """window_start, fetches, success_pct and the fetches that came late."""
+    return _added(spark, path, [], RATES).select("window_start", "fetches", _success_pct(), "late")
 
 
 def stream_success_rate(fetches: DataFrame, window: str = "5 minutes", slide: str = "1 minute", delay: str = "1 hour") -> DataFrame:
     """Share of successful fetches in percent over sliding windows."""
-    counted = fetches.withWatermark("ts", delay).groupBy(F.window("ts", window, slide).alias("w")).agg(
-        F.count(F.lit(1)).alias("fetches"), F.count_if(F.col("status") == "success").alias("good")
-    )
-    return counted.select(F.col("w.start").alias("window_start"), "fetches", F.round(F.col("good") / F.col("fetches") * 100, 6).alias("success_pct"))
+    counted = fetches.withWatermark("ts", delay).groupBy(F.window("ts", window, slide).alias("w")).agg(*_rate_sums())
+    return counted.select(F.col("w.start").alias("window_start"), "fetches", _success_pct())
 
 
 def stream_metric_windows(fetches: DataFrame, queue: DataFrame, store_ops: DataFrame, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:

@@ -166,3 +166,21 @@ def test_late_rows_are_counted_and_reported(spark):
             each(spark.createDataFrame(rows, "ts timestamp, metric string, labels string, value double"), number)
     got = rollups.added_counters(spark, f"{folder}/out").select(((F.unix_seconds("window_start") - int(T0.timestamp())) / 3600).cast("int").alias("h"), "value", "late").collect()
     assert {r.h: (r.value, r.late) for r in got} == {0: (2, 2), 3: (3, 3), 4: (1, 0), 5: (3, 0)}
+
+
+def test_late_rows_of_histograms_and_rates(spark):
+    folder = work_dir(spark, "test-late-histograms")
+    at = lambda minutes: T0 + timedelta(minutes=minutes)
+    batches = [[(at(3000), 0.2)], [(at(10), 0.7), (at(10), 40.0)], [], [(at(20), 0.2)]]
+    each, rates = rollups.add_histograms(f"{folder}/h"), rollups.add_fetches(f"{folder}/r")
+    for number, rows in enumerate(batches):
+        for _ in range(2):  # the second is a replay
+            each(spark.createDataFrame([(t, C.JOB_SECONDS, "a=1", v) for t, v in rows], "ts timestamp, metric string, labels string, value double"), number)
+            rates(spark.createDataFrame([(t, "success" if v < 1 else "failed") for t, v in rows], "ts timestamp, status string"), number)
+    day = F.unix_seconds("window_start") < int(at(2000).timestamp())
+    got = rollups.added_histograms(spark, f"{folder}/h").where(day).collect()
+    assert {(r["sum"], r["count"], r.late) for r in got} == {(40.9, 3, 3)}
+    assert len(got) == len(C.DURATION_BOUNDS) + 1
+    assert {r.le: r.bucket for r in got} == {**{str(b): sum(v <= b for v in (.7, 40, .2)) for b in C.DURATION_BOUNDS}, "+Inf": 3}
+    rate = rollups.added_success_rate(spark, f"{folder}/r").where(day)
+    assert sorted((r.fetches, r.success_pct, r.late) for r in rate.collect()) == [(1, 100.0, 1)] * 5 + [(2, 50.0, 2)] * 5
