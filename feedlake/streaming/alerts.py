@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedlake.operators.alerts import AlertRule, judged_windows, log_level, window_us
-from feedlake.streaming.tables import read_changes, read_version, version_path
+from feedlake.streaming.tables import newest_version, read_changes, read_version, version_path
 
 ALERT = "struct<severity:string,title:string,description:string,labels:map<string,string>>"
 OPEN = f"type string, alert {ALERT}, first timestamp, last timestamp, windows bigint, judged timestamp"
@@ -71,13 +71,23 @@ def told_alerts(spark: SparkSession, outbox: str) -> DataFrame:
     return read_changes(spark, outbox, spark.createDataFrame([], EVENT).schema)
 
 
-def episodes_told(spark: SparkSession, outbox: str) -> DataFrame:
-    """One row per alert, in the shape of :func:`feedlake.operators.alerts.alert_episodes`; an open alert counts
-    the windows up to when it was told."""
+def episodes_told(spark: SparkSession, outbox: str, state: str | None = None, window: str = "1 hour") -> DataFrame:
+    """One row per alert, in the shape of :func:`feedlake.operators.alerts.alert_episodes`.
+
+    Nothing is told while an alert keeps holding, so the windows of an open one are those in the ``state`` of the
+    watch; without it they are counted up to when it was told.
+    """
     rows = told_alerts(spark, outbox)
     last = F.max_by(F.struct("alert", "started_at", "resolved_at", "windows", "log_level"), F.struct((F.col("kind") == "resolved").alias("r"), "batch_id")).alias("e")
-    found = rows.groupBy("alert_id", "type").agg(last)
-    return found.select("alert_id", "type", "e.alert.*", "e.started_at", "e.resolved_at", "e.windows", "e.log_level")
+    found = rows.groupBy("alert_id", "type").agg(last).select("alert_id", "type", "e.*")
+    if state is not None:
+        held = read_version(spark, state, newest_version(spark, state), OPEN).where("alert is not null")
+        started = F.timestamp_micros(F.unix_micros("first") + window_us(window))
+        # a state of few rows, one for a type
+        held = held.select("type", started.alias("started_at"), F.col("windows").alias("held"))
+        windows = F.when(F.col("resolved_at").isNull(), F.greatest("windows", "held")).otherwise(F.col("windows"))
+        found = found.join(F.broadcast(held), ["type", "started_at"], "left").withColumn("windows", windows)
+    return found.select("alert_id", "type", "alert.*", "started_at", "resolved_at", "windows", "log_level")
 
 
 def notify(spark: SparkSession, outbox: str, checkpoint: str, tell: Callable[[list], None], once: bool = True):

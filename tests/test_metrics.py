@@ -156,6 +156,18 @@ def test_running_alerts_tell_each_event_once(spark):
         assert sorted(told) == events and len(set(events)) == len(events)
 
 
+def test_an_open_alert_counts_the_windows_since_it_was_told(spark):
+    folder = work_dir(spark, "test-alerts-open")
+    each = running.watch(f"{folder}/outbox", f"{folder}/state", alerts.default_rules())
+    rates = [0, .9, 0, .9, .9, .9, .9, .9]
+    for number, (low, high) in enumerate(((0, 4), (4, 6), (6, 6), (6, 8))):
+        hour = (F.unix_seconds("window_start") - int(T0.timestamp())) / 3600
+        each(windows(spark, rates).where((hour >= low) & (hour < high)), number)
+        got = running.episodes_told(spark, f"{folder}/outbox", f"{folder}/state")
+        want = alerts.alert_episodes(windows(spark, rates[:high]), alerts.default_rules())
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_late_rows_are_counted_and_reported(spark):
     folder = work_dir(spark, "test-late")
     each = rollups.add_counters(f"{folder}/out")
