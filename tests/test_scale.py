@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from feedlake.functions import dates
 from feedlake.operators import dedupe
 from feedlake.operators import query as Q
-from feedlake.plans import registry
+from feedlake.plans import derive, registry
 from feedlake.schemas import ITEM
 from feedlake.session import work_dir
 from feedlake.sources import files, sink
@@ -161,6 +161,50 @@ def test_entries_of_neighbouring_documents_keep_their_order(spark):
     assert {r.link: r.title for r in tables.read_landed_items(spark, path).select("link", "title").collect()}["http://a/x"] == "eight"
 
 
+def test_a_crawl_is_judged_as_a_whole(spark):
+    """Equal texts in different micro-batches and in captures that overlap: the last with a stored link decides for all."""
+    rng = random.Random(8)
+    fields = ["link", "title", "author", "pub_date", "content_hash"]
+    rows = lambda df: sorted(map(tuple, df.select(*fields).collect()))
+    item = lambda n, t: f"<item><title>{t}</title><link>http://a/{n}</link><description>d</description></item>"
+    texts = [f"t{rng.randrange(6)}" for _ in range(60)]
+    # three feeds take turns, so each of their captures of ten spans thirty entries
+    captures = [[n for n in range(60) if n % 3 == feed and n // 30 == half] for half in range(2) for feed in range(3)]
+    documents = spark.createDataFrame(
+        [("f", f"<rss><channel>{''.join(item(n, texts[n]) for n in c)}</channel></rss>", c[0], c) for c in captures],
+        "feed_url string, body string, ingest_seq long, numbers array<long>")
+    entries = ingest.entries(documents)
+    assert {(r.link, r.ingest_seq) for r in entries.select("link", "ingest_seq").collect()} == {(f"http://a/{n}", n) for n in range(60)}
+    draft = F.concat(F.lit("[draft] "), "title")
+    old = entries.where("ingest_seq % 4 < 2")
+    stored = old.withColumn("title", F.when(F.col("ingest_seq") % 3 == 0, draft).otherwise(F.col("title"))).withColumn(
+        "content_hash", F.md5(F.concat("title", "description", "author"))).select(*ITEM.fieldNames())
+    want = rows(dedupe.upsert_items(stored, entries.select(*ITEM.fieldNames())))
+    new = dedupe.drop_known(entries, stored).count()
+    path, offers, report = (work_dir(spark, f"test-crawl-{k}") for k in ("log", "offers", "report"))
+    tables.append_batch(stored, path, 0)
+    each, halves = ingest.offer_batches(offers), [documents.where(F.col("ingest_seq") < 30), documents.where(F.col("ingest_seq") >= 30)]
+    for number, part in enumerate(halves):
+        for _ in range(2):  # the second is a replay
+            each(ingest.entries(part), number)
+    for _ in range(2):
+        ingest.put_offers(spark, offers, path, report, 1)
+        assert rows(tables.read_landed_items(spark, path)) == want
+    assert [tuple(r) for r in spark.read.parquet(report).select("entries", "invalid", "new", "duplicates").collect()] == [(60, 0, new, 60 - new)]
+    # put by themselves, the batches give something else
+    other = work_dir(spark, "test-crawl-other")
+    tables.append_batch(stored, other, 0)
+    for number, part in enumerate(halves):
+        ingest.ingest_batches(other, f"{other}-report", first_batch=1)(ingest.entries(part), number)
+    assert rows(tables.read_landed_items(spark, other)) != want
+
+
+def test_captures_know_the_numbers_of_their_entries(spark):
+    got = ingest.entries(derive.capture_documents(spark, "/root/testdata/sf0.001"))
+    want = derive.raw_items(spark, "/root/testdata/sf0.001")
+    assert {(r.link, r.ingest_seq) for r in got.select("link", "ingest_seq").collect()} == {(r.link, r.ingest_seq) for r in want.collect()}
+
+
 def served(spark, path, rows, unit="day"):
     """Items with (link, day of January 2024 or None, hour)."""
     base = 1_704_067_200
