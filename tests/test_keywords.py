@@ -86,3 +86,33 @@ def test_an_empty_table(spark):
     tables.write_items(stored_items(spark, []), path)
     keywords.index_keywords(spark, path, f"{path}-words")
     assert links(keywords.scan_keyword(spark, path, f"{path}-words", "rain")) == []
+
+
+def test_ranges_of_the_index_follow_its_rows(spark, monkeypatch):
+    """No task sorts more than its share, and none groups words before they are dealt to ranges."""
+    monkeypatch.setattr(keywords, "RANGE_ROWS", 100)
+    path = work_dir(spark, "test-keywords-ranges")
+    texts = [(f"common word{k}", " ".join(f"w{(k * 7 + j) % 500}" for j in range(60))) for k in range(40)]
+    tables.write_items(stored_items(spark, texts), path, unit="month")
+    keywords.index_keywords(spark, path, f"{path}-words")
+    index = spark.read.parquet(f"{path}-words")
+    sizes = [r["count"] for r in index.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) <= 200, sizes
+    assert index.count() == index.distinct().count()
+    scan = filter_keyword(tables.scan_items(spark, path, parts=True), "w13 w14")
+    assert links(keywords.scan_keyword(spark, path, f"{path}-words", "w13 w14")) == links(scan) != []
+
+
+def test_files_that_share_a_number_are_both_read(spark, monkeypatch):
+    monkeypatch.setattr(keywords, "_number", lambda file: F.length(file).cast("bigint") % 2)
+    path = work_dir(spark, "test-keywords-shared")
+    words = f"{path}-words"
+    tables.write_items(stored_items(spark), path)
+    keywords.index_keywords(spark, path, words)
+    tables.write_items(stored_items(spark, [("Late rain", "")], first=100), path)
+    for most in (0, keywords.MOST_FILES):  # the new file by a join and by its name
+        keywords.index_keywords(spark, path, words, most)
+        assert spark.read.parquet(words).where("word = ''").count() == len(TEXTS) + 1
+        for keyword in ("rain", "tornado", "late rain", "-"):
+            scan = filter_keyword(tables.scan_items(spark, path, parts=True), keyword)
+            assert links(keywords.scan_keyword(spark, path, words, keyword)) == links(scan), keyword
